@@ -25,8 +25,11 @@ def scan_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Per file: path, name, line counts by width, and a content fingerprint (SRC4, SRC6).
 
     The fingerprint is computed from the lines by all tasks: count, total length, and the xor and sum
-    of line hashes. Sum and count keep repeated lines from cancelling in the xor.
+    of line hashes. Sum and count keep repeated lines from cancelling in the xor. A file delivered in
+    parts under ``quarter=<q>/`` carries the name ``<q>.csv``, any other its own.
     """
+    quarter = F.regexp_extract("path", r"/quarter=([^/]+)/[^/]+$", 1)
+    own_name = F.regexp_extract("path", r"([^/]+)$", 1)
     width = F.size(F.split("value", "\\" + DELIMITER, -1))
     line_hash = F.xxhash64("value")
     per_width = (
@@ -41,7 +44,6 @@ def scan_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
         )
     )
     return per_width.groupBy("path").agg(
-        F.regexp_extract(F.first("path"), r"([^/]+)$", 1).alias("file_name"),
         F.array_sort(F.collect_list(F.struct("width", "n"))).alias("widths"),
         F.sum("n").alias("line_count"),
         F.sha2(
@@ -54,6 +56,8 @@ def scan_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
             ),
             256,
         ).alias("fingerprint"),
+    ).withColumn(
+        "file_name", F.when(quarter != "", F.concat(quarter, F.lit(".csv"))).otherwise(own_name)
     )
 
 
@@ -124,17 +128,21 @@ def unseen_files(files: DataFrame, bronze: DataFrame | None) -> DataFrame:
     return files.join(seen, ["file_name", "fingerprint"], "left_anti")
 
 
-def require_widths(rows: Sequence, paths: Sequence[str], width: int) -> None:
-    """Refuse an empty file or any line whose field count is not the declared one."""
-    if len(rows) < len(paths):
-        named = {r.path.rsplit("/", 1)[-1] for r in rows}
-        raise ContractError(f"empty files: {[p for p in paths if p.rsplit('/', 1)[-1] not in named]}")
+def require_widths(rows: Sequence, width: int) -> None:
+    """Refuse any file with a line whose field count is not the declared one."""
     for row in rows:
         wrong = [(w.width, w.n) for w in row.widths if w.width != width]
         if wrong:
             raise ContractError(f"{row.file_name}: lines of (width, count) {wrong}, expected {width} fields")
 
 
+def require_lines(rows: Sequence, paths: Sequence[str]) -> None:
+    """Refuse a listed path from which no line was read."""
+    empty = [p for p in paths if not any(p.rstrip("/").split("://")[-1] in r.path for r in rows)]
+    if empty:
+        raise ContractError(f"no lines in {empty}")
+
+
 def ingest(
     spark: SparkSession,
     paths: Sequence[str],
@@ -156,26 +164,22 @@ def ingest(
     except FileNotFoundError:
         bronze = None
     scanned = files.collect()
-    facts = spark.createDataFrame(scanned, files.schema) if scanned else files
-    new = {r.path for r in unseen_files(facts, bronze).select("path").collect()} if scanned else set()
-    # The same content listed twice in one call is loaded once.
-    chosen = {(r.file_name, r.fingerprint): r for r in sorted(scanned, key=lambda r: r.path, reverse=True)}
-    load = [r for r in chosen.values() if r.path in new]
-    require_widths(
-        [r for r in scanned if r.path in new],
-        [p for p in paths if p.rsplit("/", 1)[-1] not in {r.file_name for r in scanned if r.path not in new}],
-        width,
-    )
+    require_lines(scanned, paths)
+    facts = spark.createDataFrame(scanned, files.schema)
+    new = {r.path for r in unseen_files(facts, bronze).select("path").collect()}
+    # Content listed twice in one call is loaded once.
+    distinct = {(r.file_name, r.fingerprint): r for r in scanned if r.path in new}
+    load = list(distinct.values())
+    require_widths(load, width)
     if load:
-        loaded_at = ingested_at or datetime.now(UTC)
         raw = read_raw(spark, [r.path for r in load], width)
-        with_provenance(raw, facts, width, loaded_at).write.mode("append").partitionBy(
-            "_source_file"
-        ).parquet(bronze_path)
-    skipped = [r.file_name for r in scanned if r not in load]
+        with_provenance(raw, facts, width, ingested_at or datetime.now(UTC)).write.mode(
+            "append"
+        ).partitionBy("_source_file").parquet(bronze_path)
+    loaded = {r.file_name for r in load}
     return IngestResult(
-        tuple(sorted(r.file_name for r in load)),
-        tuple(sorted(skipped)),
+        tuple(sorted(loaded)),
+        tuple(sorted({r.file_name for r in scanned} - loaded)),
         sum(r.line_count for r in load),
-        read_bronze(spark, bronze_path).count() if load or bronze is not None else 0,
+        read_bronze(spark, bronze_path).count(),
     )

@@ -20,6 +20,9 @@ from vintageline.models.scorecard import fit_logistic, probability_of, weighted_
 from vintageline.settings import FEATURES, RISK_DIRECTION
 
 CHALLENGER_BINS = 20
+# Bound of an unconstrained step. It never binds, and unlike infinity it survives the solver's scaling
+# by the deviation of an indicator that is constant in the training rows.
+FREE = 1e6
 
 
 def directions_of(features: Sequence[str] = FEATURES) -> tuple[int, ...]:
@@ -84,11 +87,11 @@ def fit_steps(
         at = F.col(f"c{i}")
         for k in range(len(cuts[feature])):
             inputs.append((at > k).cast("double"))
-            low.append(0.0 if direction > 0 else float("-inf"))
-            high.append(0.0 if direction < 0 else float("inf"))
+            low.append(0.0 if direction > 0 else -FREE)
+            high.append(0.0 if direction < 0 else FREE)
         inputs.append((at < 0).cast("double"))
-        low.append(float("-inf"))
-        high.append(float("inf"))
+        low.append(-FREE)
+        high.append(FREE)
     width = len(inputs)
     model = fit_logistic(
         cells, inputs,
@@ -126,16 +129,16 @@ def platt_rows(rows: DataFrame, target: str, probability: Column) -> DataFrame:
         .groupBy("p")
         .agg(F.count_if(F.col("y")).alias("pos"), F.count_if(~F.col("y")).alias("neg"))
     )
-    totals = cells.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    hit = (F.col("P") + 1) / (F.col("P") + 2)
-    miss = 1 / (F.col("N") + 2)
+    totals = cells.agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
+    hit = (F.col("all_pos") + 1) / (F.col("all_pos") + 2)
+    miss = 1 / (F.col("all_neg") + 2)
     toward_one = F.col("pos") * hit + F.col("neg") * miss
     both = F.array(
         F.struct(F.lit(1.0).alias("label"), toward_one.alias("weight")),
         F.struct(F.lit(0.0).alias("label"), (F.col("pos") + F.col("neg") - toward_one).alias("weight")),
     )
     return (
-        cells.withColumns({"P": totals.select("P").scalar(), "N": totals.select("N").scalar()})
+        cells.withColumns({c: totals.select(c).scalar() for c in totals.columns})
         .select("p", F.inline(both))
     )
 

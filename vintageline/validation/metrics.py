@@ -39,18 +39,18 @@ def ks_statistic(scored: DataFrame, label: str, score: str, by: Sequence[str] =
     """Largest gap between the cumulative event and non-event shares."""
     grouped = by_score(scored, label, score, by)
     ordered = totals_below(grouped, score, ["events", "others"], by)
-    totals = grouped.groupBy(*by).agg(F.sum("events").alias("E"), F.sum("others").alias("O"))
+    totals = grouped.groupBy(*by).agg(F.sum("events").alias("all_events"), F.sum("others").alias("all_others"))
     gap = F.abs(
-        (F.col("events_below") + F.col("events")) / F.col("E")
-        - (F.col("others_below") + F.col("others")) / F.col("O")
+        (F.col("events_below") + F.col("events")) / F.col("all_events")
+        - (F.col("others_below") + F.col("others")) / F.col("all_others")
     )
     if by:
         joined = ordered.join(totals, list(by))
     else:
         joined = ordered.withColumns(
-            {"E": totals.select("E").scalar(), "O": totals.select("O").scalar()}
+            {c: totals.select(c).scalar() for c in totals.columns}
         )
-    return joined.where("E > 0 AND O > 0").groupBy(*by).agg(F.max(gap).alias("ks"))
+    return joined.where("all_events > 0 AND all_others > 0").groupBy(*by).agg(F.max(gap).alias("ks"))
 
 
 def brier(scored: DataFrame, label: str, probability: str, by: Sequence[str] = ()) -> DataFrame:
@@ -90,11 +90,11 @@ def calibration_by_quantile(
     grouped = by_score(scored, label, probability, by).withColumn("n", F.col("events") + F.col("others"))
     ordered = totals_below(grouped, probability, ["n"], by)
     if by:
-        sizes = grouped.groupBy(*by).agg(F.sum("n").alias("N"))
+        sizes = grouped.groupBy(*by).agg(F.sum("n").alias("group_rows"))
         ordered = ordered.join(sizes, list(by))
     else:
-        ordered = ordered.withColumn("N", grouped.agg(F.sum("n")).scalar())
-    quantile = (F.floor(F.col("n_below") * bins / F.col("N")) + 1).cast("int")
+        ordered = ordered.withColumn("group_rows", grouped.agg(F.sum("n")).scalar())
+    quantile = (F.floor(F.col("n_below") * bins / F.col("group_rows")) + 1).cast("int")
     return ordered.groupBy(*by, quantile.alias("bin")).agg(
         F.sum("n").alias("rows"),
         (F.sum(F.col(probability) * F.col("n")) / F.sum("n")).alias("mean_predicted"),

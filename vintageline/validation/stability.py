@@ -48,17 +48,22 @@ def stability_index(
             .withColumn("side", F.lit(side))
         )
 
-    both = counts(reference, "r").unionByName(counts(current, "c"))
+    both = counts(reference, "reference").unionByName(counts(current, "current"))
+
+    def rows_of(side: str) -> Column:
+        return F.sum(F.when(F.col("side") == side, F.col("n")).otherwise(0))
+
     wide = both.groupBy("column_name", "band").agg(
-        F.sum(F.when(F.col("side") == "r", F.col("n")).otherwise(0)).alias("r"),
-        F.sum(F.when(F.col("side") == "c", F.col("n")).otherwise(0)).alias("c"),
+        rows_of("reference").alias("ref"), rows_of("current").alias("cur")
     )
     # One row per column and band.
-    totals = wide.groupBy("column_name").agg(F.sum("r").alias("R"), F.sum("c").alias("C"))
+    totals = wide.groupBy("column_name").agg(
+        F.sum("ref").alias("all_ref"), F.sum("cur").alias("all_cur")
+    )
     shares = wide.join(totals, "column_name").select(
         "column_name",
-        F.greatest(F.col("r") / F.col("R"), F.lit(FLOOR)).alias("e"),
-        F.greatest(F.col("c") / F.col("C"), F.lit(FLOOR)).alias("a"),
+        F.greatest(F.col("ref") / F.col("all_ref"), F.lit(FLOOR)).alias("e"),
+        F.greatest(F.col("cur") / F.col("all_cur"), F.lit(FLOOR)).alias("a"),
     )
     return shares.groupBy("column_name").agg(
         F.count(F.lit(1)).alias("bands"),

@@ -32,6 +32,37 @@ def _slice_of(value: Column, cuts: Column, slices: int) -> Column:
     )
 
 
+def sliced(
+    frame: DataFrame, order: str, cuts_from: DataFrame | None = None
+) -> DataFrame:
+    """Add ``_slice``, an order-preserving slice number of about equal row counts.
+
+    ``cuts_from`` may name a cheaper frame with a like distribution of ``order`` to take the cuts from.
+    """
+    slices = slice_count(frame)
+    shares = F.array(*(F.lit(k / slices) for k in range(1, slices)))
+    source = frame if cuts_from is None else cuts_from
+    cuts = source.agg(F.percentile_approx(order, shares)).scalar()
+    placed = _slice_of(F.col(order), F.col("_cuts"), slices)
+    return frame.withColumn("_cuts", cuts).withColumn("_slice", placed).drop("_cuts")
+
+
+def before_in_slice(by: Sequence[str], order: str):
+    """Window over the rows of the same slice with a smaller order value."""
+    return (
+        Window.partitionBy(*by, "_slice").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    )
+
+
+def slices_before(by: Sequence[str]):
+    """Window over the group's earlier slices; a group has at most ``slice_count`` of them."""
+    return Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def or_zero(total: Column) -> Column:
+    return F.coalesce(total, F.lit(0))
+
+
 def totals_below(
     frame: DataFrame, order: str, measures: Sequence[str], by: Sequence[str] = ()
 ) -> DataFrame:
@@ -39,31 +70,17 @@ def totals_below(
 
     The frame must hold one row per group and order value; aggregate it to that grain first.
     """
-    slices = slice_count(frame)
-    shares = F.array(*(F.lit(k / slices) for k in range(1, slices)))
-    cuts = frame.agg(F.percentile_approx(order, shares)).scalar()
-    sliced = frame.withColumn("_cuts", cuts).withColumn(
-        "_slice", _slice_of(F.col(order), F.col("_cuts"), slices)
-    ).drop("_cuts")
-    # At most ``slices`` rows per group.
-    before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    rows = sliced(frame, order)
     offsets = (
-        sliced.groupBy(*by, "_slice")
+        rows.groupBy(*by, "_slice")
         .agg(*(F.sum(m).alias(m) for m in measures))
-        .select(
-            *by, "_slice", *(F.coalesce(F.sum(m).over(before), F.lit(0)).alias(f"_off_{m}") for m in measures)
-        )
-    )
-    inside = (
-        Window.partitionBy(*by, "_slice").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        .select(*by, "_slice", *(or_zero(F.sum(m).over(slices_before(by))).alias(f"_off_{m}") for m in measures))
     )
+    inside = before_in_slice(by, order)
     return (
-        sliced.join(offsets, [*by, "_slice"])
+        rows.join(offsets, [*by, "_slice"])
         .withColumns(
-            {
-                f"{m}_below": F.col(f"_off_{m}") + F.coalesce(F.sum(m).over(inside), F.lit(0))
-                for m in measures
-            }
+            {f"{m}_below": F.col(f"_off_{m}") + or_zero(F.sum(m).over(inside)) for m in measures}
         )
         .drop("_slice", *(f"_off_{m}" for m in measures))
     )

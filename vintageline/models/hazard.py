@@ -46,28 +46,36 @@ class HazardModel:
     coefficients: tuple[float, ...]
     intercept: float
 
-    def logit(self, age: Column | None = None) -> Column:
-        """Log-odds of default next month; ``age`` overrides the row's own loan age."""
-        total = F.lit(self.intercept)
-        terms = design(self.medians, self.age_range, age)
-        for x, mean, dev, weight in zip(terms, self.means, self.deviations, self.coefficients):
-            total = total + F.lit(weight / dev) * (x - F.lit(mean))
+    def _weighted(self, first: int, terms: list[Column]) -> Column:
+        total = F.lit(0.0)
+        for k, x in enumerate(terms, start=first):
+            total = total + F.lit(self.coefficients[k] / self.deviations[k]) * (x - F.lit(self.means[k]))
         return total
 
+    def age_logit(self, age: Column) -> Column:
+        """The part of the log-odds that moves with loan age."""
+        return self._weighted(0, spline_basis(age, *self.age_range))
+
+    def covariate_logit(self) -> Column:
+        """Intercept and the part that comes from the row's other features."""
+        others = [filled(name, self.medians) for name in self.medians if name != AGE]
+        return F.lit(self.intercept) + self._weighted(len(self.coefficients) - len(others), others)
+
+    def logit(self) -> Column:
+        return self.covariate_logit() + self.age_logit(filled(AGE, self.medians))
+
     def predict(self, rows: DataFrame, name: str = "hazard_probability") -> DataFrame:
         return rows.withColumn(name, probability_of(self.logit()))
 
 
-def design(
-    medians: dict[str, float], age_range: tuple[float, float], age: Column | None = None
-) -> list[Column]:
-    """Spline terms of the age, then the other features with medians for missing values."""
+def filled(name: str, medians: dict[str, float]) -> Column:
+    return F.coalesce(F.col(name).cast("double"), F.lit(medians[name]))
 
-    def filled(name: str) -> Column:
-        return F.coalesce(F.col(name).cast("double"), F.lit(medians[name]))
 
-    terms = spline_basis(filled(AGE) if age is None else age, *age_range)
-    return terms + [filled(name) for name in medians if name != AGE]
+def design(medians: dict[str, float], age_range: tuple[float, float]) -> list[Column]:
+    """Spline terms of the age, then the other features with medians for missing values."""
+    terms = spline_basis(filled(AGE, medians), *age_range)
+    return terms + [filled(name, medians) for name in medians if name != AGE]
 
 
 def feature_medians(rows: DataFrame, features: Sequence[str] = FEATURES) -> dict[str, float]:
@@ -94,7 +102,7 @@ def fit_hazard(rows: DataFrame, target: str, features: Sequence[str] = FEATURES)
     deviations = [d or 1.0 for d in spreads]
     scaled = [(F.col(n) - m) / d for n, m, d in zip(names, means, deviations)]
     model = LogisticRegression(
-        featuresCol="x", regParam=1.0 / count, standardization=False, maxIter=300, tol=1e-9
+        featuresCol="x", regParam=1.0 / count, standardization=False, maxIter=100, tol=1e-7
     ).fit(data.select("label", array_to_vector(F.array(*scaled)).alias("x")))
     return HazardModel(
         medians, age_range, tuple(means), tuple(deviations),

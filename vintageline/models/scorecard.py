@@ -54,7 +54,7 @@ def fit_logistic(cells: DataFrame, inputs: Sequence[Column], penalty: float = 1.
     total = cells.agg(F.sum("weight")).first()[0]
     learner = LogisticRegression(
         featuresCol="x", labelCol="label", weightCol="weight", regParam=penalty / total,
-        standardization=False, maxIter=300, tol=1e-9, **bounds,
+        standardization=False, maxIter=100, tol=1e-7, **bounds,
     )
     return learner.fit(data)
 

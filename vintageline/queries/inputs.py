@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 
 from vintageline.models.frame import model_frame
 from vintageline.operators.gold import gold_panel
-from vintageline.sources.snapshots import materialize
+from vintageline.sources.snapshots import materialize, shared_folder
 from vintageline.sources.synthetic import synthetic_panel, synthetic_releases
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,19 +50,12 @@ def gold(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def use_scratch(spark: SparkSession) -> str:
-    """A new folder under the cluster's shared folder; a local session without one gets its own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+    """A new folder under the session's shared folder."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def stored_model_frame(spark: SparkSession, folder: str) -> DataFrame:
     """Model columns of the panel, written once so that a fit does not rebuild the panel per pass."""
-    use_scratch(spark)
     return materialize(model_frame(gold(spark, folder)), "model-frame")
 
 

@@ -7,6 +7,7 @@ before. Manifests are written with Spark too, which keeps every path on the clus
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 from collections.abc import Mapping
 
@@ -85,10 +86,16 @@ def source_versions(spark: SparkSession, path: str, version: int) -> dict[str, i
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach, as the cluster names it; there is no machine-local fallback."""
+    """Folder every executor can reach, as the cluster names it.
+
+    Only a local session, where driver and executors share one machine, may go without the setting.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+        folder = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 

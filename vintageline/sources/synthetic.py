@@ -7,7 +7,7 @@ the panel grows with the seed table, needs no random state, and is the same on e
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vintageline.sources.contract import DEFAULT_WIDTH, DELIMITER, fields_of_width
@@ -22,70 +22,57 @@ OCCUPANCIES = ("P", "S", "I", "U")
 EVENTS = {"D": "default", "P": "prepaid", "R": "repurchased", "C": "censored"}
 
 
-def _pick(values: tuple, index: Column) -> Column:
-    return F.element_at(F.array(*(F.lit(v) for v in values)), (index + 1).cast("int"))
+def _pick(values: tuple, index: str) -> str:
+    """SQL for the value at a 0-based position of a fixed list."""
+    listed = ", ".join(repr(v) for v in values)
+    return f"element_at(array({listed}), int({index}) + 1)"
 
 
 def synthetic_loans(seeds: DataFrame, key: str = "c_custkey") -> DataFrame:
     """One row per seed key: contract attributes plus the known outcome of the loan."""
-    k = F.col(key).cast("bigint")
-    q = k % 6
-    ltv = 55 + (k * 37) % 43
-    dti = 18 + (k * 53) % 33
-    borrower = 610 + (k * 71) % 201
-    era = F.when(q < 3, 700).otherwise(300)
-    risk = 16 * (ltv - 55) + 16 * (dti - 18) + 3 * (810 - borrower) + era
-    draw = (k * 13) % 100
-    event = (
-        F.when(k % 29 == 0, "R")
-        .when((risk > 1240) & (draw < 75), "D")
-        .when((risk < 520) & (draw < 70), "P")
-        .otherwise("C")
+    drawn = seeds.where(F.col(key).isNotNull()).selectExpr(
+        f"bigint({key}) AS k",
+        f"bigint({key}) % 6 AS q",
+        f"55 + ({key} * 37) % 43 AS ltv",
+        f"18 + ({key} * 53) % 33 AS dti",
+        f"610 + ({key} * 71) % 201 AS score",
+        f"({key} * 13) % 100 AS draw",
     )
-    seasoned = q == 3
-    event_month = 13 + (k * 19) % F.when(seasoned, 80).otherwise(20)
-    longest = F.when(seasoned, 96).otherwise(36)
-    quarter = _pick(QUARTERS, q)
-    first_month = F.make_date(
-        F.substring(quarter, 1, 4).cast("int"),
-        F.substring(quarter, 6, 1).cast("int") * 3 - 2,
-        F.lit(1),
+    risk = "16 * (ltv - 55) + 16 * (dti - 18) + 3 * (810 - score) + IF(q < 3, 700, 300)"
+    judged = drawn.selectExpr(
+        "*",
+        f"{risk} AS risk",
+        f"{_pick(QUARTERS, 'q')} AS quarter",
+        f"""CASE WHEN k % 29 = 0 THEN 'R' WHEN {risk} > 1240 AND draw < 75 THEN 'D'
+            WHEN {risk} < 520 AND draw < 70 THEN 'P' ELSE 'C' END AS event""",
+        "13 + (k * 19) % IF(q = 3, 80, 20) AS event_month",
+        "IF(q = 3, 96, 36) AS longest",
     )
-    months = (
-        F.when(F.col("EVENT") == "D", F.least(F.col("LONGEST"), F.col("EVENT_MONTH") + 3))
-        .when(F.col("EVENT").isin("P", "R"), F.least(F.col("LONGEST"), F.col("EVENT_MONTH")))
-        .otherwise(F.col("LONGEST"))
-    )
-    return (
-        seeds.where(F.col(key).isNotNull())
-        .select(
-            k.alias("KEY"),
-            F.concat(F.lit("SYN"), F.lpad(k.cast("string"), 9, "0")).alias("LOAN_ID"),
-            F.concat(quarter, F.lit(".csv")).alias("_source_file"),
-            first_month.alias("FIRST_MONTH"),
-            F.add_months(first_month, -2).alias("ORIG_DATE"),
-            ltv.cast("int").alias("OLTV"),
-            F.when(
-                k % 11 != 0, F.least(F.lit(105), ltv + _pick((0, 0, 5, 10), k % 4))
-            ).cast("int").alias("OCLTV"),
-            dti.cast("int").alias("DTI"),
-            borrower.cast("int").alias("CSCORE_B"),
-            F.when(k % 2 != 0, 620 + (k * 29) % 201).cast("int").alias("CSCORE_C"),
-            (80000 + 5000 * ((k * 17) % 114)).cast("decimal(20,2)").alias("ORIG_UPB"),
-            _pick((180, 240, 360), k % 3).cast("int").alias("ORIG_TERM"),
-            ((2750 + (k * 97) % 4501) / 1000).cast("decimal(20,3)").alias("ORIG_RATE"),
-            F.when(k % 101 == 0, "Z").otherwise(_pick(CHANNELS, k % 3)).alias("CHANNEL"),
-            _pick(PURPOSES, k % 4).alias("PURPOSE"),
-            _pick(PROPERTIES, k % 5).alias("PROP"),
-            _pick(OCCUPANCIES, F.floor(k / 2) % 4).alias("OCC_STAT"),
-            _pick(STATES, k % 8).alias("STATE"),
-            risk.cast("int").alias("RISK_SCORE"),
-            event.alias("EVENT"),
-            F.when(event != "C", event_month).cast("int").alias("EVENT_MONTH"),
-            longest.cast("int").alias("LONGEST"),
-        )
-        .withColumn("MONTHS", months.cast("int"))
-        .drop("LONGEST")
+    first_month = "make_date(int(substr(quarter, 1, 4)), int(substr(quarter, 6, 1)) * 3 - 2, 1)"
+    return judged.selectExpr(
+        "k AS KEY",
+        "concat('SYN', lpad(string(k), 9, '0')) AS LOAN_ID",
+        "concat(quarter, '.csv') AS _source_file",
+        f"{first_month} AS FIRST_MONTH",
+        f"add_months({first_month}, -2) AS ORIG_DATE",
+        "int(ltv) AS OLTV",
+        f"IF(k % 11 = 0, NULL, int(least(105, ltv + {_pick((0, 0, 5, 10), 'k % 4')}))) AS OCLTV",
+        "int(dti) AS DTI",
+        "int(score) AS CSCORE_B",
+        "IF(k % 2 = 0, NULL, int(620 + (k * 29) % 201)) AS CSCORE_C",
+        "cast(80000 + 5000 * ((k * 17) % 114) AS decimal(20,2)) AS ORIG_UPB",
+        f"{_pick((180, 240, 360), 'k % 3')} AS ORIG_TERM",
+        "cast((2750 + (k * 97) % 4501) / 1000 AS decimal(20,3)) AS ORIG_RATE",
+        f"IF(k % 101 = 0, 'Z', {_pick(CHANNELS, 'k % 3')}) AS CHANNEL",
+        f"{_pick(PURPOSES, 'k % 4')} AS PURPOSE",
+        f"{_pick(PROPERTIES, 'k % 5')} AS PROP",
+        f"{_pick(OCCUPANCIES, '(k div 2) % 4')} AS OCC_STAT",
+        f"{_pick(STATES, 'k % 8')} AS STATE",
+        "int(risk) AS RISK_SCORE",
+        "event AS EVENT",
+        "IF(event = 'C', NULL, int(event_month)) AS EVENT_MONTH",
+        """int(CASE event WHEN 'D' THEN least(longest, event_month + 3) WHEN 'C' THEN longest
+            ELSE least(longest, event_month) END) AS MONTHS""",
     )
 
 
@@ -103,32 +90,18 @@ def synthetic_outcomes(loans: DataFrame) -> DataFrame:
 
 def synthetic_panel(seeds: DataFrame, key: str = "c_custkey") -> DataFrame:
     """Typed loan-month rows with servicer moves, delinquency ramps and zero-balance exits."""
-    loans = synthetic_loans(seeds, key)
-    i = F.col("I")
-    k = F.col("KEY")
-    to_default = F.col("EVENT_MONTH") - 1 - i
-    status = (
-        F.when((F.col("EVENT") == "D") & (to_default <= 0), "03")
-        .when((F.col("EVENT") == "D") & (to_default == 1), "02")
-        .when((F.col("EVENT") == "D") & (to_default == 2), "01")
-        .when((F.col("EVENT") != "D") & (k % 97 == 0) & (i == 5), "XX")
-        .otherwise("00")
-    )
-    closing = to_default == 0
-    zero_balance = F.when(closing & (F.col("EVENT") == "P"), "01").when(
-        closing & (F.col("EVENT") == "R"), "06"
-    )
-    return loans.withColumn("I", F.explode(F.expr("sequence(0, MONTHS - 1)"))).select(
+    months = synthetic_loans(seeds, key).selectExpr("*", "explode(sequence(0, MONTHS - 1)) AS i")
+    return months.selectExpr(
         "LOAN_ID",
-        F.add_months("FIRST_MONTH", i).alias("ACT_PERIOD"),
+        "add_months(FIRST_MONTH, i) AS ACT_PERIOD",
         "ORIG_DATE",
         "CHANNEL",
-        F.concat(F.lit("S"), ((k + F.floor(i / 14)) % 5).cast("string")).alias("SERVICER"),
+        "concat('S', string((KEY + i div 14) % 5)) AS SERVICER",
         "ORIG_RATE",
         "ORIG_UPB",
-        (F.col("ORIG_UPB").cast("double") * (1 - i / F.col("ORIG_TERM"))).alias("CURRENT_UPB"),
+        "double(ORIG_UPB) * (1 - i / ORIG_TERM) AS CURRENT_UPB",
         "ORIG_TERM",
-        i.alias("LOAN_AGE"),
+        "i AS LOAN_AGE",
         "OLTV",
         "OCLTV",
         "DTI",
@@ -138,8 +111,12 @@ def synthetic_panel(seeds: DataFrame, key: str = "c_custkey") -> DataFrame:
         "PROP",
         "OCC_STAT",
         "STATE",
-        status.alias("DLQ_STATUS"),
-        zero_balance.alias("ZERO_BAL_CODE"),
+        """CASE WHEN EVENT = 'D' AND i >= EVENT_MONTH - 1 THEN '03'
+            WHEN EVENT = 'D' AND i = EVENT_MONTH - 2 THEN '02'
+            WHEN EVENT = 'D' AND i = EVENT_MONTH - 3 THEN '01'
+            WHEN EVENT <> 'D' AND KEY % 97 = 0 AND i = 5 THEN 'XX' ELSE '00' END AS DLQ_STATUS""",
+        """CASE WHEN i = EVENT_MONTH - 1 AND EVENT = 'P' THEN '01'
+            WHEN i = EVENT_MONTH - 1 AND EVENT = 'R' THEN '06' END AS ZERO_BAL_CODE""",
         "_source_file",
     )
 

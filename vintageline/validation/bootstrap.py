@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from vintageline.functions.ordered import dense_index
 from vintageline.settings import BOOTSTRAP_ALPHA, BOOTSTRAP_REPLICATES, SEED
+from vintageline.sources.snapshots import materialize
 from vintageline.validation.metrics import auc
 
 
@@ -27,20 +28,18 @@ def _fast_draw(seed: int, rep: Column, slot: Column) -> Column:
 
 
 def replicate_weights(
-    loans: DataFrame, loan: str, replicates: int, seed: int = SEED, portable: bool = False
+    numbered: DataFrame, replicates: int, seed: int = SEED, portable: bool = False
 ) -> DataFrame:
-    """(rep, loan, times drawn) for every replicate; loans never drawn in a replicate have no row."""
-    numbered = dense_index(loans, loan)
+    """(rep, idx, times drawn); replicate 0 takes every loan once, undrawn loans have no row."""
     size = numbered.agg(F.count(F.lit(1))).scalar()
     draw = (_portable_draw if portable else _fast_draw)(seed, F.col("rep"), F.col("idx"))
-    reps = F.sequence(F.lit(1), F.lit(replicates))
-    drawn = (
-        numbered.select("idx", F.explode(reps).alias("rep"))
+    picked = F.when(F.col("rep") == 0, F.col("idx")).otherwise(F.pmod(draw, F.col("_n")))
+    return (
+        numbered.select("idx", F.explode(F.sequence(F.lit(0), F.lit(replicates))).alias("rep"))
         .withColumn("_n", size)
-        .groupBy("rep", F.pmod(draw, F.col("_n")).alias("idx"))
+        .groupBy("rep", picked.alias("idx"))
         .agg(F.count(F.lit(1)).alias("times"))
     )
-    return drawn.join(numbered, "idx").select("rep", loan, "times")
 
 
 def gini_differences(
@@ -53,23 +52,33 @@ def gini_differences(
     seed: int = SEED,
     portable: bool = False,
 ) -> DataFrame:
-    """Gini difference per replicate; replicate 0 is the full data. One-class replicates are NULL."""
-    rows = scored.where(
+    """Gini difference per replicate; replicate 0 is the full data. One-class replicates are NULL.
+
+    The reduced rows and the loan numbers are written once, since every replicate reads them.
+    """
+    pairs = scored.where(
         F.col(label).isNotNull() & F.col(candidate).isNotNull() & F.col(baseline).isNotNull()
-    ).groupBy(loan, candidate, baseline, label).agg(F.count(F.lit(1)).alias("n"))
-    weights = replicate_weights(rows, loan, replicates, seed, portable)
-    resampled = rows.join(weights, loan).select(
-        "rep", candidate, baseline, label, (F.col("n") * F.col("times")).alias("w")
-    )
-    full = rows.select(F.lit(0).alias("rep"), candidate, baseline, label, F.col("n").alias("w"))
+    ).groupBy(
+        F.col(loan).alias("loan"),
+        F.col(candidate).cast("double").alias("candidate"),
+        F.col(baseline).cast("double").alias("baseline"),
+        F.col(label).alias("y"),
+    ).agg(F.count(F.lit(1)).alias("n"))
+    rows = materialize(pairs, "bootstrap-rows")
+    numbered = materialize(dense_index(rows, "loan"), "bootstrap-loans")
+    weights = replicate_weights(numbered, replicates, seed, portable)
     models = F.inline(
         F.array(
-            F.struct(F.lit("candidate").alias("model"), F.col(candidate).cast("double").alias("score")),
-            F.struct(F.lit("baseline").alias("model"), F.col(baseline).cast("double").alias("score")),
+            F.struct(F.lit("candidate").alias("model"), F.col("candidate").alias("score")),
+            F.struct(F.lit("baseline").alias("model"), F.col("baseline").alias("score")),
         )
     )
-    long = full.unionByName(resampled).select("rep", label, "w", models)
-    per_model = auc(long, label, "score", ("rep", "model"), F.col("w"))
+    long = (
+        rows.join(numbered, "loan")
+        .join(weights, "idx")
+        .select("rep", "y", (F.col("n") * F.col("times")).alias("w"), models)
+    )
+    per_model = auc(long, "y", "score", ("rep", "model"), F.col("w"), cuts_from=rows.select(models))
 
     def gini(model: str) -> Column:
         return F.max(F.when(F.col("model") == model, F.col("gini")))

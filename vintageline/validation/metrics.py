@@ -7,7 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vintageline.functions.ordered import totals_below
+from vintageline.functions.ordered import (
+    before_in_slice,
+    or_zero,
+    sliced,
+    slices_before,
+    totals_below,
+)
 
 
 def by_score(
@@ -23,15 +29,32 @@ def by_score(
 
 
 def auc(
-    scored: DataFrame, label: str, score: str, by: Sequence[str] = (), weight: Column | None = None
+    scored: DataFrame,
+    label: str,
+    score: str,
+    by: Sequence[str] = (),
+    weight: Column | None = None,
+    cuts_from: DataFrame | None = None,
 ) -> DataFrame:
-    """Tie-aware AUC and Gini per group; NULL when a group has one class only (VAL1)."""
-    ordered = totals_below(by_score(scored, label, score, by, weight), score, ["others"], by)
+    """Tie-aware AUC and Gini per group; NULL when a group has one class only (VAL1).
+
+    Each slice of the score range counts the pairs won inside it; pairs across slices follow from the
+    slice totals, so the rows are ordered only within slices.
+    """
+    rows = sliced(by_score(scored, label, score, by, weight), score, cuts_from)
     events, others = F.col("events").cast("double"), F.col("others").cast("double")
-    won = F.sum(events * (F.col("others_below") + others / 2))
-    area = F.try_divide(won, F.sum(events) * F.sum(others))
-    return ordered.groupBy(*by).agg(
-        F.sum("events").alias("events"), F.sum("others").alias("non_events"), area.alias("auc")
+    below = or_zero(F.sum("others").over(before_in_slice(by, score)))
+    per_slice = (
+        rows.withColumn("won", events * (below + others / 2))
+        .groupBy(*by, "_slice")
+        .agg(*(F.sum(c).alias(c) for c in ("events", "others", "won")))
+        .withColumn("below", or_zero(F.sum("others").over(slices_before(by))))
+    )
+    won = F.sum(F.col("won") + events * F.col("below"))
+    return per_slice.groupBy(*by).agg(
+        F.sum("events").alias("events"),
+        F.sum("others").alias("non_events"),
+        F.try_divide(won, F.sum(events) * F.sum(others)).alias("auc"),
     ).withColumn("gini", 2 * F.col("auc") - 1)
 
 

@@ -12,6 +12,9 @@ NOT_NULL = ("LOAN_ID", "ACT_PERIOD", "_source_file", "_source_sha256")
 KEY = ("LOAN_ID", "ACT_PERIOD")
 # Two digits, or the code for unknown.
 STATUS_DOMAIN = r"^([0-9]{2}|XX)$"
+REPORT_SCHEMA = (
+    "expectation string, column_name string, observed_rows bigint, unexpected_rows bigint, status string"
+)
 
 
 class QualityError(RuntimeError):
@@ -82,7 +85,7 @@ def quality_report(frame: DataFrame) -> DataFrame:
     if broken:
         spark = frame.sparkSession
         absent = spark.createDataFrame(
-            [(rule, column, None, None, ERRORED) for rule, column, _ in broken], report.schema
+            [(rule, column, None, None, ERRORED) for rule, column, _ in broken], REPORT_SCHEMA
         )
         report = report.unionByName(absent)
     return report

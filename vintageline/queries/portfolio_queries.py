@@ -206,13 +206,13 @@ def x12_stages(spark, folder):
 @query(
     "x13_expected_loss",
     f"""WITH {_STAGED}, sc(scenario, multiplier) AS (VALUES ('base', 1.0::DOUBLE), ('gfc', 2.5::DOUBLE), ('covid', 1.5::DOUBLE))
-    SELECT scenario, ACQUISITION_QUARTER, STAGE, count(*) AS rows, round(sum(CURRENT_UPB), 2) AS exposure,
-      round(sum(least(p * multiplier, 1.0::DOUBLE) * {ASSUMED_LGD}::DOUBLE * CURRENT_UPB), 2) AS ecl,
-      round(sum(least(p * multiplier, 1.0::DOUBLE) * {ASSUMED_LGD}::DOUBLE * CURRENT_UPB) / sum(CURRENT_UPB), 2) AS coverage
+    SELECT scenario, ACQUISITION_QUARTER, STAGE, count(*) AS rows, round(sum(CURRENT_UPB), 3) AS exposure,
+      round(sum(least(p * multiplier, 1.0::DOUBLE) * {ASSUMED_LGD}::DOUBLE * CURRENT_UPB), 3) AS ecl,
+      round(sum(least(p * multiplier, 1.0::DOUBLE) * {ASSUMED_LGD}::DOUBLE * CURRENT_UPB) / sum(CURRENT_UPB), 3) AS coverage
     FROM (SELECT *, CASE STAGE WHEN 1 THEN pd12 WHEN 2 THEN pdlife ELSE 1.0::DOUBLE END AS p FROM staged), sc GROUP BY 1, 2, 3""",
 )
 def x13_expected_loss(spark, folder):
-    return rounded(expected_loss(_staged(spark, folder), "pd12", "pdlife"), 2)
+    return rounded(expected_loss(_staged(spark, folder), "pd12", "pdlife"), 3)
 
 
 def _reason_twin() -> str:

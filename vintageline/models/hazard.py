@@ -78,20 +78,24 @@ def design(medians: dict[str, float], age_range: tuple[float, float]) -> list[Co
     return terms + [filled(name, medians) for name in medians if name != AGE]
 
 
+def _median(name: str) -> Column:
+    return F.percentile_approx(F.col(name).cast("double"), 0.5, 100_000).alias(name)
+
+
 def feature_medians(rows: DataFrame, features: Sequence[str] = FEATURES) -> dict[str, float]:
     """Medians of all features in one pass; 0 for a feature without a value."""
-    found = rows.agg(
-        *(F.percentile_approx(F.col(f).cast("double"), 0.5, 100_000).alias(f) for f in features)
-    ).first()
-    return {f: float(found[f] if found[f] is not None else 0.0) for f in features}
+    found = rows.agg(*(_median(f) for f in features)).first()
+    return {f: float(found[f] or 0.0) for f in features}
 
 
 def fit_hazard(rows: DataFrame, target: str, features: Sequence[str] = FEATURES) -> HazardModel:
     if AGE not in features:
         raise ValueError(f"hazard features must include {AGE}")
-    medians = feature_medians(rows, features)
-    reach = rows.agg(F.min(AGE), F.max(AGE)).first()
-    age_range = (float(reach[0]), float(reach[1]))
+    found = rows.agg(
+        *(_median(f) for f in features), F.min(AGE).alias("_low"), F.max(AGE).alias("_high")
+    ).first()
+    medians = {f: float(found[f] or 0.0) for f in features}
+    age_range = (float(found["_low"]), float(found["_high"]))
     terms = design(medians, age_range)
     names = [f"t{i}" for i in range(len(terms))]
     data = rows.select(F.col(target).cast("double").alias("label"), *(t.alias(n) for t, n in zip(terms, names)))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from vintageline.models.binning import FeatureBins, bin_counts, fit_bins, woe_table
 from vintageline.settings import BASE_ODDS, BASE_POINTS, FEATURES, PDO
+from vintageline.sources.snapshots import materialize
 
 FACTOR = PDO / math.log(2)
 OFFSET = BASE_POINTS - FACTOR * math.log(BASE_ODDS)
@@ -49,7 +50,12 @@ def weighted_cells(rows: DataFrame, target: str, columns: Sequence[Column]) -> D
 
 
 def fit_logistic(cells: DataFrame, inputs: Sequence[Column], penalty: float = 1.0, **bounds):
-    """L2 logistic on weighted cells; ``penalty`` is the ridge weight of the summed loss."""
+    """L2 logistic on weighted cells; ``penalty`` is the ridge weight of the summed loss.
+
+    The cells are written once: the solver reads them again and again, and a lost executor then costs a
+    re-read of this small table instead of a rebuild of the panel.
+    """
+    cells = materialize(cells, "cells")
     data = cells.select(array_to_vector(F.array(*(c.cast("double") for c in inputs))).alias("x"), "label", "weight")
     total = cells.agg(F.sum("weight")).first()[0]
     learner = LogisticRegression(

@@ -25,7 +25,7 @@ _DECIMAL = r"^\s*[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
 def split_lines(lines: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
     """Text lines to contract columns plus their field count; short lines leave NULL cells."""
-    parts = F.split(F.regexp_replace("value", r"[\r\n]+$", ""), "\\" + DELIMITER, -1)
+    parts = F.split(F.rtrim("value", F.lit("\r\n")), "\\" + DELIMITER, -1)
     return (
         lines.withColumn("_cells", parts)
         .withColumn("FIELD_COUNT", F.size("_cells"))
@@ -52,38 +52,42 @@ def is_month(value: Column) -> Column:
     return value.rlike(r"^[0-9]{6}$") & F.try_to_date(value, "MMyyyy").isNotNull()
 
 
-def broken_rule(field: Field, value: Column) -> Column:
-    """Name of the rule a non-empty value breaks, else NULL."""
-    if field.kind == "integer":
-        broken = F.when(~is_integer(value), "integer")
-    elif field.kind == "decimal":
-        places = decimal_places(value)
-        broken = F.when(places.isNull(), "decimal").when(places > field.scale, "scale")
-    elif field.kind == "month":
-        broken = F.when(~is_month(value), "month")
-    else:
-        return F.lit(None).cast("string")
-    if field.max_length is not None:
-        broken = F.coalesce(F.when(F.length(value) > field.max_length, "length"), broken)
-    return F.when(value != "", broken)
+def broken_rule(kind: Column, scale: Column, max_length: Column, value: Column) -> Column:
+    """Name of the rule a non-empty value of the given kind breaks, else NULL."""
+    places = decimal_places(value)
+    return (
+        F.when(F.length(value) > max_length, "length")
+        .when((kind == "integer") & ~is_integer(value), "integer")
+        .when((kind == "month") & ~is_month(value), "month")
+        .when((kind == "decimal") & places.isNull(), "decimal")
+        .when((kind == "decimal") & (places > scale), "scale")
+    )
 
 
 def violations(
     raw: DataFrame, fields: Sequence[Field], keys: Sequence[str] = ("LOAN_ID", "ACT_PERIOD")
 ) -> DataFrame:
-    """One row per broken typed value: the row's keys, column, rule and value (CHK1-CHK4, CHK6)."""
-    checked = [
-        F.struct(
-            F.lit(f.name).alias("column_name"),
-            broken_rule(f, F.col(f.name)).alias("rule"),
-            F.col(f.name).alias("value"),
-        )
-        for f in fields
-        if f.kind != "string" and f.name in raw.columns
-    ]
+    """One row per broken typed value: the row's keys, column, rule and value (CHK1-CHK4, CHK6).
+
+    Cells are unpivoted and empty ones dropped first, so one small rule expression serves all columns.
+    """
+    checked = [f for f in fields if f.kind != "string" and f.name in raw.columns]
     kept = [F.col(k).alias(f"ROW_{k}") for k in keys if k in raw.columns]
-    found = F.filter(F.array(*checked), lambda cell: cell["rule"].isNotNull())
-    return raw.select(*kept, F.inline(found))
+
+    def of_field(attribute: str) -> Column:
+        return F.get(F.array(*(F.lit(getattr(f, attribute)) for f in checked)), F.col("at"))
+
+    rule = broken_rule(
+        of_field("kind"), of_field("scale"), of_field("max_length").cast("int"), F.col("value")
+    )
+    return (
+        raw.select(*kept, F.posexplode(F.array(*(f.name for f in checked))).alias("at", "value"))
+        .where(F.col("value") != "")
+        .withColumn("rule", rule)
+        .where(F.col("rule").isNotNull())
+        .withColumn("column_name", of_field("name"))
+        .drop("at")
+    )
 
 
 def width_counts(lines: DataFrame, *by: str) -> DataFrame:

@@ -29,8 +29,14 @@ def _pick(values: tuple, index: str) -> str:
 
 
 def synthetic_loans(seeds: DataFrame, key: str = "c_custkey") -> DataFrame:
-    """One row per seed key: contract attributes plus the known outcome of the loan."""
-    drawn = seeds.where(F.col(key).isNotNull()).selectExpr(
+    """One row per seed key: contract attributes plus the known outcome of the loan.
+
+    Keys are spread over the session's partitions before they unfold into months, because a seed file
+    that fits one task holds far more loan-months than it holds rows. Only the key moves.
+    """
+    partitions = int(seeds.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    spread = seeds.where(F.col(key).isNotNull()).select(key).repartition(partitions, key)
+    drawn = spread.selectExpr(
         f"bigint({key}) AS k",
         f"bigint({key}) % 6 AS q",
         f"55 + ({key} * 37) % 43 AS ltv",

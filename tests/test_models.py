@@ -11,7 +11,7 @@ from vintageline.models.challenger import Calibrated, StepModel, calibrate, dire
 from vintageline.models.frame import feature_list_hash, loan_sample, require_both_classes, require_no_outcomes
 from vintageline.models.hazard import fit_hazard, spline_basis
 from vintageline.models.scorecard import FACTOR, OFFSET, fit_scorecard
-from vintageline.plans.training import train_baseline_models, train_challenger
+from vintageline.plans.training import record_evidence, train_baseline_models, train_challenger
 from vintageline.queries.model_queries import fixed_hazard
 from vintageline.portfolio.loss import loss_given_default, model_term_structure
 from vintageline.settings import FEATURES, RISK_DIRECTION, TARGET_12M
@@ -276,13 +276,18 @@ def challenger_frame(rows):
     )
 
 
-def test_training_runs(rows):
+def test_training_runs(spark, rows, folder):
     frame = challenger_frame(rows)
     first = train_baseline_models(frame, 3, replicates=20)
     assert first.scorecard_beats_baseline and first.metrics["scorecard_auc"] > first.metrics["baseline_auc"]
     kinds = {(k, key) for _, k, key, _ in first.evidence}
     assert {("source", "gold_version"), ("features", "hash"), ("metric", "hazard_auc"), ("splits", "rows_train")} <= kinds
     second = train_challenger(frame, 3, replicates=20)
+    for run in (first, second):
+        record_evidence(spark, run.evidence, f"{folder}/evidence")
+    stored = spark.read.parquet(f"{folder}/evidence")
+    assert stored.select("run_id").distinct().count() == 2
+    assert stored.count() == len(first.evidence) + len(second.evidence)
     assert second.selected_model in ("challenger", "scorecard") and len(second.sweeps) == 4
     assert second.metrics["brier_change"] == pytest.approx(second.metrics["brier_calibrated"] - second.metrics["brier_raw"])
     with pytest.raises(ValueError):

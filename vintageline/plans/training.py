@@ -15,6 +15,7 @@ from vintageline.models.frame import (
     feature_list_hash,
     hazard_rows,
     labelled_rows,
+    loan_sample,
     model_frame,
     require_both_classes,
     split_counts,
@@ -25,6 +26,7 @@ from vintageline.settings import (
     BOOTSTRAP_REPLICATES,
     FEATURES,
     RISK_DIRECTION,
+    SAMPLE_BUCKETS,
     TARGET_12M,
     TARGET_NEXT,
     TRAIN_END,
@@ -69,9 +71,16 @@ class ChallengerRun:
         return "challenger" if self.metrics["gini_improvement_lower"] > 0 else "scorecard"
 
 
-def load_model_frame(spark: SparkSession, gold_path: str, version: int) -> DataFrame:
-    """Model columns of one pinned panel version."""
-    return model_frame(read_version(spark, gold_path, version))
+def load_model_frame(
+    spark: SparkSession,
+    gold_path: str,
+    version: int,
+    buckets: int = SAMPLE_BUCKETS,
+    keep: int | None = None,
+) -> DataFrame:
+    """Model columns of one pinned panel version; with ``keep``, only that many of the loan buckets."""
+    gold = read_version(spark, gold_path, version)
+    return model_frame(gold if keep is None else loan_sample(gold, buckets, keep))
 
 
 def _auc(rows: DataFrame, target: str, score: str) -> float:
@@ -96,10 +105,15 @@ def _evidence(run_id: str, sections: dict[str, dict]) -> list[tuple[str, str, st
 
 
 def evidence_frame(spark: SparkSession, evidence: list) -> DataFrame:
-    """Run evidence as (run_id, kind, key, value) rows, to be written beside the models (MOD11)."""
+    """Run evidence as (run_id, kind, key, value) rows (MOD11)."""
     return spark.createDataFrame(evidence, EVIDENCE_SCHEMA)
 
 
+def record_evidence(spark: SparkSession, evidence: list, path: str) -> None:
+    """Append a run's evidence to the evidence table."""
+    evidence_frame(spark, evidence).coalesce(1).write.mode("append").parquet(path)
+
+
 def _common_contract(frame: DataFrame, gold_version: int) -> dict[str, dict]:
     return {
         "source": {"gold_version": gold_version},

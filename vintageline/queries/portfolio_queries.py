@@ -311,7 +311,12 @@ def x18_month_gaps(spark, folder):
 
 @query(
     "x18_gate_pass_rate",
-    with_panel("SELECT 9 AS expectations, 9 AS passed, 1.0::DOUBLE AS pass_rate FROM (SELECT count(*) AS n FROM panel) WHERE n > 0"),
+    f"""WITH {PANEL}, dup AS (SELECT count(*) AS n FROM (SELECT 1 FROM panel GROUP BY LOAN_ID, ACT_PERIOD HAVING count(*) > 1)),
+        c AS (SELECT (count(*) >= 1)::INT + (count(*) FILTER (LOAN_ID IS NULL) = 0)::INT + (count(*) FILTER (ACT_PERIOD IS NULL) = 0)::INT
+          + 2 * (count(*) FILTER (_source_file IS NULL) = 0)::INT + (count(*) FILTER (ORIG_UPB <= 0) = 0)::INT
+          + (count(*) FILTER (CURRENT_UPB < 0) = 0)::INT + (count(*) FILTER (NOT regexp_full_match(DLQ_STATUS, '[0-9]{{2}}|XX')) = 0)::INT
+          + ((SELECT n FROM dup) = 0)::INT AS ok FROM panel)
+        SELECT CAST(9 AS BIGINT) AS expectations, CAST(ok AS BIGINT) AS passed, ok / 9.0::DOUBLE AS pass_rate FROM c""",
 )
 def x18_gate_pass_rate(spark, folder):
     rows = panel(spark, folder).withColumn("_source_sha256", F.sha2("_source_file", 256))

@@ -17,6 +17,7 @@ from vintageline.portfolio.loss import loss_given_default, model_term_structure
 from vintageline.settings import FEATURES, RISK_DIRECTION, TARGET_12M
 from vintageline.validation.bootstrap import gini_differences, require_interval
 from vintageline.validation.metrics import auc, calibration_by_quantile, ks_statistic
+from vintageline.validation.stability import FLOOR, quantile_edges, stability_index
 from vintageline.validation.monotone import (
     MonotonicityError,
     require_monotone,
@@ -294,3 +295,14 @@ def test_training_runs(spark, rows, folder):
         train_challenger(frame, -1)
     with pytest.raises(ValueError, match="single class"):
         train_challenger(frame.where(f"MODELLING_SPLIT <> 'train' OR {TARGET_12M} = 1"), 0)
+
+
+def test_stability_index(spark):
+    data = [(False, x % 4, 0) for x in range(100)] + [(True, x % 2, None) for x in range(50)] + [(None, 3, 1)] * 9
+    frame = spark.createDataFrame(data, "now boolean, v int, w int")
+    got = {r.column_name: r for r in stability_index(frame, F.col("now"), {"v": [1.0, 2.0, 3.0], "w": [1.0]}).collect()}
+    want = 2 * (0.5 - 0.25) * math.log(2) + 2 * (FLOOR - 0.25) * math.log(FLOOR / 0.25)
+    assert got["v"].bands == 4 and got["v"].stability_index == pytest.approx(want)
+    assert got["w"].bands == 2 and got["w"].stability_index > 1
+    edges = quantile_edges(frame.where("now = false"), ["v"], 4)["v"]
+    assert edges == sorted(edges) and set(edges) <= {0.0, 1.0, 2.0, 3.0}

@@ -567,24 +567,19 @@ _FEATURE_EDGES = {
 _SIDES = """, tr AS (SELECT * FROM scored WHERE MODELLING_SPLIT='train'), ov AS (SELECT * FROM scored WHERE MODELLING_SPLIT='out_of_vintage'), """
 
 
+def _held_out_against_train():
+    split = F.col("MODELLING_SPLIT")
+    return F.when(split == "out_of_vintage", True).when(split == "train", False)
+
+
 @query("x4_score_psi", f"WITH {SCORED}{_SIDES}{_stability_twin('tr', 'ov', _SCORE_EDGES)}")
 def x4_score_psi(spark, folder):
-    rows = scored_panel(spark, folder)
-    return rounded(
-        stability_index(
-            rows.where("MODELLING_SPLIT = 'train'"), rows.where("MODELLING_SPLIT = 'out_of_vintage'"), _SCORE_EDGES
-        )
-    )
+    return rounded(stability_index(scored_panel(spark, folder), _held_out_against_train(), _SCORE_EDGES))
 
 
 @query("x5_feature_csi", f"WITH {SCORED}{_SIDES}{_stability_twin('tr', 'ov', _FEATURE_EDGES)}")
 def x5_feature_csi(spark, folder):
-    rows = scored_panel(spark, folder)
-    return rounded(
-        stability_index(
-            rows.where("MODELLING_SPLIT = 'train'"), rows.where("MODELLING_SPLIT = 'out_of_vintage'"), _FEATURE_EDGES
-        )
-    )
+    return rounded(stability_index(scored_panel(spark, folder), _held_out_against_train(), _FEATURE_EDGES))
 
 
 @query(

@@ -27,43 +27,34 @@ def quantile_edges(frame: DataFrame, columns: Sequence[str], bins: int = 10) ->
 
 
 def stability_index(
-    reference: DataFrame, current: DataFrame, edges: Mapping[str, Sequence[float]]
+    rows: DataFrame, is_current: Column, edges: Mapping[str, Sequence[float]]
 ) -> DataFrame:
     """Per column: sum over bands of (current - reference share) * ln(current / reference share).
 
-    One column of scores gives the PSI, several feature columns give the CSI of each.
+    ``is_current`` tells current rows from reference rows, so both sides are counted in one pass; rows
+    where it is NULL belong to neither. One column of scores gives the PSI, several feature columns
+    give the CSI of each.
     """
-
-    def counts(frame: DataFrame, side: str) -> DataFrame:
-        cells = F.array(
-            *(
-                F.struct(F.lit(c).alias("column_name"), band(F.col(c).cast("double"), e).alias("band"))
-                for c, e in edges.items()
-            )
-        )
-        return (
-            frame.select(F.inline(cells))
-            .groupBy("column_name", "band")
-            .agg(F.count(F.lit(1)).alias("n"))
-            .withColumn("side", F.lit(side))
+    cells = F.array(
+        *(
+            F.struct(F.lit(c).alias("column_name"), band(F.col(c).cast("double"), e).alias("band"))
+            for c, e in edges.items()
         )
-
-    both = counts(reference, "reference").unionByName(counts(current, "current"))
-
-    def rows_of(side: str) -> Column:
-        return F.sum(F.when(F.col("side") == side, F.col("n")).otherwise(0))
-
-    wide = both.groupBy("column_name", "band").agg(
-        rows_of("reference").alias("ref"), rows_of("current").alias("cur")
     )
     # One row per column and band.
-    totals = wide.groupBy("column_name").agg(
+    counts = (
+        rows.select(is_current.alias("now"), F.inline(cells))
+        .groupBy("column_name", "band")
+        .agg(F.count_if(F.col("now")).alias("cur"), F.count_if(~F.col("now")).alias("ref"))
+        .where("cur + ref > 0")
+    )
+    totals = counts.groupBy("column_name").agg(
         F.sum("ref").alias("all_ref"), F.sum("cur").alias("all_cur")
     )
-    shares = wide.join(totals, "column_name").select(
+    shares = counts.join(totals, "column_name").select(
         "column_name",
-        F.greatest(F.col("ref") / F.col("all_ref"), F.lit(FLOOR)).alias("e"),
-        F.greatest(F.col("cur") / F.col("all_cur"), F.lit(FLOOR)).alias("a"),
+        F.greatest(F.try_divide("ref", "all_ref"), F.lit(FLOOR)).alias("e"),
+        F.greatest(F.try_divide("cur", "all_cur"), F.lit(FLOOR)).alias("a"),
     )
     return shares.groupBy("column_name").agg(
         F.count(F.lit(1)).alias("bands"),

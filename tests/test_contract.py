@@ -1,7 +1,6 @@
 from datetime import UTC, datetime
 
 import pytest
-from pyspark.sql import functions as F
 
 from vintageline.operators.checks import (
     declared_digits,

@@ -16,7 +16,6 @@ from vintageline.operators.silver import keep_latest, label_codes, servicer_spel
 from vintageline.plans.publication import (
     backfill_months,
     merge_months,
-    publish_gold,
     publish_gold_from,
     publish_silver,
     require_gold_sources,

@@ -7,7 +7,6 @@ import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Row, SparkSession
-from pyspark.sql import functions as F
 
 from vintageline.models.baseline import MarginalRates, fit_marginal_rates, require_usable
 from vintageline.models.challenger import Calibrated, StepModel, calibrate, directions_of, fit_steps

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from vintageline.models.frame import hazard_rows, labelled_rows
 from vintageline.models.hazard import fit_hazard
 from vintageline.models.scorecard import fit_scorecard
-from vintageline.operators.features import loan_features
 from vintageline.operators.quality import quality_report
 from vintageline.operators.splits import assign_splits
 from vintageline.operators.survival import survival_panel
@@ -34,7 +33,6 @@ from vintageline.portfolio.segments import (
 from vintageline.queries.inputs import gold, panel, query, rounded, table
 from vintageline.queries.model_queries import (
     FIXED_POINTS,
-    SCORED,
     _auc_sql,
     fixed_hazard,
     fixed_scorecard,
@@ -42,7 +40,7 @@ from vintageline.queries.model_queries import (
     scored_panel,
     with_scores,
 )
-from vintageline.queries.twins import GOLD, PANEL, with_gold, with_panel, with_survival
+from vintageline.queries.twins import GOLD, PANEL, with_panel, with_survival
 from vintageline.settings import TARGET_12M, TARGET_NEXT
 from vintageline.sources.snapshots import materialize
 

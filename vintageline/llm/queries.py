@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from vintageline.llm.common import table
 from vintageline.llm.mixing import MIX_SQL, mix_digest
+from vintageline.llm.packing import packing_digest
 from vintageline.llm.pii import pii_digest
+from vintageline.llm.token_files import token_file_digest
+
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def _over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -18,7 +23,9 @@ def _over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[Sp
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mix_sources": _over("documents", mix_digest),
+    "op6_pack_sequences": _over("documents", lambda documents: packing_digest(documents, TOKENIZER)),
     "op9_pii_spans": _over("documents", pii_digest),
+    "op10_token_files": _over("documents", lambda documents: token_file_digest(documents, TOKENIZER)),
 }
 
 TWINS: dict[str, str] = {

@@ -8,13 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from vintageline.llm.common import table
+from vintageline.llm.language import language_digest
 from vintageline.llm.mixing import MIX_SQL, mix_digest
 from vintageline.llm.packing import packing_digest
 from vintageline.llm.pii import pii_digest
+from vintageline.llm.simhash import simhash_digest
 from vintageline.llm.token_files import token_file_digest
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 def _over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """The operator, applied to one whole table of a folder."""
@@ -22,6 +25,8 @@ def _over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[Sp
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_simhash": _over("documents", simhash_digest),
+    "op4_language": _over("documents", lambda documents: language_digest(documents, PIECES)),
     "op5_mix_sources": _over("documents", mix_digest),
     "op6_pack_sequences": _over("documents", lambda documents: packing_digest(documents, TOKENIZER)),
     "op9_pii_spans": _over("documents", pii_digest),

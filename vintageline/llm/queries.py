@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from vintageline.llm.common import table
+from vintageline.llm.embedding_dedup import near_vectors
 from vintageline.llm.language import language_digest
 from vintageline.llm.mixing import MIX_SQL, mix_digest
 from vintageline.llm.packing import packing_digest
@@ -25,6 +26,7 @@ def _over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[Sp
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_vectors": _over("embeddings", near_vectors),
     "op2_simhash": _over("documents", simhash_digest),
     "op4_language": _over("documents", lambda documents: language_digest(documents, PIECES)),
     "op5_mix_sources": _over("documents", mix_digest),

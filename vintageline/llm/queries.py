@@ -11,6 +11,7 @@ from vintageline.llm.common import table
 from vintageline.llm.embedding_dedup import near_vectors
 from vintageline.llm.language import language_digest
 from vintageline.llm.mixing import MIX_SQL, mix_digest
+from vintageline.llm.neighbours import nearest_digest
 from vintageline.llm.packing import packing_digest
 from vintageline.llm.pii import pii_digest
 from vintageline.llm.simhash import simhash_digest
@@ -28,6 +29,7 @@ def _over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[Sp
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_vectors": _over("embeddings", near_vectors),
     "op2_simhash": _over("documents", simhash_digest),
+    "op3_nearest": _over("embeddings", nearest_digest),
     "op4_language": _over("documents", lambda documents: language_digest(documents, PIECES)),
     "op5_mix_sources": _over("documents", mix_digest),
     "op6_pack_sequences": _over("documents", lambda documents: packing_digest(documents, TOKENIZER)),

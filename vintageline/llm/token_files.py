@@ -47,7 +47,7 @@ def write_token_files(
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard, done = WordEncoder(tokenizer), TaskContext.get().partitionId(), 0
-        for batch in slices(batches):
+        for batch in slices(batches, 1000):
             ids, ends = encoder.encode(batch.column("text").to_pylist())
             with_end = np.insert(ids, ends, end_id).astype(np.int32)
             limits = np.concatenate([[0], ends + np.arange(1, batch.num_rows + 1)])
@@ -75,7 +75,8 @@ def write_token_files(
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """The stored documents with ``start``: the ids of all documents before each. Filters on doc_id prune stripes.
 
-    One total per file is accumulated in one window.
+    One total per file is accumulated in one window and sent to all tasks; there are as many as the
+    session's shuffle partitions at the time of writing, so ids never move.
     """
     rows = spark.read.schema(ROW_TYPE).orc(path)
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
@@ -85,7 +86,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
         .select("shard", F.coalesce(F.sum("_in_shard").over(before), F.lit(0)).alias("_offset"))
     )
     start = (F.col("_offset") + F.col("start_in_shard")).alias("start")
-    return rows.join(offsets, "shard").select("doc_id", start, "n_tokens", "ids")
+    return rows.join(F.broadcast(offsets), "shard").select("doc_id", start, "n_tokens", "ids")
 
 
 def id_checksums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

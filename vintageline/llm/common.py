@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vintageline.sources.snapshots import materialize, shared_folder
+from vintageline.sources.snapshots import shared_folder
 
 __all__ = ["free_name", "is_training", "materialize", "partitions_for", "shared_folder", "slices", "table"]
 
@@ -21,6 +22,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def materialize(frame: DataFrame, name: str) -> DataFrame:
+    """Write a frame once, packed tightly, under the folder that all executors share, and read it back."""
+    spark = frame.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    frame.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``rows``, so that what a task builds from one stays small."""
     for batch in batches:

@@ -14,6 +14,7 @@ from vintageline.llm.mixing import MIX_SQL, mix_digest
 from vintageline.llm.neighbours import nearest_digest
 from vintageline.llm.packing import packing_digest
 from vintageline.llm.pii import pii_digest
+from vintageline.llm.repeats import repeats_digest
 from vintageline.llm.scoring import scored
 from vintageline.llm.simhash import simhash_digest
 from vintageline.llm.token_files import token_file_digest
@@ -35,6 +36,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mix_sources": _over("documents", mix_digest),
     "op6_pack_sequences": _over("documents", lambda documents: packing_digest(documents, TOKENIZER)),
     "op7_lm_scores": _over("documents", scored),
+    "op8_repeats": _over("documents", repeats_digest),
     "op9_pii_spans": _over("documents", pii_digest),
     "op10_token_files": _over("documents", lambda documents: token_file_digest(documents, TOKENIZER)),
 }

@@ -80,9 +80,9 @@ def _tiled(classes: DataFrame, axes: np.ndarray, width: int, tile: int) -> DataF
             step += (F.col(f"axis{k}") > edge).cast("int")
         cell = cell * parts + step
     celled = placed.withColumn("cell", cell)
-    # As many cells as tiles are wanted; crowded ones are cut further.
+    # One row per cell, about as many as tiles are wanted; crowded cells are cut further.
     sizes = celled.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / tile).alias("parts"))
-    numbered = celled.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    numbered = celled.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
     tiles = numbered.groupBy("cell", "part").agg(
         F.collect_list(F.struct("node", "copies", "vector")).alias("rows")
     )

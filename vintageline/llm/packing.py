@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vintageline.llm.common import slices
-from vintageline.llm.tokens import WordEncoder
+from vintageline.llm.tokens import worker_encoder
 
 SEQUENCE_TOKENS = 4096
 SEPARATOR_ID = 2
@@ -113,7 +113,7 @@ def packed(
     names = piece_type.fieldNames()
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
+        encoder = worker_encoder(tokenizer)
         for batch in slices(batches):
             ids, ends = encoder.encode(batch.column("_text").to_pylist())
             small = np.insert(ids, ends, separator_id).astype("<u4")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vintageline.llm.common import shared_folder, slices
-from vintageline.llm.tokens import WordEncoder
+from vintageline.llm.tokens import worker_encoder
 
 ROW_TYPE = "doc_id bigint, shard int, start_in_shard bigint, n_tokens bigint, ids array<int>"
 END_ID = 1
@@ -46,7 +46,7 @@ def write_token_files(
     )
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard, done = WordEncoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, shard, done = worker_encoder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in slices(batches, 1000):
             ids, ends = encoder.encode(batch.column("text").to_pylist())
             with_end = np.insert(ids, ends, end_id).astype(np.int32)
@@ -63,7 +63,7 @@ def write_token_files(
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     options = {
-        "compression": "zstd",
+        "compression": "lz4",
         "orc.stripe.size": stripe_bytes,
         "orc.row.index.stride": rows_per_index,
         "orc.bloom.filter.columns": "doc_id",

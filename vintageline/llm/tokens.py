@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Sequence
 from itertools import chain
 from unicodedata import is_normalized
@@ -52,13 +53,24 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.most_words, self.most_ids = most_words, most_ids
-        self._forget()
+        self._start([], np.zeros(0, np.int64), np.zeros(0, np.int32))
 
-    def _forget(self) -> None:
+    def _start(self, words: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
         self.place = _Places()
-        self.parts: dict[str, list[int]] = {}
-        self.ends = np.zeros(1, np.int64)
-        self.ids = np.zeros(0, np.int32)
+        self.place.update(zip(words, range(len(words))))
+        self.uses = np.ones(len(words), np.int64)
+        self.ends = np.concatenate([[0], np.cumsum(sizes)])
+        self.ids = ids
+        # Ids of parts of words, as the bytes of their numbers.
+        self.parts: dict[str, bytes] = {}
+
+    def _forget(self) -> None:
+        """Keep the words that were met again."""
+        kept = np.nonzero(self.uses > 2)[0][: self.most_words // 2]
+        words = list(self.place)
+        sizes = np.diff(self.ends)[kept]
+        where = np.repeat(self.ends[kept] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        self._start([words[k] for k in kept.tolist()], sizes, self.ids[where])
 
     def _learn_parts(self, parts: list[str]) -> None:
         """Runs of lower-case letters go to the model, as normalising and splitting leave them alone."""
@@ -68,24 +80,26 @@ class WordEncoder:
             if not part.isalpha():
                 others.append(part)
             elif part.isascii():
-                self.parts[part] = [t.id for t in tokenize(part)]
+                self.parts[part] = array("i", [t.id for t in tokenize(part)]).tobytes()
             elif part == part.lower() and is_normalized("NFC", part):
                 # Only the spelling in bytes is left to do.
-                self.parts[part] = [t.id for spelled, _ in spell(part) for t in tokenize(spelled)]
+                ids = [t.id for spelled, _ in spell(part) for t in tokenize(spelled)]
+                self.parts[part] = array("i", ids).tobytes()
             else:
                 others.append(part)
         found = self.tokenizer.encode_batch_fast(others, add_special_tokens=False)
-        self.parts.update((p, e.ids) for p, e in zip(others, found))
+        self.parts.update((p, array("i", e.ids).tobytes()) for p, e in zip(others, found))
 
     def _learn(self, words: list[str]) -> None:
-        tails = [_TAIL.search(w) for w in words]
+        tails = [None if w.isalpha() else _TAIL.search(w) for w in words]
         split = [(w[: t.start()], t.group()) if t else (w, "") for w, t in zip(words, tails)]
-        self._learn_parts([p for p in dict.fromkeys(p for both in split for p in both) if p not in self.parts])
-        found = [self.parts[a] + self.parts[b] if b else self.parts[a] for a, b in split]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))
+        self._learn_parts([p for p in dict.fromkeys(chain.from_iterable(split)) if p not in self.parts])
+        parts = self.parts
+        found = [parts[a] + parts[b] if b else parts[a] for a, b in split]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
-        self.ids = np.concatenate([self.ids, flat])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), np.int32)])
+        self.uses = np.concatenate([self.uses, np.zeros(len(words), np.int64)])
 
     def encode(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.place) > self.most_words or len(self.ids) > self.most_ids:
@@ -96,8 +110,19 @@ class WordEncoder:
         if self.place.new:
             self._learn(self.place.new)
             self.place.new = []
+        self.uses += np.bincount(at, minlength=len(self.uses))
         sizes = self.ends[at + 1] - self.ends[at]
         ends = np.concatenate([[0], np.cumsum(sizes)])
         where = np.repeat(self.ends[at] - ends[:-1], sizes) + np.arange(ends[-1])
         text_ends = ends[np.cumsum([len(part) for part in split])] if split else ends[:0]
         return self.ids[where], text_ends
+
+
+def worker_encoder(path: str) -> WordEncoder:
+    """The worker process's own encoder, which keeps its words from task to task."""
+    import tokenizers
+
+    kept = vars(tokenizers).setdefault("_word_encoders", {})
+    if path not in kept:
+        kept[path] = WordEncoder(path)
+    return kept[path]

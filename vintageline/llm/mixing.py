@@ -40,7 +40,8 @@ def source_targets(sizes: DataFrame, share: float = SHARE, most: int = MOST) ->
     """One row per source: source, source_size, weight, target.
 
     The level at which capped sources stop is found in closed form: sources are ordered by cap over
-    weight, and the first whose cap the remaining budget per remaining weight does not reach, sets it.
+    weight, and the first whose cap the remaining budget per remaining weight does not reach, sets it;
+    counting it or later ones as capped too would only lower the level, hence the maximum.
     One row per source is ordered in one task.
     """
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -59,7 +60,7 @@ def source_targets(sizes: DataFrame, share: float = SHARE, most: int = MOST) ->
     stepped = capped.withColumn("level", level).withColumn(
         "open_level", F.when(F.col("cap") / F.col("weight") > F.col("level"), F.col("level"))
     )
-    final = F.min("open_level").over(everything)
+    final = F.max("open_level").over(everything)
     return stepped.select(
         "source",
         "source_size",
@@ -150,10 +151,12 @@ def mixed_documents(documents: DataFrame, share: float = SHARE, most: int = MOST
     """The documents as often as the mix takes them, with their own columns."""
     name = free_name(documents.columns, "_mix_row")
     stored = materialize(documents.withColumn(name, F.monotonically_increasing_id()), "mix-documents")
-    decided = mixed(stored, share, most, name).where("copies > 0").select(F.col("_row").alias("_taken_row"), "copies")
-    chosen = stored.join(decided, F.col(name) == F.col("_taken_row"))
-    repeated = F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))
-    return chosen.select(*(F.col(c) for c in documents.columns), repeated.alias("_copy")).drop("_copy")
+    taken, times, copy = (free_name(documents.columns, c) for c in ("_taken_row", "_times", "_copy"))
+    decided = mixed(stored, share, most, name).where("copies > 0")
+    decided = decided.select(F.col("_row").alias(taken), F.col("copies").cast("int").alias(times))
+    chosen = stored.join(decided, F.col(name) == F.col(taken))
+    repeated = F.explode(F.array_repeat(F.lit(0), F.col(times))).alias(copy)
+    return chosen.select(*documents.columns, repeated).drop(copy)
 
 
 def mix_digest(documents: DataFrame) -> DataFrame:
@@ -180,7 +183,7 @@ stepped AS (
                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
            after AS (ORDER BY cap::DOUBLE / weight, source NULLS LAST
                      ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
-opened AS (SELECT *, min(CASE WHEN ratio > level THEN level END) OVER () AS final FROM stepped),
+opened AS (SELECT *, max(CASE WHEN ratio > level THEN level END) OVER () AS final FROM stepped),
 targets AS (
     SELECT source, source_size,
            CASE WHEN final IS NULL OR ratio <= final THEN cap::DOUBLE ELSE final * weight END AS target

@@ -155,12 +155,12 @@ def near_duplicates(documents: DataFrame, radius: int = RADIUS, keep: Sequence[s
 
 def first_of_each(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The documents with one row of each near-duplicate group, that of smallest doc_id (nulls last), first read."""
-    name = free_name(documents.columns, "_row")
+    name, found = free_name(documents.columns, "_row"), free_name(documents.columns, "_kept")
     numbered = materialize(documents.withColumn(name, F.monotonically_increasing_id()), "simhash-documents")
     grouped = near_duplicates(numbered, radius, ["doc_id", name])
     order = F.struct(F.col("doc_id").isNull(), "doc_id", name)
-    kept = grouped.groupBy("component").agg(F.min(order)[name].alias("_kept"))
-    return numbered.join(kept, F.col(name) == F.col("_kept"), "left_semi").select(*documents.columns)
+    kept = grouped.groupBy("component").agg(F.min(order)[name].alias(found)).select(found)
+    return numbered.join(kept, F.col(name) == F.col(found), "left_semi").select(*documents.columns)
 
 
 def simhash_digest(documents: DataFrame) -> DataFrame:

@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vintageline.llm.common import free_name, is_training, materialize, slices
+from vintageline.llm.tokens import Places
 
 UNDETERMINED = "und"
 SAMPLE_DOCUMENTS = 400
@@ -60,35 +62,72 @@ def vocabulary_pieces(path: str) -> list[str]:
     return [p for p in every if p == p.lower() and (p.removeprefix(MARK).isalpha() or p == MARK)]
 
 
+class PieceTree:
+    """Pieces as a tree of letters, walked for many places of many words at once."""
+
+    def __init__(self, pieces: Sequence[str]):
+        self.size = len(pieces)
+        letters = sorted({c for p in pieces for c in p})
+        # Code 0 ends a word and leads nowhere; letters of no piece share the next one.
+        self.codes = np.ones(0x110000, np.int64)
+        self.codes[[ord(c) for c in letters]] = np.arange(2, len(letters) + 2)
+        self.codes[0] = 0
+        self.width = len(letters) + 2
+        code_of = {c: i + 2 for i, c in enumerate(letters)}
+        steps: dict[int, int] = {}
+        piece_of = [-1]
+        for number, piece in enumerate(pieces):
+            node = 0
+            for c in piece:
+                key = node * self.width + code_of[c]
+                node = steps.get(key, -1)
+                if node < 0:
+                    node = steps[key] = len(piece_of)
+                    piece_of.append(-1)
+            piece_of[node] = number
+        self.keys = np.array(sorted(steps), np.int64)
+        self.children = np.array([steps[k] for k in self.keys.tolist()], np.int64)
+        self.piece_of = np.array(piece_of, np.int64)
+
+    def matches(self, words: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """word, start, end, piece of every piece in every marked word, and of single letters that are none."""
+        text = "".join(f"{MARK}{w}\0" for w in words)
+        codes = self.codes[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
+        sizes = np.array([len(w) + 2 for w in words], np.int64)
+        word = np.repeat(np.arange(len(words)), sizes)
+        place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        at = np.nonzero(codes)[0]
+        node = np.zeros(len(at), np.int64)
+        found, reach = [], 0
+        while len(at) and len(self.keys):
+            key = node * self.width + codes[at + reach]
+            step = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            alive = self.keys[step] == key
+            reach += 1
+            if reach == 1:
+                single = np.where(alive, self.piece_of[self.children[step]], -1)
+                found.append((at, np.full(len(at), reach), np.where(single < 0, self.size, single)))
+            at, node = at[alive], self.children[step[alive]]
+            piece = self.piece_of[node]
+            if reach > 1:
+                whole = piece >= 0
+                found.append((at[whole], np.full(int(whole.sum()), reach), piece[whole]))
+        if not found:
+            found.append((at, np.ones(len(at), np.int64), np.full(len(at), self.size)))
+        at, length, piece = (np.concatenate([f[k] for f in found]) for k in range(3))
+        return word[at], place[at], place[at] + length, piece
+
+
 class Lattice:
     """All cuts of a list of distinct words into pieces, as edges in the order of their ends.
 
     A letter that is no piece by itself is an edge of its own, all with the piece number after the last.
     """
 
-    def __init__(self, words: Sequence[str], pieces: dict[str, int], longest: int):
-        word_of, starts, ends, used = [], [], [], []
-        unknown = len(pieces)
-        get = pieces.get
-        for w, word in enumerate(words):
-            marked = MARK + word
-            size = len(marked)
-            for a in range(size):
-                for b in range(a + 1, min(size, a + longest) + 1):
-                    piece = get(marked[a:b])
-                    if piece is None:
-                        if b > a + 1:
-                            continue
-                        piece = unknown
-                    word_of.append(w)
-                    starts.append(a)
-                    ends.append(b)
-                    used.append(piece)
-        order = np.argsort(ends, kind="stable")
-        self.word = np.array(word_of, np.int64)[order]
-        self.start = np.array(starts, np.int64)[order]
-        self.end = np.array(ends, np.int64)[order]
-        self.piece = np.array(used, np.int64)[order]
+    def __init__(self, words: Sequence[str], tree: PieceTree):
+        word, start, end, piece = tree.matches(words)
+        order = np.argsort(end, kind="stable")
+        self.word, self.start, self.end, self.piece = (x[order] for x in (word, start, end, piece))
         self.size = np.array([len(w) + 1 for w in words], np.int64)
         steps = int(self.size.max(initial=0))
         self.cuts = np.searchsorted(self.end, np.arange(1, steps + 2))
@@ -127,15 +166,15 @@ class LanguageModel:
 
     def __init__(self, languages: Sequence[str], pieces: Sequence[str], chance: np.ndarray):
         self.languages, self.chance = list(languages), chance
-        self.pieces = {p: i for i, p in enumerate(pieces)}
-        self.longest = max(map(len, pieces), default=1)
+        self.pieces = list(pieces)
+        self.tree = PieceTree(self.pieces)
 
     def log_words(self, words: Sequence[str], at_once: int = 20_000) -> np.ndarray:
         parts = [np.zeros((0, len(self.languages)))]
         # Words of like length share a lattice, so that few of its places are empty.
         order = sorted(range(len(words)), key=lambda i: len(words[i]))
         for k in range(0, len(words), at_once):
-            lattice = Lattice([words[i] for i in order[k : k + at_once]], self.pieces, self.longest)
+            lattice = Lattice([words[i] for i in order[k : k + at_once]], self.tree)
             parts.append(np.log(np.maximum(lattice.total(lattice.forward(self.chance)), 1e-300)))
         scores = np.empty((len(words), len(self.languages)))
         scores[order] = np.concatenate(parts)
@@ -145,34 +184,31 @@ class LanguageModel:
 class Predictor:
     """Scores texts with a model, remembering words up to a bound that only sets the speed."""
 
-    def __init__(self, model: LanguageModel, most_words: int = 200_000):
+    def __init__(self, model: LanguageModel, most_words: int = 400_000):
         self.model, self.most_words = model, most_words
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[str, int] = {}
+        self.place = Places()
         self.scores = np.zeros((0, len(self.model.languages)))
 
     def predict(self, texts: Sequence[str | None]) -> tuple[list[str], list[float]]:
         if len(self.place) > self.most_words:
             self._forget()
-        split = [words_in(t) for t in texts]
-        new = [w for w in dict.fromkeys(w for part in split for w in part) if w not in self.place]
-        if new:
-            known = len(self.place)
-            self.place.update(zip(new, range(known, known + len(new))))
-            self.scores = np.concatenate([self.scores, self.model.log_words(new)])
-        languages, shares = [], []
-        for part in split:
-            if not part or not self.model.languages:
-                languages.append(UNDETERMINED)
-                shares.append(0.0)
-                continue
-            at = np.fromiter(map(self.place.__getitem__, part), np.int64, len(part))
-            total = self.scores[at].sum(axis=0)
-            best = int(total.argmax())
-            languages.append(self.model.languages[best])
-            shares.append(float(1.0 / np.exp(total - total[best]).sum()))
+        split = [words_in(t) for t in texts] if self.model.languages else [[] for _ in texts]
+        sizes = np.array([len(part) for part in split], np.int64)
+        at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
+        if self.place.new:
+            self.scores = np.concatenate([self.scores, self.model.log_words(self.place.new)])
+            self.place.new = []
+        languages, shares = [UNDETERMINED] * len(split), [0.0] * len(split)
+        some = np.nonzero(sizes)[0]
+        if len(some):
+            totals = np.add.reduceat(self.scores[at], (np.cumsum(sizes) - sizes)[some], axis=0)
+            best = totals.argmax(axis=1)
+            share = 1.0 / np.exp(totals - totals.max(axis=1, keepdims=True)).sum(axis=1)
+            for k, language, part in zip(some.tolist(), best.tolist(), share.tolist()):
+                languages[k], shares[k] = self.model.languages[language], part
         return languages, shares
 
 
@@ -203,16 +239,14 @@ def learn(labelled: DataFrame, vocabulary: str, sample: int = SAMPLE_DOCUMENTS,
 
     counted = known.where(chosen).select("text", "lang").mapInArrow(count, "word string, language long, n long")
     totals = materialize(counted.groupBy("word", "language").agg(F.sum("n").alias("n")), "language-words")
-    index = {p: i for i, p in enumerate(pieces)}
-    longest = max(map(len, pieces))
     chance = np.full((len(pieces) + 1, len(languages)), 1.0 / (len(pieces) + 1))
     for _ in range(rounds):
         now = chance
 
         def uses(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros_like(now)
+            tree, total = PieceTree(pieces), np.zeros_like(now)
             for batch in slices(batches, 5000):
-                lattice = Lattice(batch.column("word").to_pylist(), index, longest)
+                lattice = Lattice(batch.column("word").to_pylist(), tree)
                 counts = np.zeros((batch.num_rows, now.shape[1]))
                 counts[np.arange(batch.num_rows), batch.column("language").to_numpy()] = batch.column("n").to_numpy()
                 total += lattice.expected(now, counts)
@@ -234,7 +268,7 @@ def identified(documents: DataFrame, model: LanguageModel) -> DataFrame:
     names = [free_name(documents.columns, c) for c in ("lang_pred", "score")]
     place = documents.columns.index("text")
     # At most the vocabulary for each language.
-    shared = documents.sparkSession.sparkContext.broadcast((model.languages, list(model.pieces), model.chance))
+    shared = documents.sparkSession.sparkContext.broadcast((model.languages, model.pieces, model.chance))
     schema = T.StructType(
         [*documents.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]
     )

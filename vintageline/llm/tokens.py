@@ -24,7 +24,7 @@ def words_of(text: str) -> list[str]:
     return _WORDS.findall(text) if _ODD_SEPARATORS.search(text) else text.split()
 
 
-class _Places(dict):
+class Places(dict):
     """Gives every word that it is asked for and does not know the next place."""
 
     def __init__(self):
@@ -56,7 +56,7 @@ class WordEncoder:
         self._start([], np.zeros(0, np.int64), np.zeros(0, np.int32))
 
     def _start(self, words: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
-        self.place = _Places()
+        self.place = Places()
         self.place.update(zip(words, range(len(words))))
         self.uses = np.ones(len(words), np.int64)
         self.ends = np.concatenate([[0], np.cumsum(sizes)])

@@ -140,9 +140,9 @@ def test_nothing_to_learn_from(spark):
 
 
 def test_forward_sums_all_segmentations():
-    pieces = {"▁": 0, "▁a": 1, "a": 2, "b": 3, "ab": 4, "▁ab": 5}
+    tree = language.PieceTree(["▁", "▁a", "a", "b", "ab", "▁ab"])
     chance = np.array([[0.1], [0.2], [0.15], [0.25], [0.05], [0.15], [0.1]])
-    lattice = language.Lattice(["ab", "ax"], pieces, 3)
+    lattice = language.Lattice(["ab", "ax"], tree)
     total = lattice.total(lattice.forward(chance))[:, 0]
     assert total[0] == pytest.approx(0.1 * 0.15 * 0.25 + 0.1 * 0.05 + 0.2 * 0.25 + 0.15)
     assert total[1] == pytest.approx(0.1 * 0.15 * 0.1 + 0.2 * 0.1)

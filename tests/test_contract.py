@@ -1,3 +1,4 @@
+import os
 from datetime import UTC, datetime
 
 import pytest
@@ -106,8 +107,8 @@ def test_ingest_and_replay(spark, folder):
     bronze = f"{folder}/bronze"
     first = ingest(spark, [path], bronze, ingested_at=WHEN)
     again = ingest(spark, [path], bronze, ingested_at=WHEN)
-    assert (first.ingested_files, first.rows_written, first.final_rows) == (("2012Q1.csv",), 5, 5)
-    assert (again.skipped_files, again.rows_written, again.final_rows) == (("2012Q1.csv",), 0, 5)
+    assert (first.files_ingested, first.rows_written, first.final_rows) == (1, 5, 5)
+    assert (again.files_skipped, again.rows_written, again.final_rows) == (1, 0, 5)
     write(path, [*rows, line(LOAN_ID="L9", ACT_PERIOD="012012")])
     changed = ingest(spark, [path], bronze, ingested_at=WHEN)
     assert changed.rows_written == 6 and changed.final_rows == 11
@@ -131,6 +132,34 @@ def test_ingest_refuses_bad_files(spark, folder):
         read_bronze(spark, f"{folder}/none")
 
 
+def test_empty_file_beside_a_like_named_one(spark, folder):
+    full = write(f"{folder}/2005Q1.csv", [line(LOAN_ID="A", ACT_PERIOD="012005")])
+    empty = write(f"{folder}/2005Q1", [])
+    with pytest.raises(ContractError, match="no lines"):
+        ingest(spark, [empty, full], f"{folder}/bronze")
+    with pytest.raises(ContractError, match="no lines"):
+        ingest(spark, [folder], f"{folder}/bronze")
+
+
+def test_paths_with_blanks_and_signs(spark, folder):
+    os.makedirs(f"{folder}/raw x+y")
+    path = write(f"{folder}/raw x+y/2007Q1.csv", [line(LOAN_ID="A", ACT_PERIOD="012007")])
+    done = ingest(spark, [path], f"{folder}/bronze")
+    assert (done.files_ingested, done.final_rows) == (1, 1)
+    assert read_bronze(spark, f"{folder}/bronze").first()._source_path.endswith("/raw x+y/2007Q1.csv")
+
+
+@pytest.mark.parametrize("order", [(108, 113), (113, 108)])
+def test_bronze_keeps_columns_of_wider_files(spark, folder, order):
+    for width in order:
+        cells = line(width, LOAN_ID=f"L{width}", ACT_PERIOD="012012")
+        cells = cells[: cells.rindex("|") + 1] + f"last{width}"
+        ingest(spark, [write(f"{folder}/{width}.csv", [cells])], f"{folder}/bronze", width)
+    stored = read_bronze(spark, f"{folder}/bronze")
+    last = raw_schema(113).names[-1]
+    assert {(r._source_field_count, r[last]) for r in stored.collect()} == {(108, None), (113, "last113")}
+
+
 def test_fingerprint_sees_content_not_order_of_files(spark, folder):
     a = write(f"{folder}/a.csv", ["x|1", "y|2", "y|2"])
     b = write(f"{folder}/b.csv", ["x|1", "y|2"])

@@ -15,7 +15,13 @@ from vintageline.plans.training import record_evidence, train_baseline_models, t
 from vintageline.queries.model_queries import fixed_hazard
 from vintageline.portfolio.loss import loss_given_default, model_term_structure
 from vintageline.settings import FEATURES, RISK_DIRECTION, TARGET_12M
-from vintageline.validation.bootstrap import gini_differences, require_interval
+from vintageline.validation.bootstrap import (
+    PRIME,
+    gini_differences,
+    linear_hash,
+    poisson_limits,
+    require_interval,
+)
 from vintageline.validation.metrics import auc, calibration_by_quantile, ks_statistic
 from vintageline.validation.stability import FLOOR, quantile_edges, stability_index
 from vintageline.validation.monotone import (
@@ -200,19 +206,30 @@ def test_bootstrap_of_a_perfect_candidate(spark, portable):
     assert (first.estimate, first.lower, first.upper, first.successful_replicates) == (1.0, 1.0, 1.0, 100)
 
 
-def test_bootstrap_draws_vary(spark):
+@pytest.mark.parametrize("exact", [True, False])
+def test_bootstrap_draws_vary(spark, exact):
     rng = random.Random(1)
     rows = spark.createDataFrame(
         [(f"L{i // 4}", rng.randrange(2), rng.random(), rng.random()) for i in range(400)],
         "LOAN_ID string, y int, a double, b double",
     )
-    got = {r.rep: r.difference for r in gini_differences(rows, "y", "a", "b", replicates=25).collect()}
+    drawn = gini_differences(rows, "y", "a", "b", replicates=25, exact_draws=exact)
+    got = {r.rep: r.difference for r in drawn.collect()}
     assert set(got) == set(range(26)) and len({round(v, 9) for v in got.values()}) > 20
     full = [(r.a, r.b, r.y) for r in rows.collect()]
     want = 2 * reference_auc([(a, y) for a, _, y in full]) - 2 * reference_auc([(b, y) for _, b, y in full])
     assert got[0] == pytest.approx(want)
 
 
+def test_bootstrap_weights_are_poisson():
+    rng = random.Random(4)
+    loans = [rng.randrange(PRIME) for _ in range(20_000)]
+    a, b = linear_hash(1, 2)
+    weights = [sum((h * a + b) % PRIME >= limit for limit in poisson_limits()) for h in loans]
+    for k in range(4):
+        assert weights.count(k) / len(loans) == pytest.approx(math.exp(-1) / math.factorial(k), abs=0.015)
+
+
 def test_bootstrap_guards(spark):
     rows = bootstrap_rows(spark)
     with pytest.raises(ValueError, match="two loans"):

@@ -185,6 +185,16 @@ def test_month_merge_is_idempotent(spark, folder):
     assert sorted(before) == sorted(after)
 
 
+def test_month_merge_keeps_other_loans(spark, folder):
+    path = f"{folder}/m"
+    month = date(2017, 1, 1)
+    kind = "LOAN_ID string, ACT_PERIOD date, x int"
+    merge_months(spark.createDataFrame([("A1", month, 1), ("A2", month, 1)], kind), path)
+    merge_months(spark.createDataFrame([("B1", month, 2), ("A2", month, 3)], kind), path)
+    rows = {(r.LOAN_ID, r.x) for r in spark.read.parquet(path).collect()}
+    assert rows == {("A1", 1), ("A2", 3), ("B1", 2)}
+
+
 def test_raw_to_gold(spark, folder):
     write_raw_files(panel(spark, SMALL), f"{folder}/raw")
     ingest(spark, [f"{folder}/raw"], f"{folder}/bronze")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from vintageline.operators.silver import servicer_spells, silver_table
 from vintageline.operators.splits import require_quarters, require_split_integrity
 from vintageline.settings import HPI_SERIES
 from vintageline.sources.rawfiles import read_bronze
-from vintageline.sources.snapshots import publish, read_pinned, read_version
+from vintageline.sources.snapshots import materialize, publish, read_pinned, read_version
 
 GOLD_SOURCES = ("silver", "macro")
 
@@ -108,14 +109,30 @@ def publish_gold_from(
     )
 
 
-def merge_months(incoming: DataFrame, table_path: str, month_column: str = "ACT_PERIOD") -> None:
-    """Replace exactly the months present in ``incoming``; replaying the same months changes nothing.
+def merge_months(
+    incoming: DataFrame, table_path: str, month_column: str = "ACT_PERIOD", keys: tuple[str, ...] = ("LOAN_ID",)
+) -> None:
+    """Replace the loan-months present in ``incoming``; all other rows stay, and a replay changes nothing.
 
-    The table is partitioned by month and only the months written are touched. Rows are rebalanced by
-    month first, which splits a heavy month over tasks and keeps small months in few files.
+    The table is partitioned by month and only the months written are touched: their rows of other
+    loans are read, joined with what comes in and written together. Rows are rebalanced by month first,
+    which splits a heavy month over tasks and keeps small months in few files.
     """
+    spark = incoming.sparkSession
+    merged = materialize(incoming, "merge-incoming")
+    try:
+        stored = spark.read.schema(incoming.schema).parquet(table_path)
+    except AnalysisException as problem:
+        if "PATH_NOT_FOUND" not in str(problem):
+            raise
+    else:
+        # Bounded by the calendar.
+        months = [r[0] for r in merged.select(month_column).distinct().collect()]
+        touched = stored.where(F.col(month_column).isin(months))
+        others = touched.join(merged.select(*keys, month_column), [*keys, month_column], "left_anti")
+        merged = materialize(merged.unionByName(others), "merge-rows")
     (
-        incoming.hint("rebalance", month_column)
+        merged.hint("rebalance", month_column)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(month_column)

@@ -37,8 +37,8 @@ from vintageline.queries.inputs import (
     table,
 )
 from vintageline.queries.twins import SPLIT, with_gold
-from vintageline.settings import FEATURES, SEED, TARGET_12M, TARGET_NEXT
-from vintageline.validation.bootstrap import clustered_gini_interval, gini_differences
+from vintageline.settings import BOOTSTRAP_REPLICATES, FEATURES, SEED, TARGET_12M, TARGET_NEXT
+from vintageline.validation.bootstrap import PRIME, clustered_gini_interval, gini_differences, poisson_limits
 from vintageline.validation.metrics import (
     auc,
     brier,
@@ -50,8 +50,6 @@ from vintageline.validation.metrics import (
 from vintageline.validation.monotone import sweep_grid, sweep_report
 from vintageline.validation.stability import stability_index
 
-REPLICATES = 20
-
 # Two fixed scores on the panel, exact in any engine: integers over a constant.
 SCORED = (
     SPLIT
@@ -345,14 +343,14 @@ def mod7_calibration_rows(spark, folder):
 @query("mod9_11_baseline_evidence")
 def mod9_11_baseline_evidence(spark, folder):
     """Evidence rows of the baseline, scorecard and hazard run."""
-    run = train_baseline_models(stored_model_frame(spark, folder), 0, replicates=REPLICATES)
+    run = train_baseline_models(stored_model_frame(spark, folder), 0)
     return evidence_frame(spark, run.evidence)
 
 
 @query("mod10_11_challenger_evidence")
 def mod10_11_challenger_evidence(spark, folder):
     """Evidence rows of the challenger run, sweeps and selection included."""
-    run = train_challenger(stored_model_frame(spark, folder), 0, replicates=REPLICATES)
+    run = train_challenger(stored_model_frame(spark, folder), 0)
     return evidence_frame(spark, run.evidence)
 
 
@@ -413,12 +411,12 @@ _BOOT = (
     SCORED
     + f""",
 b0 AS (SELECT LOAN_ID, pc, pb, DEFAULT_IN_12M AS y, count(*) AS n FROM known WHERE MODELLING_SPLIT='out_of_time' GROUP BY 1, 2, 3, 4),
-ix AS (SELECT LOAN_ID, row_number() OVER (ORDER BY ('0x' || substr(md5(LOAN_ID), 1, 8))::BIGINT % 1024, LOAN_ID) - 1 AS idx
-  FROM (SELECT DISTINCT LOAN_ID FROM b0)),
-dr AS (SELECT rep, ('0x' || substr(md5('{SEED}|' || rep || '|' || idx), 1, 15))::BIGINT % (SELECT count(*) FROM ix) AS idx,
-    count(*) AS times FROM ix, range(1, {REPLICATES + 1}) r(rep) GROUP BY 1, 2),
+hs AS (SELECT LOAN_ID, ('0x' || substr(md5(LOAN_ID), 1, 15))::BIGINT % {PRIME} AS h FROM (SELECT DISTINCT LOAN_ID FROM b0)),
+rp AS (SELECT rep, 1 + ('0x' || substr(md5('{SEED}|' || rep || '|a'), 1, 15))::BIGINT % ({PRIME} - 1) AS fa,
+    ('0x' || substr(md5('{SEED}|' || rep || '|b'), 1, 15))::BIGINT % {PRIME} AS fb FROM range(1, {BOOTSTRAP_REPLICATES} + 1) r(rep)),
+dr AS (SELECT rep, LOAN_ID, len(list_filter({poisson_limits()}, lambda t: t <= (h * fa + fb) % {PRIME})) AS times FROM hs, rp),
 rw AS (SELECT 0 AS rep, pc, pb, y, n AS w FROM b0
-  UNION ALL SELECT rep, pc, pb, y, n * times FROM b0 JOIN ix USING (LOAN_ID) JOIN dr USING (idx)),
+  UNION ALL SELECT rep, pc, pb, y, n * times FROM b0 JOIN dr USING (LOAN_ID) WHERE times > 0),
 ml AS (SELECT rep, 'candidate' AS model, pc AS s, y, w FROM rw UNION ALL SELECT rep, 'baseline', pb, y, w FROM rw),
 ms AS (SELECT rep, model, s, sum(w*y) AS pos, sum(w*(1-y)) AS neg FROM ml GROUP BY 1, 2, 3),
 mb AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY rep, model ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM ms),
@@ -434,19 +432,19 @@ iv AS (SELECT max(d) FILTER (rep = 0) AS estimate, quantile_cont(d, 0.025) FILTE
 def val3_bootstrap_replicates(spark, folder):
     rows = known_rows(spark, folder).where("MODELLING_SPLIT = 'out_of_time'")
     return rounded(
-        gini_differences(rows, TARGET_12M, "pc", "pb", replicates=REPLICATES, portable=True)
+        gini_differences(rows, TARGET_12M, "pc", "pb", portable=True)
     )
 
 
 @query(
     "val3_bootstrap_interval",
     f"""WITH {_BOOT} SELECT round(estimate, 6) AS estimate, round(lower, 6) AS lower, round(upper, 6) AS upper,
-    successful_replicates, successful_replicates >= 10 AS usable FROM iv""",
+    successful_replicates, successful_replicates >= {BOOTSTRAP_REPLICATES // 2} AS usable FROM iv""",
 )
 def val3_bootstrap_interval(spark, folder):
     rows = known_rows(spark, folder).where("MODELLING_SPLIT = 'out_of_time'")
     return rounded(
-        clustered_gini_interval(rows, TARGET_12M, "pc", "pb", replicates=REPLICATES, portable=True)
+        clustered_gini_interval(rows, TARGET_12M, "pc", "pb", portable=True)
     )
 
 

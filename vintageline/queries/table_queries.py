@@ -38,7 +38,7 @@ from vintageline.operators.silver import (
 from vintageline.plans.publication import merge_months, publish_gold, publish_silver
 from vintageline.queries.inputs import panel, query, releases, rounded, table, use_scratch
 from vintageline.queries.twins import PANEL, with_panel, with_survival
-from vintageline.sources.contract import DEFAULT_WIDTH, fields_of_width
+from vintageline.sources.contract import DEFAULT_WIDTH, fields_of_width, raw_schema
 from vintageline.sources.rawfiles import ingest, read_bronze, read_raw, scan_files
 from vintageline.sources.releases import load_releases
 from vintageline.sources.snapshots import publish, read_version, source_versions
@@ -130,7 +130,7 @@ def src5_replay_counts(spark, folder):
     raw = _raw_folder(spark, folder)
     runs = [ingest(spark, [raw], f"{raw}-bronze", ingested_at=LOADED_AT) for _ in range(2)]
     rows = [
-        (i, len(r.ingested_files), len(r.skipped_files), r.rows_written, r.final_rows)
+        (i, r.files_ingested, r.files_skipped, r.rows_written, r.final_rows)
         for i, r in enumerate(runs, start=1)
     ]
     return spark.createDataFrame(
@@ -155,6 +155,30 @@ def src6_file_fingerprints(spark, folder):
     )
 
 
+@query(
+    "src7_mixed_width_bronze",
+    with_panel(
+        """SELECT w.width AS field_count, count(*) AS rows, count(DISTINCT _source_file) AS files,
+        CASE WHEN w.width = 113 THEN count(*) ELSE 0 END AS with_last FROM panel, (VALUES (108), (113)) w(width)
+        GROUP BY w.width"""
+    ),
+)
+def src7_mixed_width_bronze(spark, folder):
+    """Ingest the narrow layout, then the widest with its last column filled: both read back whole."""
+    narrow = _raw_folder(spark, folder)
+    bronze, wide = f"{narrow}-bronze", f"{narrow}-wide"
+    lines = raw_lines(panel(spark, folder), 113).select(F.concat("value", F.lit("L")).alias("value"), "quarter")
+    lines.write.partitionBy("quarter").text(wide)
+    ingest(spark, [narrow], bronze, ingested_at=LOADED_AT)
+    ingest(spark, [wide], bronze, 113, ingested_at=LOADED_AT)
+    stored = read_bronze(spark, bronze)
+    return stored.groupBy(F.col("_source_field_count").alias("field_count")).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_distinct("_source_file").alias("files"),
+        F.count_if(F.col(raw_schema(113).names[-1]) == "L").alias("with_last"),
+    )
+
+
 @query(
     "src8_pinned_versions",
     with_panel(
@@ -253,10 +277,13 @@ def srv7_published_gold(spark, folder):
     with_panel("SELECT ACT_PERIOD, count(*) AS rows, count(DISTINCT LOAN_ID) AS loans FROM panel GROUP BY 1"),
 )
 def x16_month_merge(spark, folder):
-    """Load history, then replay a range of months twice: each month keeps its rows once."""
+    """Load two sets of vintages that share months, then replay a range of months of one of them twice."""
     rows = panel(spark, folder).select("LOAN_ID", "ACT_PERIOD", "DLQ_STATUS")
     path = f"{use_scratch(spark)}/monthly"
-    merge_months(rows, path)
+    later = F.col("LOAN_ID").rlike("[02468]$")
+    merge_months(rows.where(~later), path)
+    merge_months(rows.where(later), path)
+    rows = rows.where(later)
     replay = rows.where(F.col("ACT_PERIOD").between(F.lit(date(2012, 1, 1)), F.lit(date(2013, 12, 1))))
     merge_months(replay, path)
     merge_months(replay, path)

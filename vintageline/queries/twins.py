@@ -6,7 +6,7 @@ seed AS (
 ),
 loan0 AS (
   SELECT k, q,
-    'SYN' || lpad(CAST(k AS VARCHAR), 9, '0') AS LOAN_ID,
+    'SYN' || lpad(CAST(k AS VARCHAR), greatest(9, length(CAST(k AS VARCHAR)))::INT, '0') AS LOAN_ID,
     ['2005Q1','2005Q3','2007Q1','2012Q1','2016Q1','2018Q1'][CAST(q AS INT) + 1] AS quarter,
     55 + (k*37)%43 AS ltv, 18 + (k*53)%33 AS dti, 610 + (k*71)%201 AS fico,
     80000 + 5000*((k*17)%114) AS upb, [180,240,360][CAST(k%3 AS INT) + 1] AS term,

@@ -7,34 +7,68 @@ from dataclasses import dataclass
 from datetime import UTC, datetime
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from vintageline.sources.contract import DEFAULT_WIDTH, DELIMITER, ContractError, fields_of_width, raw_schema
+from vintageline.sources.contract import (
+    DEFAULT_WIDTH,
+    DELIMITER,
+    SUPPORTED_WIDTHS,
+    ContractError,
+    fields_of_width,
+    raw_schema,
+)
+from vintageline.sources.snapshots import materialize
+
+
+PROVENANCE = (
+    T.StructField("_source_path", T.StringType()),
+    T.StructField("_source_sha256", T.StringType()),
+    T.StructField("_source_field_count", T.IntegerType()),
+    T.StructField("_ingested_at", T.TimestampType()),
+    T.StructField("_source_file", T.StringType()),
+)
 
 
 @dataclass(frozen=True)
 class IngestResult:
-    ingested_files: tuple[str, ...]
-    skipped_files: tuple[str, ...]
+    files_ingested: int
+    files_skipped: int
     rows_written: int
     final_rows: int
 
 
+def plain_path(uri: Column) -> Column:
+    """A file's path without URI escapes; a plus sign stands for itself in paths."""
+    return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+
+
+def _file_name() -> Column:
+    """Name of the file at column path; one delivered in parts under ``quarter=<q>/`` is ``<q>.csv``."""
+    quarter = F.regexp_extract("path", r"/quarter=([^/]+)/[^/]+$", 1)
+    return F.when(quarter != "", F.concat(quarter, F.lit(".csv"))).otherwise(F.regexp_extract("path", r"([^/]+)$", 1))
+
+
+def list_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """path and name of every file found, empty ones included, from the reader's own file index."""
+    found = [(path,) for path in spark.read.text(list(paths)).inputFiles()]
+    listed = spark.createDataFrame(found, "uri string").select(plain_path(F.col("uri")).alias("path"))
+    return listed.withColumn("file_name", _file_name())
+
+
 def scan_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Per file: path, name, line counts by width, and a content fingerprint (SRC4, SRC6).
 
     The fingerprint is computed from the lines by all tasks: count, total length, and the xor and sum
-    of line hashes. Sum and count keep repeated lines from cancelling in the xor. A file delivered in
-    parts under ``quarter=<q>/`` carries the name ``<q>.csv``, any other its own.
+    of line hashes. Sum and count keep repeated lines from cancelling in the xor. Files without a line
+    have no row.
     """
-    quarter = F.regexp_extract("path", r"/quarter=([^/]+)/[^/]+$", 1)
-    own_name = F.regexp_extract("path", r"([^/]+)$", 1)
     width = F.size(F.split("value", "\\" + DELIMITER, -1))
     line_hash = F.xxhash64("value")
     per_width = (
         spark.read.text(list(paths))
-        .select(F.col("_metadata.file_path").alias("path"), width.alias("width"), "value")
+        .select(plain_path(F.col("_metadata.file_path")).alias("path"), width.alias("width"), "value")
         .groupBy("path", "width")
         .agg(
             F.count(F.lit(1)).alias("n"),
@@ -56,12 +90,12 @@ def scan_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
             ),
             256,
         ).alias("fingerprint"),
-    ).withColumn(
-        "file_name", F.when(quarter != "", F.concat(quarter, F.lit(".csv"))).otherwise(own_name)
-    )
+    ).withColumn("file_name", _file_name())
 
 
-def read_raw(spark: SparkSession, paths: Sequence[str], width: int = DEFAULT_WIDTH) -> DataFrame:
+def read_raw(
+    spark: SparkSession, paths: Sequence[str], width: int = DEFAULT_WIDTH, mode: str = "FAILFAST"
+) -> DataFrame:
     """Headerless delimited text with the contract's all-text schema; a malformed line fails the job.
 
     Quoting is off because the format has none: a stray quote must not swallow a delimiter.
@@ -71,7 +105,7 @@ def read_raw(spark: SparkSession, paths: Sequence[str], width: int = DEFAULT_WID
         .option("sep", DELIMITER)
         .option("header", "false")
         .option("quote", "")
-        .option("mode", "FAILFAST")
+        .option("mode", mode)
         .csv(list(paths))
     )
 
@@ -79,18 +113,15 @@ def read_raw(spark: SparkSession, paths: Sequence[str], width: int = DEFAULT_WID
 def with_provenance(
     raw: DataFrame, files: DataFrame, width: int, ingested_at: datetime
 ) -> DataFrame:
-    """Add source name, path, fingerprint, width and load time to every row (SRC3).
-
-    ``files`` has one row per path the caller listed, so its broadcast is bounded by that list.
-    """
+    """Rows of the listed files, with source name, path, fingerprint, width and load time (SRC3)."""
     known = files.select(
         F.col("path").alias("_source_path"),
         F.col("file_name").alias("_source_file"),
         F.col("fingerprint").alias("_source_sha256"),
     )
     return (
-        raw.withColumn("_source_path", F.col("_metadata.file_path"))
-        .join(F.broadcast(known), "_source_path")
+        raw.withColumn("_source_path", plain_path(F.col("_metadata.file_path")))
+        .join(known, "_source_path")
         .select(
             *raw.columns,
             "_source_file",
@@ -103,42 +134,41 @@ def with_provenance(
 
 
 def read_bronze(spark: SparkSession, path: str) -> DataFrame:
-    """The Bronze table; a missing table raises (SRC7)."""
+    """The Bronze table with the columns of the widest file layout; a missing table raises (SRC7).
+
+    Narrower files leave the columns that they lack NULL, in whatever order the files were loaded.
+    """
+    schema = T.StructType([*raw_schema(max(SUPPORTED_WIDTHS)).fields, *PROVENANCE])
     try:
-        return spark.read.parquet(path)
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as problem:
-        if "PATH_NOT_FOUND" in str(problem) or "UNABLE_TO_INFER_SCHEMA" in str(problem):
+        if "PATH_NOT_FOUND" in str(problem):
             raise FileNotFoundError(f"no Bronze table at {path}") from problem
         raise
 
 
 def unseen_files(files: DataFrame, bronze: DataFrame | None) -> DataFrame:
-    """Files whose (name, fingerprint) is not in Bronze yet (SRC5).
-
-    Bronze is partitioned by file name, so only partitions of the same names are read.
-    """
+    """Files whose (name, fingerprint) is not in Bronze yet (SRC5)."""
     if bronze is None:
         return files
-    names = [row.file_name for row in files.select("file_name").distinct().collect()]
-    seen = (
-        bronze.where(F.col("_source_file").isin(names))
-        .select(F.col("_source_file").alias("file_name"), F.col("_source_sha256").alias("fingerprint"))
-        .distinct()
-    )
+    seen = bronze.select(
+        F.col("_source_file").alias("file_name"), F.col("_source_sha256").alias("fingerprint")
+    ).distinct()
     return files.join(seen, ["file_name", "fingerprint"], "left_anti")
 
 
-def require_widths(rows: Sequence, width: int) -> None:
+def require_widths(files: DataFrame, width: int) -> None:
     """Refuse any file with a line whose field count is not the declared one."""
-    for row in rows:
-        wrong = [(w.width, w.n) for w in row.widths if w.width != width]
-        if wrong:
-            raise ContractError(f"{row.file_name}: lines of (width, count) {wrong}, expected {width} fields")
+    wrong = F.filter("widths", lambda w: w.width != width)
+    row = files.select("file_name", wrong.alias("wrong")).where(F.size("wrong") > 0).first()
+    if row:
+        found = [(w.width, w.n) for w in row.wrong]
+        raise ContractError(f"{row.file_name}: lines of (width, count) {found}, expected {width} fields")
 
 
-def require_lines(rows: Sequence, paths: Sequence[str]) -> None:
-    """Refuse a listed path from which no line was read."""
-    empty = [p for p in paths if not any(p.rstrip("/").split("://")[-1] in r.path for r in rows)]
+def require_lines(files: DataFrame, listed: DataFrame) -> None:
+    """Refuse a listed file from which no line was read; of a file in parts, one with lines is enough."""
+    empty = [r.path for r in listed.join(files, "file_name", "left_anti").limit(5).collect()]
     if empty:
         raise ContractError(f"no lines in {empty}")
 
@@ -152,34 +182,29 @@ def ingest(
 ) -> IngestResult:
     """Append the files not yet in Bronze; an exact replay is skipped (SNK1).
 
-    All files are scanned by one job and written by one job. Only per-file facts reach the driver,
-    one row for each path the caller passed in.
+    One job scans all files, one writes the new ones. What is known of each file stays in a table, as
+    a folder may hold any number of files; only counts and examples of faults reach the driver. The
+    write reads the paths as a whole and keeps the rows of new files, whose widths are checked by then.
     """
     if not paths:
         raise ValueError("at least one source path is needed")
     fields_of_width(width)
-    files = scan_files(spark, paths)
+    files = materialize(scan_files(spark, paths), "ingest-files")
+    require_lines(files, list_files(spark, paths))
     try:
         bronze = read_bronze(spark, bronze_path)
     except FileNotFoundError:
         bronze = None
-    scanned = files.collect()
-    require_lines(scanned, paths)
-    facts = spark.createDataFrame(scanned, files.schema)
-    new = {r.path for r in unseen_files(facts, bronze).select("path").collect()}
     # Content listed twice in one call is loaded once.
-    distinct = {(r.file_name, r.fingerprint): r for r in scanned if r.path in new}
-    load = list(distinct.values())
+    first = F.min(F.struct("path", "widths", "line_count")).alias("first")
+    new = unseen_files(files, bronze).groupBy("file_name", "fingerprint").agg(first)
+    load = materialize(new.select("file_name", "fingerprint", "first.*"), "ingest-load")
     require_widths(load, width)
-    if load:
-        raw = read_raw(spark, [r.path for r in load], width)
-        with_provenance(raw, facts, width, ingested_at or datetime.now(UTC)).write.mode(
+    loaded, rows = load.agg(F.count_distinct("file_name"), F.coalesce(F.sum("line_count"), F.lit(0))).first()
+    if loaded:
+        raw = read_raw(spark, paths, width, "PERMISSIVE")
+        with_provenance(raw, load, width, ingested_at or datetime.now(UTC)).write.mode(
             "append"
         ).partitionBy("_source_file").parquet(bronze_path)
-    loaded = {r.file_name for r in load}
-    return IngestResult(
-        tuple(sorted(loaded)),
-        tuple(sorted({r.file_name for r in scanned} - loaded)),
-        sum(r.line_count for r in load),
-        read_bronze(spark, bronze_path).count(),
-    )
+    skipped = files.join(load, "file_name", "left_anti").select("file_name").distinct().count()
+    return IngestResult(loaded, skipped, rows, read_bronze(spark, bronze_path).count())

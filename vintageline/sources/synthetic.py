@@ -57,7 +57,7 @@ def synthetic_loans(seeds: DataFrame, key: str = "c_custkey") -> DataFrame:
     first_month = "make_date(int(substr(quarter, 1, 4)), int(substr(quarter, 6, 1)) * 3 - 2, 1)"
     return judged.selectExpr(
         "k AS KEY",
-        "concat('SYN', lpad(string(k), 9, '0')) AS LOAN_ID",
+        "concat('SYN', lpad(string(k), greatest(9, length(string(k))), '0')) AS LOAN_ID",
         "concat(quarter, '.csv') AS _source_file",
         f"{first_month} AS FIRST_MONTH",
         f"add_months({first_month}, -2) AS ORIG_DATE",

@@ -1,13 +1,23 @@
 """Loan-clustered bootstrap of a paired Gini difference (VAL3).
 
-Rows are first reduced to counts per loan, score pair and label. A replicate draws as many loans as
-there are, with replacement: draw ``j`` of replicate ``r`` picks the loan numbered
-``hash(seed, r, j) mod n``. Draws are counted per loan and joined to the reduced rows, and every
-replicate's AUC comes from the same sliced ranking as the point estimate.
+A replicate gives every loan a whole weight from a Poisson distribution of mean 1, the limit of drawing
+as many loans as there are with replacement. The weight comes from one number per loan and a linear
+hash of it per replicate, so it needs no draw table: every task sums, for each distinct score among a
+few thousand rows, the weighted events of all replicates side by side. What is ranked grows with the
+distinct scores times the replicates, whatever the number of loans.
+
+``exact_draws`` draws exactly as many loans as there are instead: draw ``j`` of replicate ``r`` picks the
+loan numbered ``hash(seed, r, j) mod n``. It makes a row per loan and replicate, for small samples.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +52,66 @@ def replicate_weights(
     )
 
 
+PRIME = (1 << 31) - 1
+MODELS = (
+    "inline(array(struct('candidate' AS model, candidate AS score), struct('baseline' AS model, baseline AS score)))"
+)
+
+
+def poisson_limits() -> list[int]:
+    """Upper ends of the hash ranges that give weights 0, 1, 2, ..."""
+    shares, term = [], math.exp(-1)
+    total = term
+    while (limit := math.floor(total * PRIME)) < PRIME - 1 and len(shares) < 12:
+        shares.append(limit)
+        term /= len(shares)
+        total += term
+    return shares
+
+
+def linear_hash(seed: int, rep: int) -> tuple[int, int]:
+    """Factor and summand of a replicate."""
+    first, second = (
+        int(hashlib.md5(f"{seed}|{rep}|{part}".encode()).hexdigest()[:15], 16) for part in ("a", "b")
+    )
+    return 1 + first % (PRIME - 1), second % PRIME
+
+
+def _poisson_rows(rows: DataFrame, replicates: int, seed: int, portable: bool) -> DataFrame:
+    """rep, model, score, y, w: weights summed over loans; replicate 0 takes every loan once."""
+    if portable:
+        digest = F.md5(F.col("loan").cast("string").cast("binary"))
+        number = F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint") % PRIME
+    else:
+        number = F.pmod(F.xxhash64("loan"), F.lit(PRIME))
+    factors, summands = np.array([linear_hash(seed, r) for r in range(1, replicates + 1)], np.int64).T
+    limits = np.array(poisson_limits())
+
+    def summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Weighted counts of all replicates side by side, per model, score and label of a few thousand rows."""
+        for batch in batches:
+            for start in range(0, batch.num_rows, 4096):
+                part = batch.slice(start, 4096).to_pandas().sort_values(["model", "score", "y"])
+                weights = np.searchsorted(limits, (part.h.to_numpy()[:, None] * factors + summands) % PRIME, "right")
+                weights = np.hstack([np.ones((len(part), 1), np.int64), weights]) * part.n.to_numpy()[:, None]
+                keys = part[["model", "score", "y"]]
+                first = np.nonzero((keys != keys.shift()).any(axis=1).to_numpy())[0]
+                out = keys.iloc[first].assign(w=list(np.add.reduceat(weights, first, axis=0)))
+                yield pa.RecordBatch.from_pandas(out, preserve_index=False)
+
+    numbered = rows.select("y", "n", number.alias("h"), F.expr(MODELS))
+    kind = f"model string, score double, y {numbered.schema['y'].dataType.simpleString()}, w array<bigint>"
+    side_by_side = numbered.mapInArrow(summed, kind)
+    return side_by_side.select("model", "score", "y", F.posexplode("w").alias("rep", "w")).where("w > 0")
+
+
+def _drawn_rows(rows: DataFrame, replicates: int, seed: int, portable: bool) -> DataFrame:
+    numbered = materialize(dense_index(rows, "loan"), "bootstrap-loans")
+    weights = replicate_weights(numbered, replicates, seed, portable)
+    weighted = rows.join(numbered, "loan").join(weights, "idx")
+    return weighted.select("rep", "y", (F.col("n") * F.col("times")).alias("w"), F.expr(MODELS))
+
+
 def gini_differences(
     scored: DataFrame,
     label: str,
@@ -51,11 +121,9 @@ def gini_differences(
     replicates: int = BOOTSTRAP_REPLICATES,
     seed: int = SEED,
     portable: bool = False,
+    exact_draws: bool = False,
 ) -> DataFrame:
-    """Gini difference per replicate; replicate 0 is the full data. One-class replicates are NULL.
-
-    The reduced rows and the loan numbers are written once, since every replicate reads them.
-    """
+    """Gini difference per replicate; replicate 0 is the full data. One-class replicates are NULL."""
     pairs = scored.where(
         F.col(label).isNotNull() & F.col(candidate).isNotNull() & F.col(baseline).isNotNull()
     ).groupBy(
@@ -65,20 +133,9 @@ def gini_differences(
         F.col(label).alias("y"),
     ).agg(F.count(F.lit(1)).alias("n"))
     rows = materialize(pairs, "bootstrap-rows")
-    numbered = materialize(dense_index(rows, "loan"), "bootstrap-loans")
-    weights = replicate_weights(numbered, replicates, seed, portable)
-    models = F.inline(
-        F.array(
-            F.struct(F.lit("candidate").alias("model"), F.col("candidate").alias("score")),
-            F.struct(F.lit("baseline").alias("model"), F.col("baseline").alias("score")),
-        )
-    )
-    long = (
-        rows.join(numbered, "loan")
-        .join(weights, "idx")
-        .select("rep", "y", (F.col("n") * F.col("times")).alias("w"), models)
-    )
-    per_model = auc(long, "y", "score", ("rep", "model"), F.col("w"), cuts_from=rows.select(models))
+    spread = _drawn_rows if exact_draws else _poisson_rows
+    long = spread(rows, replicates, seed, portable)
+    per_model = auc(long, "y", "score", ("rep", "model"), F.col("w"), cuts_from=rows.select(F.expr(MODELS)))
 
     def gini(model: str) -> Column:
         return F.max(F.when(F.col("model") == model, F.col("gini")))

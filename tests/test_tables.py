@@ -1,3 +1,4 @@
+import os
 from datetime import date, datetime
 
 import pytest
@@ -20,10 +21,12 @@ from vintageline.plans.publication import (
     publish_silver,
     require_gold_sources,
 )
+from vintageline.plans.stages import Places, run_stage
 from vintageline.queries.inputs import panel, releases
 from vintageline.sources.rawfiles import ingest
 from vintageline.sources.snapshots import (
     latest_version,
+    promote,
     publish,
     read_pinned,
     read_version,
@@ -195,6 +198,25 @@ def test_month_merge_keeps_other_loans(spark, folder):
     assert rows == {("A1", 1), ("A2", 3), ("B1", 2)}
 
 
+def test_stages_by_name(spark, folder):
+    write_raw_files(panel(spark, SMALL), f"{folder}/raw")
+    places = Places(folder, [f"{folder}/raw"])
+    assert run_stage(spark, "bronze", places).rows_written == panel(spark, SMALL).count()
+    assert run_stage(spark, "silver", places).version == 0
+    publish(releases(spark), places.table("macro"))
+    assert run_stage(spark, "gold", places).source_versions == {"silver": 0, "macro": 0}
+    with pytest.raises(ValueError, match="not one of"):
+        run_stage(spark, "copper", places)
+
+
+def test_promotion_writes_no_data(spark, folder):
+    publish(spark.range(7).toDF("a"), f"{folder}/staged")
+    assert promote(spark, f"{folder}/staged", 0, f"{folder}/final", {"x": 2}) == 0
+    assert os.listdir(f"{folder}/final") == ["manifest"]
+    assert read_version(spark, f"{folder}/final").count() == 7
+    assert source_versions(spark, f"{folder}/final", 0) == {"x": 2}
+
+
 def test_raw_to_gold(spark, folder):
     write_raw_files(panel(spark, SMALL), f"{folder}/raw")
     ingest(spark, [f"{folder}/raw"], f"{folder}/bronze")

@@ -1,7 +1,7 @@
 """Contract checks of raw records as distributed jobs (CHK1-CHK7).
 
-Each check returns rows, so every violation of a file is listed by one job. Values are examined as
-(column, value) pairs; a violation job is a narrow map over the raw rows without any shuffle.
+Each check returns rows, so every violation of a file is listed by one job, a narrow map over the raw
+rows without any shuffle.
 """
 
 from __future__ import annotations
@@ -52,16 +52,18 @@ def is_month(value: Column) -> Column:
     return value.rlike(r"^[0-9]{6}$") & F.try_to_date(value, "MMyyyy").isNotNull()
 
 
-def broken_rule(kind: Column, scale: Column, max_length: Column, value: Column) -> Column:
-    """Name of the rule a non-empty value of the given kind breaks, else NULL."""
-    places = decimal_places(value)
-    return (
-        F.when(F.length(value) > max_length, "length")
-        .when((kind == "integer") & ~is_integer(value), "integer")
-        .when((kind == "month") & ~is_month(value), "month")
-        .when((kind == "decimal") & places.isNull(), "decimal")
-        .when((kind == "decimal") & (places > scale), "scale")
-    )
+def broken_rule(field: Field) -> Column:
+    """Name of the rule that the field's non-empty value breaks, else NULL; only the patterns of its kind run."""
+    value = F.col(field.name)
+    rule = F.when(F.length(value) > field.max_length, "length") if field.max_length is not None else None
+    if field.kind == "integer":
+        broken = F.when(~is_integer(value), "integer")
+    elif field.kind == "month":
+        broken = F.when(~is_month(value), "month")
+    else:
+        places = decimal_places(value)
+        broken = F.when(places.isNull(), "decimal").when(places > field.scale, "scale")
+    return F.when(value != "", broken if rule is None else F.coalesce(rule, broken))
 
 
 def violations(
@@ -69,25 +71,17 @@ def violations(
 ) -> DataFrame:
     """One row per broken typed value: the row's keys, column, rule and value (CHK1-CHK4, CHK6).
 
-    Cells are unpivoted and empty ones dropped first, so one small rule expression serves all columns.
+    Each column has one fixed expression; only broken cells become rows.
     """
     checked = [f for f in fields if f.kind != "string" and f.name in raw.columns]
     kept = [F.col(k).alias(f"ROW_{k}") for k in keys if k in raw.columns]
-
-    def of_field(attribute: str) -> Column:
-        return F.get(F.array(*(F.lit(getattr(f, attribute)) for f in checked)), F.col("at"))
-
-    rule = broken_rule(
-        of_field("kind"), of_field("scale"), of_field("max_length").cast("int"), F.col("value")
-    )
-    return (
-        raw.select(*kept, F.posexplode(F.array(*(f.name for f in checked))).alias("at", "value"))
-        .where(F.col("value") != "")
-        .withColumn("rule", rule)
-        .where(F.col("rule").isNotNull())
-        .withColumn("column_name", of_field("name"))
-        .drop("at")
+    cells = F.array(
+        *(
+            F.struct(F.col(f.name).alias("value"), broken_rule(f).alias("rule"), F.lit(f.name).alias("column_name"))
+            for f in checked
+        )
     )
+    return raw.select(*kept, F.inline(F.filter(cells, lambda cell: cell.rule.isNotNull())))
 
 
 def width_counts(lines: DataFrame, *by: str) -> DataFrame:

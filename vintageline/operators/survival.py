@@ -8,7 +8,7 @@ loan is hot. A loan has at most one entry per calendar month, so the month list
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vintageline.functions.columns import months_delinquent, need_columns
@@ -87,9 +87,10 @@ def survival_panel(
         inside = (default_date > month) & (default_date <= end)
         return F.when(inside, 1).when(known_until >= end, 0)
 
-    facts = loan_facts(silver, threshold).withColumn(
-        "AT_RISK_OBSERVED_MONTHS", F.size(at_risk_months()).cast("bigint")
-    )
+    # Months are numbered where the join has put a loan's rows; the month list of loan_facts is not built here.
+    of_loan = Window.partitionBy("LOAN_ID")
+    number = F.dense_rank().over(of_loan.orderBy(month))
+    facts = loan_facts(silver, threshold).drop("_months")
     kept = [c for c in silver.columns if c not in facts.columns or c == "LOAN_ID"]
     return (
         silver.select(*kept)
@@ -108,7 +109,7 @@ def survival_panel(
             label(next_month).alias("DEFAULT_NEXT_MONTH"),
             label(horizon_end).alias("DEFAULT_IN_12M"),
             label(horizon_end).isNotNull().alias("LABEL_OBSERVED_12M"),
-            "AT_RISK_OBSERVED_MONTHS",
-            F.array_position("_months", month).cast("int").alias("AT_RISK_MONTH_NUMBER"),
+            number.alias("AT_RISK_MONTH_NUMBER"),
         )
+        .withColumn("AT_RISK_OBSERVED_MONTHS", F.max("AT_RISK_MONTH_NUMBER").over(of_loan).cast("bigint"))
     )

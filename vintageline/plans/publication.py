@@ -1,4 +1,4 @@
-"""Publication flows: stage once, check what was staged, then promote (SRV7, SRV8)."""
+"""Publication flows: write once into staging, check what was staged, then promote it by name (SRV7, SRV8)."""
 
 from __future__ import annotations
 
@@ -16,7 +16,7 @@ from vintageline.operators.silver import servicer_spells, silver_table
 from vintageline.operators.splits import require_quarters, require_split_integrity
 from vintageline.settings import HPI_SERIES
 from vintageline.sources.rawfiles import read_bronze
-from vintageline.sources.snapshots import materialize, publish, read_pinned, read_version
+from vintageline.sources.snapshots import materialize, promote, publish, read_pinned, read_version
 
 GOLD_SOURCES = ("silver", "macro")
 
@@ -46,15 +46,15 @@ def publish_silver(
 ) -> SilverResult:
     """Build Silver once into staging, gate the stored copy, promote it with its servicer history."""
     staging = staging_path or f"{silver_path}_staging"
-    publish(silver_table(read_bronze(spark, bronze_path)), staging)
-    staged, _ = read_pinned(spark, staging)
+    publish(silver_table(read_bronze(spark, bronze_path)), staging, sort_by=("LOAN_ID", "ACT_PERIOD"))
+    staged, at = read_pinned(spark, staging)
     report = quality_report(staged).collect()
     failed = [row for row in report if row.status != PASSED]
     if failed:
         if quarantine_path is not None:
-            publish(staged, quarantine_path)
+            promote(spark, staging, at, quarantine_path)
         raise QualityError(failed)
-    version = publish(staged, silver_path, sort_by=("LOAN_ID", "ACT_PERIOD"))
+    version = promote(spark, staging, at, silver_path)
     servicer_version = publish(servicer_spells(staged), servicer_path)
     counted = report[0].observed_rows
     return SilverResult(
@@ -87,14 +87,13 @@ def publish_gold(
     require_coverage(silver, releases, "ORIG_DATE", (HPI_SERIES,), allow_early_gaps=True)
     require_quarters(silver)
     staging = staging_path or f"{gold_path}_staging"
-    publish(gold_panel(silver, releases), staging)
-    staged, _ = read_pinned(spark, staging)
+    panel = gold_panel(silver, releases)
+    publish(panel, staging, sources, ("MODELLING_SPLIT",), ("LOAN_ID", "ACT_PERIOD"))
+    staged, at = read_pinned(spark, staging)
     require_split_integrity(staged)
     require_reconciled(silver, staged)
     counts = reconciliation_counts(silver, staged).first()
-    version = publish(
-        staged, gold_path, sources, partition_by=("MODELLING_SPLIT",), sort_by=("LOAN_ID", "ACT_PERIOD")
-    )
+    version = promote(spark, staging, at, gold_path, sources)
     return GoldResult(version, counts, sources)
 
 

@@ -100,12 +100,17 @@ def model_term_structure(
 
 
 def loss_given_default(
-    liquidated: DataFrame, segments: Sequence[str] = (), assumed: float = ASSUMED_LGD
+    liquidated: DataFrame,
+    segments: Sequence[str] = (),
+    assumed: float = ASSUMED_LGD,
+    limits: tuple[float, float] = (0.0, 1.0),
 ) -> DataFrame:
     """Exposure plus costs minus proceeds over exposure, from the loss fields.
 
     Loans with neither costs nor proceeds carry no evidence; a group without evidence gets the
-    assumed rate, and ``lgd_source`` says which it is.
+    assumed rate, and ``lgd_source`` says which it is. ``lgd`` is kept within ``limits``; ``raw_lgd`` is
+    the rate before that, which costs above the exposure or gains can take beyond them. Loss fields that
+    the frame lacks are listed in ``absent_fields`` and count as nothing.
     """
     costs = [c for c in COST_FIELDS if c in liquidated.columns]
     proceeds = [c for c in PROCEEDS_FIELDS if c in liquidated.columns]
@@ -117,6 +122,7 @@ def loss_given_default(
         return value
 
     fields = costs + proceeds
+    absent = ",".join(c for c in (*COST_FIELDS, *PROCEEDS_FIELDS) if c not in liquidated.columns)
     known = F.coalesce(*fields).isNotNull() if fields else F.lit(False)
     exposure = F.col("LAST_UPB").cast("double")
     usable = known & (exposure > 0)
@@ -133,8 +139,10 @@ def loss_given_default(
         .select(
             *segments, "liquidations", "with_loss_fields",
             F.when(F.col("empirical").isNull(), assumed)
-            .otherwise(F.greatest(F.lit(0.0), F.least("empirical", F.lit(1.0))))
+            .otherwise(F.greatest(F.lit(limits[0]), F.least("empirical", F.lit(limits[1]))))
             .alias("lgd"),
+            F.col("empirical").alias("raw_lgd"),
+            F.lit(absent).alias("absent_fields"),
             F.when(F.col("empirical").isNull(), "assumed").otherwise("empirical").alias("lgd_source"),
         )
     )

@@ -105,7 +105,10 @@ def proxy_groups(
     cutoff: float,
     dimensions: Sequence[str] = PROXY_COLUMNS,
 ) -> DataFrame:
-    """Approval-equivalent and default rates per proxy group, beside the group with most approvals."""
+    """Approval-equivalent and default rates per proxy group, beside the group with most approvals.
+
+    A dimension that the frame lacks has one row with no value and no rows, so it is not left out unseen.
+    """
     present = [d for d in dimensions if d in scored.columns]
     long = _unpivot(
         scored, present, F.col(label).cast("double").alias("y"), F.col(probability).alias("p")
@@ -117,8 +120,13 @@ def proxy_groups(
         F.avg((F.col("p") < cutoff).cast("double")).alias("approval_rate"),
     )
     best = groups.groupBy("dimension").agg(F.max("approval_rate").alias("best"))
-    return (
+    rated = (
         groups.join(best, "dimension")
         .withColumn("approval_ratio", F.try_divide("approval_rate", "best"))
         .drop("best")
     )
+    absent = [(d,) for d in dimensions if d not in scored.columns]
+    if not absent:
+        return rated
+    missing = scored.sparkSession.createDataFrame(absent, "dimension string").withColumn("rows", F.lit(0).cast("long"))
+    return rated.unionByName(missing, allowMissingColumns=True)

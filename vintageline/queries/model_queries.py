@@ -354,6 +354,57 @@ def mod10_11_challenger_evidence(spark, folder):
     return evidence_frame(spark, run.evidence)
 
 
+# What a fit promises of the rows it was fitted on, without knowing the fit: totals, and the mean prediction.
+
+
+@query(
+    "mod2_bin_totals",
+    with_scores(
+        "SELECT f.feature, count(*) AS rows, CAST(sum(DEFAULT_IN_12M) AS BIGINT) AS events FROM known, "
+        f"(VALUES {', '.join(f"('{f}')" for f in FEATURES)}) f(feature) WHERE MODELLING_SPLIT = 'train' GROUP BY 1"
+    ),
+)
+def mod2_bin_totals(spark, folder):
+    """Rows and events over all fitted bins of each feature: no row is lost or counted twice."""
+    bins = mod2_fitted_bins(spark, folder)
+    return bins.groupBy("feature").agg(F.sum("rows").alias("rows"), F.sum("events").alias("events"))
+
+
+def _mean_twin(label: str, split: str, observed: str = "avg({y})") -> str:
+    rate = observed.format(y=label)
+    return with_scores(
+        f"SELECT count(*) AS rows, round({rate}, 3) AS mean_rate FROM scored "
+        f"WHERE MODELLING_SPLIT = '{split}' AND {label} IS NOT NULL"
+    )
+
+
+def _mean_of(scored, probability: str):
+    return scored.agg(F.count(F.lit(1)).alias("rows"), F.round(F.avg(probability), 3).alias("mean_rate"))
+
+
+@query("mod4_scorecard_mean", _mean_twin("DEFAULT_IN_12M", "train"))
+def mod4_scorecard_mean(spark, folder):
+    """Mean fitted probability of the training rows; the free intercept makes it the observed rate."""
+    train = labelled_rows(stored_model_frame(spark, folder), "train")
+    card = fit_scorecard(train, TARGET_12M)
+    return _mean_of(card.predict(train), "scorecard_probability")
+
+
+@query("mod5_hazard_mean", _mean_twin("DEFAULT_NEXT_MONTH", "train"))
+def mod5_hazard_mean(spark, folder):
+    """Mean fitted hazard of the training rows, which is the observed rate of the next month."""
+    train = hazard_rows(stored_model_frame(spark, folder), "train")
+    return _mean_of(fit_hazard(train, TARGET_NEXT).predict(train), "hazard_probability")
+
+
+@query("mod6_challenger_mean", _mean_twin("DEFAULT_IN_12M", "train"))
+def mod6_challenger_mean(spark, folder):
+    """Mean raw probability of the challenger on its training rows, which is the observed rate."""
+    train = labelled_rows(stored_model_frame(spark, folder), "train")
+    raw = fit_steps(train, TARGET_12M)
+    return _mean_of(raw.predict(train), "challenger_raw")
+
+
 # Metrics.
 
 

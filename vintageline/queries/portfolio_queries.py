@@ -16,6 +16,8 @@ from vintageline.portfolio.loss import (
     expected_loss,
     exposure_at_default,
     hazard_by_age,
+    COST_FIELDS,
+    PROCEEDS_FIELDS,
     loss_given_default,
     model_term_structure,
     term_structure,
@@ -136,6 +138,9 @@ def x9_loan_pd(spark, folder):
     )
 
 
+_ABSENT = ",".join(c for c in (*COST_FIELDS, *PROCEEDS_FIELDS) if c not in ("FORECLOSURE_COSTS", "NET_SALES_PROCEEDS"))
+
+
 @query(
     "x10_loss_given_default",
     f"""WITH {PANEL}, l AS (SELECT STATE, PURPOSE, CURRENT_UPB AS upb,
@@ -145,6 +150,8 @@ def x9_loan_pd(spark, folder):
     SELECT STATE, PURPOSE, count(*) AS liquidations, count(cost) AS with_loss_fields,
       round(coalesce(greatest(0.0::DOUBLE, least(1.0::DOUBLE, sum(CASE WHEN cost IS NOT NULL THEN upb + cost - proceeds END)
         / sum(CASE WHEN cost IS NOT NULL THEN upb END))), {ASSUMED_LGD}::DOUBLE), 6) AS lgd,
+      round(CASE WHEN count(cost) > 0 THEN sum(CASE WHEN cost IS NOT NULL THEN upb + cost - proceeds END)
+        / sum(CASE WHEN cost IS NOT NULL THEN upb END) END, 6) AS raw_lgd, '{_ABSENT}' AS absent_fields,
       CASE WHEN count(cost) = 0 THEN 'assumed' ELSE 'empirical' END AS lgd_source FROM l GROUP BY 1, 2""".replace(
         "coalesce(greatest(0.0::DOUBLE, least(1.0::DOUBLE, sum(CASE WHEN cost IS NOT NULL THEN upb + cost - proceeds END)\n        / sum(CASE WHEN cost IS NOT NULL THEN upb END))), ",
         "coalesce(CASE WHEN count(cost) > 0 THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, sum(upb + cost - proceeds) / sum(CASE WHEN cost IS NOT NULL THEN upb END))) END, ",
@@ -250,7 +257,8 @@ _PROXIES = ("STATE", "PURPOSE", "OCC_STAT", "PROP")
         + " UNION ALL ".join(f"SELECT '{d}' AS dimension, {d} AS value, DEFAULT_IN_12M AS y, pc FROM known" for d in _PROXIES)
         + """), g AS (SELECT dimension, value, count(*) AS rows, avg(y) AS o, avg(pc) AS p, avg(CAST(pc < 0.4 AS INT)) AS a FROM long GROUP BY 1, 2)
         SELECT dimension, value, rows, round(o, 6) AS observed_rate, round(p, 6) AS mean_predicted, round(a, 6) AS approval_rate,
-          round(a / max(a) OVER (PARTITION BY dimension), 6) AS approval_ratio FROM g"""
+          round(a / max(a) OVER (PARTITION BY dimension), 6) AS approval_ratio FROM g
+        UNION ALL SELECT 'MSA', NULL, 0, NULL, NULL, NULL, NULL"""
     ).replace("\n,", ",", 1),
 )
 def x15_proxy_groups(spark, folder):

@@ -32,6 +32,19 @@ def latest_version(spark: SparkSession, path: str) -> int | None:
     return None if found is None else found.agg(F.max("version")).first()[0]
 
 
+def _commit(spark: SparkSession, path: str, version: int, sources: str, columns: str, data: str) -> int:
+    row = (version, sources, columns, data)
+    spark.createDataFrame([row], MANIFEST_SCHEMA).coalesce(1).write.mode("error").json(
+        f"{path}/manifest/v={version}"
+    )
+    return version
+
+
+def _next_version(spark: SparkSession, path: str) -> int:
+    before = latest_version(spark, path)
+    return 0 if before is None else before + 1
+
+
 def publish(
     frame: DataFrame,
     path: str,
@@ -41,20 +54,26 @@ def publish(
 ) -> int:
     """Write the frame as the next version of the table at ``path`` and return that version.
 
-    A manifest that already exists means another writer took the version: the write fails.
+    A table has one writer at a time. A manifest that already exists makes the write fail, which shows
+    most collisions, but two writers that check at the same moment are not kept apart.
     """
     spark = frame.sparkSession
-    before = latest_version(spark, path)
-    version = 0 if before is None else before + 1
+    version = _next_version(spark, path)
     data = f"{path}/data/v={version}-{uuid.uuid4().hex[:12]}"
     if sort_by:
         frame = frame.sortWithinPartitions(*partition_by, *sort_by)
     frame.write.partitionBy(*partition_by).parquet(data)
-    row = (version, json.dumps(dict(sources or {})), json.dumps(frame.columns), data)
-    spark.createDataFrame([row], MANIFEST_SCHEMA).coalesce(1).write.mode("error").json(
-        f"{path}/manifest/v={version}"
-    )
-    return version
+    return _commit(spark, path, version, json.dumps(dict(sources or {})), json.dumps(frame.columns), data)
+
+
+def promote(
+    spark: SparkSession, staging: str, staged: int, path: str, sources: Mapping[str, int] | None = None
+) -> int:
+    """Make a staged version the next version of the table at ``path``: its manifest names the staged
+    data, which is neither read nor written again, so staged data in use must be kept."""
+    row = _manifests(spark, staging).where(F.col("version") == staged).first()
+    version = _next_version(spark, path)
+    return _commit(spark, path, version, json.dumps(dict(sources or {})), row["columns"], row["data"])
 
 
 def read_version(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:

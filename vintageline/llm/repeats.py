@@ -7,7 +7,8 @@ are brought together without sorting all of them:
 1. Every WIDTH-byte string has an anchor, its ``GRAM``-byte substring of smallest hash (leftmost of equals), which
    depends on its bytes alone: equal strings have equal anchors. Neighbouring strings with the same anchor
    form a segment. Segments are sorted by anchor. Anchors that occur once hold no copy.
-2. Of equal segments the first stays open and the others are copies as a whole.
+2. Of equal segments the first stays open and the others are copies as a whole; those of some thousand
+   texts are settled before the sort, so a very common passage sends few rows to the task that gathers it.
 3. Open segments of one anchor are fetched and their suffixes sorted. In that suffix array the previous and
    the next suffix that start earlier give the longest previous factor of each, and one of WIDTH bytes makes its
    string a copy. An anchor with more than ``GROUP`` open segments is not brought together; its strings are
@@ -30,6 +31,7 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -123,32 +125,61 @@ def _stored(documents: DataFrame) -> DataFrame:
     return spark.table(name)
 
 
+SEGMENT_TYPE = "anchor long, content long, key long, start long, size long, done boolean"
+SEGMENT_NAMES = ["anchor", "content", "key", "start", "size"]
+
+
+def _segment_rows(columns: Sequence[np.ndarray], done: bool) -> pa.RecordBatch:
+    arrays = [pa.array(c, pa.int64()) for c in columns]
+    return pa.RecordBatch.from_arrays([*arrays, pa.array(np.full(len(arrays[0]), done))], names=[*SEGMENT_NAMES, "done"])
+
+
 def _segments(texts: DataFrame) -> DataFrame:
+    """Segments of all texts. Of those that are equal within a few thousand texts only the first is compared
+    further; the others are copies for certain and leave as runs, marked as done, spread by their document."""
+
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 200):
-            keys, parts = [], []
+        for batch in slices(batches, 2000):
+            parts = []
             for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
                 data = text.encode()
                 for anchors, starts, ends in segments_of(data):
                     digests = [
                         xxhash.xxh64_intdigest(data[a:b]) - (1 << 63) for a, b in zip(starts.tolist(), ends.tolist())
                     ]
-                    keys.append(np.full(len(anchors), key))
-                    parts.append((anchors, np.array(digests, np.int64), starts, (ends - starts).astype(np.int32)))
-            if parts:
-                anchor, content, start, size = (pa.array(np.concatenate([p[k] for p in parts])) for k in range(4))
-                columns = [anchor, content, pa.array(np.concatenate(keys)), start, size]
-                yield pa.RecordBatch.from_arrays(columns, names=["anchor", "content", "key", "start", "size"])
-
-    return texts.mapInArrow(cut, "anchor long, content long, key long, start long, size int")
+                    parts.append((anchors, np.array(digests, np.int64), np.full(len(anchors), key), starts, ends))
+            if not parts:
+                continue
+            found = [np.concatenate([p[k] for p in parts]) for k in range(5)]
+            order = np.lexsort((found[3], found[2], found[1], found[0]))
+            anchor, content, key, start, end = (f[order] for f in found)
+            again = np.zeros(len(anchor), bool)
+            again[1:] = (anchor[1:] == anchor[:-1]) & (content[1:] == content[:-1])
+            yield _segment_rows([anchor[~again], content[~again], key[~again], start[~again], (end - start)[~again]], False)
+            if again.any():
+                key, start, end = key[again], start[again], end[again]
+                order = np.lexsort((start, key))
+                key, start, end = key[order], start[order], end[order]
+                head = np.ones(len(key), bool)
+                head[1:] = (key[1:] != key[:-1]) | (start[1:] > end[:-1])
+                first = np.nonzero(head)[0]
+                last = np.append(first[1:], len(key)) - 1
+                run = [key[first], np.zeros(len(first)), key[first], start[first], end[last] - start[first]]
+                yield _segment_rows(run, True)
+
+    return texts.mapInArrow(cut, SEGMENT_TYPE)
 
 
 def _sorted_out(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of segments sorted by (anchor, content, key, start): copies as a whole, and open ones with company."""
-    names = ["anchor", "content", "key", "start", "size"]
     last: tuple[int, int] | None = None
     first = None
     for batch in batches:
+        done = batch.column("done")
+        finished = batch.filter(done).select(SEGMENT_NAMES)
+        closed = pa.array(np.zeros(finished.num_rows, bool))
+        yield pa.RecordBatch.from_arrays([*finished.columns, closed], names=[*SEGMENT_NAMES, "open"])
+        batch = batch.filter(pc.invert(done)).select(SEGMENT_NAMES)
         if not batch.num_rows:
             continue
         anchor, content = (batch.column(c).to_numpy() for c in ("anchor", "content"))
@@ -165,13 +196,13 @@ def _sorted_out(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             company = np.append(~leads[1:], False)
             opened[heads] = ~leads | company
             if first is not None and not leads[0]:
-                yield pa.RecordBatch.from_arrays([*first.columns, pa.array([True])], names=[*names, "open"])
+                yield pa.RecordBatch.from_arrays([*first.columns, pa.array([True])], names=[*SEGMENT_NAMES, "open"])
             # The last head may yet get company from the next batch.
-            first = batch.slice(int(heads[-1]), 1).select(names) if leads[-1] else None
+            first = batch.slice(int(heads[-1]), 1) if leads[-1] else None
         last = int(anchor[-1]), int(content[-1])
         kept = pa.array(opened | ~new_content)
-        found = batch.select(names).filter(kept)
-        yield pa.RecordBatch.from_arrays([*found.columns, pa.array(opened).filter(kept)], names=[*names, "open"])
+        found = batch.filter(kept)
+        yield pa.RecordBatch.from_arrays([*found.columns, pa.array(opened).filter(kept)], names=[*SEGMENT_NAMES, "open"])
 
 
 def _fetched(opened: DataFrame, texts: DataFrame) -> DataFrame:
@@ -254,8 +285,7 @@ def _by_hashes(open_segments: DataFrame) -> DataFrame:
 def _copies(texts: DataFrame) -> DataFrame:
     """key, start, end: bytes that copies cover, for texts of which no two are equal."""
     found = _segments(texts).repartition("anchor").sortWithinPartitions("anchor", "content", "key", "start")
-    segment_type = "anchor long, content long, key long, start long, size int, open boolean"
-    kept = materialize(found.mapInArrow(_sorted_out, segment_type), "repeat-segments")
+    kept = materialize(found.mapInArrow(_sorted_out, SEGMENT_TYPE.replace("done", "open")), "repeat-segments")
     whole = kept.where("NOT open").select("key", "start", (F.col("start") + F.col("size")).alias("end"))
     opened = kept.where("open").select("anchor", "key", "start", "size")
     crowd = opened.groupBy("anchor").agg(F.count(F.lit(1)).alias("company")).where(F.col("company") > GROUP)

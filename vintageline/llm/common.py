@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from vintageline.sources.snapshots import shared_folder
 
-__all__ = ["free_name", "is_training", "materialize", "partitions_for", "shared_folder", "slices", "table"]
+__all__ = ["free_name", "is_training", "materialize", "row_hash", "shared_folder", "slices", "table"]
 
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -45,12 +45,12 @@ def free_name(columns: Sequence[str], wanted: str) -> str:
     return wanted
 
 
-def partitions_for(rows: int, per_partition: int, least: int = 1) -> int:
-    """Number of partitions that hold at most ``per_partition`` rows on average."""
-    return max(least, -(-rows // per_partition))
-
-
 def is_training(key: str, modulo: int, held_out: int):
     """Whether crc32 of the key as text leaves another remainder than the held-out one; null keys train."""
     remainder = F.crc32(F.col(key).cast("string").cast("binary")) % modulo
     return F.coalesce(remainder != held_out, F.lit(True))
+
+
+def row_hash(frame: DataFrame):
+    """A hash of all columns; rows that share it and an identifier are equal, and one may stand for another."""
+    return F.xxhash64(*(F.col(c) for c in frame.columns))

@@ -19,11 +19,12 @@ mix. Other columns are not touched; ``mixed_documents`` returns them, whatever t
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vintageline.llm.common import WORD_PATTERN, free_name, materialize
+from vintageline.llm.common import WORD_PATTERN, free_name, materialize, row_hash
 
 # The weights that the sources get in turn.
 WEIGHTS = (3, 1, 2)
@@ -100,14 +101,17 @@ def _running(frame: DataFrame, groups: list[str], order: list, value: str, name:
 
 
 def mixed(
-    documents: DataFrame, share: float = SHARE, most: int = MOST, row: str | None = None
+    documents: DataFrame, share: float = SHARE, most: int = MOST, keep: Sequence[str] = ()
 ) -> DataFrame:
-    """One row per document: _row, doc_id, source, size, source_size, target, copies, taken.
-
-    ``row`` may name a column that identifies the rows; else they are numbered as they are read.
-    """
-    number = F.col(row) if row else F.monotonically_increasing_id()
-    sizes = documents.select(number.alias("_row"), "doc_id", "source", word_count().alias("size"))
+    """One row per document: doc_id, source, ``keep``, size, source_size, target, copies, taken."""
+    kept = {c: f"_k{i}" for i, c in enumerate(keep)}
+    sizes = documents.select(
+        F.monotonically_increasing_id().alias("_row"),
+        "doc_id",
+        "source",
+        *(F.col(c).alias(k) for c, k in kept.items()),
+        word_count().alias("size"),
+    )
     sized = materialize(sizes, "mix-sizes")
     rows, words = sized.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     slices = math.isqrt(rows) + 1
@@ -136,9 +140,9 @@ def mixed(
     )
     copies = F.coalesce(F.col("copies"), F.lit(0))
     return known.join(taken, F.col("_row") == F.col("_taken_row"), "left").select(
-        "_row",
         "doc_id",
         "source",
+        *(F.col(k).alias(c) for c, k in kept.items()),
         "size",
         "source_size",
         "target",
@@ -148,13 +152,23 @@ def mixed(
 
 
 def mixed_documents(documents: DataFrame, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """The documents as often as the mix takes them, with their own columns."""
-    name = free_name(documents.columns, "_mix_row")
-    stored = materialize(documents.withColumn(name, F.monotonically_increasing_id()), "mix-documents")
-    taken, times, copy = (free_name(documents.columns, c) for c in ("_taken_row", "_times", "_copy"))
-    decided = mixed(stored, share, most, name).where("copies > 0")
-    decided = decided.select(F.col("_row").alias(taken), F.col("copies").cast("int").alias(times))
-    chosen = stored.join(decided, F.col(name) == F.col(taken))
+    """The documents as often as the mix takes them, with their own columns.
+
+    Equal rows are interchangeable, so one of them is repeated as often as all of them are taken. The
+    texts cross one shuffle and are not written.
+    """
+    name, key, found, times, copy = (
+        free_name(documents.columns, c) for c in ("_hash", "_key", "_found", "_times", "_copy")
+    )
+    hashed = documents.withColumn(name, row_hash(documents))
+    decided = (
+        mixed(hashed, share, most, [name])
+        .groupBy(F.col("doc_id").alias(key), F.col(name).alias(found))
+        .agg(F.sum("copies").cast("int").alias(times))
+        .where(F.col(times) > 0)
+    )
+    same = F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(name) == F.col(found))
+    chosen = hashed.dropDuplicates(["doc_id", name]).join(decided, same)
     repeated = F.explode(F.array_repeat(F.lit(0), F.col(times))).alias(copy)
     return chosen.select(*documents.columns, repeated).drop(copy)
 

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from vintageline.llm.common import slices
 from vintageline.llm.tokens import worker_encoder
@@ -99,6 +100,9 @@ def packed(
     """The pieces of all documents: ``keep``, start, length, doc_tokens, sequence_id, offset, ids."""
     volume = documents.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()[0] or 0
     groups = max(1, -(-volume // group_bytes))
+    # Ids cross the shuffle in as few bytes as the vocabulary allows.
+    ids_used = max(Tokenizer.from_file(tokenizer).get_vocab_size(), separator_id + 1)
+    stored = np.dtype("<u2" if ids_used <= 1 << 16 else "<u4")
     kept = [f"_k{i}" for i in range(len(keep))]
     numbered = documents.select(
         *(F.col(c).alias(k) for c, k in zip(keep, kept)),
@@ -116,7 +120,7 @@ def packed(
         encoder = worker_encoder(tokenizer)
         for batch in slices(batches):
             ids, ends = encoder.encode(batch.column("_text").to_pylist())
-            small = np.insert(ids, ends, separator_id).astype("<u4")
+            small = np.insert(ids, ends, separator_id).astype(stored)
             limits = np.concatenate([[0], ends + np.arange(1, batch.num_rows + 1)])
             rows = [small[a:b].tobytes() for a, b in zip(limits[:-1], limits[1:])]
             columns = [batch.column(c) for c in (*kept, "_group")]
@@ -125,7 +129,7 @@ def packed(
     def pack(group: pa.Table) -> pa.Table:
         number = group.column("_group")[0].as_py()
         ids = group.column("_ids").to_pylist()
-        lengths = [len(i) // 4 for i in ids]
+        lengths = [len(i) // stored.itemsize for i in ids]
         placed = place_pieces(lengths, capacity)
         taken = group.select(kept).take(pa.array([p[0] for p in placed], pa.int64()))
         numbers = [
@@ -135,7 +139,8 @@ def packed(
             [(number << 32) + p[3] for p in placed],
             [p[4] for p in placed],
         ]
-        cut = pa.array((ids[d][4 * a : 4 * (a + n)] for d, a, n, _, _ in placed), pa.binary())
+        wide = [np.frombuffer(i, stored).astype("<u4") for i in ids]
+        cut = pa.array((wide[d][a : a + n].tobytes() for d, a, n, _, _ in placed), pa.binary())
         return pa.table([*taken.columns, *(pa.array(n, pa.int64()) for n in numbers), cut], names=names)
 
     pieces = numbered.mapInArrow(encode, encoded_type).groupBy("_group").applyInArrow(pack, piece_type)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vintageline.llm.common import free_name, materialize, slices
+from vintageline.llm.common import free_name, materialize, row_hash, slices
 from vintageline.llm.components import components
 
 SHINGLE_WORDS = 4
@@ -154,13 +154,19 @@ def near_duplicates(documents: DataFrame, radius: int = RADIUS, keep: Sequence[s
 
 
 def first_of_each(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The documents with one row of each near-duplicate group, that of smallest doc_id (nulls last), first read."""
-    name, found = free_name(documents.columns, "_row"), free_name(documents.columns, "_kept")
-    numbered = materialize(documents.withColumn(name, F.monotonically_increasing_id()), "simhash-documents")
-    grouped = near_duplicates(numbered, radius, ["doc_id", name])
+    """The documents with one row of each near-duplicate group, that of smallest doc_id (nulls last).
+
+    Rows of one doc_id are told apart by a hash of all columns; equal rows are in one group anyway. The
+    texts cross one shuffle and are not written.
+    """
+    name, key, found = (free_name(documents.columns, c) for c in ("_hash", "_key", "_found"))
+    hashed = documents.withColumn(name, row_hash(documents))
+    grouped = near_duplicates(hashed, radius, ["doc_id", name])
     order = F.struct(F.col("doc_id").isNull(), "doc_id", name)
-    kept = grouped.groupBy("component").agg(F.min(order)[name].alias(found)).select(found)
-    return numbered.join(kept, F.col(name) == F.col(found), "left_semi").select(*documents.columns)
+    first = grouped.groupBy("component").agg(F.min(order).alias("first"))
+    kept = first.select(F.col("first.doc_id").alias(key), F.col(f"first.{name}").alias(found))
+    same = F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(name) == F.col(found))
+    return hashed.join(kept, same, "left_semi").dropDuplicates(["doc_id", name]).select(*documents.columns)
 
 
 def simhash_digest(documents: DataFrame) -> DataFrame:

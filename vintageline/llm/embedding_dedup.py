@@ -254,3 +254,23 @@ def near_vectors(
         "component_id",
         F.col("id").eqNullSafe(F.col("component_id")).alias("kept"),
     )
+
+
+LINKS_SQL = f"""
+WITH RECURSIVE marked AS (
+    SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS e,
+           coalesce(len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                    AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false) AS ok
+    FROM embeddings),
+good AS (SELECT * FROM marked WHERE ok),
+links AS (
+    SELECT a.r AS a, b.r AS b FROM good a JOIN good b
+    ON a.r <> b.r AND list_cosine_similarity(a.e, b.e) >= {COSINE}),
+reach AS (
+    SELECT r AS a, r AS b FROM marked
+    UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+named AS (SELECT a, min(vec_id) AS component_id FROM reach JOIN marked ON b = r GROUP BY a),
+counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT m.vec_id, coalesce(c.n, 0)::BIGINT AS n_links, n.component_id, m.vec_id = n.component_id AS kept
+FROM marked m JOIN named n ON n.a = m.r LEFT JOIN counted c ON c.a = m.r
+"""

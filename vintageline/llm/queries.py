@@ -8,13 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from vintageline.llm.common import table
-from vintageline.llm.embedding_dedup import near_vectors
+from vintageline.llm.embedding_dedup import LINKS_SQL, near_vectors
 from vintageline.llm.language import language_digest
 from vintageline.llm.mixing import MIX_SQL, mix_digest
 from vintageline.llm.neighbours import nearest_digest
 from vintageline.llm.packing import packing_digest
 from vintageline.llm.pii import pii_digest
-from vintageline.llm.repeats import repeats_digest
+from vintageline.llm.repeats import REPEATS_SQL, repeats_digest
 from vintageline.llm.scoring import scored
 from vintageline.llm.simhash import simhash_digest
 from vintageline.llm.token_files import token_file_digest
@@ -42,5 +42,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 TWINS: dict[str, str] = {
+    "op1_near_vectors": LINKS_SQL,
     "op5_mix_sources": MIX_SQL,
+    "op8_repeats": REPEATS_SQL,
 }

@@ -344,3 +344,32 @@ def repeats_digest(documents: DataFrame) -> DataFrame:
         F.size("removed").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+REPEATS_SQL = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+parts AS (
+    SELECT doc_id, c * 256 AS base, substr(h, c * 512 + 1, {2 * (WIDTH + 255)}) AS part
+    FROM d, unnest(range(len(h) // 512 + 1)) t(c)),
+strings AS (
+    SELECT doc_id, base + k AS i, substr(part, 2 * k + 1, {2 * WIDTH}) AS s
+    FROM parts, unnest(range(256)) t(k) WHERE 2 * k + {2 * WIDTH} <= len(part)),
+copies AS (
+    SELECT doc_id, i FROM strings
+    QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1),
+headed AS (
+    SELECT *, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {WIDTH}, true)::INT AS head FROM copies),
+numbered AS (SELECT *, sum(head) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM headed),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + {WIDTH} AS b FROM numbered GROUP BY doc_id, span),
+gaps AS (
+    SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM spans
+    UNION ALL
+    SELECT d.doc_id, coalesce(max(s.b), 0), max(len(h)) // 2 FROM d LEFT JOIN spans s USING (doc_id) GROUP BY d.doc_id),
+kept AS (
+    SELECT doc_id, string_agg(substr(h, (2 * a + 1)::BIGINT, (2 * (b - a))::BIGINT), '' ORDER BY a) AS k
+    FROM gaps JOIN d USING (doc_id) GROUP BY doc_id),
+totals AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS n FROM spans GROUP BY doc_id)
+SELECT d.doc_id, (len(d.h) // 2)::BIGINT AS n_bytes, coalesce(t.removed, 0)::BIGINT AS n_removed,
+       coalesce(t.n, 0)::BIGINT AS n_spans, sha256(unhex(kept.k)) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN totals t USING (doc_id)
+"""

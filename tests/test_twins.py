@@ -13,15 +13,8 @@ def db():
     return database(FOLDER)
 
 
-# Model fits without a twin; test_models.py fits the same models and checks what they promise.
-FITTED = {
-    "mod2_fitted_bins", "mod4_scorecard_fit", "mod5_hazard_fit", "mod6_7_challenger_fit",
-    "mod12_feature_importance", "val4_challenger_sweeps", "x17_scored_portfolio",
-}
-
-
 # The corpus operators have tests of their own.
-@pytest.mark.parametrize("name", [n for n in registered.queries() if n not in FITTED and n not in registered.LLM_QUERIES])
+@pytest.mark.parametrize("name", [n for n in registered.queries() if n not in registered.LLM_QUERIES])
 def test_query_matches_twin(spark, db, name):
     verdict, rows, _ = compare(spark, db, FOLDER, name)
     assert verdict in ("ok", "rows-only"), verdict

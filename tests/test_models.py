@@ -11,9 +11,10 @@ from vintageline.models.challenger import Calibrated, StepModel, calibrate, dire
 from vintageline.models.frame import feature_list_hash, loan_sample, require_both_classes, require_no_outcomes
 from vintageline.models.hazard import fit_hazard, spline_basis
 from vintageline.models.scorecard import FACTOR, OFFSET, fit_scorecard
+from vintageline.models.store import load_models, store_models
 from vintageline.plans.training import record_evidence, train_baseline_models, train_challenger
-from vintageline.queries.model_queries import fixed_hazard
 from vintageline.portfolio.loss import loss_given_default, model_term_structure
+from vintageline.queries.model_queries import fixed_hazard, fixed_scorecard
 from vintageline.settings import FEATURES, RISK_DIRECTION, TARGET_12M
 from vintageline.validation.bootstrap import (
     PRIME,
@@ -243,6 +244,18 @@ def test_bootstrap_guards(spark):
             require_interval(rows, "y", "good", "flat", **wrong)
 
 
+def test_stored_models_come_back_equal(spark, folder):
+    steps = StepModel({"OLTV": (60.0, 80.0)}, {"OLTV": (0.1, 0.25)}, {"OLTV": -0.3}, -2.0)
+    models = {
+        "card": fixed_scorecard(),
+        "hazard": fixed_hazard(),
+        "steps": steps,
+        "challenger": Calibrated(steps, 4.5, -3.1),
+    }
+    assert store_models(spark, models, f"{folder}/models", {"gold": 3}) == 0
+    assert load_models(spark, f"{folder}/models") == models
+
+
 def test_sample_keeps_whole_loans(spark):
     rows = spark.range(4000).selectExpr("concat('L', id % 400) AS LOAN_ID")
     for portable in (True, False):

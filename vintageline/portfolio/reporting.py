@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vintageline.models.challenger import Calibrated
 from vintageline.models.hazard import HazardModel
 from vintageline.models.scorecard import Scorecard
 from vintageline.portfolio.loss import exposure_at_default
@@ -17,9 +18,15 @@ SCORED_COLUMNS = (
 )
 
 
-def scored_portfolio(gold: DataFrame, card: Scorecard, hazard: HazardModel) -> DataFrame:
-    """Points, 12-month PD, next-month hazard and exposure per loan-month; a map without any shuffle."""
-    scored = hazard.predict(card.points(card.predict(gold, "PD_12M")), "HAZARD_NEXT_MONTH")
+def scored_portfolio(
+    gold: DataFrame, card: Scorecard, hazard: HazardModel, challenger: Calibrated | None = None
+) -> DataFrame:
+    """Points, 12-month PD, next-month hazard and exposure per loan-month; a map without any shuffle.
+
+    The PD is the challenger's where one was selected, else the scorecard's; points are the scorecard's.
+    """
+    selected = card if challenger is None else challenger
+    scored = hazard.predict(card.points(selected.predict(gold, "PD_12M")), "HAZARD_NEXT_MONTH")
     return exposure_at_default(scored).select(*SCORED_COLUMNS)
 
 

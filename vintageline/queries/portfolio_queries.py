@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from vintageline.models.frame import hazard_rows, labelled_rows
 from vintageline.models.hazard import fit_hazard
 from vintageline.models.scorecard import fit_scorecard
+from vintageline.models.store import load_models, store_models
 from vintageline.operators.quality import quality_report
 from vintageline.operators.splits import assign_splits
 from vintageline.operators.survival import survival_panel
@@ -32,7 +33,7 @@ from vintageline.portfolio.segments import (
     proxy_groups,
     stress_table,
 )
-from vintageline.queries.inputs import gold, panel, query, rounded, table
+from vintageline.queries.inputs import gold, panel, query, rounded, table, use_scratch
 from vintageline.queries.model_queries import (
     FIXED_POINTS,
     _auc_sql,
@@ -278,6 +279,22 @@ def x17_scored_portfolio_given_models(spark, folder):
     return rounded(scored_portfolio(scored_panel(spark, folder), fixed_scorecard(), fixed_hazard()))
 
 
+@query(
+    "mod11_stored_models",
+    with_scores(
+        f"""SELECT LOAN_ID, ACT_PERIOD, ACQUISITION_QUARTER, MODELLING_SPLIT, round({FIXED_POINTS}, 6) AS SCORE,
+        round(1 / (1 + exp(-({FIXED_POINTS} - {600 - 20 / 0.6931471805599453 * 3.912023005428146!r}) / -{20 / 0.6931471805599453!r})), 6) AS PD_12M,
+        round({_FIXED_HAZARD}, 6) AS HAZARD_NEXT_MONTH, round(CURRENT_UPB, 6) AS EAD FROM scored"""
+    ),
+)
+def mod11_stored_models(spark, folder):
+    """Scored portfolio of given models that were stored as a table and read back."""
+    path = f"{use_scratch(spark)}/models"
+    store_models(spark, {"card": fixed_scorecard(), "hazard": fixed_hazard()}, path)
+    models = load_models(spark, path)
+    return rounded(scored_portfolio(scored_panel(spark, folder), models["card"], models["hazard"]))
+
+
 @query("x17_scored_portfolio")
 def x17_scored_portfolio(spark, folder):
     """Scored portfolio of models fitted on the training rows."""

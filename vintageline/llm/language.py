@@ -184,7 +184,7 @@ class LanguageModel:
 class Predictor:
     """Scores texts with a model, remembering words up to a bound that only sets the speed."""
 
-    def __init__(self, model: LanguageModel, most_words: int = 400_000):
+    def __init__(self, model: LanguageModel, most_words: int = 250_000):
         self.model, self.most_words = model, most_words
         self._forget()
 

@@ -44,7 +44,7 @@ class WordEncoder:
     different words. Strings of special tokens in a text are ordinary text. A null text is empty.
     """
 
-    def __init__(self, path: str, most_words: int = 400_000, most_ids: int = 6_000_000):
+    def __init__(self, path: str, most_words: int = 280_000, most_ids: int = 4_000_000):
         # Tasks already fill the cores.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -93,6 +93,8 @@ class WordEncoder:
     def _learn(self, words: list[str]) -> None:
         tails = [None if w.isalpha() else _TAIL.search(w) for w in words]
         split = [(w[: t.start()], t.group()) if t else (w, "") for w, t in zip(words, tails)]
+        if len(self.parts) > self.most_words // 2:
+            self.parts = {}
         self._learn_parts([p for p in dict.fromkeys(chain.from_iterable(split)) if p not in self.parts])
         parts = self.parts
         found = [parts[a] + parts[b] if b else parts[a] for a, b in split]

@@ -21,14 +21,14 @@ METRICS = (
 TOLERANCES = dict(zip(METRICS, (0.0, 0.5, 0.5, 0.5, 0.05, 0.05, 0.05, 0.05)))
 
 # Published rows, one per origination year and the total, metrics in the order above.
-PUBLISHED_ROWS = """
-2005   1446003   252235  174436  721  69.7  71.7  37.6  5.8
-2007   1252409   245723  196200  719  72.2  74.3  38.9  6.3
-2012   2680144   608112  226895  766  68.9  70.2  31.1  3.6
-2016   2353822   555054  235810  752  73.6  74.3  33.5  3.7
-2018   1787453   419624  234761  743  77.8  78.3  37.6  4.8
-Total 57864281 12724660  219905  747  71.9  72.7  34.6  4.7
-"""
+PUBLISHED_ROWS = (
+    ("2005", 1446003, 252235, 174436, 721, 69.7, 71.7, 37.6, 5.8),
+    ("2007", 1252409, 245723, 196200, 719, 72.2, 74.3, 38.9, 6.3),
+    ("2012", 2680144, 608112, 226895, 766, 68.9, 70.2, 31.1, 3.6),
+    ("2016", 2353822, 555054, 235810, 752, 73.6, 74.3, 33.5, 3.7),
+    ("2018", 1787453, 419624, 234761, 743, 77.8, 78.3, 37.6, 4.8),
+    ("Total", 57864281, 12724660, 219905, 747, 71.9, 72.7, 34.6, 4.7),
+)
 PUBLISHED_QUARTERS = [f"{y}Q{q}" for y in range(2000, 2026) for q in (1, 2, 3, 4)] + ["2026Q1"]
 
 
@@ -123,10 +123,7 @@ def require_population(silver: DataFrame, quarters: Iterable[str] = PUBLISHED_QU
 
 def published_table(spark: SparkSession) -> DataFrame:
     """The pinned published rows as a frame."""
-    rows = []
-    for line in PUBLISHED_ROWS.strip().splitlines():
-        year, count, *values = line.split()
-        rows.append((year, int(count), *map(float, values)))
+    rows = [(year, count, *map(float, values)) for year, count, *values in PUBLISHED_ROWS]
     columns = ", ".join(f"{m} {'bigint' if m == 'LOAN_COUNT' else 'double'}" for m in METRICS)
     return spark.createDataFrame(rows, f"ORIGINATION_YEAR string, {columns}")
 

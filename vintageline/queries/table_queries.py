@@ -644,8 +644,7 @@ def agg5_population_differences(spark, folder):
 
 def _published_values() -> str:
     rows = []
-    for line in PUBLISHED_ROWS.strip().splitlines():
-        year, *values = line.split()
+    for year, *values in PUBLISHED_ROWS:
         rows.append("('" + year + "', " + ", ".join(f"{v}::DOUBLE" for v in values) + ")")
     return ", ".join(rows)
 

@@ -49,11 +49,15 @@ READERS = {
 }
 
 
+def parameters_of(model: Model) -> str:
+    return json.dumps(asdict(model), default=float)
+
+
 def store_models(
     spark: SparkSession, models: Mapping[str, Model], path: str, sources: Mapping[str, int] | None = None
 ) -> int:
     """Publish the models under their names as the next version of the table at ``path``."""
-    rows = [(name, type(m).__name__, json.dumps(asdict(m), default=float)) for name, m in models.items()]
+    rows = [(name, type(m).__name__, parameters_of(m)) for name, m in models.items()]
     return publish(spark.createDataFrame(rows, MODEL_TABLE).coalesce(1), path, sources)
 
 

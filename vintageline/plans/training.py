@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
-import uuid
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 from vintageline.models.baseline import MarginalRates, fit_marginal_rates, require_usable
 from vintageline.models.challenger import Calibrated, StepModel, calibrate, directions_of, fit_steps
@@ -21,11 +23,13 @@ from vintageline.models.frame import (
 )
 from vintageline.models.hazard import HazardModel, feature_medians, fit_hazard
 from vintageline.models.scorecard import Scorecard, fit_scorecard
+from vintageline.models.store import parameters_of
 from vintageline.settings import (
     BOOTSTRAP_REPLICATES,
     FEATURES,
     RISK_DIRECTION,
     SAMPLE_BUCKETS,
+    SEED,
     TARGET_12M,
     TARGET_NEXT,
     TRAIN_END,
@@ -86,6 +90,21 @@ def _auc(rows: DataFrame, target: str, score: str) -> float:
     return auc(rows, target, score).first().auc
 
 
+def _aucs(rows: DataFrame, target: str, scores: Mapping[str, str]) -> dict[str, float]:
+    """AUC of several scores of the same rows, ranked in one job."""
+    models = F.array(
+        *(F.struct(F.lit(name).alias("model"), F.col(c).cast("double").alias("score")) for name, c in scores.items())
+    )
+    ranked = auc(rows.select(target, F.inline(models)), target, "score", ("model",))
+    return {r["model"]: r["auc"] for r in ranked.collect()}
+
+
+def _run_id(kind: str, gold_version: int, replicates: int, portable: bool) -> str:
+    """The same inputs and settings make the same run."""
+    parts = (kind, gold_version, feature_list_hash(), SEED, replicates, portable)
+    return hashlib.sha256("|".join(map(str, parts)).encode()).hexdigest()[:32]
+
+
 def _interval_metrics(row: Row) -> dict[str, float]:
     return {
         "gini_improvement": row.estimate,
@@ -150,8 +169,10 @@ def train_baseline_models(
         scored, TARGET_12M, "scorecard_probability", "baseline_probability",
         replicates=replicates, portable=portable,
     )
-    baseline_auc = _auc(scored, TARGET_12M, "baseline_probability")
-    scorecard_auc = _auc(scored, TARGET_12M, "scorecard_probability")
+    aucs = _aucs(
+        scored, TARGET_12M, {"baseline": "baseline_probability", "scorecard": "scorecard_probability"}
+    )
+    baseline_auc, scorecard_auc = aucs["baseline"], aucs["scorecard"]
     metrics = {
         "baseline_auc": baseline_auc,
         "baseline_gini": 2 * baseline_auc - 1,
@@ -160,7 +181,7 @@ def train_baseline_models(
         "hazard_auc": _auc(hazard.predict(hazard_valid), TARGET_NEXT, "hazard_probability"),
         **_interval_metrics(gain),
     }
-    run_id = uuid.uuid4().hex
+    run_id = _run_id("baseline", gold_version, replicates, portable)
     sections = _common_contract(frame, gold_version)
     sections["targets"] = {"scorecard": TARGET_12M, "hazard": TARGET_NEXT}
     sections["metric"] = metrics
@@ -168,6 +189,7 @@ def train_baseline_models(
         f: {"cuts": b.cuts, "woe": b.woe, "missing_woe": b.missing_woe, "coefficient": scorecard.coefficients[f]}
         for f, b in scorecard.bins.items()
     } | {"intercept": scorecard.intercept}
+    sections["model"] = {"scorecard": parameters_of(scorecard), "hazard": parameters_of(hazard)}
     return BaselineRun(
         run_id, gold_version, baseline, scorecard, hazard, metrics, _evidence(run_id, sections)
     )
@@ -194,19 +216,20 @@ def train_challenger(
         scored, TARGET_12M, "challenger_probability", "scorecard_probability",
         replicates=replicates, portable=portable,
     )
-    aucs = {
-        name: _auc(scored, TARGET_12M, column)
-        for name, column in (
-            ("scorecard", "scorecard_probability"),
-            ("challenger_raw", "challenger_raw"),
-            ("challenger_calibrated", "challenger_probability"),
-        )
-    }
+    aucs = _aucs(
+        scored,
+        TARGET_12M,
+        {
+            "scorecard": "scorecard_probability",
+            "challenger_raw": "challenger_raw",
+            "challenger_calibrated": "challenger_probability",
+        },
+    )
     errors = brier_change(scored, TARGET_12M, "challenger_raw", "challenger_probability").first()
     metrics = {f"{name}_auc": value for name, value in aucs.items()}
     metrics |= {f"{name}_gini": 2 * value - 1 for name, value in aucs.items()}
     metrics |= errors.asDict() | _interval_metrics(gain)
-    run_id = uuid.uuid4().hex
+    run_id = _run_id("challenger", gold_version, replicates, portable)
     sections = _common_contract(frame, gold_version)
     sections["calibration"] = {
         "method": "sigmoid", "fitted_on": "validation", "evaluated_on": "out_of_time",
@@ -220,6 +243,7 @@ def train_challenger(
         "selected_model": "challenger" if gain.lower > 0 else "scorecard",
         "rule": "challenger when the lower bound of its Gini gain is above zero",
     }
+    sections["model"] = {"scorecard": parameters_of(scorecard), "challenger": parameters_of(calibrated)}
     return ChallengerRun(
         run_id, gold_version, scorecard, raw, calibrated, metrics, sweeps, _evidence(run_id, sections)
     )

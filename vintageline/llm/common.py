@@ -11,11 +11,7 @@ from pyspark.sql import functions as F
 
 from vintageline.sources.snapshots import shared_folder
 
-__all__ = ["free_name", "is_training", "materialize", "row_hash", "shared_folder", "slices", "table"]
-
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-ASCII_LOWER = str.maketrans(UPPER, UPPER.lower())
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -120,11 +120,11 @@ class WordEncoder:
         return self.ids[where], text_ends
 
 
-def worker_encoder(path: str) -> WordEncoder:
+def worker_encoder(path: str, most_words: int = 280_000) -> WordEncoder:
     """The worker process's own encoder, which keeps its words from task to task."""
     import tokenizers
 
     kept = vars(tokenizers).setdefault("_word_encoders", {})
-    if path not in kept:
-        kept[path] = WordEncoder(path)
-    return kept[path]
+    if (path, most_words) not in kept:
+        kept[path, most_words] = WordEncoder(path, most_words, 15 * most_words)
+    return kept[path, most_words]

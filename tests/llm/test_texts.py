@@ -328,6 +328,36 @@ def test_automaton_is_a_distribution():
     )
 
 
+def test_every_repeated_gram_is_kept(spark):
+    # A phrase of rare words twice among many other words: far under any share of the tokens, seen in two blocks.
+    rng = random.Random(4)
+    rows = [(k, " ".join(f"w{int(rng.paretovariate(0.6))}" for _ in range(rng.randrange(300)))) for k in range(400)]
+    rows += [(k, f"once{k} quartz violet lantern zephyr twice{k}") for k in (1001, 1002, 1003)] + [(None, ""), (7, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = [[*WORDS.findall(lower(t)), None] for _, t in rows]
+    trains = [d is None or zlib.crc32(str(d).encode()) % 10 != 0 for d, _ in rows]
+    counts = collections.Counter(w for ws, t in zip(texts, trains) if t for w in ws)
+    numbers = {w: k for k, w in enumerate(counts)}
+    size = len(numbers)
+    ids = [[numbers.get(w, -1) for w in ws] for ws in texts]
+    grams = [
+        collections.Counter(g for ws, t in zip(ids, trains) if t for g in zip(*(ws[k:] for k in range(order))))
+        for order in (2, 3)
+    ]
+    pairs = sorted((a * size + b, n) for (a, b), n in grams[0].items() if n >= 2)
+    place = {p: k for k, (p, _) in enumerate(pairs)}
+    triples = sorted((place[a * size + b] * size + c, n) for (a, b, c), n in grams[1].items() if n >= 2)
+    tokens = sum(counts.values())
+    columns = (np.array([x[k] for x in gram], np.int64) for gram in (pairs, triples) for k in (0, 1))
+    automaton = scoring.Automaton(np.array(list(counts.values())), tokens, size, size, *columns)
+    unseen = math.log10(0.1 / (tokens + 0.1 * (size + 1)))
+    expected = sorted((d or -1, round(automaton.walk(ws) + unseen * ws.count(-1), 6)) for (d, _), ws in zip(rows, ids))
+    for limits in ({}, {"block_tokens": 500, "shard_tokens": 3000}):
+        got = sorted((r.doc_id or -1, round(r.score, 6)) for r in scoring.scored(frame, **limits).collect())
+        assert [d for d, _ in got] == [d for d, _ in expected]
+        assert [s for _, s in got] == pytest.approx([s for _, s in expected], abs=2e-6)
+
+
 # -- repeated passages
 
 

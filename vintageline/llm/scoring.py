@@ -1,21 +1,25 @@
-"""Language-model scores (operator 7) by a weighted backoff automaton over words.
+"""Language-model scores (operator 7) by a backoff model over words, their pairs and triples.
 
-Counting. Every distinct word of the training texts is counted. Words that make up at least ``WORD_SHARE`` of
-all tokens are frequent, of which there can be 1 / WORD_SHARE at most; pairs and triples of them are counted
-too, and those that make up ``GRAM_SHARE`` or more (and occur at least twice) become states and arcs of the
-automaton, again at most 1 / GRAM_SHARE of each. The shares hold at every size, so the automaton is small
-enough to send to all tasks whatever the corpus, while all counts and all words' probabilities come from
-the whole of it.
+Counting. Every distinct word of the training texts is counted, and every pair and triple of words that occurs
+there ``LEAST_GRAM`` times or more is kept, whatever its words; so the model grows with the corpus, and no part
+of it is sent to all tasks. Texts are held in blocks of about ``BLOCK_TOKENS``. A block sends its distinct
+grams, hashed to 64 bits, and how often its training texts hold them to shards of the hash space as packed
+sorted arrays; a shard adds up what all blocks sent and answers each block in the order in which it asked.
+A gram is one entry per block, so none is hot, and shards are even, since hashes are.
 
-Scoring. The state is the longest kept n-gram that ends in the words read so far. A word with an arc takes
-it; else failure arcs add their backoff weight and shorten the context, down to the root, where the word
-costs its smoothed unigram probability. One pass from left to right carries the state and adds log10
-probabilities. The unigram counts of words that are not frequent are joined to the documents by the word, as
-one row per document and word; none of them makes up more than WORD_SHARE of the tokens, so no key is hot.
+1. Words and pairs are counted.
+2. Triples of kept pairs are counted. The first block that holds a kept pair adds its part to the backoff
+   weight of its first word.
+3. The first block that holds a kept triple adds its part to the backoff weight of its first pair.
+4. With these answers each block scores its texts.
 
-Seen n-grams are discounted by ``DISCOUNT``; the backoff weights spread what is left over the words without
-an arc, so the probabilities of all words after any context sum to one, unseen words together counting as one
-more word. Words are hashed to 64 bits.
+Scoring. A word costs its probability after the longest kept gram that ends in it; each shorter context adds the
+backoff weight of the longer one, if that is the context of any kept gram, down to the smoothed unigram
+probability. That is the sum that ``Automaton`` walks along.
+
+Seen n-grams are discounted by ``DISCOUNT``; the backoff weights spread what is left over the words that were
+not seen there, so the probabilities of all words after any context sum to one, unseen words together counting
+as one more word.
 
 A null or empty text is its end alone. Rows are scored one by one: repeated rows get equal scores, and train
 as often as they occur. A null doc_id trains and is not held out. Without training texts every score is 0.
@@ -24,20 +28,20 @@ An empty table gives an empty result. Other columns are not read.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructType
 
 from vintageline.llm.common import is_training, materialize, slices
 
-WORD_SHARE = 2.5e-7
-GRAM_SHARE = 1e-5
+LEAST_GRAM = 2
+BLOCK_TOKENS = 1_000_000
+SHARD_TOKENS = 2_000_000
 SMOOTHING = 0.1
 DISCOUNT = 0.5
 # Hash that stands for the end of a text; a word that hashes to it is counted with it.
@@ -49,94 +53,237 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
-def word_hash(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word) - (1 << 63)
-
-
-def word_counts(texts: DataFrame) -> DataFrame:
-    """word (hash), n: occurrences of every distinct word."""
-
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 5000):
-            seen = Counter(chain.from_iterable(map(words_of, batch.column("text").to_pylist())))
-            columns = [pa.array(map(word_hash, seen), pa.int64()), pa.array(seen.values(), pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["word", "n"])
-
-    counted = texts.select("text").mapInArrow(count, "word long, n long")
-    return counted.groupBy("word").agg(F.sum("n").alias("n"))
+def packed(values: np.ndarray) -> bytes:
+    """Numbers byte by byte, all first bytes first, so that the bytes that say little shrink."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
 
 
-class _Numbers(dict):
-    """Number of each word asked for: its place among the frequent words, or -1; remembers hashes of the others."""
+def unpacked(data: bytes, kind: type) -> np.ndarray:
+    size = int.from_bytes(data[:8], "little")
+    planes = pa.decompress(data[8:], size, "zstd", asbytes=True) if size else b""
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
-    def __init__(self, hashes: np.ndarray):
-        order = np.argsort(hashes)
-        self.sorted, self.order, self.rare = hashes[order], order, {}
 
-    def __missing__(self, word: bytes) -> int:
-        digest = word_hash(word)
-        at = int(np.searchsorted(self.sorted, digest))
-        known = at < len(self.sorted) and self.sorted[at] == digest
-        if not known:
-            self.rare[word] = digest
-        number = self[word] = int(self.order[at]) if known else -1
-        return number
+def chained(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """64-bit hash of a context's hash and a word's."""
+    mixed = context * np.uint64(0x9E3779B97F4A7C15) + word
+    for factor in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F):
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(factor)
+    return mixed ^ (mixed >> np.uint64(32))
 
 
-def numbered(documents: DataFrame, hashes: np.ndarray, end: int, most_words: int = 400_000) -> DataFrame:
-    """row, doc_id, training, ids, rare: texts as numbers of frequent words (int32, the end last) and hashes of the others."""
-    shared = documents.sparkSession.sparkContext.broadcast(hashes)
+def _blocks(documents: DataFrame, most: int) -> DataFrame:
+    """block, doc_ids, training, sizes, ids, words: some thousand texts as places in the block's sorted word hashes."""
     rows = documents.select(
         F.monotonically_increasing_id().alias("row"), "doc_id", is_training("doc_id", 10, 0).alias("training"), "text"
     )
-
-    def number(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Numbers(shared.value)
-        for batch in slices(batches, 1000):
-            if len(known) > most_words:
-                known = _Numbers(shared.value)
-            ids, rare = [], []
+    id_type = rows.schema["doc_id"].dataType
+
+    def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        numbers: dict[bytes, int] = {}
+        ids: list[int] = []
+        sizes: list[int] = []
+
+        def block() -> pa.RecordBatch:
+            # Two words of one hash are one word.
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, numbers), np.uint64, len(numbers))
+            words, place = np.unique(np.append(hashes, np.uint64(END)), return_inverse=True)
+            texts = place[np.array(ids, np.int64)].astype(np.int32)
+            table = pa.Table.from_batches(held).combine_chunks()
+            doc_ids, training = (table.column(c).combine_chunks() for c in ("doc_id", "training"))
+            columns = [pa.array([table.column("row")[0].as_py()], pa.int64())]
+            columns += [pa.ListArray.from_arrays(pa.array([0, len(sizes)], pa.int32()), c) for c in (doc_ids, training, pa.array(sizes, pa.int32()))]
+            columns += [pa.array([packed(texts)], pa.binary()), pa.array([packed(words)], pa.binary())]
+            for kept in (held, numbers, ids, sizes):
+                kept.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["block", "doc_ids", "training", "sizes", "ids", "words"])
+
+        for batch in slices(batches, 20):
             for text in batch.column("text").to_pylist():
                 words = words_of(text)
-                own = [known[w] for w in words]
-                rare.append(np.array([known.rare[w] for w, i in zip(words, own) if i < 0], np.int64).tobytes())
-                own.append(end)
-                ids.append(np.array(own, np.int32).tobytes())
-            columns = [*(batch.column(c) for c in ("row", "doc_id", "training")), pa.array(ids), pa.array(rare)]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "training", "ids", "rare"])
-
-    schema = rows.drop("text").schema.add("ids", "binary").add("rare", "binary")
-    return rows.mapInArrow(number, schema)
-
-
-def _joined(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.int32).astype(np.int64)
-
-
-def gram_counts(texts: DataFrame, words: int, end: int, pairs: np.ndarray | None = None) -> DataFrame:
-    """gram, n: pairs of the first ``words`` numbers as first * words + second; given kept ``pairs`` (sorted),
-    triples as the place of the first pair among them, times words, plus the third. Nothing crosses an end."""
-
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 5000):
-            ids = _joined(batch.column("ids"))
-            usable = (ids >= 0) & (ids < words)
-            here = usable[:-1] & usable[1:] & (ids[:-1] != end)
-            grams = ids[:-1] * words + ids[1:]
-            if pairs is not None:
-                place = np.minimum(np.searchsorted(pairs, grams), len(pairs) - 1)
-                kept = here & (pairs[place] == grams)
-                here = kept[:-1] & kept[1:]
-                grams = place[:-1] * words + ids[2:]
-            found, times = np.unique(grams[here], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(times)], names=["gram", "n"])
-
-    counted = texts.select("ids").mapInArrow(count, "gram long, n long")
-    return counted.groupBy("gram").agg(F.sum("n").alias("n"))
+                ids.extend([numbers.setdefault(w, len(numbers)) for w in words])
+                ids.append(-1)
+                sizes.append(len(words) + 1)
+            held.append(batch.select(["row", "doc_id", "training"]))
+            if len(ids) >= most:
+                yield block()
+        if held:
+            yield block()
+
+    schema = StructType().add("block", "long").add("doc_ids", ArrayType(id_type)).add("training", ArrayType(BooleanType()))
+    schema = schema.add("sizes", ArrayType(IntegerType())).add("ids", "binary").add("words", "binary")
+    return rows.mapInArrow(build, schema)
+
+
+class _Block:
+    """One block's texts, and what the answers so far say about them."""
+
+    def __init__(self, row: dict, totals: tuple[int, int]):
+        self.row = row
+        self.words = unpacked(row["words"], np.uint64)
+        self.ids = unpacked(row["ids"], np.int32).astype(np.int64)
+        self.trains = np.repeat(np.array(row["training"], bool), row["sizes"])
+        inner = self.words[self.ids] != END
+        # Places where a pair or triple starts; pairs are named by their places in ``pairs``.
+        self.at = np.nonzero(inner[:-1])[0]
+        found = chained(self.words[self.ids[self.at]], self.words[self.ids[self.at + 1]])
+        self.pairs, first, self.pair = np.unique(found, return_index=True, return_inverse=True)
+        self.first, self.second = self.ids[self.at[first]], self.ids[self.at[first] + 1]
+        self.totals = totals
+
+    def weighed(self, places: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+        return np.bincount(places, self.trains[at], size).astype(np.int64)
+
+    def ask_words(self):
+        """Keys, and how often the training texts hold them; likewise pairs and triples."""
+        return self.words, self.weighed(self.ids, np.arange(len(self.ids)), len(self.words))
+
+    def ask_pairs(self):
+        return self.pairs, self.weighed(self.pair, self.at, len(self.pairs))
+
+    def take_counts(self, words: np.ndarray, pairs: np.ndarray) -> None:
+        self.n, self.pair_n, self.owns_pair = words >> 1, pairs >> 1, (pairs & 1) > 0
+        tokens, kinds = self.totals
+        self.scale = np.log10(tokens + SMOOTHING * (kinds + 1))
+        self.chance = (self.n + SMOOTHING) / (tokens + SMOOTHING * (kinds + 1))
+        self.kept = self.pair_n >= LEAST_GRAM
+        self.owns_pair &= self.kept
+        self.seen = np.where(self.kept, (self.pair_n - DISCOUNT) / np.maximum(self.n[self.first], 1), 0.0)
+        # Triples of two kept pairs, by the number of the first one's occurrence; others are not kept.
+        follows = np.nonzero(self.at[1:] == self.at[:-1] + 1)[0]
+        self.long_at = follows[self.kept[self.pair[follows]] & self.kept[self.pair[follows + 1]]]
+        middle = self.pair[self.long_at]
+        found = chained(self.pairs[middle], self.words[self.ids[self.at[self.long_at] + 2]])
+        self.triples, first, self.triple = np.unique(found, return_index=True, return_inverse=True)
+        self.head, self.tail = middle[first], self.pair[self.long_at[first] + 1]
+
+    def ask_triples(self):
+        return self.triples, self.weighed(self.triple, self.at[self.long_at], len(self.triples))
+
+    def ask_after_words(self):
+        """Keys, and the parts of seen and of shorter probability that this block answers for: words before a pair."""
+        self.word_contexts = np.unique(np.concatenate([self.first[~self.kept], self.first[self.owns_pair]]))
+        own, size = self.owns_pair, len(self.words)
+        parts = (np.bincount(self.first[own], w[own], size) for w in (self.seen, self.chance[self.second]))
+        return self.words[self.word_contexts], *(p[self.word_contexts] for p in parts)
+
+    def take_triples(self, answer: np.ndarray) -> None:
+        self.triple_n = answer >> 1
+        self.triple_kept = self.triple_n >= LEAST_GRAM
+        self.owns_triple = ((answer & 1) > 0) & self.triple_kept
+        self.seen_triple = np.where(self.triple_kept, (self.triple_n - DISCOUNT) / np.maximum(self.pair_n[self.head], 1), 0.0)
+        # Whether a kept triple ends in the pair of each occurrence's second word.
+        self.ends_triple = np.zeros(len(self.at), bool)
+        self.ends_triple[self.long_at + 1] = self.triple_kept[self.triple]
+
+    def ask_after_pairs(self):
+        """As ``ask_after_words``, for kept pairs that a triple not kept goes on from."""
+        follows = np.nonzero(self.at[1:] == self.at[:-1] + 1)[0]
+        self.left = follows[self.kept[self.pair[follows]] & ~self.ends_triple[follows + 1]]
+        own, size = self.owns_triple, len(self.pairs)
+        self.pair_contexts = np.unique(np.concatenate([self.pair[self.left], self.head[own]]))
+        parts = (np.bincount(self.head[own], w[own], size) for w in (self.seen_triple, self.seen[self.tail]))
+        return self.pairs[self.pair_contexts], *(p[self.pair_contexts] for p in parts)
+
+    def scores(self, words: np.ndarray, pairs: np.ndarray) -> list[pa.Array]:
+        """``words`` and ``pairs`` are the backoff weights asked for."""
+        of_word, of_pair = np.zeros(len(self.words)), np.zeros(len(self.pairs))
+        of_word[self.word_contexts], of_pair[self.pair_contexts] = words, pairs
+        base = np.log10(self.n + SMOOTHING)[self.ids] - self.scale
+        cost = base.copy()
+        seen = np.log10(np.where(self.kept, self.seen, 1.0))
+        cost[self.at + 1] = np.where(self.kept[self.pair], seen[self.pair], of_word[self.ids[self.at]] + base[self.at + 1])
+        cost[self.at[self.left] + 2] += of_pair[self.pair[self.left]]
+        long = self.triple_kept[self.triple]
+        cost[self.at[self.long_at[long]] + 2] = np.log10(self.seen_triple[self.triple[long]])
+        sizes = np.array(self.row["sizes"], np.int64)
+        starts = np.cumsum(sizes) - sizes
+        sums = [np.add.reduceat(x, starts) for x in ((self.n > 0)[self.ids].astype(np.int64), base, cost)]
+        return [pa.array(~np.array(self.row["training"], bool)), pa.array(sizes), *map(pa.array, sums)]
+
+
+ASKED = "block long, shard long, keys binary, a binary, b binary"
+ANSWERED = "block long, shard long, answer binary, found long"
+
+
+def _sent(number: int, first_shard: int, shards: int, keys: np.ndarray, *parts: np.ndarray) -> pa.RecordBatch:
+    """A row per shard that some of the keys belong to, with these in order and their parts: counts, or two weights."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    shard = ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+    found, starts = np.unique(shard, return_index=True)
+    edges = [*starts.tolist(), len(keys)]
+    pieces = list(zip(edges, edges[1:]))
+    columns = [np.full(len(found), number), found + first_shard]
+    columns += [pa.array([packed(np.diff(keys[x:y], prepend=np.uint64(0))) for x, y in pieces], pa.binary())]
+    columns += [pa.array([packed(p[order[x:y]]) for x, y in pieces], pa.binary()) for p in parts]
+    if len(parts) == 1:
+        columns.append(pa.nulls(len(found), pa.binary()))
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["block", "shard", "keys", "a", "b"])
+
+
+def _received(answers: list[dict] | None, first_shard: int, shards: int, keys: np.ndarray, kind: type) -> np.ndarray:
+    """Answers, sorted by shard, in the order of the keys asked for."""
+    out = np.zeros(len(keys), kind)
+    found = [unpacked(a["answer"], kind) for a in answers or [] if first_shard <= a["shard"] < first_shard + shards]
+    if found:
+        out[np.argsort(keys)] = np.concatenate(found)
+    return out
+
+
+def _counted(places: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Twice the count of each key, plus one for the first block that has it in training texts."""
+    total = np.bincount(places, n).astype(np.int64)
+    trained = np.nonzero(n > 0)[0][::-1]
+    first = np.full(len(total), -1)
+    first[places[trained]] = trained
+    return 2 * total[places] + (first[places] == np.arange(len(places)))
+
+
+def _backoff(places: np.ndarray, seen: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+    left, spread = (1 - np.bincount(places, p) for p in (seen, shorter))
+    return np.log10(left / spread)[places]
+
+
+def answered(asked: DataFrame, name: str) -> DataFrame:
+    """What each shard answers to each block, and in one of its rows how many keys were found in training texts."""
+
+    def groups(batches: Iterable[pa.RecordBatch]) -> Iterator[list[dict]]:
+        held: list[dict] = []
+        for batch in slices(batches, 50):
+            for row in batch.to_pylist():
+                if held and held[0]["shard"] != row["shard"]:
+                    yield held
+                    held = []
+                held.append(row)
+        if held:
+            yield held
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in groups(batches):
+            keys = [np.cumsum(unpacked(r["keys"], np.uint64), dtype=np.uint64) for r in rows]
+            edges = np.cumsum([0, *map(len, keys)]).tolist()
+            places = np.unique(np.concatenate(keys), return_inverse=True)[1]
+            if rows[0]["b"] is None:
+                answers = _counted(places, np.concatenate([unpacked(r["a"], np.int64) for r in rows]))
+                found = int((answers & 1).sum())
+            else:
+                answers = _backoff(places, *(np.concatenate([unpacked(r[c], np.float64) for r in rows]) for c in "ab"))
+                found = 0
+            columns = [pa.array([r[c] for r in rows], pa.int64()) for c in ("block", "shard")]
+            columns += [pa.array([packed(answers[x:y]) for x, y in zip(edges, edges[1:])], pa.binary())]
+            columns += [pa.array([found, *[0] * (len(rows) - 1)], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "shard", "answer", "found"])
+
+    sorted_rows = asked.repartition("shard").sortWithinPartitions("shard", "block")
+    return materialize(sorted_rows.mapInArrow(work, ANSWERED), name)
 
 
 class Automaton:
-    """States are contexts of one or two words, 0 the empty one. Built from counts alone.
+    """The model on one machine, for tests: states are contexts of one or two words, 0 the empty one.
 
     ``counts`` are those of the frequent words, by number. ``pairs`` and ``triples`` are the kept grams with
     their counts; a gram is coded as in ``gram_counts``.
@@ -196,86 +343,78 @@ class Automaton:
         return total
 
 
-def scored(documents: DataFrame, word_share: float = WORD_SHARE, gram_share: float = GRAM_SHARE) -> DataFrame:
+def scored(documents: DataFrame, block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every document."""
-    training = documents.where(is_training("doc_id", 10, 0))
-    counts = materialize(word_counts(training), "word-counts")
-    texts, (kinds, tokens) = training.count(), counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    tokens, kinds = tokens + texts, kinds + (texts > 0)
-    least = max(2.0, word_share * tokens)
-    # At most 1 / word_share words.
-    frequent = counts.where(F.col("n") >= least).toPandas()
-    hashes = np.append(frequent["word"].to_numpy(np.int64), END)
-    numbers = np.append(frequent["n"].to_numpy(np.int64), texts)
-    order = np.lexsort((hashes, -numbers))
-    hashes, numbers = hashes[order], numbers[order]
-    end = int(np.nonzero(hashes == END)[0][0])
-
-    rows = materialize(numbered(documents, hashes, end), "numbered-texts")
-    seen = rows.where("training")
-    enough = max(2.0, gram_share * tokens)
-    words = max(1, int((numbers >= enough).sum()))
-
-    def kept(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        # At most 1 / gram_share n-grams.
-        table = grams.where(F.col("n") >= enough).toPandas().sort_values("gram")
-        return table["gram"].to_numpy(np.int64), table["n"].to_numpy(np.int64)
-
-    pairs, pair_counts = kept(gram_counts(seen, words, end))
-    triples, triple_counts = kept(gram_counts(seen, words, end, pairs)) if len(pairs) else (pairs, pair_counts)
-    model = (numbers, tokens, kinds, words, pairs, pair_counts, triples, triple_counts)
-    shared = documents.sparkSession.sparkContext.broadcast(model)
-    scale = float(np.log10(tokens + SMOOTHING * (kinds + 1)))
-
-    def walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = Automaton(*shared.value)
-        base = np.log10(shared.value[0] + SMOOTHING)
-        occurs = shared.value[0] > 0
-        for batch in slices(batches, 1000):
-            ids = [np.frombuffer(i, np.int32) for i in batch.column("ids").to_pylist()]
-            known = [i[i >= 0] for i in ids]
-            columns = [
-                batch.column("row"),
-                batch.column("doc_id"),
-                pa.array([not t for t in batch.column("training").to_pylist()]),
-                pa.array([len(i) for i in ids], pa.int64()),
-                pa.array([int(occurs[k].sum()) for k in known], pa.int64()),
-                pa.array([float(base[k].sum()) for k in known], pa.float64()),
-                pa.array([automaton.walk(i.tolist()) for i in ids], pa.float64()),
-            ]
+    blocks = materialize(_blocks(documents, block_tokens), "text-blocks")
+    trained = F.aggregate(
+        F.zip_with("sizes", "training", lambda size, t: F.when(t, size).otherwise(0).cast("long")),
+        F.lit(0).cast("long"),
+        lambda total, size: total + size,
+    )
+    all_tokens, tokens = blocks.agg(
+        F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda total, size: total + size)), F.sum(trained)
+    ).first()
+    tokens = tokens or 0
+    # Counts, and weights behind them, have so many shards each.
+    shards = 1 + (all_tokens or 0) // shard_tokens
+
+    def beside(*answers: DataFrame) -> DataFrame:
+        rows = blocks
+        for k, answer in enumerate(answers):
+            by_block = answer.groupBy(F.col("block").alias("of")).agg(
+                F.sort_array(F.collect_list(F.struct("shard", "answer"))).alias(f"answers{k}")
+            )
+            rows = rows.join(by_block, F.col("block") == F.col("of"), "left").drop("of")
+        return rows
+
+    def each(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[dict, pa.Array]]:
+        for batch in slices(batches, 1):
+            yield batch.drop_columns(["doc_ids"]).to_pylist()[0], batch.column("doc_ids").flatten()
+
+    def told(row: dict, totals: tuple[int, int], rounds: int) -> _Block:
+        """A block with the answers of the first rounds and what it asked after them."""
+        block = _Block(row, totals)
+        counts = (_received(row["answers0"], s, shards, keys, np.int64) for s, keys in ((0, block.words), (shards, block.pairs)))
+        block.take_counts(*counts)
+        if rounds > 1:
+            block.take_triples(_received(row["answers1"], 0, shards, block.triples, np.int64))
+        return block
+
+    def ask_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, _ in each(batches):
+            block = _Block(row, (0, 0))
+            yield _sent(row["block"], 0, shards, *block.ask_words())
+            yield _sent(row["block"], shards, shards, *block.ask_pairs())
+
+    counts = answered(blocks.mapInArrow(ask_counts, ASKED), "gram-counts")
+    kinds = counts.where(F.col("shard") < shards).agg(F.sum("found")).first()[0] or 0
+    totals = (tokens, kinds)
+
+    def ask_triples(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, _ in each(batches):
+            block = told(row, totals, 1)
+            yield _sent(row["block"], 0, shards, *block.ask_triples())
+            yield _sent(row["block"], shards, shards, *block.ask_after_words())
+
+    triples = answered(beside(counts).mapInArrow(ask_triples, ASKED), "triple-counts")
+
+    def ask_after_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, _ in each(batches):
+            yield _sent(row["block"], shards, shards, *told(row, totals, 2).ask_after_pairs())
+
+    weights = answered(beside(counts, triples).mapInArrow(ask_after_pairs, ASKED), "pair-weights")
+
+    def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, doc_ids in each(batches):
+            block = told(row, totals, 2)
+            words, pairs = block.ask_after_words()[0], block.ask_after_pairs()[0]
+            of_words = _received(row["answers1"], shards, shards, words, np.float64)
+            of_pairs = _received(row["answers2"], shards, shards, pairs, np.float64)
+            columns = [doc_ids, *block.scores(of_words, of_pairs)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    names = ["row", "doc_id", "held_out", "n_tokens", "known", "base", "walked"]
-    walked_type = rows.select("row", "doc_id").schema.add("held_out", "boolean")
-    for name in ("n_tokens", "known"):
-        walked_type = walked_type.add(name, "long")
-    walked_type = walked_type.add("base", "double").add("walked", "double")
-    walked = rows.mapInArrow(walk, walked_type)
-
-    def rare_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1000):
-            found = [np.unique(np.frombuffer(r, np.int64), return_counts=True) for r in batch.column("rare").to_pylist()]
-            row = np.repeat(batch.column("row").to_numpy(), [len(w) for w, _ in found])
-            word, times = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(word), pa.array(times)], names=["row", "word", "times"])
-
-    rare = rows.select("row", "rare").mapInArrow(rare_words, "row long, word long, times long")
-    looked_up = rare.join(counts.where(F.col("n") < least), "word", "left").select(
-        "row", "times", F.coalesce("n", F.lit(0)).alias("n")
-    )
-    sums = looked_up.groupBy(F.col("row").alias("_row")).agg(
-        F.sum("times").alias("rare_times"),
-        F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("rare_known"),
-        F.sum(F.col("times") * F.log10(F.col("n") + SMOOTHING)).alias("rare_base"),
-    )
-    none = F.lit(0)
-    rare_base = F.coalesce("rare_base", F.lit(0.0))
-    return walked.join(sums, F.col("row") == F.col("_row"), "left").select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("known") + F.coalesce("rare_known", none)).alias("n_known"),
-        F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + rare_base - F.col("n_tokens") * scale).alias("base_score"),
-        (F.col("walked") + rare_base - F.coalesce("rare_times", none) * scale).alias("score"),
-    )
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
+    result = documents.select("doc_id").schema.add("held_out", "boolean").add("n_tokens", "long").add("n_known", "long")
+    result = result.add("base_score", "double").add("score", "double")
+    found = beside(counts, triples, weights).mapInArrow(score, result)
+    return found.select(*names[:4], F.lit(tokens).cast("long").alias("train_tokens"), *names[4:])

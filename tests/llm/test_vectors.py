@@ -129,3 +129,17 @@ def test_few_and_no_vectors(spark):
     only_bad = spark.createDataFrame([(0, None), (4, [0.0])], "vec_id long, embedding array<float>")
     assert {tuple(r) for r in embedding_dedup.near_vectors(only_bad).collect()} == {(0, 0, 0, True), (4, 0, 4, True)}
     assert neighbours.nearest_digest(only_bad).collect() == []
+
+
+def test_outliers_and_small_groups_have_neighbours(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(6, 16))
+    rows = [(centres[k % 6] + rng.normal(size=16) * 0.01).tolist() for k in range(600)]
+    rows += (rng.normal(size=(20, 16)) * 5).tolist()
+    small = rng.normal(size=16)
+    rows += [(small + rng.normal(size=16) * 0.01).tolist() for _ in range(3)]
+    frame = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<float>")
+    found = collections.Counter(r.query_id for r in neighbours.nearest(frame, F.col("id") >= 600).collect())
+    assert found == {k: 5 for k in range(600, 623)}
+    two = spark.createDataFrame([(0, [1.0, 2.0]), (1, [-1.0, -2.0])], "vec_id long, embedding array<float>")
+    assert [(r.query_id, r.vec_id) for r in neighbours.nearest_digest(two).collect()] == [(0, 1)]

@@ -1,7 +1,8 @@
 """Approximate nearest neighbours (operator 3): a graph by NN-descent, searched greedily.
 
-Building. Vectors that share a cell of random hyperplanes are compared first and give every vector a list of
-``DEGREE`` neighbours. Each round then joins the lists with themselves: the neighbours of a vector, and those
+Building. Vectors that share a cell of random hyperplanes, and groups dealt at random, are compared first and give
+every vector a list of ``DEGREE`` neighbours; the random groups see to it that outliers and small groups have full
+lists too, so a query finds as many rows as asked for, or all others if they are fewer. Each round then joins the lists with themselves: the neighbours of a vector, and those
 that have it as a neighbour, are compared with each other if the list entry of either is new, and every
 list keeps its best. Rounds end when few entries change. Searching. A query starts at its own vector and
 holds a beam of the best vectors seen; every round expands all beam members not expanded yet, until none is
@@ -14,8 +15,7 @@ rows, so no list is ever held whole. Rounds are written to the shared folder.
 
 Vectors that are null, zero or hold null or non-finite components, and rows without an id, take no part.
 Shorter vectors count as filled with zeros. Repeated rows are candidates of their own; a query row is not its
-own candidate. Ties go to the smaller id. Fewer candidates than asked for are all returned if the graph
-leads to them. An empty table gives an empty result. Other columns are not read.
+own candidate. Ties go to the smaller id. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -140,21 +140,25 @@ def _both_ways(lists: DataFrame, *extra: Column) -> DataFrame:
 def neighbour_graph(codes: DataFrame, width: int, count: int, degree: int = DEGREE) -> DataFrame:
     """Lists of near neighbours, as node, other, near. ``codes`` has node and code."""
     bits = max(1, int(np.log2(max(2, count / (PORTION / 2)))))
+    # Random groups fit in a portion each; up to PORTION - 1 vectors are one group.
+    groups = max(1, count // (PORTION // 2)) if count >= PORTION else 1
     planes = np.random.default_rng(SEED).normal(size=(width, bits * TABLES)).astype(np.float32)
 
     def cells(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4096):
             side = decoded(batch.column("code"), width) @ planes > 0
-            for t in range(TABLES):
+            for t in range(TABLES + 1):
                 own = side[:, t * bits : (t + 1) * bits]
-                point = own @ (1 << np.arange(bits, dtype=np.int64)) * TABLES + t
+                cell = own @ (1 << np.arange(bits, dtype=np.int64)) if t < TABLES else batch.column("dealt").to_numpy()
+                point = cell * (TABLES + 1) + t
                 size = batch.num_rows
                 columns = [pa.array(point), batch.column("node"), pa.array(np.ones(size, bool))]
                 columns += [pa.array(np.full(size, -2, np.float32)), batch.column("code")]
                 yield pa.RecordBatch.from_arrays(columns, names=["point", "node", "fresh", "least", "code"])
 
     member_type = "point long, node long, fresh boolean, least float, code binary"
-    start = codes.select("node", "code").mapInArrow(cells, member_type)
+    dealt = F.pmod(F.xxhash64("node", F.lit(SEED)), F.lit(groups)).alias("dealt")
+    start = codes.select("node", "code", dealt).mapInArrow(cells, member_type)
     lists = materialize(merged(None, compared(start, width, degree), degree), "neighbours")
     for _ in range(MOST_ROUNDS):
         least = lists.groupBy(F.col("node").alias("of")).agg(F.min("least").alias("least"))

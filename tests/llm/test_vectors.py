@@ -143,3 +143,19 @@ def test_outliers_and_small_groups_have_neighbours(spark):
     assert found == {k: 5 for k in range(600, 623)}
     two = spark.createDataFrame([(0, [1.0, 2.0]), (1, [-1.0, -2.0])], "vec_id long, embedding array<float>")
     assert [(r.query_id, r.vec_id) for r in neighbours.nearest_digest(two).collect()] == [(0, 1)]
+
+
+def test_neighbours_inside_groups_of_near_copies(spark):
+    rng = np.random.default_rng(9)
+    rows = rng.normal(size=(1200, 64))
+    for start, noise in ((0, 0.1), (400, 0.03)):  # mean cosines of about 0.99 and 0.999
+        rows[start : start + 400] = rows[start] + rng.normal(size=(400, 64)) * noise
+    rows = rows.astype(np.float32)
+    near = cosines(rows)
+    np.fill_diagonal(near, -2)
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rows)], "vec_id long, embedding array<float>")
+    hits = collections.Counter()
+    for r in neighbours.nearest(frame, F.col("id") % 20 == 0).collect():
+        hits[r.query_id // 400] += r.vec_id in np.argsort(-near[r.query_id])[:5]
+    print({g: hits[g] / 100 for g in range(3)})
+    assert hits[0] >= 90 and hits[1] >= 90

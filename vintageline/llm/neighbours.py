@@ -6,12 +6,13 @@ lists too, so a query finds as many rows as asked for, or all others if they are
 that have it as a neighbour, are compared with each other if the list entry of either is new, and every
 list keeps its best. Rounds end when few entries change. Searching. A query starts at its own vector and
 holds a beam of the best vectors seen; every round expands all beam members not expanded yet, until none is
-left. The exact cosine of the original vectors in double precision ranks the best of the beam.
+left. The exact cosine of the original vectors in double precision ranks the whole beam.
 
 Every vector is indexed. Equal vectors are one node, so copies do not fill each other's lists; the copies
-themselves are put in when answers are written. Comparisons inside the graph use vectors rounded to 8 bits.
-A vector that very many have as a neighbour is joined in portions of ``PORTION`` in one pass over its sorted
-rows, so no list is ever held whole. Rounds are written to the shared folder.
+themselves are put in when answers are written. Comparisons inside the graph use unit vectors in single precision, so
+that differences inside tight groups count; equal ones are taken in the order of a hash. A vector that very many
+have as a neighbour is joined in portions of ``PORTION``, dealt anew in every round, in one pass over its sorted rows,
+so no list is ever held whole. Rounds are written to the shared folder.
 
 Vectors that are null, zero or hold null or non-finite components, and rows without an id, take no part.
 Shorter vectors count as filled with zeros. Repeated rows are candidates of their own; a query row is not its
@@ -40,16 +41,12 @@ MOST_ROUNDS = 12
 
 
 def encoded(rows: np.ndarray) -> list[bytes]:
-    """Unit vectors in 8-bit steps behind their step size."""
-    step = np.abs(rows).max(axis=1, keepdims=True).astype(np.float32) / 127
-    whole = np.rint(rows / step).astype(np.int8)
-    return [s.tobytes() + w.tobytes() for s, w in zip(step, whole)]
+    """Unit vectors in single precision."""
+    return [row.tobytes() for row in rows.astype(np.float32)]
 
 
 def decoded(codes: pa.Array, width: int) -> np.ndarray:
-    flat = np.frombuffer(b"".join(codes.to_pylist()), np.uint8).reshape(-1, width + 4)
-    step = np.ascontiguousarray(flat[:, :4]).view(np.float32)
-    return np.ascontiguousarray(flat[:, 4:]).view(np.int8).astype(np.float32) * step
+    return np.frombuffer(b"".join(codes.to_pylist()), np.float32).reshape(-1, width)
 
 
 def portions(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
@@ -73,10 +70,11 @@ def portions(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.Table]
         yield pa.Table.from_batches(held)
 
 
-def compared(members: DataFrame, width: int, degree: int) -> DataFrame:
+def compared(members: DataFrame, width: int, degree: int, turn: int) -> DataFrame:
     """node, other, near: for each member of a point its best others there that could enter its list.
 
-    ``members`` has point, node, fresh, least (a list's worst entry, once full) and code.
+    ``members`` has point, node, fresh, least (a list's worst entry, once full) and code;
+    ``turn`` says how members are dealt to portions.
     """
 
     def best(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +100,7 @@ def compared(members: DataFrame, width: int, degree: int) -> DataFrame:
             node = group.column("node").to_numpy()
             rows = decoded(group.column("code").combine_chunks(), width)
             near = rows @ rows.T
-            allowed = (fresh[:, None] | fresh[None, :]) & (near > group.column("least").to_numpy()[:, None])
+            allowed = (fresh[:, None] | fresh[None, :]) & (near >= group.column("least").to_numpy()[:, None])
             allowed &= node[:, None] != node[None, :]
             near = np.where(allowed, near, -9.0).astype(np.float32)
             if near.shape[1] > degree:
@@ -115,7 +113,7 @@ def compared(members: DataFrame, width: int, degree: int) -> DataFrame:
         if out:
             yield flushed()
 
-    sorted_members = members.repartition("point").sortWithinPartitions("point")
+    sorted_members = members.repartition("point").sortWithinPartitions("point", F.xxhash64("node", F.lit(turn)))
     return sorted_members.mapInArrow(best, "node long, other long, near float")
 
 
@@ -124,7 +122,7 @@ def merged(lists: DataFrame | None, found: DataFrame, degree: int) -> DataFrame:
     new = found.select("node", "other", "near", F.lit(True).alias("fresh"))
     both = new if lists is None else new.union(lists.select("node", "other", "near", F.lit(False)))
     entries = both.groupBy("node", "other").agg(F.max("near").alias("near"), F.min("fresh").alias("fresh"))
-    place = F.row_number().over(Window.partitionBy("node").orderBy(F.col("near").desc(), "other"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy(F.col("near").desc(), F.xxhash64("node", "other")))
     kept = entries.withColumn("place", place).where(F.col("place") <= degree)
     of_node = Window.partitionBy("node")
     full = F.count(F.lit(1)).over(of_node) == degree
@@ -159,15 +157,15 @@ def neighbour_graph(codes: DataFrame, width: int, count: int, degree: int = DEGR
     member_type = "point long, node long, fresh boolean, least float, code binary"
     dealt = F.pmod(F.xxhash64("node", F.lit(SEED)), F.lit(groups)).alias("dealt")
     start = codes.select("node", "code", dealt).mapInArrow(cells, member_type)
-    lists = materialize(merged(None, compared(start, width, degree), degree), "neighbours")
-    for _ in range(MOST_ROUNDS):
+    lists = materialize(merged(None, compared(start, width, degree, 0), degree), "neighbours")
+    for turn in range(1, MOST_ROUNDS + 1):
         least = lists.groupBy(F.col("node").alias("of")).agg(F.min("least").alias("least"))
         known = codes.join(least, F.col("node") == F.col("of"), "left").select(
             "node", "code", F.coalesce("least", F.lit(-2.0).cast("float")).alias("least")
         )
         met = _both_ways(lists, F.col("fresh")).groupBy("point", "node").agg(F.max("fresh").alias("fresh"))
         members = met.join(known, "node").select("point", "node", "fresh", "least", "code")
-        lists = materialize(merged(lists, compared(members, width, degree), degree), "neighbours")
+        lists = materialize(merged(lists, compared(members, width, degree, turn), degree), "neighbours")
         fresh, entries = lists.agg(F.count_if("fresh"), F.count(F.lit(1))).first()
         if fresh <= SETTLED * entries:
             break
@@ -187,11 +185,11 @@ def searched(graph: DataFrame, codes: DataFrame, starts: DataFrame, width: int,
         for batch in slices(batches, 20_000):
             asked_rows, rows = (decoded(batch.column(c), width) for c in ("asked_code", "code"))
             near = np.einsum("ij,ij->i", asked_rows, rows).astype(np.float32)
-            better = near > batch.column("worst").to_numpy()
+            better = near >= batch.column("worst").to_numpy()
             kept = batch.select(["start", "node"]).filter(pa.array(better))
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(near[better])], names=["start", "node", "near"])
 
-    order = Window.partitionBy("start").orderBy(F.col("near").desc(), "node")
+    order = Window.partitionBy("start").orderBy(F.col("near").desc(), F.xxhash64("start", "node"))
     of_start = Window.partitionBy("start")
     while True:
         reached = (
@@ -244,11 +242,8 @@ def nearest(
     asked = own.where(queries).select("row", F.col("id").alias("query_id"), F.col("node").alias("start"))
     graph = neighbour_graph(codes, width, codes.count(), degree)
     found = searched(graph, codes, asked.select("start").distinct(), width, beam)
-    # Rounding to 8 bits shifts places by less than these spare ones.
-    place = F.row_number().over(Window.partitionBy("start").orderBy(F.col("near").desc(), "node"))
-    short = found.withColumn("place", place).where(F.col("place") <= 4 * (k + 1)).select("start", "node")
     vectors = nodes.select("node", F.col("vector").alias("theirs"))
-    exact = short.join(vectors, "node").join(
+    exact = found.select("start", "node").join(vectors, "node").join(
         nodes.select(F.col("node").alias("start"), F.col("vector").alias("mine")), "start"
     )
 

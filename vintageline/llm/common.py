@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +34,20 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
             yield batch.slice(start, rows)
 
 
+def byte_slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches with at most ``most`` bytes in a text column; a longer text is alone in its batch."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        start, total = 0, 0
+        for row, size in enumerate(sizes.tolist()):
+            if total + size > most and row > start:
+                yield batch.slice(start, row - start)
+                start, total = row, 0
+            total += size
+        if start < batch.num_rows:
+            yield batch.slice(start)
+
+
 def free_name(columns: Sequence[str], wanted: str) -> str:
     """A column name that none of ``columns`` has, whatever its case."""
     taken = {c.lower() for c in columns}

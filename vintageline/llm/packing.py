@@ -119,7 +119,7 @@ def packed(
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(tokenizer)
         for batch in slices(batches):
-            ids, ends = encoder.encode(batch.column("_text").to_pylist())
+            ids, ends = encoder.encode(batch.column("_text"))
             small = np.insert(ids, ends, separator_id).astype(stored)
             limits = np.concatenate([[0], ends + np.arange(1, batch.num_rows + 1)])
             rows = [small[a:b].tobytes() for a, b in zip(limits[:-1], limits[1:])]

@@ -14,6 +14,7 @@ from vintageline.llm.mixing import MIX_SQL, mix_digest
 from vintageline.llm.neighbours import nearest_digest
 from vintageline.llm.packing import packing_digest
 from vintageline.llm.pii import pii_digest
+from vintageline.llm.prefix_counts import token_count_digest
 from vintageline.llm.repeats import REPEATS_SQL, repeats_digest
 from vintageline.llm.scoring import scored
 from vintageline.llm.simhash import simhash_digest
@@ -39,6 +40,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeats": _over("documents", repeats_digest),
     "op9_pii_spans": _over("documents", pii_digest),
     "op10_token_files": _over("documents", lambda documents: token_file_digest(documents, TOKENIZER)),
+    "op13_token_counts": _over("documents", lambda documents: token_count_digest(documents, TOKENIZER)),
 }
 
 TWINS: dict[str, str] = {

@@ -29,7 +29,7 @@ from vintageline.llm.tokens import worker_encoder
 ROW_TYPE = "doc_id bigint, shard int, start_in_shard bigint, n_tokens bigint, ids array<int>"
 END_ID = 1
 # Words that a worker remembers; this sets only speed and memory.
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 500_000
 
 
 def write_token_files(
@@ -50,7 +50,7 @@ def write_token_files(
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard, done = worker_encoder(tokenizer, REMEMBERED_WORDS), TaskContext.get().partitionId(), 0
         for batch in slices(batches, 1000):
-            ids, ends = encoder.encode(batch.column("text").to_pylist())
+            ids, ends = encoder.encode(batch.column("text"))
             with_end = np.insert(ids, ends, end_id).astype(np.int32)
             limits = np.concatenate([[0], ends + np.arange(1, batch.num_rows + 1)])
             columns = [

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vintageline.llm.common import byte_slices
-from vintageline.llm.tokens import WordStore, distinct_words, spread, word_tokenizer, worker_state
+from vintageline.llm.tokens import WordStore, distinct_words, spread, utf8_bytes, word_tokenizer, worker_state
 
 PREFIX_TOKENS = "prefix_tokens"
 TOKEN_LIMIT = 2048
@@ -278,7 +278,7 @@ class PrefixCounter:
         places = store.places(words)[at]
         sizes = store.ends[places + 1] - store.ends[places]
         totals = np.where(sizes > 0, store.values[store.ends[places + 1] - 1], 0)
-        data, bounds = _bytes_of(texts)
+        data, bounds = utf8_bytes(texts)
         head = (data & 0xC0) != 0x80
         blank = (data == 0x20) | ((data >= 0x09) & (data <= 0x0D))
         before = np.ones(len(data), bool)
@@ -321,16 +321,6 @@ def _seconds() -> frozenset[str]:
     return found["seconds"]
 
 
-def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The UTF-8 bytes of the texts, one after the other, and where each begins and the last ends."""
-    _, offsets, data = texts.buffers()
-    wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
-    bounds = np.frombuffer(offsets, wide)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-    if not len(texts) or data is None:
-        return np.zeros(0, np.uint8), np.zeros(len(texts) + 1, np.int64)
-    return np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]], bounds - bounds[0]
-
-
 def worker_counter(path: str) -> PrefixCounter:
     kept = worker_state("prefix_counters")
     if path not in kept:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from vintageline.llm.common import table
 from vintageline.llm.embedding_dedup import LINKS_SQL, near_vectors
 from vintageline.llm.language import language_digest
+from vintageline.llm.lexical_search import SEARCH_SQL, ranked
 from vintageline.llm.mixing import MIX_SQL, mix_digest
 from vintageline.llm.neighbours import nearest_digest
 from vintageline.llm.packing import packing_digest
@@ -40,6 +41,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeats": _over("documents", repeats_digest),
     "op9_pii_spans": _over("documents", pii_digest),
     "op10_token_files": _over("documents", lambda documents: token_file_digest(documents, TOKENIZER)),
+    "op11_lexical_search": lambda spark, folder: ranked(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    ),
     "op13_token_counts": _over("documents", lambda documents: token_count_digest(documents, TOKENIZER)),
 }
 
@@ -47,4 +51,5 @@ TWINS: dict[str, str] = {
     "op1_near_vectors": LINKS_SQL,
     "op5_mix_sources": MIX_SQL,
     "op8_repeats": REPEATS_SQL,
+    "op11_lexical_search": SEARCH_SQL,
 }

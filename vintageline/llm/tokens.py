@@ -37,6 +37,16 @@ def distinct_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     return words, at, per_text
 
 
+def utf8_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of the texts, one after the other, and where each begins and the last ends."""
+    _, offsets, data = texts.buffers()
+    wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    bounds = np.frombuffer(offsets, wide)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    if not len(texts) or data is None:
+        return np.zeros(0, np.uint8), np.zeros(len(texts) + 1, np.int64)
+    return np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]], bounds - bounds[0]
+
+
 def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The numbers start, start + 1, ... of every run, one run after the other."""
     ends = np.cumsum(sizes)

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vintageline.llm.common import byte_slices
-from vintageline.llm.tokens import WordStore, distinct_words, spread, utf8_bytes, word_tokenizer, worker_state
+from vintageline.llm.tokens import WordStore, byte_symbols, distinct_words, spread, utf8_bytes, word_tokenizer, worker_state
 
 PREFIX_TOKENS = "prefix_tokens"
 TOKEN_LIMIT = 2048
@@ -145,20 +145,13 @@ class Merges:
         return ended[1:]
 
 
-def _byte_symbols() -> dict[int, str]:
-    """The character that stands for each byte: itself where it is printable, the next free one from 256 otherwise."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [b for b in range(256) if b not in set(plain)]
-    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
-
-
 class PrefixCounter:
     """Counts at all prefixes of texts; remembers words, up to a bound that only sets the speed."""
 
     def __init__(self, path: str, most_words: int = REMEMBERED_WORDS):
         self.tokenizer, suffix = word_tokenizer(path)
         self.merges = Merges(path, suffix)
-        self.symbols = _byte_symbols()
+        self.symbols = byte_symbols()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not t.normalized]
         self.special_split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.runs: dict[str, list[int]] = {}

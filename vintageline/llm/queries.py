@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from vintageline.llm.alignment import alignment_digest
 from vintageline.llm.common import table
 from vintageline.llm.embedding_dedup import LINKS_SQL, near_vectors
 from vintageline.llm.language import language_digest
@@ -25,6 +26,9 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
+BYTES = public_tokenizers.path("byte_bpe_50k.json")
+
+
 def _over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """The operator, applied to one whole table of a folder."""
     return lambda spark, folder: operator(table(spark, folder, name))
@@ -44,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op11_lexical_search": lambda spark, folder: ranked(
         table(spark, folder, "documents"), table(spark, folder, "benchmark")
     ),
+    "op12_alignment": _over("documents", lambda documents: alignment_digest(documents, BYTES, PIECES)),
     "op13_token_counts": _over("documents", lambda documents: token_count_digest(documents, TOKENIZER)),
 }
 

@@ -53,6 +53,13 @@ def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
+def byte_symbols() -> dict[int, str]:
+    """The character that stands for each byte: itself where it is printable, the next free one from 256 otherwise."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
 class Places(dict):
     """Gives every word that it is asked for and does not know the next place."""
 
@@ -89,6 +96,10 @@ class WordStore:
         sizes = np.diff(self.ends)[kept]
         values = self.values[spread(self.ends[kept], sizes)]
         self._start([words[k] for k in kept.tolist()], sizes, values)
+        self.kept(kept)
+
+    def kept(self, places: np.ndarray) -> None:
+        """Called when only the words at these places are kept, in this order."""
 
     def places(self, words: list[str]) -> np.ndarray:
         if len(self.place) > self.most_words or len(self.values) > self.most_values:

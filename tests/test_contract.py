@@ -2,6 +2,7 @@ import os
 from datetime import UTC, datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from vintageline.operators.checks import (
     declared_digits,
@@ -27,6 +28,7 @@ def line(width=108, **values):
 
 
 def write(path, lines):
+    os.makedirs(os.path.dirname(path), exist_ok=True)
     with open(path, "w", encoding="utf-8") as out:
         out.write("\n".join(lines) + ("\n" if lines else ""))
     return path
@@ -166,3 +168,48 @@ def test_fingerprint_sees_content_not_order_of_files(spark, folder):
     c = write(f"{folder}/c.csv", ["y|2", "x|1", "y|2"])
     prints = {r.file_name: r.fingerprint for r in scan_files(spark, [a, b, c]).collect()}
     assert prints["a.csv"] != prints["b.csv"] and prints["a.csv"] == prints["c.csv"]
+
+
+def test_a_known_file_is_not_read_again(spark, folder):
+    """A file that was read is known by path, size and time: what is in it by now is not looked at."""
+    first = write(f"{folder}/raw/2012Q1.csv", [line(108), line(108)])
+    bronze = f"{folder}/bronze"
+    assert ingest(spark, [f"{folder}/raw"], bronze, ingested_at=WHEN).final_rows == 2
+    before = os.stat(first)
+    with open(first, "r+", encoding="utf-8") as file:
+        file.write("x" * 20)
+    os.utime(first, ns=(before.st_atime_ns, before.st_mtime_ns))
+    write(f"{folder}/raw/2012Q2.csv", [line(108)])
+    done = ingest(spark, [f"{folder}/raw"], bronze, ingested_at=WHEN)
+    assert (done.files_ingested, done.files_skipped, done.rows_written, done.final_rows) == (1, 1, 1, 3)
+    assert read_bronze(spark, bronze).where(F.col("LOAN_ID").startswith("x")).count() == 0
+
+
+def test_an_empty_namesake_is_refused(spark, folder):
+    write(f"{folder}/a/2012Q1.csv", [line(108)])
+    write(f"{folder}/b/2012Q1.csv", [])
+    with pytest.raises(ContractError, match="b/2012Q1.csv"):
+        ingest(spark, [f"{folder}/a", f"{folder}/b"], f"{folder}/bronze")
+
+
+def test_equal_parts_of_one_file_are_all_loaded(spark, folder):
+    for part in ("p0", "p1"):
+        write(f"{folder}/raw/quarter=2012Q1/{part}.csv", [line(108)])
+    write(f"{folder}/raw/quarter=2012Q1/p2.csv", [])
+    done = ingest(spark, [f"{folder}/raw"], f"{folder}/bronze", ingested_at=WHEN)
+    assert (done.files_ingested, done.rows_written, done.final_rows) == (1, 2, 2)
+    assert read_bronze(spark, f"{folder}/bronze").count() == 2
+    again = ingest(spark, [f"{folder}/raw"], f"{folder}/bronze", ingested_at=WHEN)
+    assert (again.files_ingested, again.final_rows) == (0, 2)
+
+
+def test_a_call_that_stopped_before_its_note_is_made_good(spark, folder):
+    path = write(f"{folder}/raw/2012Q1.csv", [line(108)])
+    bronze = f"{folder}/bronze"
+    ingest(spark, [path], bronze, ingested_at=WHEN)
+    os.rename(f"{bronze}/_files", f"{folder}/lost")
+    again = ingest(spark, [path], bronze, ingested_at=WHEN)
+    assert (again.files_ingested, again.rows_written, again.final_rows) == (0, 0, 1)
+    assert read_bronze(spark, bronze).count() == 1
+    copied = write(f"{folder}/other/2012Q1.csv", [line(108)])
+    assert ingest(spark, [copied], bronze, ingested_at=WHEN).final_rows == 1

@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 
@@ -6,8 +7,9 @@ from pyspark.sql import functions as F
 
 from vintageline.functions.ordered import dense_index, totals_below
 from vintageline.models.baseline import fit_marginal_rates, require_usable
-from vintageline.models.binning import MISSING, bin_counts, fit_bins, merge_bins
-from vintageline.models.challenger import Calibrated, StepModel, calibrate, directions_of, fit_steps
+from vintageline.models.binning import MISSING, bin_counts, fit_bins, optimal_bins, weight_of
+from vintageline.models.challenger import Calibrated, StepModel, calibrate, fit_steps
+from vintageline.models.directions import directions_of
 from vintageline.models.frame import feature_list_hash, loan_sample, require_both_classes, require_no_outcomes
 from vintageline.models.hazard import fit_hazard, spline_basis
 from vintageline.models.scorecard import FACTOR, OFFSET, fit_scorecard
@@ -68,14 +70,36 @@ def test_baseline_arithmetic(spark):
             require_usable(spark.createDataFrame(bad, "SEASONING_MONTHS int, y int"), "y")
 
 
-def test_merge_keeps_size_and_direction():
-    counts = {0: (100, 30), 1: (3, 0), 2: (100, 10), 3: (100, 20), 4: (100, 5)}
-    cuts, groups = merge_bins([1.0, 2.0, 3.0, 4.0], counts, 12, -1)
-    rates = [g.rate for g in groups]
-    assert rates == sorted(rates, reverse=True) and min(g.rows for g in groups) >= 12
-    assert sum(g.rows for g in groups) == 403 and len(cuts) == len(groups) - 1
-    free, kept = merge_bins([1.0, 2.0, 3.0, 4.0], counts, 1, 0)
-    assert len(kept) == 5
+@pytest.mark.parametrize("direction", [-1, 0, 1])
+@pytest.mark.parametrize("seed", range(6))
+def test_optimal_bins_beat_every_division(seed, direction):
+    chance = random.Random(seed)
+    counts = {k: (n := chance.choice([0, 3, 40, 100, 100]), chance.randint(0, n)) for k in range(8)}
+    counts[7] = (90, 9)
+    counts[MISSING] = (20, 5)
+    cuts = [float(k) for k in range(1, 8)]
+    rows, events = (sum(c[i] for c in counts.values()) for i in (0, 1))
+    values = []
+    for mask in itertools.product((0, 1), repeat=7):
+        groups = [[0, 0]]
+        for k in range(8):
+            groups[-1][0] += counts[k][0]
+            groups[-1][1] += counts[k][1]
+            if k < 7 and mask[k]:
+                groups.append([0, 0])
+        rates = [e / n for n, e in groups if n]
+        steps = [(b - a) * direction >= 0 for a, b in zip(rates, rates[1:])]
+        if min(n for n, _ in groups) >= 30 and all(steps):
+            values.append(sum(weight_of(n, e, rows, events)[1] for n, e in groups))
+    found = optimal_bins(cuts, counts, 30, direction, rows, events)
+    assert sum(weight_of(b.rows, b.events, rows, events)[1] for b in found) == pytest.approx(max(values))
+    assert min(b.rows for b in found) >= 30 and found[-1].upper == math.inf
+    assert sum(b.rows for b in found) == rows - 20
+
+
+def test_too_few_rows_make_one_bin():
+    assert [b.rows for b in optimal_bins([1.0], {0: (3, 1), 1: (4, 1)}, 30, 1, 7, 2)] == [7]
+    assert optimal_bins([], {MISSING: (3, 1)}, 1, 1, 3, 1) == []
 
 
 def test_fitted_bins_hold_their_constraints(rows):

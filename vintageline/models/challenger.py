@@ -1,9 +1,8 @@
-"""Monotone additive challenger with sigmoid calibration (MOD6, MOD7, MOD8, MOD12).
+"""Challengers with sigmoid calibration (MOD6, MOD7, MOD8, MOD12).
 
-Spark's boosted trees cannot be constrained in direction. The challenger is a logistic model on
-threshold indicators: each feature contributes a step function, and bounding the sign of the steps
-makes it monotone by construction. It is another hypothesis class than boosted trees under the same
-contract: the sweep check has to pass.
+The challenger is a monotone boosted model (``boosting``). The step model here is its additive alternative, quicker
+to fit and to read: a logistic model on threshold indicators, monotone as the signs of its steps are bounded, but
+without interactions. Both keep the same contract: the sweep check has to pass.
 """
 
 from __future__ import annotations
@@ -16,7 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vintageline.models.binning import bin_index, quantile_cuts
-from vintageline.models.scorecard import fit_logistic, probability_of, weighted_cells
+from vintageline.models.boosting import BoostedModel
+from vintageline.models.directions import directions_of
+from vintageline.models.scorecard import fit_logistic, fit_ridge, probability_of, weighted_cells
 from vintageline.settings import FEATURES, RISK_DIRECTION
 
 CHALLENGER_BINS = 20
@@ -25,14 +26,6 @@ CHALLENGER_BINS = 20
 FREE = 1e6
 
 
-def directions_of(features: Sequence[str] = FEATURES) -> tuple[int, ...]:
-    """Direction per feature in feature order; 0 leaves a feature free."""
-    absent = sorted(set(RISK_DIRECTION) - set(features))
-    if absent:
-        raise ValueError(f"features lack the constrained drivers {absent}")
-    return tuple(RISK_DIRECTION.get(f, 0) for f in features)
-
-
 @dataclass(frozen=True)
 class StepModel:
     """Per feature: cuts, the step taken at each cut, and the step of a missing value."""
@@ -110,7 +103,7 @@ def fit_steps(
 class Calibrated:
     """A frozen model and the sigmoid fitted over its probability."""
 
-    model: StepModel
+    model: StepModel | BoostedModel
     slope: float
     intercept: float
 
@@ -143,11 +136,11 @@ def platt_rows(rows: DataFrame, target: str, probability: Column) -> DataFrame:
     )
 
 
-def calibrate(model: StepModel, rows: DataFrame, target: str) -> Calibrated:
+def calibrate(model: StepModel | BoostedModel, rows: DataFrame, target: str) -> Calibrated:
     """Sigmoid over the frozen model's probability, fitted on rows it was not trained on (MOD7)."""
     cells = platt_rows(rows, target, probability_of(model.logit()))
-    fitted = fit_logistic(cells, [F.col("p")], penalty=0.0)
-    return Calibrated(model, float(fitted.coefficients[0]), float(fitted.intercept))
+    fitted = fit_ridge(cells, [F.col("p")], penalty=0.0)
+    return Calibrated(model, fitted.coefficients[0], fitted.intercept)
 
 
 def selected_model(lower: Column) -> Column:

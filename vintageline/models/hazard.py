@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vintageline.models.newton import fit_newton
 from vintageline.models.scorecard import probability_of
 from vintageline.settings import FEATURES
+from vintageline.sources.snapshots import materialize
 
 AGE = "SEASONING_MONTHS"
 KNOTS = 5
@@ -105,10 +105,9 @@ def fit_hazard(rows: DataFrame, target: str, features: Sequence[str] = FEATURES)
     count, means, spreads = moments[0], moments[1 : 1 + len(names)], moments[1 + len(names) :]
     deviations = [d or 1.0 for d in spreads]
     scaled = [(F.col(n) - m) / d for n, m, d in zip(names, means, deviations)]
-    model = LogisticRegression(
-        featuresCol="x", regParam=1.0 / count, standardization=False, maxIter=100, tol=1e-7
-    ).fit(data.select("label", array_to_vector(F.array(*scaled)).alias("x")))
+    # The terms are written once, as every step of the fit reads them.
+    stored = materialize(data.select("label", *(x.alias(n) for x, n in zip(scaled, names))), "hazard-terms")
+    model = fit_newton(stored, [F.col(n) for n in names], F.col("label"))
     return HazardModel(
-        medians, age_range, tuple(means), tuple(deviations),
-        tuple(map(float, model.coefficients)), float(model.intercept),
+        medians, age_range, tuple(means), tuple(deviations), model.coefficients, model.intercept
     )

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vintageline.models.binning import FeatureBins, bin_counts, fit_bins, woe_table
+from vintageline.models.newton import LogisticFit, fit_newton
 from vintageline.settings import BASE_ODDS, BASE_POINTS, FEATURES, PDO
 from vintageline.sources.snapshots import materialize
 
@@ -49,8 +50,13 @@ def weighted_cells(rows: DataFrame, target: str, columns: Sequence[Column]) -> D
     )
 
 
+def fit_ridge(cells: DataFrame, inputs: Sequence[Column], penalty: float = 1.0) -> LogisticFit:
+    """Ridge logistic on weighted cells, which are written once as every step reads them."""
+    return fit_newton(materialize(cells, "cells"), inputs, F.col("label"), F.col("weight"), penalty)
+
+
 def fit_logistic(cells: DataFrame, inputs: Sequence[Column], penalty: float = 1.0, **bounds):
-    """L2 logistic on weighted cells; ``penalty`` is the ridge weight of the summed loss.
+    """L2 logistic on weighted cells under bounds; ``penalty`` is the ridge weight of the summed loss.
 
     The cells are written once: the solver reads them again and again, and a lost executor then costs a
     re-read of this small table instead of a rebuild of the panel.
@@ -104,6 +110,5 @@ def fit_scorecard(rows: DataFrame, target: str, features: Sequence[str] = FEATUR
     bins = fit_bins(rows, target, features)
     weights = [bins[f].weight() for f in features]
     cells = weighted_cells(rows, target, weights)
-    model = fit_logistic(cells, [F.col(f"c{i}") for i in range(len(features))])
-    coefficients = dict(zip(features, map(float, model.coefficients)))
-    return Scorecard(bins, coefficients, float(model.intercept))
+    model = fit_ridge(cells, [F.col(f"c{i}") for i in range(len(features))])
+    return Scorecard(bins, dict(zip(features, model.coefficients)), model.intercept)

@@ -9,12 +9,13 @@ from dataclasses import asdict
 from pyspark.sql import SparkSession
 
 from vintageline.models.binning import FeatureBins
+from vintageline.models.boosting import BoostedModel, Tree
 from vintageline.models.challenger import Calibrated, StepModel
 from vintageline.models.hazard import HazardModel
 from vintageline.models.scorecard import Scorecard
 from vintageline.sources.snapshots import publish, read_version
 
-Model = Scorecard | HazardModel | StepModel | Calibrated
+Model = Scorecard | HazardModel | StepModel | BoostedModel | Calibrated
 MODEL_TABLE = "name string, kind string, parameters string"
 
 
@@ -30,6 +31,11 @@ def _steps(value: dict) -> StepModel:
     return StepModel(_tuples(value["cuts"]), _tuples(value["steps"]), value["missing"], value["intercept"])
 
 
+def _boosted(value: dict) -> BoostedModel:
+    trees = tuple(Tree(**{name: tuple(column) for name, column in tree.items()}) for tree in value["trees"])
+    return BoostedModel(tuple(value["features"]), _tuples(value["cuts"]), trees, value["intercept"])
+
+
 def _hazard(value: dict) -> HazardModel:
     return HazardModel(
         value["medians"],
@@ -45,7 +51,10 @@ READERS = {
     "Scorecard": lambda v: Scorecard({f: _bins(b) for f, b in v["bins"].items()}, v["coefficients"], v["intercept"]),
     "HazardModel": _hazard,
     "StepModel": _steps,
-    "Calibrated": lambda v: Calibrated(_steps(v["model"]), v["slope"], v["intercept"]),
+    "BoostedModel": _boosted,
+    "Calibrated": lambda v: Calibrated(
+        (_boosted if "trees" in v["model"] else _steps)(v["model"]), v["slope"], v["intercept"]
+    ),
 }
 
 

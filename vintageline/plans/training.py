@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from vintageline.models.baseline import MarginalRates, fit_marginal_rates, require_usable
-from vintageline.models.challenger import Calibrated, StepModel, calibrate, directions_of, fit_steps
+from vintageline.models.boosting import BoostedModel, fit_boosted
+from vintageline.models.challenger import Calibrated, StepModel, calibrate
+from vintageline.models.directions import directions_of
 from vintageline.models.frame import (
     feature_list_hash,
     hazard_rows,
@@ -63,7 +65,7 @@ class ChallengerRun:
     run_id: str
     gold_version: int
     scorecard: Scorecard
-    raw: StepModel
+    raw: BoostedModel | StepModel
     calibrated: Calibrated
     metrics: dict[str, float]
     sweeps: list[Row]
@@ -196,9 +198,16 @@ def train_baseline_models(
 
 
 def train_challenger(
-    frame: DataFrame, gold_version: int, replicates: int = BOOTSTRAP_REPLICATES, portable: bool = False
+    frame: DataFrame,
+    gold_version: int,
+    replicates: int = BOOTSTRAP_REPLICATES,
+    portable: bool = False,
+    fit: Callable[[DataFrame, str], BoostedModel | StepModel] = fit_boosted,
 ) -> ChallengerRun:
-    """Fit on train, calibrate on validation, select on out-of-time rows (MOD10)."""
+    """Fit on train, calibrate on validation, select on out-of-time rows (MOD10).
+
+    ``fit`` makes the challenger from rows and target; ``fit_steps`` gives the additive one.
+    """
     if gold_version < 0:
         raise ValueError("the panel version must not be negative")
     train, valid, later = (
@@ -207,7 +216,7 @@ def train_challenger(
     for rows, what in ((train, "train"), (valid, "validation"), (later, "out_of_time")):
         require_both_classes(rows, TARGET_12M, what)
     scorecard = fit_scorecard(train, TARGET_12M)
-    raw = fit_steps(train, TARGET_12M)
+    raw = fit(train, TARGET_12M)
     calibrated = calibrate(raw, valid, TARGET_12M)
     grid = sweep_grid(frame.sparkSession, feature_medians(train))
     sweeps = require_monotone(sweep_report(grid, calibrated.probability()))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from vintageline.functions.columns import hex_bucket
 from vintageline.models.baseline import fit_marginal_rates
-from vintageline.models.binning import FeatureBins, bin_counts, fit_bins, woe_table
+from vintageline.models.binning import FeatureBins, bin_counts, fit_bins, optimal_bins, weight_of, woe_table
+from vintageline.models.boosting import best_split, binned_cells, fit_boosted, level_histogram
 from vintageline.models.challenger import (
     beats_baseline,
     calibrate,
@@ -22,8 +25,8 @@ from vintageline.models.frame import (
     loan_sample,
     split_counts,
 )
-from vintageline.models.hazard import HazardModel, fit_hazard, spline_basis
-from vintageline.models.scorecard import FACTOR, OFFSET, Scorecard, fit_scorecard
+from vintageline.models.hazard import HazardModel, design, fit_hazard, spline_basis
+from vintageline.models.scorecard import FACTOR, OFFSET, Scorecard, fit_ridge, fit_scorecard, probability_of
 from vintageline.operators.features import loan_features
 from vintageline.operators.splits import assign_splits
 from vintageline.operators.survival import survival_panel
@@ -37,6 +40,7 @@ from vintageline.queries.inputs import (
     table,
 )
 from vintageline.queries.twins import SPLIT, with_gold
+from vintageline.sources.snapshots import materialize
 from vintageline.settings import BOOTSTRAP_REPLICATES, FEATURES, SEED, TARGET_12M, TARGET_NEXT
 from vintageline.validation.bootstrap import PRIME, clustered_gini_interval, gini_differences, poisson_limits
 from vintageline.validation.metrics import (
@@ -311,9 +315,9 @@ def mod5_hazard_fit(spark, folder):
 
 @query("mod6_7_challenger_fit")
 def mod6_7_challenger_fit(spark, folder):
-    """Monotone challenger, calibrated: prediction against outcome per split."""
+    """Monotone boosted challenger, calibrated: prediction against outcome per split."""
     frame = stored_model_frame(spark, folder)
-    raw = fit_steps(labelled_rows(frame, "train"), TARGET_12M)
+    raw = fit_boosted(labelled_rows(frame, "train"), TARGET_12M)
     calibrated = calibrate(raw, labelled_rows(frame, "validation"), TARGET_12M)
     scored = calibrated.predict(raw.predict(frame))
     return predicted_vs_actual(scored, TARGET_12M, "challenger_probability", ["MODELLING_SPLIT"])
@@ -322,7 +326,7 @@ def mod6_7_challenger_fit(spark, folder):
 @query("mod12_feature_importance")
 def mod12_feature_importance(spark, folder):
     train = labelled_rows(stored_model_frame(spark, folder), "train")
-    return fit_steps(train, TARGET_12M).importance(train)
+    return fit_boosted(train, TARGET_12M).importance(train)
 
 
 @query(
@@ -405,6 +409,199 @@ def mod6_challenger_mean(spark, folder):
     return _mean_of(raw.predict(train), "challenger_raw")
 
 
+# Boosted trees: the first level's sums and its best split, with cuts given.
+
+_DIRECTIONS = {"CLASSIC_FICO": -1, "OLTV": 1, "DTI": 1}
+
+
+def _given_bins(feature: str, cuts, source: str) -> str:
+    """Rows (feature, bin, y) of the given cuts; a missing value has bin -1."""
+    cases = " ".join(f"WHEN {feature} < {c} THEN {i}" for i, c in enumerate(cuts))
+    return (
+        f"SELECT '{feature}' AS feature, CAST(CASE WHEN {feature} IS NULL THEN -1 {cases} ELSE {len(cuts)} END AS INT) AS bin, "
+        f"DEFAULT_IN_12M AS y FROM {source}"
+    )
+
+
+_FIRST_LEVEL = (
+    SCORED
+    + f""",
+tr AS (SELECT * FROM known WHERE MODELLING_SPLIT = 'train'),
+p0 AS (SELECT avg(DEFAULT_IN_12M) AS p FROM tr),
+hist AS (SELECT feature, bin, count(*) AS rows, count(*) * p - sum(y) AS gradient, count(*) * p * (1 - p) AS hessian
+  FROM ({" UNION ALL ".join(_given_bins(f, c, "tr") for f, c in _WOE_CUTS.items())}), p0 GROUP BY feature, bin, p)"""
+)
+
+
+def _first_level(spark, folder):
+    train = labelled_rows(scored_panel(spark, folder), "train")
+    features = tuple(_WOE_CUTS)
+    cells = materialize(binned_cells(train, TARGET_12M, _WOE_CUTS, features), "boost-cells")
+    rows, events = cells.agg(F.sum("rows"), F.sum("events")).first()
+    return features, level_histogram(cells, len(features), 4, math.log(events / (rows - events)), [], None)
+
+
+@query(
+    "mod6_first_histogram",
+    f"WITH {_FIRST_LEVEL} SELECT feature, bin, rows, round(gradient, 6) AS gradient, round(hessian, 6) AS hessian FROM hist",
+)
+def mod6_first_histogram(spark, folder):
+    """Rows, gradient and hessian per feature and bin before the first tree."""
+    features, sums = _first_level(spark, folder)
+    names = F.array(*(F.lit(f) for f in features))
+    named = sums.select(names[F.col("feature")].alias("feature"), "bin", F.col("rows").cast("bigint").alias("rows"), "gradient", "hessian")
+    return rounded(named.withColumn("gradient", F.col("gradient") + 0.0))
+
+
+@query(
+    "mod6_first_split",
+    f"""WITH {_FIRST_LEVEL},
+    way AS (SELECT * FROM (VALUES {", ".join(f"('{f}', {i}, {d})" for i, (f, d) in enumerate(_DIRECTIONS.items()))}) v(feature, place, direction)),
+    cut AS (SELECT feature, place, direction, CAST(c AS INT) AS lim, m AS missing_left FROM way, range(3) r(c), (VALUES (true), (false)) w(m)),
+    side AS (SELECT place, feature, direction, lim, missing_left,
+        CASE WHEN bin = -1 THEN missing_left ELSE bin <= lim END AS is_left, sum(rows) AS n, sum(gradient) AS g, sum(hessian) AS h
+      FROM cut JOIN hist USING (feature) GROUP BY ALL),
+    both_sides AS (SELECT l.place, l.feature, l.direction, l.lim, l.missing_left, l.n AS ln, r.n AS rn, l.g AS lg, r.g AS rg, l.h AS lh, r.h AS rh
+      FROM side l JOIN side r USING (place, lim, missing_left) WHERE l.is_left AND NOT r.is_left),
+    valued AS (SELECT *, -lg / (lh + 1) AS left_value, -rg / (rh + 1) AS right_value,
+        (lg * lg / (lh + 1) + rg * rg / (rh + 1) - (lg + rg) * (lg + rg) / (lh + rh + 1)) / 2 AS gain FROM both_sides)
+    SELECT feature, lim AS bin, missing_left, round(gain, 6) AS gain, round(left_value, 6) AS left_value, round(right_value, 6) AS right_value
+    FROM valued WHERE least(ln, rn) >= 50 AND direction * (right_value - left_value) >= 0
+    ORDER BY valued.gain DESC, place, lim, missing_left DESC LIMIT 1""",
+)
+def mod6_first_split(spark, folder):
+    """The split with the most gain that keeps the direction of its feature."""
+    features, sums = _first_level(spark, folder)
+    tables = np.zeros((3, len(features), 5))
+    for r in sums.collect():
+        tables[:, r["feature"], r["bin"] + 1] = r["rows"], r["gradient"], r["hessian"]
+    gain, feature, at, missing_left, left, right = best_split(
+        tables, [_DIRECTIONS[f] for f in features], -math.inf, math.inf
+    )
+    row = (features[feature], at, missing_left, gain, left, right)
+    kind = "feature string, bin int, missing_left boolean, gain double, left_value double, right_value double"
+    return rounded(spark.createDataFrame([row], kind))
+
+
+# Optimal bins: first cuts given, all divisions weighed.
+
+_FIRST_CUTS = {
+    "CLASSIC_FICO": (630.0, 660.0, 690.0, 720.0, 750.0, 780.0),
+    "OLTV": (60.0, 66.0, 72.0, 78.0, 84.0, 90.0, 96.0),
+    "DTI": (20.0, 25.0, 30.0, 35.0, 40.0, 45.0),
+}
+_SHARE = 0.08
+
+
+def _optimal_twin() -> str:
+    parts = []
+    for feature, cuts in _FIRST_CUTS.items():
+        m = len(cuts)
+        parts.append(
+            f"""SELECT '{feature}' AS feature, {_DIRECTIONS[feature]} AS direction, mask, bin,
+            CAST(bit_count(mask & ((1 << bin) - 1)) AS INT) AS part, n, e FROM range({1 << m}) k(mask),
+            (SELECT bin, count(*) AS n, sum(y) AS e FROM ({_given_bins(feature, cuts, "tr")}) WHERE bin >= 0 GROUP BY bin)"""
+        )
+    return f"""WITH {SCORED},
+    tr AS (SELECT * FROM known WHERE MODELLING_SPLIT = 'train'),
+    tot AS (SELECT CAST(sum(DEFAULT_IN_12M) AS DOUBLE) AS te, CAST(sum(1 - DEFAULT_IN_12M) AS DOUBLE) AS tg, count(*) AS tn FROM tr),
+    g AS (SELECT feature, direction, mask, part, sum(n) AS n, sum(e) AS e, max(bin) AS last_bin FROM ({" UNION ALL ".join(parts)}) GROUP BY ALL),
+    w AS (SELECT *, CASE WHEN e = 0 OR e = n THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS pad FROM g),
+    v AS (SELECT feature, direction, mask, part, n, e, last_bin, ((n - e + pad) / tg - (e + pad) / te) * ln(((n - e + pad) / tg) / ((e + pad) / te)) AS iv,
+        e / n::DOUBLE - lag(e / n::DOUBLE) OVER (PARTITION BY feature, mask ORDER BY part) AS step, tn FROM w, tot),
+    d AS (SELECT feature, mask, sum(iv) AS iv FROM v GROUP BY feature, mask
+      HAVING min(n) >= {_SHARE} * max(tn) AND coalesce(min(direction * step), 0) >= 0 AND count(*) = bit_count(mask) + 1),
+    b AS (SELECT feature, arg_max(mask, iv) AS mask FROM d GROUP BY feature)
+    SELECT feature, part AS bin, CAST(last_bin AS INT) AS last_first_bin, CAST(n AS BIGINT) AS rows, CAST(e AS BIGINT) AS events, round(iv, 6) AS iv
+    FROM v JOIN b USING (feature, mask)"""
+
+
+@query("mod2_optimal_bins", _optimal_twin())
+def mod2_optimal_bins(spark, folder):
+    """The division of given first bins with the most information, beside the weighing of every division."""
+    train = labelled_rows(scored_panel(spark, folder), "train")
+    counted: dict[str, dict[int, tuple[int, int]]] = {f: {} for f in _FIRST_CUTS}
+    for r in bin_counts(train, TARGET_12M, _FIRST_CUTS).collect():
+        counted[r.feature][r.bin] = (r.rows, r.events)
+    rows = []
+    for feature, cuts in _FIRST_CUTS.items():
+        total, events = (sum(c[i] for c in counted[feature].values()) for i in (0, 1))
+        found = optimal_bins(cuts, counted[feature], _SHARE * total, _DIRECTIONS[feature], total, events)
+        last = [cuts.index(b.upper) if b.upper in cuts else max(counted[feature]) for b in found]
+        rows += [
+            (feature, k, last[k], b.rows, b.events, weight_of(b.rows, b.events, total, events)[1])
+            for k, b in enumerate(found)
+        ]
+    return rounded(spark.createDataFrame(rows, "feature string, bin int, last_first_bin int, rows bigint, events bigint, iv double"))
+
+
+# Score equations: at a fit, residuals weigh every term as its penalty does.
+
+
+def _equations_twin(terms, label: str, split: str) -> str:
+    listed = ", ".join(f"('{t}')" for t in terms)
+    return with_scores(
+        f"SELECT term, count(*) AS rows, 0.0::DOUBLE AS score FROM scored, (VALUES {listed}) t(term) "
+        f"WHERE MODELLING_SPLIT = '{split}' AND {label} IS NOT NULL GROUP BY term"
+    )
+
+
+def _equations(rows, residual, terms: dict, penalties: dict):
+    """Per term: rows, and the sum of residual times term less its penalty, to three places."""
+    entries = F.array(
+        *(
+            F.struct(
+                F.lit(name).alias("term"), F.count(F.lit(1)).alias("rows"),
+                (F.round(F.sum(residual * term) - F.lit(penalties.get(name, 0.0)), 3) + 0.0).alias("score"),
+            )
+            for name, term in terms.items()
+        )
+    )
+    return rows.agg(entries.alias("e")).select(F.inline("e"))
+
+
+@query("mod4_score_equations", _equations_twin(("intercept", *FEATURES), "DEFAULT_IN_12M", "train"))
+def mod4_score_equations(spark, folder):
+    """The fitted scorecard solves its penalised likelihood."""
+    train = labelled_rows(stored_model_frame(spark, folder), "train")
+    card = fit_scorecard(train, TARGET_12M)
+    terms = {"intercept": F.lit(1.0)} | {f: card.bins[f].weight() for f in FEATURES}
+    return _equations(train, F.col(TARGET_12M) - probability_of(card.logit()), terms, card.coefficients)
+
+
+_SPLINE_TERMS = tuple(f"t{i}" for i in range(5 + len(FEATURES)))
+
+
+@query("mod5_score_equations", _equations_twin(("intercept", *_SPLINE_TERMS), "DEFAULT_NEXT_MONTH", "train"))
+def mod5_score_equations(spark, folder):
+    """The fitted hazard solves its penalised likelihood over all loan-months."""
+    train = hazard_rows(stored_model_frame(spark, folder), "train")
+    model = fit_hazard(train, TARGET_NEXT)
+    scaled = {
+        f"t{i}": (t - F.lit(model.means[i])) / F.lit(model.deviations[i])
+        for i, t in enumerate(design(model.medians, model.age_range))
+    }
+    penalties = {f"t{i}": c for i, c in enumerate(model.coefficients)}
+    return _equations(train, F.col(TARGET_NEXT) - probability_of(model.logit()), {"intercept": F.lit(1.0)} | scaled, penalties)
+
+
+@query(
+    "mod7_score_equations",
+    with_scores(
+        """SELECT term, count(*) AS rows, 0.0::DOUBLE AS score FROM
+        (SELECT DISTINCT pc, label FROM known, (VALUES (0), (1)) l(label) WHERE MODELLING_SPLIT = 'validation'),
+        (VALUES ('intercept'), ('p')) t(term) GROUP BY term"""
+    ),
+)
+def mod7_score_equations(spark, folder):
+    """The sigmoid over a given score solves its likelihood with smoothed targets."""
+    rows = known_rows(spark, folder).where("MODELLING_SPLIT = 'validation'")
+    cells = materialize(platt_rows(rows, TARGET_12M, F.col("pc")), "platt-rows")
+    fit = fit_ridge(cells, [F.col("p")], penalty=0.0)
+    residual = F.col("weight") * (F.col("label") - probability_of(F.lit(fit.intercept) + F.lit(fit.coefficients[0]) * F.col("p")))
+    return _equations(cells, residual, {"intercept": F.lit(1.0), "p": F.col("p")}, {})
+
+
 # Metrics.
 
 
@@ -519,7 +716,7 @@ def val4_challenger_sweeps(spark, folder):
 
     frame = stored_model_frame(spark, folder)
     train = labelled_rows(frame, "train")
-    calibrated = calibrate(fit_steps(train, TARGET_12M), labelled_rows(frame, "validation"), TARGET_12M)
+    calibrated = calibrate(fit_boosted(train, TARGET_12M), labelled_rows(frame, "validation"), TARGET_12M)
     return sweep_report(sweep_grid(spark, feature_medians(train)), calibrated.probability())
 
 

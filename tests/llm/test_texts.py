@@ -518,3 +518,23 @@ def test_pipeline_runs_on_a_table(spark):
 )
 def test_empty_table_gives_empty_result(spark, operator):
     assert operator(no_documents(spark)).collect() == []
+
+
+def test_rows_that_differ_in_where_a_null_stands_are_kept_apart(spark):
+    """One doc_id, four rows: a text with its source or its language missing, no text, and the text 'en'."""
+    words = " ".join(f"word{k}" for k in range(30))
+    rows = [(7, words, "web", None), (7, words, None, "web"), (8, None, "en", None), (8, "en", None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {tuple(r) for r in simhash.first_of_each(frame).collect()}
+    assert len(kept) == 3 and set(rows[2:]) <= kept and kept <= set(rows)
+    twins = spark.createDataFrame(
+        [(7, words, "web", None), (7, words, None, "web")], "doc_id long, text string, lang string, source string"
+    )
+    taken = sum(r.copies for r in mixing.mixed(twins).collect())
+    mixed = [tuple(r) for r in mixing.mixed_documents(twins).collect()]
+    assert len(mixed) == taken and set(mixed) <= set(rows[:2])
+
+
+def test_adjacent_ibans_are_both_found():
+    spans = pii.find_spans("iban NO9386011117947 NO9386011117947")
+    assert [s[:3] for s in spans if s[0] == "iban"] == [("iban", 5, 20), ("iban", 21, 36)]

@@ -63,5 +63,8 @@ def is_training(key: str, modulo: int, held_out: int):
 
 
 def row_hash(frame: DataFrame):
-    """A hash of all columns; rows that share it and an identifier are equal, and one may stand for another."""
-    return F.xxhash64(*(F.col(c) for c in frame.columns))
+    """128 bits of all columns; rows that share them and an identifier are equal, and one may stand for another.
+
+    Spark's hash passes over nulls, so each column is hashed together with whether it is null."""
+    parts = [part for c in frame.columns for part in (F.col(c).isNull(), F.col(c))]
+    return F.concat_ws("-", *(F.hex(F.xxhash64(F.lit(seed), *parts)) for seed in (1, 2)))

@@ -117,14 +117,18 @@ def _valid_ssn(match: str) -> bool:
 
 
 def _ibans(text: str) -> Iterator[tuple[int, int]]:
-    """The longest checksummed prefix of a proposal, cut at its blanks."""
-    for found in _IBAN.finditer(text):
+    """The longest checksummed prefix of a proposal, cut at its blanks; the search goes on where it ends."""
+    found = _IBAN.search(text)
+    while found:
         ends = [found.end(), *(found.start() + k for k, c in enumerate(found.group()) if c == " ")]
+        following = found.end()
         for end in sorted(ends, reverse=True):
             compact = text[found.start() : end].replace(" ", "")
             if 15 <= len(compact) <= 34 and mod97(compact):
                 yield found.start(), end
+                following = end
                 break
+        found = _IBAN.search(text, following)
 
 
 def context_score(text: str, kind: str, start: int, end: int, reach: int = 60) -> float:

@@ -142,7 +142,7 @@ class WordEncoder:
     different words. Strings of special tokens in a text are ordinary text. A null text is empty.
     """
 
-    def __init__(self, path: str, most_words: int = 600_000, most_ids: int = 9_000_000):
+    def __init__(self, path: str, most_words: int = 280_000, most_ids: int = 4_200_000):
         self.tokenizer, suffix = word_tokenizer(path)
         self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab()
@@ -203,7 +203,7 @@ def worker_state(name: str) -> dict:
     return vars(module).setdefault(name, {})
 
 
-def worker_encoder(path: str, most_words: int = 600_000) -> WordEncoder:
+def worker_encoder(path: str, most_words: int = 280_000) -> WordEncoder:
     """The worker process's own encoder, which keeps its words from task to task."""
     kept = worker_state("word_encoders")
     if (path, most_words) not in kept:

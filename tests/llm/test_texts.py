@@ -311,21 +311,41 @@ def test_base_scores_and_better_model(documents):
     assert sum(r.score for r in found) > sum(r.base_score for r in found)
 
 
-def test_automaton_is_a_distribution():
-    # Words 0..3 and the end, 4; some of their pairs and triples are kept.
-    counts, tokens, kinds, words = np.array([40, 30, 20, 10, 25]), 125, 5, 5
-    pairs, pair_counts = np.array([0 * 5 + 1, 0 * 5 + 2, 1 * 5 + 2, 2 * 5 + 0]), np.array([12, 8, 9, 7])
-    triples, triple_counts = np.array([0 * 5 + 2, 2 * 5 + 0]), np.array([5, 4])
-    automaton = scoring.Automaton(counts, tokens, kinds, words, pairs, pair_counts, triples, triple_counts)
-    unseen = math.log10(0.1 / (tokens + 0.1 * (kinds + 1)))
-    for history in ([], [0], [1], [2], [3], [0, 1], [1, 2], [3, 0, 1], [0, 2], [2, 0]):
-        before = automaton.walk(history)
-        total = sum(10 ** (automaton.walk([*history, w]) - before) for w in range(5))
-        total += 10 ** (automaton.walk([*history, -1]) - before + unseen)
-        assert total == pytest.approx(1.0)
-    assert automaton.walk([0, 1, 2]) == pytest.approx(
-        automaton.root[0] + math.log10(11.5 / 40) + math.log10(4.5 / 12)
-    )
+class PlainBackoff:
+    """The model restated: probability of a word after a list of words, by the definition."""
+
+    def __init__(self, texts):
+        self.grams = [collections.Counter(g for ws in texts for g in zip(*(ws[k:] for k in range(n)))) for n in (1, 2, 3)]
+        self.tokens, self.kinds = sum(self.grams[0].values()), len(self.grams[0])
+        self.after = collections.defaultdict(list)
+        for order in (1, 2):
+            for gram, n in self.grams[order].items():
+                if n >= 2:
+                    self.after[gram[:-1]].append((gram[-1], n))
+
+    def chance(self, context, word):
+        context = tuple(context[-2:])
+        if not context:
+            return (self.grams[0][word,] + 0.1) / (self.tokens + 0.1 * (self.kinds + 1))
+        seen = self.after.get(context, [])
+        count = self.grams[len(context) - 1][context]
+        for other, n in seen:
+            if other == word:
+                return (n - 0.5) / count
+        left = 1 - sum((n - 0.5) / count for _, n in seen)
+        spread = 1 - sum(self.chance(context[1:], other) for other, _ in seen)
+        return left / spread * self.chance(context[1:], word)
+
+    def score(self, words):
+        return sum(math.log10(self.chance(words[:k], w)) for k, w in enumerate(words))
+
+
+def test_backoff_model_is_a_distribution():
+    rng = random.Random(2)
+    model = PlainBackoff([[*(rng.choice("abcd") for _ in range(rng.randrange(9))), None] for _ in range(60)])
+    for history in ([], *map(list, ("a", "b", "ab", "bc", "dda", "cab")), ["unseen"], ["unseen", "a"]):
+        words = [*"abcd", None, "unseen"]
+        assert sum(model.chance(history, w) for w in words) == pytest.approx(1.0)
 
 
 def test_every_repeated_gram_is_kept(spark):
@@ -336,28 +356,27 @@ def test_every_repeated_gram_is_kept(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     texts = [[*WORDS.findall(lower(t)), None] for _, t in rows]
     trains = [d is None or zlib.crc32(str(d).encode()) % 10 != 0 for d, _ in rows]
-    counts = collections.Counter(w for ws, t in zip(texts, trains) if t for w in ws)
-    numbers = {w: k for k, w in enumerate(counts)}
-    size = len(numbers)
-    ids = [[numbers.get(w, -1) for w in ws] for ws in texts]
-    grams = [
-        collections.Counter(g for ws, t in zip(ids, trains) if t for g in zip(*(ws[k:] for k in range(order))))
-        for order in (2, 3)
-    ]
-    pairs = sorted((a * size + b, n) for (a, b), n in grams[0].items() if n >= 2)
-    place = {p: k for k, (p, _) in enumerate(pairs)}
-    triples = sorted((place[a * size + b] * size + c, n) for (a, b, c), n in grams[1].items() if n >= 2)
-    tokens = sum(counts.values())
-    columns = (np.array([x[k] for x in gram], np.int64) for gram in (pairs, triples) for k in (0, 1))
-    automaton = scoring.Automaton(np.array(list(counts.values())), tokens, size, size, *columns)
-    unseen = math.log10(0.1 / (tokens + 0.1 * (size + 1)))
-    expected = sorted((d or -1, round(automaton.walk(ws) + unseen * ws.count(-1), 6)) for (d, _), ws in zip(rows, ids))
+    model = PlainBackoff([ws for ws, t in zip(texts, trains) if t])
+    expected = sorted((d or -1, round(model.score(ws), 6)) for (d, _), ws in zip(rows, texts))
     for limits in ({}, {"block_tokens": 500, "shard_tokens": 3000}):
         got = sorted((r.doc_id or -1, round(r.score, 6)) for r in scoring.scored(frame, **limits).collect())
         assert [d for d, _ in got] == [d for d, _ in expected]
         assert [s for _, s in got] == pytest.approx([s for _, s in expected], abs=2e-6)
 
 
+def test_long_texts_are_read_in_parts(spark, monkeypatch):
+    # Whole texts side by side, and in parts of three words, give the same scores.
+    rng = random.Random(6)
+    rows = [(k, " ".join(rng.choice("abcdefg") * rng.randrange(1, 3) for _ in range(size))) for k, size in enumerate((900, 7, 3, 0, 1, 64) * 5)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    model = PlainBackoff([[*t.split(), None] for d, t in rows if zlib.crc32(str(d).encode()) % 10])
+    expected = [model.score([*t.split(), None]) for _, t in rows]
+    got = [r.score for r in scoring.scored(frame).orderBy("doc_id").collect()]
+    assert got == pytest.approx(expected, abs=1e-6)
+    monkeypatch.setattr(scoring, "LANE", 3)
+    assert [r.score for r in scoring.scored(frame).orderBy("doc_id").collect()] == pytest.approx(got, abs=1e-9)
+
+
 # -- repeated passages
 
 

@@ -11,11 +11,14 @@ A gram is one entry per block, so none is hot, and shards are even, since hashes
 2. Triples of kept pairs are counted. The first block that holds a kept pair adds its part to the backoff
    weight of its first word.
 3. The first block that holds a kept triple adds its part to the backoff weight of its first pair.
-4. With these answers each block scores its texts.
+4. With these answers each block has all grams that its texts can reach, and scores them.
 
-Scoring. A word costs its probability after the longest kept gram that ends in it; each shorter context adds the
-backoff weight of the longer one, if that is the context of any kept gram, down to the smoothed unigram
-probability. That is the sum that ``Automaton`` walks along.
+What is added up are whole numbers, so the order of blocks does not change a weight.
+
+Scoring. A block's grams become a weighted automaton: its states are the contexts, its arcs the kept grams, and a
+failure arc leads from each context to the next shorter one at the price of the backoff weight. Every text is
+read once from left to right. Its state is carried from word to word; where the state has no arc for a word, failure
+arcs are followed until one has, at last the empty context, which has an arc for every word.
 
 Seen n-grams are discounted by ``DISCOUNT``; the backoff weights spread what is left over the words that were
 not seen there, so the probabilities of all words after any context sum to one, unseen words together counting
@@ -44,6 +47,8 @@ BLOCK_TOKENS = 1_000_000
 SHARD_TOKENS = 2_000_000
 SMOOTHING = 0.1
 DISCOUNT = 0.5
+# Words of a long text that are read on end, texts and such parts being read side by side.
+LANE = 512
 # Hash that stands for the end of a text; a word that hashes to it is counted with it.
 END = 0
 
@@ -118,6 +123,78 @@ def _blocks(documents: DataFrame, most: int) -> DataFrame:
     return rows.mapInArrow(build, schema)
 
 
+def summed(places: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """Exact sums of whole numbers by place."""
+    out = np.zeros(size, np.int64)
+    np.add.at(out, places, values)
+    return out
+
+
+def _backoff(sums: np.ndarray, count: np.ndarray, shorter: np.ndarray | int) -> np.ndarray:
+    """log10 of what the seen words leave of a context, by what they leave of the shorter one; 0 without seen words.
+
+    ``sums`` holds twice the discounted counts of the seen words, and their part of ``shorter``.
+    """
+    seen, spread = sums
+    count = np.maximum(2 * count, 1)
+    return np.log10((count - seen) / count) - np.log10(np.where(seen > 0, shorter - spread, shorter) / np.maximum(shorter, 1))
+
+
+class Automaton:
+    """A block's contexts as states, its kept grams as arcs, and failure arcs at the price of the backoff weights.
+
+    States: 0 the empty context, then every word, then every pair. A word's arc leaves the empty context for the
+    word's state; a kept pair's leaves its first word's state, a kept triple's its first pair's, both for the
+    state of their last pair. A failure arc leads from a pair to its second word, from a word to the empty context.
+    ``no_arc`` leaves no state.
+    """
+
+    def __init__(self, after_word, after_pair, second, weights, contexts, kept, tail):
+        words, pairs = len(after_word), len(after_pair)
+        self.words = words
+        self.pair_arcs, self.triple_arcs = words, words + pairs
+        self.no_arc = words + pairs + len(tail)
+        first, head = contexts
+        pair_states = 1 + words + np.arange(pairs)
+        self.failure = np.concatenate([[0], np.zeros(words, np.int64), 1 + second])
+        self.backoff = np.concatenate([[0.0], after_word, after_pair])
+        left = [np.zeros(words, np.int64), np.where(kept[0], 1 + first, -1), np.where(kept[1], pair_states[head], -1)]
+        self.source = np.concatenate([*left, [-1]])
+        self.target = np.concatenate([1 + np.arange(words), pair_states, pair_states[tail], [0]])
+        self.weight = np.concatenate([*weights, [0.0]])
+
+    def walk(self, arcs: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """Cost of every place, texts being read side by side from left to right.
+
+        ``arcs`` are the arcs of each place's word, of the pair and of the triple that end there. A text longer
+        than ``LANE`` is read in parts; since a state is at most two words, a part that first reads the two words
+        before it, without counting their cost, starts in the very state in which the part before it ended.
+        """
+        parts = -(-(stops - starts) // LANE)
+        begin = np.repeat(starts, parts) + LANE * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
+        end = np.minimum(begin + LANE, np.repeat(stops, parts))
+        read = np.maximum(begin - 2, np.repeat(starts, parts))
+        order = np.argsort(read - end, kind="stable")
+        begin, end, read = begin[order], end[order], read[order]
+        lengths = end - read
+        cost = np.zeros(arcs.shape[1])
+        state = np.zeros(len(read), np.int64)
+        for step in range(int(lengths.max(initial=0))):
+            live = int(np.searchsorted(-lengths, -step))
+            place, at = read[:live] + step, state[:live]
+            paid = np.zeros(live)
+            # Pairs first; then words, among them those that pairs have failed to.
+            for length, least, most in ((2, self.words, len(self.failure)), (1, 0, self.words)):
+                fails = np.nonzero((at > least) & (at <= most) & (self.source[arcs[length, place]] != at))[0]
+                paid[fails] += self.backoff[at[fails]]
+                at[fails] = self.failure[at[fails]]
+            arc = arcs[(at > 0).astype(np.int8) + (at > self.words), place]
+            counted = place >= begin[:live]
+            cost[place[counted]] = (paid + self.weight[arc])[counted]
+            state[:live] = self.target[arc]
+        return cost
+
+
 class _Block:
     """One block's texts, and what the answers so far say about them."""
 
@@ -148,10 +225,8 @@ class _Block:
         self.n, self.pair_n, self.owns_pair = words >> 1, pairs >> 1, (pairs & 1) > 0
         tokens, kinds = self.totals
         self.scale = np.log10(tokens + SMOOTHING * (kinds + 1))
-        self.chance = (self.n + SMOOTHING) / (tokens + SMOOTHING * (kinds + 1))
         self.kept = self.pair_n >= LEAST_GRAM
         self.owns_pair &= self.kept
-        self.seen = np.where(self.kept, (self.pair_n - DISCOUNT) / np.maximum(self.n[self.first], 1), 0.0)
         # Triples of two kept pairs, by the number of the first one's occurrence; others are not kept.
         follows = np.nonzero(self.at[1:] == self.at[:-1] + 1)[0]
         self.long_at = follows[self.kept[self.pair[follows]] & self.kept[self.pair[follows + 1]]]
@@ -164,17 +239,16 @@ class _Block:
         return self.triples, self.weighed(self.triple, self.at[self.long_at], len(self.triples))
 
     def ask_after_words(self):
-        """Keys, and the parts of seen and of shorter probability that this block answers for: words before a pair."""
+        """Words before a pair, and this block's parts of twice the seen counts and of the shorter probabilities."""
         self.word_contexts = np.unique(np.concatenate([self.first[~self.kept], self.first[self.owns_pair]]))
         own, size = self.owns_pair, len(self.words)
-        parts = (np.bincount(self.first[own], w[own], size) for w in (self.seen, self.chance[self.second]))
+        parts = (summed(self.first[own], w[own], size) for w in (2 * self.pair_n - 1, 10 * self.n[self.second] + 1))
         return self.words[self.word_contexts], *(p[self.word_contexts] for p in parts)
 
     def take_triples(self, answer: np.ndarray) -> None:
         self.triple_n = answer >> 1
         self.triple_kept = self.triple_n >= LEAST_GRAM
         self.owns_triple = ((answer & 1) > 0) & self.triple_kept
-        self.seen_triple = np.where(self.triple_kept, (self.triple_n - DISCOUNT) / np.maximum(self.pair_n[self.head], 1), 0.0)
         # Whether a kept triple ends in the pair of each occurrence's second word.
         self.ends_triple = np.zeros(len(self.at), bool)
         self.ends_triple[self.long_at + 1] = self.triple_kept[self.triple]
@@ -185,22 +259,41 @@ class _Block:
         self.left = follows[self.kept[self.pair[follows]] & ~self.ends_triple[follows + 1]]
         own, size = self.owns_triple, len(self.pairs)
         self.pair_contexts = np.unique(np.concatenate([self.pair[self.left], self.head[own]]))
-        parts = (np.bincount(self.head[own], w[own], size) for w in (self.seen_triple, self.seen[self.tail]))
+        parts = (summed(self.head[own], w[own], size) for w in (2 * self.triple_n - 1, 2 * self.pair_n[self.tail] - 1))
         return self.pairs[self.pair_contexts], *(p[self.pair_contexts] for p in parts)
 
-    def scores(self, words: np.ndarray, pairs: np.ndarray) -> list[pa.Array]:
-        """``words`` and ``pairs`` are the backoff weights asked for."""
-        of_word, of_pair = np.zeros(len(self.words)), np.zeros(len(self.pairs))
-        of_word[self.word_contexts], of_pair[self.pair_contexts] = words, pairs
-        base = np.log10(self.n + SMOOTHING)[self.ids] - self.scale
-        cost = base.copy()
-        seen = np.log10(np.where(self.kept, self.seen, 1.0))
-        cost[self.at + 1] = np.where(self.kept[self.pair], seen[self.pair], of_word[self.ids[self.at]] + base[self.at + 1])
-        cost[self.at[self.left] + 2] += of_pair[self.pair[self.left]]
-        long = self.triple_kept[self.triple]
-        cost[self.at[self.long_at[long]] + 2] = np.log10(self.seen_triple[self.triple[long]])
+    def automaton(self, of_words: np.ndarray, of_pairs: np.ndarray) -> Automaton:
+        """States and arcs, by the sums asked for: twice the seen counts and the shorter probabilities of each context."""
+        tokens, kinds = self.totals
+        # Both sides in tenths of a count for words, in halves for pairs.
+        after_word, after_pair = np.zeros(len(self.words)), np.zeros(len(self.pairs))
+        at = self.word_contexts
+        after_word[at] = _backoff(of_words, self.n[at], (10 * tokens + kinds + 1))
+        at = self.pair_contexts
+        after_pair[at] = _backoff(of_pairs, self.pair_n[at], 2 * self.n[self.second[at]])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            weights = (
+                np.log10(self.n + SMOOTHING) - self.scale,
+                np.log10((self.pair_n - DISCOUNT) / self.n[self.first]),
+                np.log10((self.triple_n - DISCOUNT) / self.pair_n[self.head]),
+            )
+        return Automaton(
+            after_word, after_pair, self.second, weights,
+            (self.first, self.head), (self.kept, self.triple_kept), self.tail,
+        )
+
+    def scores(self, of_words: np.ndarray, of_pairs: np.ndarray) -> list[pa.Array]:
+        """Columns of the block's texts."""
+        automaton = self.automaton(of_words, of_pairs)
         sizes = np.array(self.row["sizes"], np.int64)
         starts = np.cumsum(sizes) - sizes
+        # The arc that each place's word, pair and triple may have; those without a pair or triple have the last.
+        arcs = np.full((3, len(self.ids)), automaton.no_arc, np.int32)
+        arcs[0] = self.ids
+        arcs[1, self.at + 1] = automaton.pair_arcs + self.pair
+        arcs[2, self.at[self.long_at] + 2] = automaton.triple_arcs + self.triple
+        cost = automaton.walk(arcs, starts, starts + sizes)
+        base = (np.log10(self.n + SMOOTHING) - self.scale)[self.ids]
         sums = [np.add.reduceat(x, starts) for x in ((self.n > 0)[self.ids].astype(np.int64), base, cost)]
         return [pa.array(~np.array(self.row["training"], bool)), pa.array(sizes), *map(pa.array, sums)]
 
@@ -210,7 +303,7 @@ ANSWERED = "block long, shard long, answer binary, found long"
 
 
 def _sent(number: int, first_shard: int, shards: int, keys: np.ndarray, *parts: np.ndarray) -> pa.RecordBatch:
-    """A row per shard that some of the keys belong to, with these in order and their parts: counts, or two weights."""
+    """A row per shard that some of the keys belong to, with these in order and their parts: counts, or two sums."""
     order = np.argsort(keys)
     keys = keys[order]
     shard = ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
@@ -225,13 +318,13 @@ def _sent(number: int, first_shard: int, shards: int, keys: np.ndarray, *parts:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["block", "shard", "keys", "a", "b"])
 
 
-def _received(answers: list[dict] | None, first_shard: int, shards: int, keys: np.ndarray, kind: type) -> np.ndarray:
-    """Answers, sorted by shard, in the order of the keys asked for."""
-    out = np.zeros(len(keys), kind)
-    found = [unpacked(a["answer"], kind) for a in answers or [] if first_shard <= a["shard"] < first_shard + shards]
+def _received(answers: list[dict] | None, first_shard: int, shards: int, keys: np.ndarray, parts: int = 1) -> np.ndarray:
+    """Answers, sorted by shard, in the order of the keys asked for; so many numbers for each key."""
+    out = np.zeros((parts, len(keys)), np.int64)
+    found = [unpacked(a["answer"], np.int64).reshape(parts, -1) for a in answers or [] if first_shard <= a["shard"] < first_shard + shards]
     if found:
-        out[np.argsort(keys)] = np.concatenate(found)
-    return out
+        out[:, np.argsort(keys)] = np.concatenate(found, axis=1)
+    return out if parts > 1 else out[0]
 
 
 def _counted(places: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -243,11 +336,6 @@ def _counted(places: np.ndarray, n: np.ndarray) -> np.ndarray:
     return 2 * total[places] + (first[places] == np.arange(len(places)))
 
 
-def _backoff(places: np.ndarray, seen: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-    left, spread = (1 - np.bincount(places, p) for p in (seen, shorter))
-    return np.log10(left / spread)[places]
-
-
 def answered(asked: DataFrame, name: str) -> DataFrame:
     """What each shard answers to each block, and in one of its rows how many keys were found in training texts."""
 
@@ -269,12 +357,12 @@ def answered(asked: DataFrame, name: str) -> DataFrame:
             places = np.unique(np.concatenate(keys), return_inverse=True)[1]
             if rows[0]["b"] is None:
                 answers = _counted(places, np.concatenate([unpacked(r["a"], np.int64) for r in rows]))
-                found = int((answers & 1).sum())
+                found, answers = int((answers & 1).sum()), answers[None]
             else:
-                answers = _backoff(places, *(np.concatenate([unpacked(r[c], np.float64) for r in rows]) for c in "ab"))
-                found = 0
+                sent = (np.concatenate([unpacked(r[c], np.int64) for r in rows]) for c in "ab")
+                found, answers = 0, np.stack([summed(places, x, edges[-1])[places] for x in sent])
             columns = [pa.array([r[c] for r in rows], pa.int64()) for c in ("block", "shard")]
-            columns += [pa.array([packed(answers[x:y]) for x, y in zip(edges, edges[1:])], pa.binary())]
+            columns += [pa.array([packed(answers[:, x:y].ravel()) for x, y in zip(edges, edges[1:])], pa.binary())]
             columns += [pa.array([found, *[0] * (len(rows) - 1)], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["block", "shard", "answer", "found"])
 
@@ -282,67 +370,6 @@ def answered(asked: DataFrame, name: str) -> DataFrame:
     return materialize(sorted_rows.mapInArrow(work, ANSWERED), name)
 
 
-class Automaton:
-    """The model on one machine, for tests: states are contexts of one or two words, 0 the empty one.
-
-    ``counts`` are those of the frequent words, by number. ``pairs`` and ``triples`` are the kept grams with
-    their counts; a gram is coded as in ``gram_counts``.
-    """
-
-    def __init__(self, counts, tokens, kinds, words, pairs, pair_counts, triples, triple_counts):
-        self.words = words
-        chance = (counts + SMOOTHING) / (tokens + SMOOTHING * (kinds + 1))
-        self.root = np.log10(chance).tolist()
-        first, second = pairs // words, pairs % words
-        seen = (pair_counts - DISCOUNT) / counts[first]
-        middle, third = triples // words, triples % words
-        seen_third = (triple_counts - DISCOUNT) / pair_counts[middle]
-        contexts, of_context = np.unique(first, return_inverse=True)
-        longer, of_longer = np.unique(middle, return_inverse=True)
-        # Numbers of states: the empty context, then words, then pairs.
-        self.after_word = np.zeros(len(counts), np.int64)
-        self.after_word[contexts] = 1 + np.arange(len(contexts))
-        after_pair = self.after_word[second]
-        after_pair[longer] = 1 + len(contexts) + np.arange(len(longer))
-
-        left = 1 - np.bincount(of_context, seen, len(contexts))
-        spread = 1 - np.bincount(of_context, chance[second], len(contexts))
-        # The shorter context of a triple's last word is its last pair, which is kept whenever the triple is.
-        last_pair = np.searchsorted(pairs, second[middle] * words + third)
-        left_longer = 1 - np.bincount(of_longer, seen_third, len(longer))
-        spread_longer = 1 - np.bincount(of_longer, seen[last_pair], len(longer))
-        self.backoff = np.log10(np.concatenate([[1.0], left / spread, left_longer / spread_longer])).tolist()
-        self.failure = np.concatenate([[0], np.zeros(len(contexts)), self.after_word[second[longer]]]).astype(int).tolist()
-
-        states = np.concatenate([1 + of_context, 1 + len(contexts) + of_longer])
-        keys = states * words + np.concatenate([second, third])
-        weights = np.log10(np.concatenate([seen, seen_third]))
-        nexts = np.concatenate([after_pair, after_pair[last_pair]])
-        self.arcs = dict(zip(keys.tolist(), zip(weights.tolist(), nexts.tolist())))
-        self.after_word = self.after_word.tolist()
-
-    def walk(self, ids: list[int]) -> float:
-        """log10 probability of a text of numbers; words that are not frequent (-1) leave out their unigram part."""
-        state, total = 0, 0.0
-        arcs, backoff, failure, words = self.arcs, self.backoff, self.failure, self.words
-        for word in ids:
-            arc = None
-            while state:
-                if 0 <= word < words:
-                    arc = arcs.get(state * words + word)
-                    if arc:
-                        break
-                total += backoff[state]
-                state = failure[state]
-            if arc:
-                total += arc[0]
-                state = arc[1]
-            elif word >= 0:
-                total += self.root[word]
-                state = self.after_word[word]
-        return total
-
-
 def scored(documents: DataFrame, block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every document."""
     blocks = materialize(_blocks(documents, block_tokens), "text-blocks")
@@ -374,10 +401,10 @@ def scored(documents: DataFrame, block_tokens: int = BLOCK_TOKENS, shard_tokens:
     def told(row: dict, totals: tuple[int, int], rounds: int) -> _Block:
         """A block with the answers of the first rounds and what it asked after them."""
         block = _Block(row, totals)
-        counts = (_received(row["answers0"], s, shards, keys, np.int64) for s, keys in ((0, block.words), (shards, block.pairs)))
+        counts = (_received(row["answers0"], s, shards, keys) for s, keys in ((0, block.words), (shards, block.pairs)))
         block.take_counts(*counts)
         if rounds > 1:
-            block.take_triples(_received(row["answers1"], 0, shards, block.triples, np.int64))
+            block.take_triples(_received(row["answers1"], 0, shards, block.triples))
         return block
 
     def ask_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -408,8 +435,8 @@ def scored(documents: DataFrame, block_tokens: int = BLOCK_TOKENS, shard_tokens:
         for row, doc_ids in each(batches):
             block = told(row, totals, 2)
             words, pairs = block.ask_after_words()[0], block.ask_after_pairs()[0]
-            of_words = _received(row["answers1"], shards, shards, words, np.float64)
-            of_pairs = _received(row["answers2"], shards, shards, pairs, np.float64)
+            of_words = _received(row["answers1"], shards, shards, words, 2)
+            of_pairs = _received(row["answers2"], shards, shards, pairs, 2)
             columns = [doc_ids, *block.scores(of_words, of_pairs)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 

@@ -13,7 +13,8 @@ A gram is one entry per block, so none is hot, and shards are even, since hashes
 3. The first block that holds a kept triple adds its part to the backoff weight of its first pair.
 4. With these answers each block has all grams that its texts can reach, and scores them.
 
-What is added up are whole numbers, so the order of blocks does not change a weight.
+Blocks and answers are stored in the same buckets of blocks, so both cross the network once and are then read where
+they lie. What is added up are whole numbers, so the order of blocks does not change a weight.
 
 Scoring. A block's grams become a weighted automaton: its states are the contexts, its arcs the kept grams, and a
 failure arc leads from each context to the next shorter one at the price of the backoff weight. Every text is
@@ -31,6 +32,7 @@ An empty table gives an empty result. Other columns are not read.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -40,13 +42,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructType
 
-from vintageline.llm.common import is_training, materialize, slices
+from vintageline.llm.common import is_training, slices
+from vintageline.sources.snapshots import shared_folder
 
 LEAST_GRAM = 2
 BLOCK_TOKENS = 1_000_000
 SHARD_TOKENS = 2_000_000
 SMOOTHING = 0.1
 DISCOUNT = 0.5
+# Spark's own limit of buckets.
+MOST_BUCKETS = 100_000
 # Words of a long text that are read on end, texts and such parts being read side by side.
 LANE = 512
 # Hash that stands for the end of a text; a word that hashes to it is counted with it.
@@ -298,6 +303,21 @@ class _Block:
         return [pa.array(~np.array(self.row["training"], bool)), pa.array(sizes), *map(pa.array, sums)]
 
 
+def placed(frame: DataFrame, name: str) -> DataFrame:
+    """Write rows in buckets of blocks under the shared folder and read them back: joins of such tables need no shuffle.
+
+    There are as many buckets as shuffles have partitions. The bucketed table leaves the catalog at once; its files stay.
+    """
+    spark = frame.sparkSession
+    buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), MOST_BUCKETS)
+    table = f"{name}_{uuid.uuid4().hex}"
+    writer = frame.repartition(buckets, "block").write.bucketBy(buckets, "block").format("parquet").option("compression", "zstd")
+    writer.option("path", f"{shared_folder(spark)}/{table}").saveAsTable(table)
+    found = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return found
+
+
 ASKED = "block long, shard long, keys binary, a binary, b binary"
 ANSWERED = "block long, shard long, answer binary, found long"
 
@@ -367,12 +387,12 @@ def answered(asked: DataFrame, name: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=["block", "shard", "answer", "found"])
 
     sorted_rows = asked.repartition("shard").sortWithinPartitions("shard", "block")
-    return materialize(sorted_rows.mapInArrow(work, ANSWERED), name)
+    return placed(sorted_rows.mapInArrow(work, ANSWERED), name)
 
 
 def scored(documents: DataFrame, block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every document."""
-    blocks = materialize(_blocks(documents, block_tokens), "text-blocks")
+    blocks = placed(_blocks(documents, block_tokens), "text_blocks")
     trained = F.aggregate(
         F.zip_with("sizes", "training", lambda size, t: F.when(t, size).otherwise(0).cast("long")),
         F.lit(0).cast("long"),
@@ -413,7 +433,7 @@ def scored(documents: DataFrame, block_tokens: int = BLOCK_TOKENS, shard_tokens:
             yield _sent(row["block"], 0, shards, *block.ask_words())
             yield _sent(row["block"], shards, shards, *block.ask_pairs())
 
-    counts = answered(blocks.mapInArrow(ask_counts, ASKED), "gram-counts")
+    counts = answered(blocks.mapInArrow(ask_counts, ASKED), "gram_counts")
     kinds = counts.where(F.col("shard") < shards).agg(F.sum("found")).first()[0] or 0
     totals = (tokens, kinds)
 
@@ -423,13 +443,13 @@ def scored(documents: DataFrame, block_tokens: int = BLOCK_TOKENS, shard_tokens:
             yield _sent(row["block"], 0, shards, *block.ask_triples())
             yield _sent(row["block"], shards, shards, *block.ask_after_words())
 
-    triples = answered(beside(counts).mapInArrow(ask_triples, ASKED), "triple-counts")
+    triples = answered(beside(counts).mapInArrow(ask_triples, ASKED), "triple_counts")
 
     def ask_after_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, _ in each(batches):
             yield _sent(row["block"], shards, shards, *told(row, totals, 2).ask_after_pairs())
 
-    weights = answered(beside(counts, triples).mapInArrow(ask_after_pairs, ASKED), "pair-weights")
+    weights = answered(beside(counts, triples).mapInArrow(ask_after_pairs, ASKED), "pair_weights")
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, doc_ids in each(batches):

@@ -1,6 +1,7 @@
 """Boosted trees and Newton fits."""
 
 import random
+from itertools import permutations
 
 import numpy as np
 import pytest
@@ -10,7 +11,9 @@ from vintageline.models.boosting import best_split, fit_boosted_directed
 from vintageline.models.challenger import calibrate
 from vintageline.models.newton import FitError, fit_newton
 from vintageline.models.scorecard import probability_of
+from vintageline.models.shapley import contributions, median_row
 from vintageline.models.store import load_models, store_models
+from vintageline.portfolio.reasons import boosted_reasons
 from vintageline.validation.metrics import auc
 
 
@@ -82,3 +85,36 @@ def test_newton_solves_the_score_equations(crossed):
 def test_newton_refuses_what_has_no_solution(spark, crossed):
     with pytest.raises(FitError):
         fit_newton(crossed.limit(0), [F.col("a")], F.col("y"))
+
+
+def test_contributions_add_up_and_equal_all_orders(spark, crossed):
+    """Against the average over all orders in which features can come in, by the model's own log-odds."""
+    model = fit_boosted_directed(crossed, "y", ("a", "b", "c"), (0, 0, 0), trees=6, depth=3, rate=0.5)
+    reference = median_row(crossed, model)
+    given = [(k, a, b, c) for k, (a, b, c) in enumerate([(0.1, 0.9, 0.5), (0.7, None, 0.2), (None, None, None), (0.6, 0.4, 0.9)])]
+    shape = "k int, a double, b double, c double"
+    found = spark.createDataFrame(given, shape).select("k", contributions(model, reference).alias("parts")).collect()
+    mixes = [
+        (k * 8 + s, *(x if s >> i & 1 else reference[f] for i, (f, x) in enumerate(zip("abc", values))))
+        for k, *values in given for s in range(8)
+    ]
+    worth = dict(spark.createDataFrame(mixes, shape).select("k", model.logit()).collect())
+    for k, parts in found:
+        expected = [0.0] * 3
+        for order in permutations(range(3)):
+            held = 0
+            for i in order:
+                expected[i] += (worth[k * 8 + (held | 1 << i)] - worth[k * 8 + held]) / 6
+                held |= 1 << i
+        assert list(parts) == pytest.approx(expected)
+        assert sum(parts) == pytest.approx(worth[k * 8 + 7] - worth[k * 8])
+
+
+def test_reasons_of_trees_are_ranked(spark, crossed):
+    model = fit_boosted_directed(crossed, "y", ("a", "b", "c"), (0, 0, 0), trees=6, depth=3, rate=0.5)
+    reference = {"a": 0.1, "b": 0.1, "c": 0.5}
+    rows = spark.createDataFrame([(1, 0.9, 0.1, 0.5), (2, 0.1, 0.1, 0.5), (3, None, None, None)], "k int, a double, b double, c double")
+    calibrated = calibrate(model, crossed, "y")
+    found = boosted_reasons(rows, calibrated, reference, ["k"]).where("k < 3").collect()
+    assert [(r.k, r["rank"], r.feature) for r in found] == [(1, 1, "a")]
+    assert boosted_reasons(rows.where("k > 3"), model, reference, ["k"]).count() == 0

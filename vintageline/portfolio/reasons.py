@@ -7,7 +7,10 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vintageline.models.boosting import BoostedModel
+from vintageline.models.challenger import Calibrated
 from vintageline.models.scorecard import FACTOR, Scorecard
+from vintageline.models.shapley import Reference, contributions
 
 REASONS = {
     "CLASSIC_FICO": "Credit score at origination is low",
@@ -62,3 +65,20 @@ def scorecard_reasons(rows: DataFrame, card: Scorecard, keys: list[str], top: in
         f: F.lit(-FACTOR * weight) * card.bins[f].weight() for f, weight in card.coefficients.items()
     }
     return ranked_shortfalls(rows, keys, points, best, top)
+
+
+def boosted_reasons(
+    rows: DataFrame, model: BoostedModel | Calibrated, reference: Reference, keys: list[str], top: int = 4
+) -> DataFrame:
+    """Reason codes of boosted trees: features that raise the log-odds most against a reference row.
+
+    A calibration moves all scores alike, so a calibrated model has the reasons of its trees. The shortfall is in
+    log-odds.
+    """
+    trees = model.model if isinstance(model, Calibrated) else model
+    if not isinstance(trees, BoostedModel):
+        raise TypeError("reasons by Shapley values need boosted trees")
+    parts = "_" + "_".join(rows.columns)
+    shared = rows.withColumn(parts, contributions(trees, reference))
+    points = {f: -F.col(f"`{parts}`")[k] for k, f in enumerate(trees.features)}
+    return ranked_shortfalls(shared, keys, points, dict.fromkeys(trees.features, 0.0), top)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vintageline.models.boosting import BoostedModel, Tree
 from vintageline.models.frame import hazard_rows, labelled_rows
 from vintageline.models.hazard import fit_hazard
 from vintageline.models.scorecard import fit_scorecard
+from vintageline.models.shapley import contributions
 from vintageline.models.store import load_models, store_models
 from vintageline.operators.quality import quality_report
 from vintageline.operators.splits import assign_splits
@@ -248,6 +250,67 @@ def x14_reason_codes(spark, folder):
     return rounded(scorecard_reasons(rows, fixed_scorecard(), ["LOAN_ID", "ACT_PERIOD"], top=2))
 
 
+def fixed_trees() -> BoostedModel:
+    """Three given trees, to test contributions apart from fitting: interactions, a feature met twice, missing values."""
+    cuts = {
+        "CLASSIC_FICO": (660.0, 720.0), "OLTV": (70.0, 85.0), "DTI": (25.0, 40.0), "CURRENT_LTV": (60.0, 80.0),
+        "SEASONING_MONTHS": (12.0, 36.0), "UNRATE": (5.0, 8.0), "MORTGAGE30US": (4.5,),
+    }
+    none = (-1,) * 4
+    trees = (
+        Tree((0, 1, 2, *none), (1, 1, 1, *none), (True, False, True, *(False,) * 4), (1, 3, 5, *none), (2, 4, 6, *none),
+             (0.0, 0.0, 0.0, 0.1, 0.6, -0.4, -0.1), (0.0,) * 7),
+        Tree((5, 0, 4, 3, -1, -1, -1, -1, -1), (1, 0, 1, 1, *none, -1), (True, False, True, True, *(False,) * 5),
+             (1, 3, 5, 7, *none, -1), (2, 4, 6, 8, *none, -1), (0.0, 0.0, 0.0, 0.0, -0.2, 0.5, 0.25, 0.3, 0.8), (0.0,) * 9),
+        Tree((1, 1, -1, -1, 6, -1, -1), (1, 0, -1, -1, 0, -1, -1), (True, False, False, False, True, False, False),
+             (1, 3, -1, -1, 5, -1, -1), (2, 4, -1, -1, 6, -1, -1), (0.0, 0.0, 0.4, -0.3, 0.0, 0.05, 0.15), (0.0,) * 7),
+    )
+    return BoostedModel(tuple(cuts), cuts, trees, -3.0)
+
+
+FIXED_REFERENCE = {
+    "CLASSIC_FICO": 740.0, "OLTV": 75.0, "DTI": 30.0, "CURRENT_LTV": None, "SEASONING_MONTHS": 24.0, "UNRATE": 5.0,
+    "MORTGAGE30US": 4.0,
+}
+
+
+def _shapley_twin() -> str:
+    """All 128 sets of features, each with the log-odds of the row mixed with the reference."""
+    names = list(FIXED_REFERENCE)
+    mixed = ", ".join(
+        f"CASE WHEN s & {1 << k} > 0 THEN CAST({f} AS DOUBLE) ELSE {'NULL' if FIXED_REFERENCE[f] is None else FIXED_REFERENCE[f]} END AS {f}"
+        for k, f in enumerate(names)
+    )
+    shares = ", ".join(
+        f"round(sum(CASE WHEN s & {1 << k} > 0 THEN v * inside ELSE -v * outside END), 6) + 0.0::DOUBLE AS {f}"
+        for k, f in enumerate(names)
+    )
+    return f"""WITH {GOLD}, known AS (SELECT * FROM gold WHERE DEFAULT_IN_12M IS NOT NULL),
+        mixed AS (SELECT LOAN_ID, ACT_PERIOD, s, bit_count(s) AS k, {mixed} FROM known, range(128) AS t(s)),
+        worth AS (SELECT LOAN_ID, ACT_PERIOD, s,
+          CAST(factorial(CAST(greatest(k - 1, 0) AS INT)) * factorial(CAST(7 - k AS INT)) AS DOUBLE) / 5040 AS inside,
+          CAST(factorial(CAST(k AS INT)) * factorial(CAST(greatest(6 - k, 0) AS INT)) AS DOUBLE) / 5040 AS outside,
+          (CASE WHEN CLASSIC_FICO IS NULL OR CLASSIC_FICO < 720 THEN CASE WHEN OLTV < 85 THEN 0.1 ELSE 0.6 END
+            WHEN DTI IS NULL OR DTI < 40 THEN -0.4 ELSE -0.1 END
+          + CASE WHEN UNRATE IS NULL OR UNRATE < 8 THEN CASE WHEN CLASSIC_FICO < 660
+              THEN CASE WHEN CURRENT_LTV IS NULL OR CURRENT_LTV < 80 THEN 0.3 ELSE 0.8 END ELSE -0.2 END
+            WHEN SEASONING_MONTHS IS NULL OR SEASONING_MONTHS < 36 THEN 0.5 ELSE 0.25 END
+          + CASE WHEN OLTV >= 85 THEN 0.4 WHEN OLTV < 70 THEN -0.3
+            WHEN MORTGAGE30US IS NULL OR MORTGAGE30US < 4.5 THEN 0.05 ELSE 0.15 END)::DOUBLE AS v FROM mixed)
+        SELECT LOAN_ID, ACT_PERIOD, {shares} FROM worth GROUP BY 1, 2"""
+
+
+@query("x14_tree_contributions", _shapley_twin())
+def x14_tree_contributions(spark, folder):
+    """Shapley values of each loan-month's features under given trees, against a given reference."""
+    model = fixed_trees()
+    known = gold(spark, folder).where(F.col(TARGET_12M).isNotNull())
+    rows = known.select("LOAN_ID", "ACT_PERIOD", contributions(model, FIXED_REFERENCE).alias("parts"))
+    return rows.select(
+        "LOAN_ID", "ACT_PERIOD", *((F.round(F.col("parts")[k], 6) + F.lit(0.0)).alias(f) for k, f in enumerate(model.features))
+    )
+
+
 _PROXIES = ("STATE", "PURPOSE", "OCC_STAT", "PROP")
 
 

@@ -23,6 +23,7 @@ from vintageline.plans.publication import (
 )
 from vintageline.plans.stages import Places, run_stage
 from vintageline.queries.inputs import panel, releases
+from vintageline.sources import snapshots
 from vintageline.sources.rawfiles import ingest
 from vintageline.sources.snapshots import (
     latest_version,
@@ -247,3 +248,17 @@ def test_gold_sources_are_named_exactly(spark):
     for wrong in ({"silver": 1}, {"silver": 1, "macro": 1, "x": 1}, {"silver": -1, "macro": 0}):
         with pytest.raises(ValueError):
             require_gold_sources(wrong)
+
+
+def test_one_writer_wins_a_version(spark, folder, monkeypatch):
+    path = f"{folder}/raced"
+    publish(spark.range(2).toDF("a"), path)
+    # Both writers look for the next version before either commits.
+    monkeypatch.setattr(snapshots, "_next_version", lambda *_: 1)
+    assert publish(spark.range(3).toDF("a"), path) == 1
+    with pytest.raises(snapshots.CommitConflict):
+        publish(spark.range(9).toDF("a"), path)
+    monkeypatch.undo()
+    assert read_version(spark, path).count() == 3
+    assert publish(spark.range(4).toDF("a"), path) == 2
+    assert [read_version(spark, path, v).count() for v in range(3)] == [2, 3, 4]

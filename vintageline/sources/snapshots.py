@@ -1,7 +1,8 @@
 """Versioned Parquet tables: one directory per version and a small manifest written last (SNK2, SRC8).
 
 A version is visible only once its manifest exists, so a failed write leaves readers on the version
-before. Manifests are written with Spark too, which keeps every path on the cluster's file system.
+before. A manifest is written aside and moved to its place on the cluster's file system, which refuses the move
+where another writer was first; so a version has one writer, and readers see whole manifests only.
 """
 
 from __future__ import annotations
@@ -11,10 +12,16 @@ import tempfile
 import uuid
 from collections.abc import Mapping
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+
+class CommitConflict(RuntimeError):
+    """Another writer published the version first; the table is as that writer left it."""
+
+
 MANIFEST_SCHEMA = "version bigint, sources string, columns string, data string"
 
 
@@ -33,10 +40,28 @@ def latest_version(spark: SparkSession, path: str) -> int | None:
 
 
 def _commit(spark: SparkSession, path: str, version: int, sources: str, columns: str, data: str) -> int:
-    row = (version, sources, columns, data)
-    spark.createDataFrame([row], MANIFEST_SCHEMA).coalesce(1).write.mode("error").json(
-        f"{path}/manifest/v={version}"
-    )
+    row = {"version": version, "sources": sources, "columns": columns, "data": data}
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    pending = hadoop.Path(f"{path}/manifest/_{uuid.uuid4().hex}")
+    target = hadoop.Path(f"{path}/manifest/{version}.json")
+    settings = spark.sparkContext._jsc.hadoopConfiguration()
+    files = target.getFileSystem(settings)
+    files.mkdirs(target.getParent())
+    out = files.create(pending, False)
+    try:
+        out.write(bytearray(json.dumps(row).encode()))
+    finally:
+        out.close()
+    # Readers pass over names with an underscore. Unlike a plain rename, this one fails where the target exists.
+    context = hadoop.FileContext.getFileContext(files.getUri(), settings)
+    options = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
+    try:
+        context.rename(files.makeQualified(pending), files.makeQualified(target), options)
+    except Py4JJavaError as problem:
+        files.delete(pending, False)
+        if "FileAlreadyExistsException" in str(problem.java_exception):
+            raise CommitConflict(f"version {version} of {path} was published by another writer") from None
+        raise
     return version
 
 
@@ -54,8 +79,8 @@ def publish(
 ) -> int:
     """Write the frame as the next version of the table at ``path`` and return that version.
 
-    A table has one writer at a time. A manifest that already exists makes the write fail, which shows
-    most collisions, but two writers that check at the same moment are not kept apart.
+    Of several writers of one version the first to commit wins; the others raise ``CommitConflict``, and the data
+    they wrote belongs to no version.
     """
     spark = frame.sparkSession
     version = _next_version(spark, path)

@@ -20,7 +20,8 @@ from vintageline.operators.features import loan_features
 from vintageline.operators.gold import reconciliation_counts, row_count_mismatches
 from vintageline.operators.splits import assign_splits, straddling_loans, unparsed_sources
 from vintageline.operators.survival import loan_facts, survival_panel
-from vintageline.queries.inputs import gold, panel, query, releases, rounded
+from vintageline.plans.incremental import merge_silver, read_gold, refresh_gold
+from vintageline.queries.inputs import gold, panel, query, releases, rounded, use_scratch
 from vintageline.queries.twins import (
     MACRO_WIDE,
     PANEL,
@@ -33,6 +34,7 @@ from vintageline.queries.twins import (
     with_survival,
 )
 from vintageline.settings import HPI_SERIES, MACRO_SERIES
+from vintageline.sources.snapshots import publish
 from vintageline.sources.synthetic import synthetic_loans, synthetic_outcomes
 from vintageline.queries.inputs import table
 from vintageline.validation.leakage import changed_cells
@@ -190,24 +192,50 @@ _GOLD_OUT = [
 ]
 
 
-@query(
-    "srv6_gold_panel",
-    with_gold(
-        "SELECT "
-        + ", ".join(_GOLD_OUT + [f"round({c}, 6) AS {c}" for c in _GOLD_DOUBLES])
-        + ", "
-        + ", ".join(c if "DATE" in c else f"CAST({c} AS DOUBLE) AS {c}" for c in _GOLD_MACRO)
-        + " FROM gold"
-    ),
+_GOLD_TWIN = with_gold(
+    "SELECT "
+    + ", ".join(_GOLD_OUT + [f"round({c}, 6) AS {c}" for c in _GOLD_DOUBLES])
+    + ", "
+    + ", ".join(c if "DATE" in c else f"CAST({c} AS DOUBLE) AS {c}" for c in _GOLD_MACRO)
+    + " FROM gold"
 )
-def srv6_gold_panel(spark, folder):
-    return gold(spark, folder).select(
+
+
+def _gold_out(rows):
+    return rows.select(
         *_GOLD_OUT,
         *(F.round(c, 6).alias(c) for c in _GOLD_DOUBLES),
         *(c if "DATE" in c else F.col(c).cast("double").alias(c) for c in _GOLD_MACRO),
     )
 
 
+@query("srv6_gold_panel", _GOLD_TWIN)
+def srv6_gold_panel(spark, folder):
+    return _gold_out(gold(spark, folder))
+
+
+@query("x16_incremental_gold", _GOLD_TWIN)
+def x16_incremental_gold(spark, folder):
+    """Gold kept up to date over two deliveries equals a full build.
+
+    The first delivery ends in 2012, before some releases were known, and reports a third of the loans as current;
+    the second brings their corrections, all later months and the whole archive of releases.
+    """
+    rows, known = panel(spark, folder), releases(spark)
+    base = use_scratch(spark)
+    silver, macro, target = (f"{base}/{name}" for name in ("silver", "macro", "gold"))
+    early = F.col("ACT_PERIOD") <= F.lit(date(2012, 12, 1))
+    wrong = F.substring("LOAN_ID", -1, 1).isin("1", "4", "7")
+    first = rows.where(early).withColumn("DLQ_STATUS", F.when(wrong, "00").otherwise(F.col("DLQ_STATUS")))
+    merge_silver(first, silver, slots=8)
+    publish(known.where(F.col("AVAILABLE_DATE") <= F.lit(date(2013, 6, 1))), macro)
+    refresh_gold(spark, silver, macro, target)
+    merge_silver(rows.where(~early | wrong), silver, slots=8)
+    publish(known, macro)
+    refresh_gold(spark, silver, macro, target)
+    return _gold_out(read_gold(spark, target))
+
+
 @query(
     "prj3_numeric_delinquency",
     with_panel(

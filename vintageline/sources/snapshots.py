@@ -39,6 +39,20 @@ def latest_version(spark: SparkSession, path: str) -> int | None:
     return None if found is None else found.agg(F.max("version")).first()[0]
 
 
+def manifest_row(spark: SparkSession, path: str, version: int):
+    """What the manifest of a published version says; an unknown version raises."""
+    found = _manifests(spark, path)
+    row = None if found is None else found.where(F.col("version") == version).first()
+    if row is None:
+        raise FileNotFoundError(f"table at {path} has no version {version}")
+    return row
+
+
+def commit_version(spark: SparkSession, path: str, version: int, sources, columns, data) -> int:
+    """Publish a version whose manifest holds the given values as JSON; raises ``CommitConflict`` if it exists."""
+    return _commit(spark, path, version, json.dumps(sources), json.dumps(columns), json.dumps(data))
+
+
 def _commit(spark: SparkSession, path: str, version: int, sources: str, columns: str, data: str) -> int:
     row = {"version": version, "sources": sources, "columns": columns, "data": data}
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs

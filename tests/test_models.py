@@ -1,5 +1,6 @@
 import itertools
 import math
+from datetime import date
 import random
 
 import pytest
@@ -16,7 +17,9 @@ from vintageline.models.scorecard import FACTOR, OFFSET, fit_scorecard
 from vintageline.models.store import load_models, store_models
 from vintageline.plans.training import record_evidence, train_baseline_models, train_challenger
 from vintageline.portfolio.loss import loss_given_default, model_term_structure
-from vintageline.queries.model_queries import fixed_hazard, fixed_scorecard
+from vintageline.portfolio.competing import CAUSES, competing_incidence, exit_next_month
+from vintageline.portfolio.reporting import remaining_months
+from vintageline.queries.model_queries import AGE_WEIGHTS, fixed_hazard, fixed_prepayment, fixed_scorecard
 from vintageline.settings import FEATURES, RISK_DIRECTION, TARGET_12M
 from vintageline.validation.bootstrap import (
     PRIME,
@@ -302,13 +305,64 @@ def test_single_class_is_refused(spark):
         require_both_classes(spark.createDataFrame([(1,)], "y int"), "y", "training")
 
 
-def test_chained_pd_equals_the_product(spark):
+def bump(u):
+    if not 0 <= u < 4:
+        return 0.0
+    pieces = (u**3, -3 * u**3 + 12 * u**2 - 12 * u + 4, 3 * u**3 - 24 * u**2 + 60 * u - 44, (4 - u) ** 3)
+    return pieces[int(u)] / 6
+
+
+def monthly(cause, base, slope, age, dti):
+    place = min(age, 60) / 15
+    logit = base + slope * (dti - 30) + sum(w * bump(place + 3 - i) for i, w in enumerate(AGE_WEIGHTS[cause]))
+    return 1 / (1 + math.exp(-logit))
+
+
+@pytest.mark.parametrize("beside", [False, True])
+def test_chained_pd_equals_the_walk(spark, beside):
     rows = spark.createDataFrame([(i, 5 * i, 10 + i, m) for i, m in enumerate((0, 1, 12, 30, 200))],
                                  "i int, SEASONING_MONTHS int, DTI int, REM_MONTHS int")
-    for r in model_term_structure(rows, fixed_hazard()).collect():
-        h = 1 / (1 + math.exp(5.0 - 0.02 * (r.DTI - 30)))
-        assert r.PD_LIFETIME == pytest.approx(1 - (1 - h) ** r.REM_MONTHS)
-        assert r.PD_12M == pytest.approx(1 - (1 - h) ** min(12, r.REM_MONTHS))
+    competing = (fixed_prepayment(),) if beside else ()
+    for r in model_term_structure(rows, fixed_hazard(), competing=competing).collect():
+        staying, lost, near = 1.0, 0.0, 0.0
+        for k in range(r.REM_MONTHS):
+            h = monthly("default", -5.0, 0.02, r.SEASONING_MONTHS + k, r.DTI)
+            o = monthly("prepaid", -4.0, -0.01, r.SEASONING_MONTHS + k, r.DTI) if beside else 0.0
+            lost += staying * h
+            staying *= 1 - h - o
+            near = lost if k < 12 else near
+        assert (r.PD_LIFETIME, r.PD_12M) == pytest.approx((lost, near))
+
+
+def test_incidences_and_survival_add_up_to_one(spark):
+    cells = [("a", 1, 100, 5, 10, 0, 0), ("a", 2, 80, 4, 0, 1, 3), ("a", 9, 2, 1, 1, 0, 0), ("a", 10, 5, 1, 0, 0, 0), ("b", 30, 4, 0, 0, 0, 0)]
+    table = spark.createDataFrame(cells, "g string, age int, at_risk bigint, " + ", ".join(f"{c} bigint" for c in CAUSES))
+    got = {(r.g, r.age): r for r in competing_incidence(table, 3, ["g"]).collect()}
+    assert len(got) == 5
+    for r in got.values():
+        for name in ("horizon", "lifetime"):
+            assert sum(r[f"{c}_{name}"] for c in ("survival", *CAUSES)) == pytest.approx(1)
+    first = got["a", 1]
+    assert first.default_horizon == pytest.approx(0.05 + 0.85 * 0.05)
+    assert first.survival_lifetime == 0 and first.default_lifetime == pytest.approx(0.0925 + 0.85 * 0.9 * 0.5)
+    assert got["b", 30].survival_lifetime == 1 and got["a", 10].default_horizon == pytest.approx(0.2)
+    assert competing_incidence(table.limit(0), 3, ["g"]).count() == 0
+
+
+def test_exits_are_told_where_the_next_month_is_known(spark):
+    day = lambda m: date(2012, m, 1)
+    rows = [("d", day(1), day(2), "default", 1), ("p", day(1), day(2), "prepaid", 0), ("e", day(1), day(3), "prepaid", 0),
+            ("s", day(1), None, "right_censored", 0), ("n", day(1), None, "right_censored", None)]
+    frame = spark.createDataFrame(rows, "LOAN_ID string, ACT_PERIOD date, EXIT_DATE date, EXIT_TYPE string, DEFAULT_NEXT_MONTH int")
+    got = {r.LOAN_ID: r.EXIT_NEXT_MONTH for r in exit_next_month(frame).collect()}
+    assert got == {"d": "default", "p": "prepaid", "e": "none", "s": "none", "n": None}
+
+
+def test_lifetime_needs_the_months_left(spark):
+    rows = spark.createDataFrame([(None, 360, 12), (5, 360, 12)], "REM_MONTHS int, ORIG_TERM int, LOAN_AGE int")
+    assert [r[0] for r in rows.select(remaining_months(rows)).collect()] == [348, 5]
+    with pytest.raises(ValueError, match="REM_MONTHS"):
+        remaining_months(rows.select("LOAN_AGE"))
 
 
 def test_lgd_falls_back_to_the_assumption(spark):

@@ -62,36 +62,53 @@ def term_structure(hazards: DataFrame, horizon: int = 12) -> DataFrame:
 
 
 def model_term_structure(
-    rows: DataFrame, hazard: HazardModel, horizon: int = 12, remaining: str = "REM_MONTHS"
+    rows: DataFrame,
+    hazard: HazardModel,
+    horizon: int = 12,
+    remaining: str = "REM_MONTHS",
+    competing: Sequence[HazardModel] = (),
 ) -> DataFrame:
     """Per loan-month: 12-month and lifetime PD by chaining the hazard over the loan's future ages.
 
+    ``competing`` are the hazards of other exits, such as prepayment: the PD is then the incidence of default among
+    loans that may also leave by them. Where the hazards of a month pass one together, they are scaled to one.
+
     A row's covariates stay fixed, so its log-odds are a constant plus a function of age. The age part is
     a short table over the fitted age range, held constant outside. Each Arrow batch walks the future
     months once for all its rows; no rows are multiplied and nothing moves between tasks.
     """
-    low, high = (int(edge) for edge in hazard.age_range)
-    ages = rows.sparkSession.range(low, high + 1)
-    table = [r.f for r in ages.select(hazard.age_logit(F.col("id")).alias("f")).sort("id").collect()]
-    by_age = np.array(table)
+    models = (hazard, *competing)
+    by_age = []
+    for model in models:
+        low, high = (int(edge) for edge in model.age_range)
+        ages = rows.sparkSession.range(low, high + 1)
+        table = [r.f for r in ages.select(model.age_logit(F.col("id")).alias("f")).sort("id").collect()]
+        by_age.append((low, np.array(table)))
 
     @F.pandas_udf("near double, life double")
-    def chained(fixed: pd.Series, age: pd.Series, left: pd.Series) -> pd.DataFrame:
-        start = age.to_numpy(dtype=float) - low
+    def chained(fixed: pd.DataFrame, age: pd.Series, left: pd.Series) -> pd.DataFrame:
+        parts = fixed.to_numpy(dtype=float)
+        start = age.to_numpy(dtype=float)
         months = left.to_numpy()
-        log_survival = np.zeros(len(months))
-        near = np.zeros(len(months))
+        staying, lost, near = np.ones(len(months)), np.zeros(len(months)), np.zeros(len(months))
         for step in range(int(months.max(initial=0))):
-            place = np.clip(start + step, 0, len(by_age) - 1)
-            odds = fixed.to_numpy() + by_age[place.astype(int)]
-            log_survival -= np.where(step < months, np.logaddexp(0.0, odds), 0.0)
+            hazards = []
+            for k, (low, table) in enumerate(by_age):
+                place = np.clip(start - low + step, 0, len(table) - 1).astype(int)
+                hazards.append(np.exp(-np.logaddexp(0.0, -(parts[:, k] + table[place]))))
+            leaving = np.sum(hazards, axis=0)
+            over = np.maximum(leaving, 1.0)
+            open_ = step < months
+            lost += np.where(open_, staying * hazards[0] / over, 0.0)
+            staying = np.where(open_, staying * (1 - leaving / over), staying)
             if step < horizon:
-                near = log_survival.copy()
-        return pd.DataFrame({"near": -np.expm1(near), "life": -np.expm1(log_survival)})
+                near = lost.copy()
+        return pd.DataFrame({"near": near, "life": lost})
 
     left = F.greatest(F.coalesce(F.col(remaining).cast("int"), F.lit(0)), F.lit(0))
     age = F.coalesce(F.col(AGE).cast("double"), F.lit(hazard.medians[AGE]))
-    pds = chained(hazard.covariate_logit(), age, left)
+    fixed = F.struct(*(model.covariate_logit().alias(f"m{k}") for k, model in enumerate(models)))
+    pds = chained(fixed, age, left)
     return (
         rows.withColumn("_pd", pds)
         .withColumns({"PD_12M": F.col("_pd.near"), "PD_LIFETIME": F.col("_pd.life")})

@@ -2,32 +2,50 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vintageline.models.challenger import Calibrated
 from vintageline.models.hazard import HazardModel
 from vintageline.models.scorecard import Scorecard
-from vintageline.portfolio.loss import exposure_at_default
+from vintageline.portfolio.loss import assign_stage, exposure_at_default, model_term_structure
 
 SCORED_COLUMNS = (
-    "LOAN_ID", "ACT_PERIOD", "ACQUISITION_QUARTER", "MODELLING_SPLIT", "SCORE", "PD_12M",
-    "HAZARD_NEXT_MONTH", "EAD",
+    "LOAN_ID", "ACT_PERIOD", "ACQUISITION_QUARTER", "MODELLING_SPLIT", "SCORE", "PD_12M", "PD_LIFETIME",
+    "HAZARD_NEXT_MONTH", "STAGE", "EAD",
 )
 
 
+def remaining_months(rows: DataFrame) -> Column:
+    """Reported months to maturity, else original term less loan age, of those columns the rows have."""
+    told = [F.col("REM_MONTHS").cast("int")] if "REM_MONTHS" in rows.columns else []
+    if {"ORIG_TERM", "LOAN_AGE"} <= set(rows.columns):
+        told.append((F.col("ORIG_TERM") - F.col("LOAN_AGE")).cast("int"))
+    if not told:
+        raise ValueError("lifetime PD needs REM_MONTHS, or ORIG_TERM and LOAN_AGE")
+    return F.coalesce(*told)
+
+
 def scored_portfolio(
-    gold: DataFrame, card: Scorecard, hazard: HazardModel, challenger: Calibrated | None = None
+    gold: DataFrame,
+    card: Scorecard,
+    hazard: HazardModel,
+    challenger: Calibrated | None = None,
+    competing: Sequence[HazardModel] = (),
 ) -> DataFrame:
-    """Points, 12-month PD, next-month hazard and exposure per loan-month; a map without any shuffle.
+    """Points, 12-month and lifetime PD, next-month hazard, stage and exposure per loan-month.
 
-    The PD is the challenger's where one was selected, else the scorecard's; points are the scorecard's.
+    The 12-month PD is the challenger's where one was selected, else the scorecard's; points are the scorecard's.
+    The lifetime PD chains the hazard over the remaining months, beside ``competing`` exits where given. Scoring is
+    a map; the stage compares with the loan's first scored month, one aggregate per loan and one equi-join.
     """
     selected = card if challenger is None else challenger
-    scored = hazard.predict(card.points(selected.predict(gold, "PD_12M")), "HAZARD_NEXT_MONTH")
-    return exposure_at_default(scored).select(*SCORED_COLUMNS)
+    left = gold.withColumn("_left", remaining_months(gold))
+    lifetime = model_term_structure(left, hazard, remaining="_left", competing=competing).drop("PD_12M", "_left")
+    scored = hazard.predict(card.points(selected.predict(lifetime, "PD_12M")), "HAZARD_NEXT_MONTH")
+    return exposure_at_default(assign_stage(scored, "PD_12M")).select(*SCORED_COLUMNS)
 
 
 def loan_month_gaps(silver: DataFrame) -> DataFrame:

@@ -105,14 +105,34 @@ FIXED_POINTS = f"""
       - 0.5::DOUBLE * CASE WHEN DTI IS NULL THEN -0.1 WHEN DTI < 25 THEN 0.5 WHEN DTI < 40 THEN 0.0 ELSE -0.4 END)"""
 
 
+AGE_WEIGHTS = {"default": (-0.9, 0.3, 0.8, 0.5, -0.2, -0.6), "prepaid": (-1.4, -0.5, 0.2, 0.4, 0.3, -0.3)}
+
+
 def fixed_hazard() -> HazardModel:
-    """A hazard with given coefficients: log-odds -5 + 0.02 * (DTI - 30), flat in age."""
+    """A hazard with given coefficients: log-odds -5 + 0.02 * (DTI - 30) and a hump over the first 60 months of age."""
+    return HazardModel(
+        {"SEASONING_MONTHS": 24.0, "DTI": 30.0}, (0.0, 60.0), (0.0,) * 6 + (30.0,), (1.0,) * 7,
+        (*AGE_WEIGHTS["default"], 0.02), -5.0,
+    )
+
+
+def fixed_prepayment() -> HazardModel:
+    """A hazard of prepayment with given coefficients: log-odds -4 - 0.01 * (DTI - 30) and a part by age."""
     return HazardModel(
         {"SEASONING_MONTHS": 24.0, "DTI": 30.0}, (0.0, 60.0), (0.0,) * 6 + (30.0,), (1.0,) * 7,
-        (0.0,) * 6 + (0.02,), -5.0,
+        (*AGE_WEIGHTS["prepaid"], -0.01), -4.0,
     )
 
 
+def age_part_sql(cause: str) -> str:
+    """The age part of a given hazard at the whole ages 0 to 60, as a table (a, f)."""
+    terms = []
+    for i, weight in enumerate(AGE_WEIGHTS[cause]):
+        x = f"(a / 15.0::DOUBLE + {3 - i})"
+        terms.append(f"{weight}::DOUBLE * {_bump_sql(x)}")
+    return f"SELECT a, {' + '.join(terms)} AS f FROM range(61) t(a)"
+
+
 # Model rows.
 
 
@@ -283,17 +303,22 @@ def mod4_scorecard_fit(spark, folder):
     return fit_scorecard(train, TARGET_12M).bin_table(train, TARGET_12M)
 
 
+def _bump_sql(x: str) -> str:
+    """Cubic bump on unit knots."""
+    return (
+        f"CASE WHEN {x} < 0 OR {x} >= 4 THEN 0.0 WHEN {x} < 1 THEN {x}*{x}*{x}/6 "
+        f"WHEN {x} < 2 THEN (-3*{x}*{x}*{x} + 12*{x}*{x} - 12*{x} + 4)/6 "
+        f"WHEN {x} < 3 THEN (3*{x}*{x}*{x} - 24*{x}*{x} + 60*{x} - 44)/6 "
+        f"ELSE (4-{x})*(4-{x})*(4-{x})/6 END"
+    )
+
+
 def _spline_twin() -> str:
     u = "((least(greatest(CAST(SEASONING_MONTHS AS DOUBLE), 0.0), 48.0) - 0.0) / 12.0 + {shift})"
     terms = []
     for i in range(6):
         x = u.format(shift=3 - i)
-        terms.append(
-            f"round(CASE WHEN {x} < 0 OR {x} >= 4 THEN 0.0 WHEN {x} < 1 THEN {x}*{x}*{x}/6 "
-            f"WHEN {x} < 2 THEN (-3*{x}*{x}*{x} + 12*{x}*{x} - 12*{x} + 4)/6 "
-            f"WHEN {x} < 3 THEN (3*{x}*{x}*{x} - 24*{x}*{x} + 60*{x} - 44)/6 "
-            f"ELSE (4-{x})*(4-{x})*(4-{x})/6 END, 6) AS b{i}"
-        )
+        terms.append(f"round({_bump_sql(x)}, 6) AS b{i}")
     return with_scores(f"SELECT SEASONING_MONTHS, count(*) AS rows, {', '.join(terms)} FROM scored GROUP BY SEASONING_MONTHS")
 
 

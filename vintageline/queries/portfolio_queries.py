@@ -13,6 +13,7 @@ from vintageline.models.store import load_models, store_models
 from vintageline.operators.quality import quality_report
 from vintageline.operators.splits import assign_splits
 from vintageline.operators.survival import survival_panel
+from vintageline.portfolio.competing import CAUSES, cause_hazards, competing_incidence, fit_cause_hazards
 from vintageline.portfolio.loss import (
     ASSUMED_LGD,
     assign_stage,
@@ -39,7 +40,9 @@ from vintageline.queries.inputs import gold, panel, query, rounded, table, use_s
 from vintageline.queries.model_queries import (
     FIXED_POINTS,
     _auc_sql,
+    age_part_sql,
     fixed_hazard,
+    fixed_prepayment,
     fixed_scorecard,
     known_rows,
     scored_panel,
@@ -121,24 +124,77 @@ def x9_pd_term_structure(spark, folder):
     return rounded(term_structure(hazard_by_age(scored_panel(spark, folder), TARGET_NEXT)))
 
 
-_FIXED_HAZARD = "(1 / (1 + exp(-(-5.0::DOUBLE + 0.02::DOUBLE * (DTI - 30)))))"
+def _pd_twin(select: str, competing: bool = False) -> str:
+    """Scored rows with hazards and chained PDs of the given models, per distinct age, DTI and months left.
 
+    ``pds`` holds the hazard ``h`` of the next month, ``near`` and ``life``; in ``steps`` a month's exits of both causes
+    multiply the share still there.
+    """
+    other = "1 / (1 + exp(-(-4.0::DOUBLE - 0.01::DOUBLE * (DTI - 30) + q.f)))" if competing else "0.0::DOUBLE"
+    return with_scores(
+        f""", age_part AS ({age_part_sql('default')}), other_part AS ({age_part_sql('prepaid')}),
+        cases AS (SELECT DISTINCT SEASONING_MONTHS AS s, DTI, greatest(ORIG_TERM - LOAN_AGE, 0) AS n FROM scored),
+        steps AS (SELECT s, DTI, n, k, 1 / (1 + exp(-(-5.0::DOUBLE + 0.02::DOUBLE * (DTI - 30) + p.f))) AS h, {other} AS o
+          FROM (SELECT *, unnest(range(greatest(n, 1))) AS k FROM cases)
+          JOIN age_part p ON p.a = least(s + k, 60) JOIN other_part q ON q.a = least(s + k, 60)),
+        alive AS (SELECT *, coalesce(exp(sum(ln(1 - h - o)) OVER (PARTITION BY s, DTI, n ORDER BY k
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1) AS share FROM steps),
+        pds AS (SELECT s, DTI AS d, n, min(h) FILTER (k = 0) AS h, coalesce(sum(share * h) FILTER (k < least(n, 12)), 0) AS near,
+          coalesce(sum(share * h) FILTER (k < n), 0) AS life FROM alive GROUP BY 1, 2, 3),
+        chained AS (SELECT * FROM scored JOIN pds ON s = SEASONING_MONTHS AND d = DTI AND n = greatest(ORIG_TERM - LOAN_AGE, 0))
+        {select}"""
+    ).replace("\n,", ",", 1)
 
-@query(
-    "x9_loan_pd",
-    with_scores(
-        f"""SELECT LOAN_ID, ACT_PERIOD,
-        round(CASE WHEN ORIG_TERM - LOAN_AGE > 0 THEN 1 - pow(1 - {_FIXED_HAZARD}, least(12, ORIG_TERM - LOAN_AGE)) ELSE 0 END, 6) AS PD_12M,
-        round(CASE WHEN ORIG_TERM - LOAN_AGE > 0 THEN 1 - pow(1 - {_FIXED_HAZARD}, ORIG_TERM - LOAN_AGE) ELSE 0 END, 6) AS PD_LIFETIME
-        FROM scored"""
-    ),
-)
+
+_LOAN_PD = "SELECT LOAN_ID, ACT_PERIOD, round(near, 6) AS PD_12M, round(life, 6) AS PD_LIFETIME FROM chained"
+
+
+def _loan_pd(spark, folder, competing=()):
+    rows = scored_panel(spark, folder).withColumn("REM_MONTHS", F.col("ORIG_TERM") - F.col("LOAN_AGE"))
+    chained = model_term_structure(rows, fixed_hazard(), competing=competing)
+    return rounded(chained.select("LOAN_ID", "ACT_PERIOD", "PD_12M", "PD_LIFETIME"))
+
+
+@query("x9_loan_pd", _pd_twin(_LOAN_PD))
 def x9_loan_pd(spark, folder):
     """Per loan-month PD by chaining a given hazard over the remaining months."""
-    rows = scored_panel(spark, folder).withColumn("REM_MONTHS", F.col("ORIG_TERM") - F.col("LOAN_AGE"))
-    return rounded(
-        model_term_structure(rows, fixed_hazard()).select("LOAN_ID", "ACT_PERIOD", "PD_12M", "PD_LIFETIME")
+    return _loan_pd(spark, folder)
+
+
+@query("x9_competing_loan_pd", _pd_twin(_LOAN_PD, competing=True))
+def x9_competing_loan_pd(spark, folder):
+    """Per loan-month incidence of default beside prepayment, both hazards given."""
+    return _loan_pd(spark, folder, (fixed_prepayment(),))
+
+
+def _incidence_twin() -> str:
+    """Walks the ages one by one from each age on; ``start`` is the age from which loans are followed."""
+    rates = ", ".join(f"count(*) FILTER (cause = '{c}') AS \"{c}\"" for c in CAUSES)
+    first = ", ".join(f"\"{c}\"::DOUBLE / at_risk AS i_{c}" for c in CAUSES)
+    later = ", ".join(f"i_{c} + left_ * \"{c}\" / at_risk" for c in CAUSES)
+    names = [f'"{c}"' for c in CAUSES]
+    gone = " + ".join(names)
+    ends = ", ".join(
+        f"round(arg_max({'left_' if c == 'survival' else 'i_' + c}, age) FILTER ({when}), 6) AS {c}_{name}"
+        for name, when in (("horizon", "age <= start + 11"), ("lifetime", "true"))
+        for c in ("survival", *CAUSES)
     )
+    return with_scores(
+        f""", told AS (SELECT SEASONING_MONTHS AS age, CASE WHEN EXIT_DATE = CAST(ACT_PERIOD + to_months(1) AS DATE) THEN EXIT_TYPE
+            WHEN DEFAULT_NEXT_MONTH IS NOT NULL THEN 'none' END AS cause FROM scored),
+        h AS (SELECT age, count(*) AS at_risk, {rates}, row_number() OVER (ORDER BY age) AS place FROM told WHERE cause IS NOT NULL GROUP BY age),
+        walk AS (SELECT age AS start, age, place, greatest(1 - ({gone})::DOUBLE / at_risk, 0) AS left_, {first} FROM h
+          UNION ALL SELECT start, h.age, h.place, left_ * greatest(1 - ({gone})::DOUBLE / at_risk, 0), {later}
+          FROM walk JOIN h ON h.place = walk.place + 1),
+        ends AS (SELECT start, {ends} FROM walk GROUP BY start)
+        SELECT age, at_risk, {', '.join(names)}, ends.* EXCLUDE (start) FROM h JOIN ends ON start = age"""
+    ).replace("\n,", ",", 1).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("x9_competing_incidence", _incidence_twin())
+def x9_competing_incidence(spark, folder):
+    """Incidence of each exit from each loan age on, over twelve months and the observed life."""
+    return rounded(competing_incidence(cause_hazards(scored_panel(spark, folder))))
 
 
 _ABSENT = ",".join(c for c in (*COST_FIELDS, *PROCEEDS_FIELDS) if c not in ("FORECLOSURE_COSTS", "NET_SALES_PROCEEDS"))
@@ -329,33 +385,34 @@ def x15_proxy_groups(spark, folder):
     return rounded(proxy_groups(known_rows(spark, folder), TARGET_12M, "pc", 0.4))
 
 
-@query(
-    "x17_scored_portfolio_given_models",
-    with_scores(
-        f"""SELECT LOAN_ID, ACT_PERIOD, ACQUISITION_QUARTER, MODELLING_SPLIT, round({FIXED_POINTS}, 6) AS SCORE,
-        round(1 / (1 + exp(-({FIXED_POINTS} - {600 - 20 / 0.6931471805599453 * 3.912023005428146!r}) / -{20 / 0.6931471805599453!r})), 6) AS PD_12M,
-        round({_FIXED_HAZARD}, 6) AS HAZARD_NEXT_MONTH, round(CURRENT_UPB, 6) AS EAD FROM scored"""
-    ),
+_SCORED_TWIN = _pd_twin(
+    f""", staged AS (SELECT *, {FIXED_POINTS} AS points,
+        1 / (1 + exp(-({FIXED_POINTS} - {600 - 20 / 0.6931471805599453 * 3.912023005428146!r}) / -{20 / 0.6931471805599453!r})) AS pd
+      FROM chained)
+    SELECT LOAN_ID, ACT_PERIOD, ACQUISITION_QUARTER, MODELLING_SPLIT, round(points, 6) AS SCORE, round(pd, 6) AS PD_12M,
+      round(life, 6) AS PD_LIFETIME, round(h, 6) AS HAZARD_NEXT_MONTH,
+      CAST(CASE WHEN DLQ_STATUS = '03' THEN 3 WHEN DLQ_STATUS IN ('01', '02') THEN 2
+        WHEN pd >= 2 * arg_min(pd, ACT_PERIOD) OVER (PARTITION BY LOAN_ID) THEN 2 ELSE 1 END AS INT) AS STAGE,
+      round(CURRENT_UPB, 6) AS EAD FROM staged""",
+    competing=True,
 )
+
+
+@query("x17_scored_portfolio_given_models", _SCORED_TWIN)
 def x17_scored_portfolio_given_models(spark, folder):
     """Scored portfolio of models with given coefficients."""
-    return rounded(scored_portfolio(scored_panel(spark, folder), fixed_scorecard(), fixed_hazard()))
+    models = fixed_scorecard(), fixed_hazard()
+    return rounded(scored_portfolio(scored_panel(spark, folder), *models, competing=(fixed_prepayment(),)))
 
 
-@query(
-    "mod11_stored_models",
-    with_scores(
-        f"""SELECT LOAN_ID, ACT_PERIOD, ACQUISITION_QUARTER, MODELLING_SPLIT, round({FIXED_POINTS}, 6) AS SCORE,
-        round(1 / (1 + exp(-({FIXED_POINTS} - {600 - 20 / 0.6931471805599453 * 3.912023005428146!r}) / -{20 / 0.6931471805599453!r})), 6) AS PD_12M,
-        round({_FIXED_HAZARD}, 6) AS HAZARD_NEXT_MONTH, round(CURRENT_UPB, 6) AS EAD FROM scored"""
-    ),
-)
+@query("mod11_stored_models", _SCORED_TWIN)
 def mod11_stored_models(spark, folder):
     """Scored portfolio of given models that were stored as a table and read back."""
     path = f"{use_scratch(spark)}/models"
-    store_models(spark, {"card": fixed_scorecard(), "hazard": fixed_hazard()}, path)
+    store_models(spark, {"card": fixed_scorecard(), "hazard": fixed_hazard(), "prepaid": fixed_prepayment()}, path)
     models = load_models(spark, path)
-    return rounded(scored_portfolio(scored_panel(spark, folder), models["card"], models["hazard"]))
+    rows = scored_panel(spark, folder)
+    return rounded(scored_portfolio(rows, models["card"], models["hazard"], competing=(models["prepaid"],)))
 
 
 @query("x17_scored_portfolio")
@@ -363,8 +420,9 @@ def x17_scored_portfolio(spark, folder):
     """Scored portfolio of models fitted on the training rows."""
     rows = materialize(gold(spark, folder), "gold")
     card = fit_scorecard(labelled_rows(rows, "train"), TARGET_12M)
-    hazard = fit_hazard(hazard_rows(rows, "train"), TARGET_NEXT)
-    return scored_portfolio(rows, card, hazard)
+    train = hazard_rows(rows, "train")
+    hazard = fit_hazard(train, TARGET_NEXT)
+    return scored_portfolio(rows, card, hazard, competing=tuple(fit_cause_hazards(train).values()))
 
 
 @query(

@@ -182,6 +182,26 @@ def test_mix_reaches_targets(documents):
     assert all(abs(taken[s] - target[s]) <= 2 * max(largest.values()) for s in order)
 
 
+def test_mix_spreads_rows_without_doc_id(spark):
+    rows = [(None, f"w{i} x", "a", None) for i in range(300)] + [(7, f"v{i}", "b", None) for i in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    once = mixing.mixed(frame).collect()
+    taken = collections.Counter()
+    for r in once:
+        taken[r.source] += r.taken
+        assert r.taken <= 2 * r.size
+    targets = {r.source: r.target for r in once}
+    assert len(once) == 600 and all(abs(taken[s] - targets[s]) <= 2 for s in targets)
+
+
+def test_language_sample_splits_a_common_text(spark):
+    rows = [(i, "der hund und die katze", "de") for i in range(3000)] + [(9000 + i, f"the dog {i} and the cat", "en") for i in range(300)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.learn(labelled, PIECES, sample=100, rounds=2)
+    got = [r.lang_pred for r in language.identified(labelled.limit(1).unionByName(labelled.where("doc_id = 9001")), model).collect()]
+    assert got == ["de", "en"]
+
+
 def test_mix_reruns_agree_and_copies_follow(spark):
     frame = odd_documents(spark)
     once, again = (sorted(map(str, mixing.mix_digest(frame).collect())) for _ in range(2))

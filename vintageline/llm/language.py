@@ -213,7 +213,10 @@ class Predictor:
 
 
 def learn(labelled: DataFrame, vocabulary: str, sample: int = SAMPLE_DOCUMENTS, rounds: int = ROUNDS) -> LanguageModel:
-    """Fit on ``labelled`` (text, lang), of which about ``sample`` documents per language are read as a whole."""
+    """Fit on ``labelled`` (text, lang), of which about ``sample`` documents per language are read as a whole.
+
+    The sample is drawn by a hash of text and, where there is one, doc_id, so that rows of one text are drawn apart.
+    """
     pieces = vocabulary_pieces(vocabulary)
     known = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
     # One row per language.
@@ -221,7 +224,7 @@ def learn(labelled: DataFrame, vocabulary: str, sample: int = SAMPLE_DOCUMENTS,
     languages = sorted(sizes)
     if not languages:
         return LanguageModel([], pieces, np.zeros((len(pieces) + 1, 0)))
-    spread = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / 1_000_003
+    spread = F.pmod(F.xxhash64(*(c for c in ("doc_id", "text") if c in labelled.columns)), F.lit(1_000_003)) / 1_000_003
     chosen = F.lit(False)
     for lang in languages:
         chosen |= (F.col("lang") == lang) & (spread < min(1.0, sample / sizes[lang]))
@@ -284,7 +287,7 @@ def identified(documents: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def training_rows(documents: DataFrame) -> DataFrame:
-    return documents.where(is_training("doc_id", 4, 2)).select("text", "lang")
+    return documents.where(is_training("doc_id", 4, 2)).select("doc_id", "text", "lang")
 
 
 def language_digest(documents: DataFrame, vocabulary: str) -> DataFrame:

@@ -10,8 +10,8 @@ A third of all rows may lie in one source: running totals are taken in slices of
 and over slices of the finish time, never over a whole source in one task. Only one row per source and
 slice is ever ordered together.
 
-Nulls: a null text has size 0, a null source is a source of its own, listed last; a null doc_id is
-shuffled like any other value. Documents of size 0 finish at once and are taken 0 words. Repeated rows
+Nulls: a null text has size 0, a null source is a source of its own, listed last; rows are
+shuffled by doc_id and text together, so rows that share a null or repeated doc_id are spread as well. Documents of size 0 finish at once and are taken 0 words. Repeated rows
 are documents of their own, ordered among themselves as the table is read. An empty table gives an empty
 mix. Other columns are not touched; ``mixed_documents`` returns them, whatever their names.
 """
@@ -111,13 +111,14 @@ def mixed(
         "source",
         *(F.col(c).alias(k) for c, k in kept.items()),
         word_count().alias("size"),
+        F.md5("text").alias("_content"),
     )
     sized = materialize(sizes, "mix-sizes")
     rows, words = sized.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     slices = math.isqrt(rows) + 1
     named = source_targets(sized, share, most).withColumnRenamed("source", "_name").drop("weight")
     known = sized.join(named, F.col("source").eqNullSafe(F.col("_name"))).drop("_name")
-    shuffled = F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("pass").cast("string")))
+    shuffled = F.md5(F.concat_ws(":", *(F.col(c).cast("string") for c in ("doc_id", "pass", "_content"))))
     part = F.conv(F.substring("shuffled", 1, 8), 16, 10).cast("long")
     queued = (
         known.where("size > 0")
@@ -179,7 +180,7 @@ def mix_digest(documents: DataFrame) -> DataFrame:
 
 MIX_SQL = f"""
 WITH sized AS (
-    SELECT row_number() OVER () AS r, doc_id, source,
+    SELECT row_number() OVER () AS r, doc_id, source, md5(text) AS content,
            coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size
     FROM documents),
 totals AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
@@ -203,10 +204,10 @@ targets AS (
            CASE WHEN final IS NULL OR ratio <= final THEN cap::DOUBLE ELSE final * weight END AS target
     FROM opened),
 known AS (
-    SELECT s.r, s.doc_id, s.source, s.size, t.source_size, t.target
+    SELECT s.r, s.doc_id, s.source, s.content, s.size, t.source_size, t.target
     FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
 queued AS (
-    SELECT *, md5(concat_ws(':', doc_id::VARCHAR, pass::VARCHAR)) AS shuffled
+    SELECT *, md5(concat_ws(':', doc_id::VARCHAR, pass::VARCHAR, content)) AS shuffled
     FROM known, (SELECT unnest(range(1, {MOST} + 1)) AS pass) WHERE size > 0),
 timed AS (
     SELECT *, (sum(size) OVER (PARTITION BY source ORDER BY pass, shuffled, doc_id, r

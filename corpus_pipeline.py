@@ -5,7 +5,9 @@ DataFrame; all but the last return the columns of ``docs`` as they came, whateve
 
 1. language: a text of no known language (``und``), or whose likeliest language has less than
    ``LEAST_SHARE`` of the score, goes; a null lang is filled with the prediction.
-2. near_duplicates: of each SimHash group the row with the smallest doc_id stays.
+2. near_duplicates: of each SimHash group the row with the smallest doc_id stays. Groups are those of ``op2_simhash``:
+   fingerprints of four-word shingles that differ in at most four bits, joined through links. They hold nearly equal
+   texts; a pair with half of its shingles changed is not among them.
 3. personal_data: spans of personal data are replaced by their kind, n_chars follows.
 4. mix: documents are taken 0, 1 or 2 times, so that sources come near their target weights.
 5. pack: what the mix took becomes token ids in sequences; the result has a row per piece.

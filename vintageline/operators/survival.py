@@ -88,13 +88,14 @@ def survival_panel(
         return F.when(inside, 1).when(known_until >= end, 0)
 
     # Months are numbered where the join has put a loan's rows; the month list of loan_facts is not built here.
+    # Unfolded rows are estimated far too low, and a broadcast would bring a whole side to the driver.
     of_loan = Window.partitionBy("LOAN_ID")
     number = F.dense_rank().over(of_loan.orderBy(month))
     facts = loan_facts(silver, threshold).drop("_months")
     kept = [c for c in silver.columns if c not in facts.columns or c == "LOAN_ID"]
     return (
         silver.select(*kept)
-        .join(facts, "LOAN_ID")
+        .join(facts.hint("merge"), "LOAN_ID")
         .where(F.col("EXIT_DATE").isNull() | (month < F.col("EXIT_DATE")))
         .select(
             *kept,

@@ -13,3 +13,21 @@ def joins(frame):
 
 def test_loan_facts_meet_their_rows_without_a_broadcast(spark):
     assert joins(survival_panel(panel(spark, SMALL)).select("LOAN_ID", "DEFAULT_NEXT_MONTH")) == ["SortMerge"]
+
+
+def test_month_merges_use_no_broadcast(spark, folder, monkeypatch):
+    from vintageline.plans import publication
+
+    written = []
+    stored = publication.materialize
+
+    def watched(frame, name):
+        written.append(joins(frame))
+        return stored(frame, name)
+
+    monkeypatch.setattr(publication, "materialize", watched)
+    rows = panel(spark, SMALL).select("LOAN_ID", "ACT_PERIOD", "DLQ_STATUS")
+    for _ in range(2):
+        publication.merge_months(rows, f"{folder}/monthly")
+    assert written[-1] == ["SortMerge"]
+    assert spark.read.parquet(f"{folder}/monthly").count() == rows.count()

@@ -37,7 +37,7 @@ def row_count_mismatches(silver: DataFrame, gold: DataFrame) -> DataFrame:
     ).where("EXPECTED_ROWS > 0")
     actual = gold.groupBy("LOAN_ID").agg(F.count(F.lit(1)).alias("ACTUAL_ROWS"))
     return (
-        expected.join(actual, "LOAN_ID", "full")
+        expected.join(actual.hint("merge"), "LOAN_ID", "full")
         .na.fill(-1, ["EXPECTED_ROWS", "ACTUAL_ROWS"])
         .where(F.col("EXPECTED_ROWS") != F.col("ACTUAL_ROWS"))
     )

@@ -128,7 +128,9 @@ def merge_months(
         # Bounded by the calendar.
         months = [r[0] for r in merged.select(month_column).distinct().collect()]
         touched = stored.where(F.col(month_column).isin(months))
-        others = touched.join(merged.select(*keys, month_column), [*keys, month_column], "left_anti")
+        # Neither side is bounded, and stored columns are far smaller than their rows: no broadcast.
+        coming = merged.select(*keys, month_column).hint("merge")
+        others = touched.join(coming, [*keys, month_column], "left_anti")
         merged = materialize(merged.unionByName(others), "merge-rows")
     (
         merged.hint("rebalance", month_column)

@@ -113,11 +113,12 @@ def merge_parts(
     rows, kept = fresh, {}
     if before is not None:
         stored = read_parts(spark, path, before)
-        touched = stored.join(fresh.select(loan).distinct(), loan, "left_semi").select(PART).distinct()
+        # Neither side of these joins is bounded, and stored columns are far smaller than their rows: no broadcast.
+        touched = stored.join(fresh.select(loan).distinct().hint("merge"), loan, "left_semi").select(PART).distinct()
         names = {row[0] for row in touched.collect()}
         kept = {name: place for name, place in before.places.items() if name not in names}
         old = read_parts(spark, path, before, names).drop(PART)
-        rows = fresh.unionByName(old.join(fresh.select(*keys), list(keys), "left_anti"))
+        rows = fresh.unionByName(old.join(fresh.select(*keys).hint("merge"), list(keys), "left_anti"))
     stamp = uuid.uuid4().hex[:8]
     state = F.when(closed_loans(loan, closing), "closed").otherwise("open")
     slot = F.pmod(F.xxhash64(loan), F.lit(slots)).cast("string")

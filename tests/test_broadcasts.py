@@ -31,3 +31,10 @@ def test_month_merges_use_no_broadcast(spark, folder, monkeypatch):
         publication.merge_months(rows, f"{folder}/monthly")
     assert written[-1] == ["SortMerge"]
     assert spark.read.parquet(f"{folder}/monthly").count() == rows.count()
+
+
+def test_stage_scores_rows_once(spark):
+    from vintageline.portfolio.loss import assign_stage
+
+    rows = panel(spark, SMALL).selectExpr("LOAN_ID", "ACT_PERIOD", "DLQ_STATUS", "OLTV / 200 AS p")
+    assert joins(assign_stage(rows, "p")) == []

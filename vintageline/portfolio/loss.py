@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from vintageline.functions.columns import months_delinquent
 from vintageline.models.hazard import AGE, HazardModel
 
+# Parts of log-odds are held within this size, so that their exponentials are finite.
+MOST_LOGIT = 300.0
 SICR_RATIO = 2.0
 BACKSTOP_MONTHS = 1
 IMPAIRED_MONTHS = 3
@@ -75,35 +77,48 @@ def model_term_structure(
 
     A row's covariates stay fixed, so its log-odds are a constant plus a function of age. The age part is
     a short table over the fitted age range, held constant outside. Each Arrow batch walks the future
-    months once for all its rows; no rows are multiplied and nothing moves between tasks.
+    months inside the range once for all its rows; the months past it, with equal hazards, are one geometric sum.
+    No rows are multiplied and nothing moves between tasks.
     """
     models = (hazard, *competing)
-    by_age = []
+    by_age, last_age = [], max(int(model.age_range[1]) for model in models)
     for model in models:
         low, high = (int(edge) for edge in model.age_range)
         ages = rows.sparkSession.range(low, high + 1)
         table = [r.f for r in ages.select(model.age_logit(F.col("id")).alias("f")).sort("id").collect()]
-        by_age.append((low, np.array(table)))
+        by_age.append((low, np.exp(-np.clip(table, -MOST_LOGIT, MOST_LOGIT))))
 
     @F.pandas_udf("near double, life double")
     def chained(fixed: pd.DataFrame, age: pd.Series, left: pd.Series) -> pd.DataFrame:
-        parts = fixed.to_numpy(dtype=float)
-        start = age.to_numpy(dtype=float)
+        against = np.exp(-np.clip(fixed.to_numpy(dtype=float), -MOST_LOGIT, MOST_LOGIT))
+        start = np.floor(age.to_numpy(dtype=float)).astype(int)
         months = left.to_numpy()
-        staying, lost, near = np.ones(len(months)), np.zeros(len(months)), np.zeros(len(months))
-        for step in range(int(months.max(initial=0))):
-            hazards = []
-            for k, (low, table) in enumerate(by_age):
-                place = np.clip(start - low + step, 0, len(table) - 1).astype(int)
-                hazards.append(np.exp(-np.logaddexp(0.0, -(parts[:, k] + table[place]))))
-            leaving = np.sum(hazards, axis=0)
+
+        def hazards(step: int) -> tuple[np.ndarray, np.ndarray]:
+            """The hazard of default and that of any exit in the month of the step."""
+            each = [
+                1 / (1 + against[:, k] * table[np.clip(start - low + step, 0, len(table) - 1)])
+                for k, (low, table) in enumerate(by_age)
+            ]
+            leaving = sum(each[1:], each[0])
             over = np.maximum(leaving, 1.0)
+            return each[0] / over, leaving / over
+
+        staying, lost, near = np.ones(len(months)), np.zeros(len(months)), np.zeros(len(months))
+        # From this step on, every row is past the fitted ages.
+        held = max(horizon, last_age - int(start.min(initial=last_age)))
+        walked = min(held, int(months.max(initial=0)))
+        for step in range(walked):
+            default, leaving = hazards(step)
             open_ = step < months
-            lost += np.where(open_, staying * hazards[0] / over, 0.0)
-            staying = np.where(open_, staying * (1 - leaving / over), staying)
+            lost += np.where(open_, staying * default, 0.0)
+            staying = np.where(open_, staying * (1 - leaving), staying)
             if step < horizon:
                 near = lost.copy()
-        return pd.DataFrame({"near": near, "life": lost})
+        default, leaving = hazards(walked)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gone = -np.expm1(np.maximum(months - walked, 0) * np.log1p(-leaving))
+        return pd.DataFrame({"near": near, "life": lost + np.where(months > walked, staying * default / leaving * gone, 0.0)})
 
     left = F.greatest(F.coalesce(F.col(remaining).cast("int"), F.lit(0)), F.lit(0))
     age = F.coalesce(F.col(AGE).cast("double"), F.lit(hazard.medians[AGE]))
@@ -171,12 +186,12 @@ def exposure_at_default(rows: DataFrame) -> DataFrame:
 
 
 def assign_stage(scored: DataFrame, pd_column: str, ratio: float = SICR_RATIO) -> DataFrame:
-    """Stage 1, 2 or 3 against the PD of the loan's first scored month."""
-    first = (
-        scored.where(F.col(pd_column).isNotNull())
-        .groupBy("LOAN_ID")
-        .agg(F.min_by(pd_column, "ACT_PERIOD").alias("PD_AT_ORIGINATION"))
-    )
+    """Stage 1, 2 or 3 against the PD of the loan's first scored month.
+
+    The first month is found in a window of the loan's rows, at most one per calendar month, so rows are scored once.
+    """
+    scored_month = F.when(F.col(pd_column).isNotNull(), F.col("ACT_PERIOD"))
+    first = F.min_by(pd_column, scored_month).over(Window.partitionBy("LOAN_ID"))
     late = months_delinquent(F.col("DLQ_STATUS"))
     stage = (
         F.when(late >= IMPAIRED_MONTHS, 3)
@@ -184,7 +199,9 @@ def assign_stage(scored: DataFrame, pd_column: str, ratio: float = SICR_RATIO) -
         .when(F.col(pd_column) >= ratio * F.col("PD_AT_ORIGINATION"), 2)
         .otherwise(1)
     )
-    return scored.join(first, "LOAN_ID", "left").withColumn("STAGE", stage)
+    known = F.when(F.col("LOAN_ID").isNotNull(), first)
+    ordered = scored.select("LOAN_ID", *(c for c in scored.columns if c != "LOAN_ID"))
+    return ordered.withColumn("PD_AT_ORIGINATION", known).withColumn("STAGE", stage)
 
 
 def expected_loss(

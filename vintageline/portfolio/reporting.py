@@ -39,7 +39,7 @@ def scored_portfolio(
 
     The 12-month PD is the challenger's where one was selected, else the scorecard's; points are the scorecard's.
     The lifetime PD chains the hazard over the remaining months, beside ``competing`` exits where given. Scoring is
-    a map; the stage compares with the loan's first scored month, one aggregate per loan and one equi-join.
+    a map; the stage compares with the loan's first scored month, found in a window of the loan's rows.
     """
     selected = card if challenger is None else challenger
     left = gold.withColumn("_left", remaining_months(gold))

@@ -21,6 +21,9 @@ from vintageline.sources.contract import (
 
 _INTEGER = r"^\s*[+-]?[0-9]+(_[0-9]+)*\s*$"
 _DECIMAL = r"^\s*[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+# What nearly all values look like, of each kind; whatever else they may look like, the full rules decide.
+_PLAIN_INTEGER = r"^[0-9]+$"
+_PLAIN_MONTH = r"^(0[1-9]|1[0-2])[1-9][0-9]{3}$"
 
 
 def split_lines(lines: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
@@ -44,7 +47,9 @@ def is_integer(value: Column) -> Column:
 def decimal_places(value: Column) -> Column:
     """Digits after the point once an exponent is applied; NULL when the text is no finite decimal."""
     mantissa = F.length(F.regexp_extract(value, r"\.([0-9]*)", 1))
-    exponent = F.coalesce(F.regexp_extract(value, r"[eE]([+-]?[0-9]+)", 1).try_cast("int"), F.lit(0))
+    # Casting an empty text costs an exception, so only a text with an exponent is cast.
+    power = F.when(value.rlike("[eE]"), F.regexp_extract(value, r"[eE]([+-]?[0-9]+)", 1).try_cast("int"))
+    exponent = F.coalesce(power, F.lit(0))
     return F.when(value.rlike(_DECIMAL), F.greatest(mantissa - exponent, F.lit(0)))
 
 
@@ -66,12 +71,35 @@ def broken_rule(field: Field) -> Column:
     return F.when(value != "", broken if rule is None else F.coalesce(rule, broken))
 
 
+def _looks(field: Field) -> str:
+    if field.kind == "integer":
+        return _PLAIN_INTEGER
+    return _PLAIN_MONTH if field.kind == "month" else rf"^[0-9]+(\.[0-9]{{0,{field.scale}}})?$"
+
+
+def in_doubt(fields: Sequence[Field]) -> Column:
+    """Whether a row has a value that one pattern, or its length, does not pass at sight."""
+    groups: dict[tuple, list[str]] = {}
+    for field in fields:
+        groups.setdefault((_looks(field), field.max_length), []).append(field.name)
+    found = F.lit(False)
+    for (pattern, most), names in groups.items():
+        found = found | F.exists(F.array(*names), lambda v: _unlike(v, pattern, most))
+    return found
+
+
+def _unlike(value: Column, pattern: str, most: int | None) -> Column:
+    odd = ~value.rlike(pattern)
+    return F.coalesce((value != "") & (odd if most is None else odd | (F.length(value) > most)), F.lit(False))
+
+
 def violations(
     raw: DataFrame, fields: Sequence[Field], keys: Sequence[str] = ("LOAN_ID", "ACT_PERIOD")
 ) -> DataFrame:
     """One row per broken typed value: the row's keys, column, rule and value (CHK1-CHK4, CHK6).
 
-    Each column has one fixed expression; only broken cells become rows.
+    Each column has one fixed expression; only broken cells become rows. The full rules run on rows in doubt alone.
+    The outer form keeps the optimizer from asking first, in a filter of its own, whether a row has broken cells.
     """
     checked = [f for f in fields if f.kind != "string" and f.name in raw.columns]
     kept = [F.col(k).alias(f"ROW_{k}") for k in keys if k in raw.columns]
@@ -81,7 +109,9 @@ def violations(
             for f in checked
         )
     )
-    return raw.select(*kept, F.inline(F.filter(cells, lambda cell: cell.rule.isNotNull())))
+    broken = F.filter(cells, lambda cell: cell.rule.isNotNull())
+    found = raw.select(*kept, F.inline_outer(F.when(in_doubt(checked), broken)))
+    return found.where(F.col("rule").isNotNull())
 
 
 def width_counts(lines: DataFrame, *by: str) -> DataFrame:

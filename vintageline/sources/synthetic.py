@@ -7,7 +7,7 @@ the panel grows with the seed table, needs no random state, and is the same on e
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vintageline.sources.contract import DEFAULT_WIDTH, DELIMITER, fields_of_width
@@ -127,13 +127,21 @@ def synthetic_panel(seeds: DataFrame, key: str = "c_custkey") -> DataFrame:
     )
 
 
+def _blank(cells: int) -> Column:
+    """So many neighbouring empty cells, as one text."""
+    return F.lit(DELIMITER * (cells - 1))
+
+
 def raw_lines(panel: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
     """Panel rows as headerless delimited text in contract order, with their file stem."""
-    cells = []
+    cells, empty = [], 0
     for field in fields_of_width(width):
         if field.name not in panel.columns:
-            cells.append(F.lit(""))
+            empty += 1
             continue
+        if empty:
+            cells.append(_blank(empty))
+            empty = 0
         value = F.col(field.name)
         if field.kind == "month":
             text = F.date_format(value, "MMyyyy")
@@ -142,6 +150,8 @@ def raw_lines(panel: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
         else:
             text = value.cast("string")
         cells.append(F.coalesce(text, F.lit("")))
+    if empty:
+        cells.append(_blank(empty))
     return panel.select(
         F.concat_ws(DELIMITER, *cells).alias("value"),
         F.regexp_replace("_source_file", r"\.csv$", "").alias("quarter"),

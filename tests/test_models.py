@@ -414,3 +414,16 @@ def test_stability_index(spark):
     assert got["w"].bands == 2 and got["w"].stability_index > 1
     edges = quantile_edges(frame.where("now = false"), ["v"], 4)["v"]
     assert edges == sorted(edges) and set(edges) <= {0.0, 1.0, 2.0, 3.0}
+
+
+def test_hazard_by_age_is_one_cubic_between_knots(spark):
+    """The age part equals the weighted basis, ages outside the range included, and stays a short expression."""
+    model = fixed_hazard()
+    ages = spark.range(-5, 70)
+    both = ages.select(
+        model.age_logit(F.col("id")).alias("cubic"),
+        model._weighted(0, spline_basis(F.col("id"), *model.age_range)).alias("basis"),
+    )
+    assert both.agg(F.max(F.abs(F.col("cubic") - F.col("basis")))).first()[0] < 1e-12
+    plan = ages.select(model.age_logit(F.col("id")).alias("f"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("CASE WHEN") == 1

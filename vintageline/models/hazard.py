@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,11 +30,29 @@ def _cubic_bump(u: Column) -> Column:
     )
 
 
-def spline_basis(value: Column, low: float, high: float, knots: int = KNOTS) -> list[Column]:
-    """Uniform cubic basis over [low, high], held constant outside, last function left out."""
+def knot_place(value: Column, low: float, high: float, knots: int = KNOTS) -> Column:
+    """Where a value lies among uniform knots over [low, high], in steps from the first; held at the ends."""
     step = (high - low) / (knots - 1) or 1.0
     held = F.least(F.greatest(value.cast("double"), F.lit(low)), F.lit(high))
-    place = (held - low) / step
+    return (held - low) / step
+
+
+# Pieces of the cubic bump on unit knots, as polynomials of the way from the piece's first knot.
+_PIECES = np.array([[0, 0, 0, 1], [1, 3, 3, -3], [4, 0, -6, 3], [1, -3, 3, -1]]) / 6
+
+
+def _cubics(weights: Sequence[float]) -> list[tuple[float, ...]]:
+    """The weighted sum of the basis between each two knots, as coefficients of a cubic."""
+    found = []
+    for start in range(len(weights) - DEGREE + 1):
+        pieces = ((start + DEGREE - i, w) for i, w in enumerate(weights))
+        found.append(tuple(float(c) for c in sum(w * _PIECES[k] for k, w in pieces if 0 <= k <= DEGREE)))
+    return found
+
+
+def spline_basis(value: Column, low: float, high: float, knots: int = KNOTS) -> list[Column]:
+    """Uniform cubic basis over [low, high], held constant outside, last function left out."""
+    place = knot_place(value, low, high, knots)
     return [_cubic_bump(place + (DEGREE - i)) for i in range(knots + DEGREE - 2)]
 
 
@@ -53,8 +72,17 @@ class HazardModel:
         return total
 
     def age_logit(self, age: Column) -> Column:
-        """The part of the log-odds that moves with loan age."""
-        return self._weighted(0, spline_basis(age, *self.age_range))
+        """The part of the log-odds that moves with loan age: between two knots, one cubic of the way from the first."""
+        low, high = self.age_range
+        place = knot_place(age, low, high)
+        weights = [c / d for c, d in zip(self.coefficients, self.deviations[: KNOTS + DEGREE - 2])]
+        shift = sum(w * m for w, m in zip(weights, self.means))
+        between = None
+        for start, (c0, c1, c2, c3) in enumerate(_cubics(weights)):
+            x = place - float(start)
+            cubic = ((c3 * x + c2) * x + c1) * x + (c0 - shift)
+            between = F.when(place < start + 1.0, cubic) if between is None else between.when(place < start + 1.0, cubic)
+        return between.otherwise(cubic)
 
     def covariate_logit(self) -> Column:
         """Intercept and the part that comes from the row's other features."""

@@ -427,3 +427,35 @@ def test_hazard_by_age_is_one_cubic_between_knots(spark):
     assert both.agg(F.max(F.abs(F.col("cubic") - F.col("basis")))).first()[0] < 1e-12
     plan = ages.select(model.age_logit(F.col("id")).alias("f"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("CASE WHEN") == 1
+
+
+def test_hazards_of_several_targets_share_their_terms(rows, monkeypatch):
+    """The terms are written once for all targets, and first rows to begin with do not move where a fit ends."""
+    from vintageline.models import hazard
+
+    written, stored = [], hazard.materialize
+    monkeypatch.setattr(hazard, "materialize", lambda frame, name: written.append(name) or stored(frame, name))
+    alone = fit_hazard(rows, TARGET_12M)
+    written.clear()
+    monkeypatch.setattr(hazard, "MANY_ROWS", 1)
+    shared = hazard.fit_hazards(rows.withColumn("_again", F.col(TARGET_12M)), (TARGET_12M, "_again"))
+    assert written == ["hazard-terms", "hazard-first"]
+    for model in shared:
+        assert model.coefficients == pytest.approx(alone.coefficients, abs=1e-5)
+        assert model.intercept == pytest.approx(alone.intercept, abs=1e-5)
+
+
+def test_scored_portfolio_stores_what_it_reads(spark, monkeypatch):
+    from vintageline.queries import portfolio_queries
+
+    class Stored(Exception):
+        pass
+
+    def seen(frame, name):
+        raise Stored(frame.columns)
+
+    monkeypatch.setattr(portfolio_queries, "materialize", seen)
+    with pytest.raises(Stored) as found:
+        portfolio_queries.x17_scored_portfolio(spark, "/root/testdata/sf0.001")
+    assert set(FEATURES) < set(found.value.args[0])
+    assert not [c for c in found.value.args[0] if "OBSERVATION_DATE" in c or "AVAILABLE_DATE" in c]

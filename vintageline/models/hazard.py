@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vintageline.models.newton import fit_newton
+from vintageline.models.newton import FitError, LogisticFit, fit_newton
 from vintageline.models.scorecard import probability_of
 from vintageline.settings import FEATURES
 from vintageline.sources.snapshots import materialize
@@ -17,6 +17,9 @@ from vintageline.sources.snapshots import materialize
 AGE = "SEASONING_MONTHS"
 KNOTS = 5
 DEGREE = 3
+# From so many rows on, the steps of a fit begin where a fit of one row in ``FIRST_SHARE`` ends.
+MANY_ROWS = 500_000
+FIRST_SHARE = 16
 
 
 def _cubic_bump(u: Column) -> Column:
@@ -117,6 +120,11 @@ def feature_medians(rows: DataFrame, features: Sequence[str] = FEATURES) -> dict
 
 
 def fit_hazard(rows: DataFrame, target: str, features: Sequence[str] = FEATURES) -> HazardModel:
+    return fit_hazards(rows, (target,), features)[0]
+
+
+def fit_hazards(rows: DataFrame, targets: Sequence[str], features: Sequence[str] = FEATURES) -> list[HazardModel]:
+    """One hazard per target, all on the same rows, whose terms are made and written once for all of them."""
     if AGE not in features:
         raise ValueError(f"hazard features must include {AGE}")
     found = rows.agg(
@@ -125,17 +133,37 @@ def fit_hazard(rows: DataFrame, target: str, features: Sequence[str] = FEATURES)
     medians = {f: float(found[f] or 0.0) for f in features}
     age_range = (float(found["_low"]), float(found["_high"]))
     terms = design(medians, age_range)
-    names = [f"t{i}" for i in range(len(terms))]
-    data = rows.select(F.col(target).cast("double").alias("label"), *(t.alias(n) for t, n in zip(terms, names)))
+    names, labels = [f"t{i}" for i in range(len(terms))], [f"label{i}" for i in range(len(targets))]
+    data = rows.select(
+        *(F.col(t).cast("double").alias(n) for t, n in zip(targets, labels)), *(t.alias(n) for t, n in zip(terms, names))
+    )
     moments = data.agg(
         F.count(F.lit(1)), *(F.avg(n) for n in names), *(F.stddev_pop(n) for n in names)
     ).first()
     count, means, spreads = moments[0], moments[1 : 1 + len(names)], moments[1 + len(names) :]
     deviations = [d or 1.0 for d in spreads]
     scaled = [(F.col(n) - m) / d for n, m, d in zip(names, means, deviations)]
-    # The terms are written once, as every step of the fit reads them.
-    stored = materialize(data.select("label", *(x.alias(n) for x, n in zip(scaled, names))), "hazard-terms")
-    model = fit_newton(stored, [F.col(n) for n in names], F.col("label"))
-    return HazardModel(
-        medians, age_range, tuple(means), tuple(deviations), model.coefficients, model.intercept
-    )
+    # The terms are written once, as every step of the fits reads them.
+    stored = materialize(data.select(*labels, *(x.alias(n) for x, n in zip(scaled, names))), "hazard-terms")
+    first = None
+    if count >= MANY_ROWS:
+        share = F.pmod(F.xxhash64(*names), F.lit(FIRST_SHARE)) == 0
+        first = materialize(stored.where(share), "hazard-first")
+    models = []
+    for label in labels:
+        model = _fit_from(first, stored, [F.col(n) for n in names], F.col(label))
+        models.append(
+            HazardModel(medians, age_range, tuple(means), tuple(deviations), model.coefficients, model.intercept)
+        )
+    return models
+
+
+def _fit_from(first: DataFrame | None, stored: DataFrame, terms: list[Column], label: Column) -> LogisticFit:
+    """The fit of all rows, whose steps begin where those of ``first`` end, so that few of them read all rows."""
+    if first is not None:
+        try:
+            return fit_newton(stored, terms, label, start=fit_newton(first, terms, label))
+        except FitError:
+            # From zero, as without the first rows.
+            pass
+    return fit_newton(stored, terms, label)

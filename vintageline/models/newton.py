@@ -71,10 +71,12 @@ def fit_newton(
     weight: Column | None = None,
     penalty: float = 1.0,
     tolerance: float = 1e-9,
+    start: LogisticFit | None = None,
 ) -> LogisticFit:
     """Minimise the weighted log-loss plus ``penalty`` / 2 times the squared coefficients.
 
-    ``rows`` is read once per step, so hand in a stored table. A step that does not lower the loss is halved.
+    ``rows`` is read once per step, so hand in a stored table. A step that does not lower the loss is halved. The steps
+    begin at ``start``, or at zero; where they end does not depend on it.
     """
     width = len(terms)
     weight = F.lit(1.0) if weight is None else weight
@@ -90,10 +92,10 @@ def fit_newton(
         information = information + np.triu(information, 1).T
         return sums[0] + beta @ ridge @ beta / 2, sums[1 : 2 + width] - ridge @ beta, information + ridge
 
-    beta = np.zeros(width + 1)
+    beta = np.zeros(width + 1) if start is None else np.array([start.intercept, *start.coefficients])
     loss, score, information = at(beta)
     # At zero every row has information weight / 4.
-    total = 4 * (information[0, 0])
+    total = 4 * information[0, 0] if start is None else rows.agg(F.sum(weight.cast("double"))).first()[0] or 0.0
     if not total > 0:
         raise FitError("no rows to fit")
     for step in range(1, MOST_STEPS + 1):

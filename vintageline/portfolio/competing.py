@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vintageline.functions.columns import need_columns
-from vintageline.models.hazard import AGE, HazardModel, fit_hazard
+from vintageline.models.hazard import AGE, HazardModel, fit_hazards
 from vintageline.settings import FEATURES, TARGET_NEXT
 
 CAUSES = ("default", "prepaid", "repurchased", "other_exit")
@@ -69,13 +69,17 @@ def competing_incidence(hazards: DataFrame, horizon: int = 12, by: Sequence[str]
 
 
 def fit_cause_hazards(
-    panel: DataFrame, causes: Sequence[str] = CAUSES[1:], features: Sequence[str] = FEATURES
+    panel: DataFrame, causes: Sequence[str] = CAUSES[1:], features: Sequence[str] = FEATURES, targets: Sequence[str] = ()
 ) -> dict[str, HazardModel]:
-    """One hazard per cause on rows whose next month is known; a cause that never occurs has none."""
+    """One hazard per cause on rows whose next month is known; a cause that never occurs has none.
+
+    ``targets`` are columns of 0 and 1 that are fitted on the same rows beside them, under their own names.
+    """
     known = exit_next_month(panel, "_exit").where("_exit IS NOT NULL")
     seen = known.agg(*(F.count_if(F.col("_exit") == c).alias(c) for c in causes)).first()
-    return {
-        c: fit_hazard(known.withColumn("_target", (F.col("_exit") == c).cast("int")), "_target", features)
-        for c in causes
-        if seen[c]
-    }
+    found = [c for c in causes if seen[c]]
+    if not found and not targets:
+        return {}
+    labels = {f"_target{i}": (F.col("_exit") == c).cast("int") for i, c in enumerate(found)}
+    models = fit_hazards(known.withColumns(labels) if labels else known, (*targets, *labels), features)
+    return dict(zip((*targets, *found), models))

@@ -256,7 +256,7 @@ def ingest(
     require_lines(listed)
     known = known_files(spark, bronze_path)
     unread = unread_files(listed, known).where("size > 0")
-    fresh = [r.uri for r in unread.select("uri").limit(MOST_LISTED + 1).collect()]
+    fresh = [r.path for r in unread.select("path").limit(MOST_LISTED + 1).collect()]
     before = 0 if known is None else known.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
     names = listed.select("file_name").distinct().count()
     if not fresh:
@@ -278,7 +278,7 @@ def ingest(
     loaded, rows = load.agg(F.count_distinct("file_name"), F.coalesce(F.sum("line_count"), F.lit(0))).first()
     if loaded:
         # Every file to load has the right width by now; a line that has changed since fails the job.
-        chosen = _loaded_uris(load, unread) if few else list(paths)
+        chosen = [r.path for r in load.select("path").collect()] if few else list(paths)
         raw = read_raw(spark, _readable(chosen) if few else chosen, width, "FAILFAST" if few else "PERMISSIVE")
         with_provenance(raw, load, width, ingested_at or datetime.now(UTC)).write.mode(
             "append"
@@ -287,13 +287,9 @@ def ingest(
     return IngestResult(loaded, names - loaded, rows, _noted_rows(spark, bronze_path))
 
 
-def _readable(uris: Sequence[str]) -> list[str]:
-    """Paths that name one file each: what a glob would read as a pattern is escaped."""
-    return [re.sub(r"([\[\]{}*?\\])", r"\\\1", uri) for uri in uris]
-
-
-def _loaded_uris(load: DataFrame, unread: DataFrame) -> list[str]:
-    return [r.uri for r in unread.join(load.select("path"), "path", "left_semi").select("uri").collect()]
+def _readable(paths: Sequence[str]) -> list[str]:
+    """Paths, without URI escapes, that name one file each: what a glob would read as a pattern is escaped."""
+    return [re.sub(r"([\[\]{}*?\\])", r"\\\1", path) for path in paths]
 
 
 def _remember(files: DataFrame, load: DataFrame, known: DataFrame | None, bronze_path: str) -> None:

@@ -262,3 +262,15 @@ def test_one_writer_wins_a_version(spark, folder, monkeypatch):
     assert read_version(spark, path).count() == 3
     assert publish(spark.range(4).toDF("a"), path) == 2
     assert [read_version(spark, path, v).count() for v in range(3)] == [2, 3, 4]
+
+
+def test_corrected_months_are_chosen_before_they_become_text(spark):
+    """Raw lines have a cell per field though empty neighbours are one text, and the dedupe filters months, not text."""
+    from vintageline.queries.inputs import panel
+    from vintageline.queries.table_queries import win1_silver_dedupe
+    from vintageline.sources.synthetic import raw_lines
+
+    lines = raw_lines(panel(spark, "/root/testdata/sf0.001"))
+    assert [r[0] for r in lines.selectExpr("size(split(value, '[|]', -1))").distinct().collect()] == [108]
+    plan = win1_silver_dedupe(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "% 5) = 0)" in plan and "as int) % 5)" not in plan

@@ -452,10 +452,10 @@ def _monthly_orders(spark, folder):
 )
 def win1_silver_dedupe(spark, folder):
     """Raw rows delivered twice, a later delivery correcting some months: the later one is kept."""
-    raw = split_lines(raw_lines(panel(spark, folder))).drop("FIELD_COUNT")
+    rows = panel(spark, folder)
 
     def delivery(rows, seller, day):
-        return rows.withColumns(
+        return split_lines(raw_lines(rows)).drop("FIELD_COUNT").withColumns(
             {
                 "SELLER": F.lit(seller),
                 "_ingested_at": F.lit(day).cast("timestamp"),
@@ -463,8 +463,9 @@ def win1_silver_dedupe(spark, folder):
             }
         )
 
-    later = raw.where(F.col("LOAN_AGE").cast("int") % 5 == 0)
-    bronze = delivery(raw, "First", datetime(2026, 1, 1)).unionByName(
+    # The corrected months are chosen before they become text.
+    later = rows.where(F.col("LOAN_AGE") % 5 == 0)
+    bronze = delivery(rows, "First", datetime(2026, 1, 1)).unionByName(
         delivery(later, "Second", datetime(2026, 2, 1))
     )
     return silver_table(bronze.replace("", None)).select(

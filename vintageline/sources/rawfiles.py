@@ -106,8 +106,8 @@ def scan_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     line_hash = F.xxhash64("value")
     per_width = (
         spark.read.text(list(paths))
-        .select(plain_path(F.col("_metadata.file_path")).alias("path"), width.alias("width"), "value")
-        .groupBy("path", "width")
+        .select(F.col("_metadata.file_path").alias("uri"), width.alias("width"), "value")
+        .groupBy("uri", "width")
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.sum(F.length("value")).alias("chars"),
@@ -115,7 +115,8 @@ def scan_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
             F.sum(line_hash.cast("decimal(38,0)")).alias("total"),
         )
     )
-    return per_width.groupBy("path").agg(
+    # Paths are decoded once per file and width, not per line.
+    return per_width.groupBy(plain_path(F.col("uri")).alias("path")).agg(
         F.array_sort(F.collect_list(F.struct("width", "n"))).alias("widths"),
         F.sum("n").alias("line_count"),
         F.sha2(

@@ -2,6 +2,7 @@
 
 import re
 
+from vintageline.functions.columns import source_quarter
 from vintageline.models.frame import model_frame
 from vintageline.operators.gold import gold_panel
 from vintageline.operators.silver import keep_latest
@@ -62,3 +63,26 @@ def test_filters_reach_the_scan(spark, folder):
     )
     assert "PartitionFilters: [isnotnull(MODELLING_SPLIT" in text and "EqualTo(DEFAULT_IN_12M,1)" in text
     assert "CURRENT_LTV" not in text
+
+
+def test_wide_rows_cross_joins_and_windows_as_one_value(spark):
+    wide = panel(spark, SMALL).withColumns({f"W{i}": F.lit(str(i)) for i in range(40)})
+    for rows in (gold_panel(wide, releases(spark)), keep_latest(wide, ("LOAN_ID", "ACT_PERIOD"), ("SERVICER",))):
+        plan = rows._jdf.queryExecution().optimizedPlan()
+        windows = plan.collectLeaves().size() and [p for p in _nodes(plan) if p.nodeName() == "Window"]
+        assert windows and all(p.output().size() < 40 for p in windows)
+        assert {f"W{i}" for i in range(40)} <= set(rows.columns) and len(set(rows.columns)) == len(rows.columns)
+
+
+def _nodes(plan):
+    yield plan
+    children = plan.children()
+    for i in range(children.size()):
+        yield from _nodes(children.apply(i))
+
+
+def test_quarters_are_read_without_locale_rules(spark):
+    rows = spark.createDataFrame([("2012q1.CSV",), ("2012Q4",), ("2012q5.csv",), (None,)], "f string")
+    quarters = rows.select("f", source_quarter(F.col("f")).alias("q"))
+    assert {r.f: r.q for r in quarters.collect()} == {"2012q1.CSV": "2012Q1", "2012Q4": "2012Q4", "2012q5.csv": None, None: None}
+    assert "upper" not in quarters._jdf.queryExecution().optimizedPlan().toString().lower()

@@ -45,6 +45,28 @@ def need_columns(frame: DataFrame, names: Iterable[str], what: str) -> None:
         raise ValueError(f"{what} needs columns that are absent: {absent}")
 
 
+CARRIED = "_carried"
+
+
+def carry(frame: DataFrame, keep: Iterable[str]) -> tuple[DataFrame, list[str]]:
+    """The frame with all columns but ``keep`` in one struct, and the names of these.
+
+    Joins, windows and sorts of a wide table then copy a row's other columns as one value, not one by one.
+    """
+    rest = [c for c in frame.columns if c not in set(keep)]
+    if not rest:
+        return frame, rest
+    return frame.select(*(c for c in frame.columns if c not in rest), F.struct(*rest).alias(CARRIED)), rest
+
+
+def unfold(frame: DataFrame, rest: Iterable[str], order: Iterable[str]) -> DataFrame:
+    """The carried columns in their places again; a column made anew since then replaces the carried one."""
+    made = [c for c in frame.columns if c != CARRIED]
+    back = {c: F.col(CARRIED)[c].alias(c) for c in rest if c not in made}
+    first = [c for c in order if c in back or (c in made and c not in rest)]
+    return frame.select(*(back.get(c, c) for c in first), *(c for c in made if c not in first))
+
+
 def code_label(code: Column, labels: Mapping[str, str]) -> Column:
     """Label of a code, ``Unmapped (code)`` when unknown, NULL for a NULL code."""
     lookup = F.create_map(*(F.lit(part) for pair in labels.items() for part in pair))
@@ -75,7 +97,8 @@ def lowest_score(borrower: Column | str, coborrower: Column | str) -> Column:
 def source_quarter(file_name: Column) -> Column:
     """``yyyyQn`` from a file name, any case, optional ``.csv``; NULL when it does not parse."""
     found = F.regexp_extract(file_name, r"(?i)^(\d{4}q[1-4])(?:\.csv)?$", 1)
-    return F.upper(F.when(found != "", found))
+    # Digits and one letter: translating it costs far less per row than upper-casing by locale rules.
+    return F.translate(F.when(found != "", found), "q", "Q")
 
 
 def weighted_mean(value: Column, weight: Column) -> Column:

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vintageline.functions.columns import need_columns
+from vintageline.functions.columns import carry, need_columns, unfold
 from vintageline.operators.asof import as_of_dates, join_releases
-from vintageline.operators.features import indexed_ltv, loan_features
+from vintageline.operators.features import FEATURE_INPUT, indexed_ltv, loan_features
 from vintageline.operators.splits import assign_splits
-from vintageline.operators.survival import at_risk_months, loan_facts, survival_panel
+from vintageline.operators.survival import SURVIVAL_INPUT, at_risk_months, loan_facts, survival_panel
 from vintageline.settings import HPI_SERIES
 
+GOLD_INPUT = (*SURVIVAL_INPUT, *FEATURE_INPUT, "_source_file")
+
 
 class ReconciliationError(RuntimeError):
     """Panel rows do not equal the at-risk months of every loan."""
@@ -20,13 +22,15 @@ class ReconciliationError(RuntimeError):
 def gold_panel(silver: DataFrame, releases: DataFrame) -> DataFrame:
     """Survival rows with features, macro as of the month and as of origination, and splits.
 
-    As-of dates are read from the stored loan-month table, so the panel itself is planned once.
+    As-of dates are read from the stored loan-month table, so the panel itself is planned once. Columns that no
+    step reads are carried as one value.
     """
-    featured = loan_features(survival_panel(silver))
+    narrow, rest = carry(silver, GOLD_INPUT)
+    featured = loan_features(survival_panel(narrow))
     days = as_of_dates(silver, "ACT_PERIOD", "ORIG_DATE")
     current = join_releases(featured, releases, dates=days)
     origination = join_releases(current, releases, "ORIG_DATE", (HPI_SERIES,), "ORIG_", dates=days)
-    return assign_splits(indexed_ltv(origination))
+    return unfold(assign_splits(indexed_ltv(origination)), rest, silver.columns)
 
 
 def row_count_mismatches(silver: DataFrame, gold: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vintageline.functions.columns import CODE_LABELS, code_label, delinquency_label, need_columns
+from vintageline.functions.columns import CODE_LABELS, carry, code_label, delinquency_label, need_columns, unfold
 from vintageline.sources.contract import Field, all_fields
 
 
@@ -44,12 +44,15 @@ def keep_latest(frame: DataFrame, keys: Sequence[str], newest: Sequence[str]) ->
     """One row per key: greatest ``newest`` columns, then greatest row hash so ties are stable (WIN1).
 
     A rank of one is pruned inside each map task before the shuffle, so a key that repeats without
-    bound travels as one row per task.
+    bound travels as one row per task. Columns that do not order the rows travel as one value.
     """
     need_columns(frame, (*keys, *newest), "keep latest")
-    order = [F.col(c).desc() for c in newest] + [F.xxhash64(*sorted(frame.columns)).desc()]
+    hashed = frame.withColumn("_hash", F.xxhash64(*sorted(frame.columns)))
+    narrow, rest = carry(hashed, {*keys, *newest, "_hash"})
+    order = [F.col(c).desc() for c in newest] + [F.col("_hash").desc()]
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return frame.withColumn("_rank", rank).where(F.col("_rank") == 1).drop("_rank")
+    kept = narrow.withColumn("_rank", rank).where(F.col("_rank") == 1).drop("_rank", "_hash")
+    return unfold(kept, rest, frame.columns)
 
 
 def silver_table(bronze: DataFrame) -> DataFrame:

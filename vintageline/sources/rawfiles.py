@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vintageline.functions.columns import carry, unfold
 from vintageline.sources.contract import (
     DEFAULT_WIDTH,
     DELIMITER,
@@ -96,7 +97,7 @@ def list_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
 
 def scan_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Per file: path, name, line counts by width, and a content fingerprint (SRC4, SRC6).
+    """Per file: path, the readers' name of it, file name, line counts by width, and a content fingerprint (SRC4, SRC6).
 
     The fingerprint is computed from the lines by all tasks: count, total length, and the xor and sum
     of line hashes. Sum and count keep repeated lines from cancelling in the xor. Files without a line
@@ -117,6 +118,7 @@ def scan_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     )
     # Paths are decoded once per file and width, not per line.
     return per_width.groupBy(plain_path(F.col("uri")).alias("path")).agg(
+        F.first("uri").alias("uri"),
         F.array_sort(F.collect_list(F.struct("width", "n"))).alias("widths"),
         F.sum("n").alias("line_count"),
         F.sha2(
@@ -152,23 +154,24 @@ def read_raw(
 def with_provenance(
     raw: DataFrame, files: DataFrame, width: int, ingested_at: datetime
 ) -> DataFrame:
-    """Rows of the listed files, with source name, path, fingerprint, width and load time (SRC3)."""
+    """Rows of the listed files, with source name, path, fingerprint, width and load time (SRC3).
+
+    A task's rows come ordered by source name, as a write by source name needs them. The fields are one value until
+    then, and the path of a row is compared as the readers give it, so that it is not decoded per line.
+    """
     known = files.select(
+        "uri",
         F.col("path").alias("_source_path"),
         F.col("file_name").alias("_source_file"),
         F.col("fingerprint").alias("_source_sha256"),
     )
-    return (
-        raw.withColumn("_source_path", plain_path(F.col("_metadata.file_path")))
-        .join(known, "_source_path")
-        .select(
-            *raw.columns,
-            "_source_file",
-            "_source_path",
-            "_source_sha256",
-            F.lit(width).alias("_source_field_count"),
-            F.lit(ingested_at).cast("timestamp").alias("_ingested_at"),
-        )
+    narrow, fields = carry(raw.withColumn("uri", F.col("_metadata.file_path")), ("uri",))
+    rows = narrow.join(known, "uri").drop("uri").sortWithinPartitions("_source_file")
+    return unfold(rows, fields, raw.columns).withColumns(
+        {
+            "_source_field_count": F.lit(width),
+            "_ingested_at": F.lit(ingested_at).cast("timestamp"),
+        }
     )
 
 
@@ -272,7 +275,7 @@ def ingest(
     new_names = [r.file_name for r in files.select("file_name").distinct().collect()] if few else None
     # The same content under two paths is loaded once in a call; equal parts of one file are all its own.
     one = F.when(_in_parts(), F.col("path"))
-    first = F.min(F.struct("path", "widths", "line_count", "size", "modified")).alias("first")
+    first = F.min(F.struct("path", "uri", "widths", "line_count", "size", "modified")).alias("first")
     new = unseen_files(files, bronze, new_names).groupBy("file_name", "fingerprint", one.alias("part")).agg(first)
     load = materialize(new.select("file_name", "fingerprint", "first.*"), "ingest-load")
     require_widths(load, width)

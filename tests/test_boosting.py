@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vintageline.models.boosting import best_split, fit_boosted_directed
+from vintageline.models.boosting import Tree, _arrays, _leaves, best_split, fit_boosted_directed
 from vintageline.models.challenger import calibrate
 from vintageline.models.newton import FitError, fit_newton
 from vintageline.models.scorecard import probability_of
@@ -118,3 +118,19 @@ def test_reasons_of_trees_are_ranked(spark, crossed):
     found = boosted_reasons(rows, calibrated, reference, ["k"]).where("k < 3").collect()
     assert [(r.k, r["rank"], r.feature) for r in found] == [(1, 1, "a")]
     assert boosted_reasons(rows.where("k > 3"), model, reference, ["k"]).count() == 0
+
+
+def test_a_walk_over_the_nodes_finds_every_leaf():
+    rng = np.random.default_rng(3)
+    bins = [rng.integers(-1, 6, 500) for _ in range(3)]
+    tree = Tree((1, 0, 2, -1, -1, -1, -1), (2, 1, 4, -1, -1, -1, -1), (False, True, True) + (False,) * 4,
+                (1, 3, 5) + (-1,) * 4, (2, 4, 6) + (-1,) * 4, (0.0,) * 7, (0.0,) * 7)
+    expected = []
+    for row in zip(*bins):
+        at = 0
+        while tree.feature[at] >= 0:
+            b = row[tree.feature[at]]
+            left = tree.missing_left[at] if b < 0 else b <= tree.bin[at]
+            at = tree.left[at] if left else tree.right[at]
+        expected.append(at)
+    assert _leaves(bins, _arrays(tree)).tolist() == expected

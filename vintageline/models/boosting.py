@@ -132,26 +132,27 @@ def binned_cells(rows: DataFrame, target: str, cuts: dict, features: Sequence[st
 
 
 def _scored(batch, width: int, trees: list, start: float):
-    """Bins, rows, events and score of a batch of cells under the trees not yet in its score column."""
-    bins = np.column_stack([batch.column(f"c{i}").to_numpy(zero_copy_only=False) for i in range(width)])
+    """Bins by feature, rows, events and score of a batch of cells under the trees not yet in its score column."""
+    bins = [batch.column(f"c{i}").to_numpy(zero_copy_only=False) for i in range(width)]
     rows, events, score = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("rows", "events", "score"))
     return bins, rows, events, start + score + _added(bins, trees)
 
 
-def _added(bins: np.ndarray, trees: list) -> np.ndarray:
-    total = np.zeros(len(bins))
+def _added(bins: list, trees: list) -> np.ndarray:
+    total = np.zeros(len(bins[0]))
     for tree in trees:
         total += tree[5][_leaves(bins, tree)]
     return total
 
 
-def _leaves(bins: np.ndarray, tree: tuple) -> np.ndarray:
-    feature, cut, missing_left, left, right, _ = tree
-    node, rows = np.zeros(len(bins), np.int64), np.arange(len(bins))
-    while (feature[node] >= 0).any():
-        b = bins[rows, np.maximum(feature[node], 0)]
-        goes_left = np.where(b < 0, missing_left[node], b <= cut[node])
-        node = np.where(feature[node] < 0, node, np.where(goes_left, left[node], right[node]))
+def _leaves(bins: list, tree: tuple) -> np.ndarray:
+    """Leaf of every row; a node lies behind its parent, so one walk over the nodes takes all rows down."""
+    node = np.zeros(len(bins[0]), np.int64)
+    for at, (feature, cut, missing_left, left, right, _) in enumerate(zip(*tree)):
+        if feature >= 0:
+            b = bins[feature]
+            goes_left = (b <= cut) if missing_left else (b <= cut) & (b >= 0)
+            np.copyto(node, np.where(goes_left, left, right), where=node == at)
     return node
 
 
@@ -162,22 +163,21 @@ def level_histogram(cells: DataFrame, width: int, bins: int, start: float, trees
         import numpy as np
         import pyarrow as pa
 
-        sums: dict[int, np.ndarray] = {}
+        nodes = 1 if growing is None else len(growing[0])
+        sums = np.zeros((3, nodes, width, bins + 1))
         for batch in batches:
             if not batch.num_rows:
                 continue
             cell_bins, rows, events, score = _scored(batch, width, trees, start)
             p = 1 / (1 + np.exp(-score))
-            node = np.zeros(len(rows), np.int64) if growing is None else _leaves(cell_bins, growing)
-            for at in np.unique(node).tolist():
-                here = node == at
-                table = sums.setdefault(at, np.zeros((3, width * (bins + 1))))
-                for i in range(width):
-                    place = i * (bins + 1) + cell_bins[here, i] + 1
-                    values = (rows[here], rows[here] * p[here] - events[here], rows[here] * p[here] * (1 - p[here]))
-                    for k, value in enumerate(values):
-                        table[k] += np.bincount(place, value, width * (bins + 1))
-        for at, table in sums.items():
+            values = (rows, rows * p - events, rows * p * (1 - p))
+            node = 0 if growing is None else _leaves(cell_bins, growing) * (bins + 1)
+            for i, b in enumerate(cell_bins):
+                place = node + b + 1
+                for table, value in zip(sums, values):
+                    table[:, i] += np.bincount(place, value, nodes * (bins + 1)).reshape(nodes, bins + 1)
+        for at in range(nodes):
+            table = sums[:, at].reshape(3, -1)
             place = np.nonzero(table[0])[0]
             arrays = [np.full(len(place), at, np.int32), (place // (bins + 1)).astype(np.int32)]
             arrays += [(place % (bins + 1) - 1).astype(np.int32), *(t[place] for t in table)]

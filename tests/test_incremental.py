@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from vintageline.operators.gold import gold_panel
 from vintageline.plans.incremental import first_changed_day, merge_silver, read_gold, refresh_gold
 from vintageline.queries.inputs import panel, releases
-from vintageline.sources.parts import open_parts, read_parts
+from vintageline.sources.parts import PART, open_parts, read_parts
 from vintageline.sources.snapshots import publish
 
 SMALL = "/root/testdata/sf0.001"
@@ -79,6 +79,24 @@ def test_a_release_touches_rows_from_its_day_on(spark, places):
     assert same_rows(read_gold(spark, gold), gold_panel(panel(spark, SMALL), more))
 
 
+def test_parts_move_loan_months_once_a_write(spark, places):
+    silver, macro, gold = places
+    rows, known = panel(spark, SMALL), releases(spark)
+    merge_silver(rows, silver, slots=4)
+    found = open_parts(spark, silver)
+    plan = gold_panel(read_parts(spark, silver, found), known, PART)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning(LOAN_ID" not in plan
+    assert plan.count("rangepartitioning(PART") == 1 and plan.count("rangepartitioning(") == 1
+    refresh_gold(spark, silver, macro, gold)
+    for path in (silver, gold):
+        stored = open_parts(spark, path)
+        lying = read_parts(spark, path, stored).select(PART, "LOAN_ID", F.input_file_name().alias("f"))
+        assert lying.groupBy("LOAN_ID").agg(F.countDistinct(PART, "f").alias("n")).where("n > 1").isEmpty()
+        files = lying.select("f").distinct().count()
+        assert files <= len(stored.places) + 8
+    assert same_rows(read_gold(spark, gold), gold_panel(rows, known))
+
+
 def test_keys_must_be_whole_and_alone(spark, places):
     silver = places[0]
     rows = panel(spark, SMALL).where("LOAN_AGE < 2")

@@ -19,14 +19,15 @@ class ReconciliationError(RuntimeError):
     """Panel rows do not equal the at-risk months of every loan."""
 
 
-def gold_panel(silver: DataFrame, releases: DataFrame) -> DataFrame:
+def gold_panel(silver: DataFrame, releases: DataFrame, part: str | None = None) -> DataFrame:
     """Survival rows with features, macro as of the month and as of origination, and splits.
 
     As-of dates are read from the stored loan-month table, so the panel itself is planned once. Columns that no
-    step reads are carried as one value.
+    step reads are carried as one value. With ``part``, rows come in the order of part, loan and month, see
+    ``survival_panel``.
     """
-    narrow, rest = carry(silver, GOLD_INPUT)
-    featured = loan_features(survival_panel(narrow))
+    narrow, rest = carry(silver, GOLD_INPUT if part is None else (*GOLD_INPUT, part))
+    featured = loan_features(survival_panel(narrow, part=part))
     days = as_of_dates(silver, "ACT_PERIOD", "ORIG_DATE")
     current = join_releases(featured, releases, dates=days)
     origination = join_releases(current, releases, "ORIG_DATE", (HPI_SERIES,), "ORIG_", dates=days)

@@ -16,6 +16,12 @@ from vintageline.settings import DELINQUENCY_THRESHOLD, HORIZON_MONTHS
 
 SURVIVAL_INPUT = ("LOAN_ID", "ACT_PERIOD", "DLQ_STATUS", "ZERO_BAL_CODE")
 
+# Facts of a loan that its rows get.
+MADE = (
+    "FIRST_CENSOR_DATE", "FIRST_CENSOR_CODE", "LAST_OBSERVED_DATE", "SOURCE_OBSERVED_MONTHS", "FIRST_D90_DATE",
+    "EXIT_DATE", "EXIT_TYPE",
+)
+
 # Zero-balance codes with an exit type of their own.
 EXIT_OF_CODE = {"01": "prepaid", "06": "repurchased"}
 
@@ -32,15 +38,26 @@ def loan_facts(silver: DataFrame, threshold: int = DELINQUENCY_THRESHOLD) -> Dat
     """
     need_columns(silver, SURVIVAL_INPUT, "survival framing")
     month = F.col("ACT_PERIOD")
-    defaulted = months_delinquent(F.col("DLQ_STATUS")) >= threshold
-    code = _closing_code()
     seen = silver.groupBy("LOAN_ID").agg(
-        F.min(F.when(defaulted, month)).alias("raw_default"),
-        F.min(F.when(code.isNotNull(), F.struct(month.alias("at"), code.alias("code")))).alias("censor"),
-        F.max(month).alias("LAST_OBSERVED_DATE"),
-        F.count(F.lit(1)).alias("SOURCE_OBSERVED_MONTHS"),
-        F.array_sort(F.collect_set(month)).alias("_months"),
+        *(c.alias(n) for n, c in _seen(threshold).items()), F.array_sort(F.collect_set(month)).alias("_months")
     )
+    return _resolved(seen, ["LOAN_ID"], ["_months"])
+
+
+def _seen(threshold: int) -> dict[str, Column]:
+    """Aggregates over all rows of a loan, from which its facts follow."""
+    month, code = F.col("ACT_PERIOD"), _closing_code()
+    defaulted = months_delinquent(F.col("DLQ_STATUS")) >= threshold
+    return {
+        "raw_default": F.min(F.when(defaulted, month)),
+        "censor": F.min(F.when(code.isNotNull(), F.struct(month.alias("at"), code.alias("code")))),
+        "LAST_OBSERVED_DATE": F.max(month),
+        "SOURCE_OBSERVED_MONTHS": F.count(F.lit(1)),
+    }
+
+
+def _resolved(seen: DataFrame, first: list[str], last: list[str]) -> DataFrame:
+    """The facts between columns that stay as they are."""
     default_date = F.when(
         F.col("censor").isNull() | (F.col("raw_default") <= F.col("censor.at")), F.col("raw_default")
     )
@@ -50,13 +67,13 @@ def loan_facts(silver: DataFrame, threshold: int = DELINQUENCY_THRESHOLD) -> Dat
     kind = kind.when(F.col("FIRST_CENSOR_DATE").isNotNull(), "other_exit").otherwise("right_censored")
     return (
         seen.select(
-            "LOAN_ID",
+            *first,
             F.col("censor.at").alias("FIRST_CENSOR_DATE"),
             F.col("censor.code").alias("FIRST_CENSOR_CODE"),
             "LAST_OBSERVED_DATE",
             "SOURCE_OBSERVED_MONTHS",
             default_date.alias("FIRST_D90_DATE"),
-            "_months",
+            *last,
         )
         .withColumn("EXIT_DATE", F.least("FIRST_D90_DATE", "FIRST_CENSOR_DATE"))
         .withColumn("EXIT_TYPE", kind)
@@ -74,8 +91,13 @@ def survival_panel(
     silver: DataFrame,
     horizon_months: int = HORIZON_MONTHS,
     threshold: int = DELINQUENCY_THRESHOLD,
+    part: str | None = None,
 ) -> DataFrame:
-    """At-risk loan-months with next-month and horizon default labels (SRV5)."""
+    """At-risk loan-months with next-month and horizon default labels (SRV5).
+
+    ``part`` names a column that is the same in all rows of a loan. Rows are then moved once, dealt out in ranges of
+    part and loan, and come back in that order, by month within a loan; every row needs a loan.
+    """
     if horizon_months <= 0 or threshold <= 0:
         raise ValueError("horizon_months and threshold must be positive")
     month, default_date = F.col("ACT_PERIOD"), F.col("FIRST_D90_DATE")
@@ -89,13 +111,21 @@ def survival_panel(
 
     # Months are numbered where the join has put a loan's rows; the month list of loan_facts is not built here.
     # Unfolded rows are estimated far too low, and a broadcast would bring a whole side to the driver.
-    of_loan = Window.partitionBy("LOAN_ID")
+    of_loan = Window.partitionBy(*([] if part is None else [part]), "LOAN_ID")
     number = F.dense_rank().over(of_loan.orderBy(month))
-    facts = loan_facts(silver, threshold).drop("_months")
-    kept = [c for c in silver.columns if c not in facts.columns or c == "LOAN_ID"]
+    if part is None:
+        facts = loan_facts(silver, threshold).drop("_months")
+        kept = [c for c in silver.columns if c not in facts.columns or c == "LOAN_ID"]
+        rows = silver.select(*kept).join(facts.hint("merge"), "LOAN_ID")
+    else:
+        need_columns(silver, (*SURVIVAL_INPUT, part), "survival framing")
+        # Ordered by month, as the numbers need it, so that all windows share one sort.
+        whole = of_loan.orderBy(month).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        kept = [c for c in silver.columns if c not in MADE]
+        dealt = silver.select(*kept).repartitionByRange(part, "LOAN_ID")
+        rows = _resolved(dealt.withColumns({n: c.over(whole) for n, c in _seen(threshold).items()}), kept, [])
     return (
-        silver.select(*kept)
-        .join(facts.hint("merge"), "LOAN_ID")
+        rows
         .where(F.col("EXIT_DATE").isNull() | (month < F.col("EXIT_DATE")))
         .select(
             *kept,

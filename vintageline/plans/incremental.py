@@ -75,7 +75,7 @@ def refresh_gold(spark: SparkSession, silver_path: str, macro_path: str, gold_pa
         require_coverage(rows, releases, allow_early_gaps=True)
         require_coverage(rows, releases, "ORIG_DATE", (HPI_SERIES,), allow_early_gaps=True)
         require_quarters(rows)
-        panel = gold_panel(rows, releases)
+        panel = gold_panel(rows, releases, PART)
         schema = panel.schema
         built = write_parts(panel, gold_path, names)
         fresh = Parts(-1, built, panel.drop(PART).schema, {})

@@ -20,6 +20,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from vintageline.sources.snapshots import commit_version, latest_version, manifest_row, materialize
 
 PART = "PART"
+SLOT, NEW, NEWEST = "_slot", "_new", "_newest"
 
 
 @dataclass(frozen=True)
@@ -55,12 +56,13 @@ def read_parts(spark: SparkSession, path: str, table: Parts, names: Collection[s
 def write_parts(rows: DataFrame, path: str, names: Collection[str] = ()) -> dict[str, str]:
     """Write rows by their part column; returns the place of each part, '' for those of ``names`` without rows.
 
-    Rows are rebalanced by part, which spreads a large part over several tasks and files. What is written
-    belongs to no version until ``commit_parts``.
+    Rows come dealt out in ranges of part, or of what a part follows from, and loan: a large part is then spread
+    over several tasks and files, and a small one lies in one file. What is written belongs to no version until
+    ``commit_parts``.
     """
     base = f"{path}/data/w={uuid.uuid4().hex}"
     order = [c for c in ("LOAN_ID", "ACT_PERIOD") if c in rows.columns]
-    rows.hint("rebalance", PART).sortWithinPartitions(PART, *order).write.partitionBy(PART).parquet(base)
+    rows.sortWithinPartitions(PART, *order).write.partitionBy(PART).parquet(base)
     stored = rows.sparkSession.read.schema(StructType([StructField(PART, StringType())])).parquet(base)
     # One row per part, bounded by the manifest that names them.
     written = {row[0]: f"{base}/{PART}={row[0]}" for row in stored.distinct().collect()}
@@ -75,9 +77,9 @@ def commit_parts(
     return Parts(version, dict(places), fields, dict(sources))
 
 
-def closed_loans(key: str, closing: Column) -> Column:
+def closed_loans(keys: Collection[str], closing: Column) -> Column:
     """True in all rows of a loan one of whose rows meets ``closing``."""
-    return F.max(F.coalesce(closing, F.lit(False))).over(Window.partitionBy(key))
+    return F.max(F.coalesce(closing, F.lit(False))).over(Window.partitionBy(*keys))
 
 
 def require_loan_months(incoming: DataFrame, keys: Collection[str]) -> None:
@@ -104,25 +106,34 @@ def merge_parts(
     Only the loan column of the table is scanned to find the parts that hold incoming loans; these alone are
     read whole and written again. A loan's rows go into one of ``slots`` parts by its hash, apart for loans
     with a ``closing`` row. Rows without a key, or two for one loan-month, are refused. A replay changes no row.
+    Old and incoming rows are moved once, in ranges of slot and loan; there the windows that drop replaced months
+    and tell closed loans find them in order.
     """
     spark = incoming.sparkSession
     fresh = materialize(incoming, "merge-incoming")
     require_loan_months(fresh, keys)
     loan = keys[0]
     before = open_parts(spark, path)
-    rows, kept = fresh, {}
+    names, kept = fresh.columns, {}
+    slot = F.pmod(F.xxhash64(loan), F.lit(slots)).alias(SLOT)
+    rows = fresh.select("*", slot, F.lit(True).alias(NEW))
     if before is not None:
         stored = read_parts(spark, path, before)
-        # Neither side of these joins is bounded, and stored columns are far smaller than their rows: no broadcast.
+        # Neither side of this join is bounded, and stored columns are far smaller than their rows: no broadcast.
         touched = stored.join(fresh.select(loan).distinct().hint("merge"), loan, "left_semi").select(PART).distinct()
-        names = {row[0] for row in touched.collect()}
-        kept = {name: place for name, place in before.places.items() if name not in names}
-        old = read_parts(spark, path, before, names).drop(PART)
-        rows = fresh.unionByName(old.join(fresh.select(*keys).hint("merge"), list(keys), "left_anti"))
+        found = {row[0] for row in touched.collect()}
+        kept = {name: place for name, place in before.places.items() if name not in found}
+        old = read_parts(spark, path, before, found).drop(PART)
+        rows = rows.unionByName(old.select("*", slot, F.lit(False).alias(NEW)))
+    rows = rows.repartitionByRange(SLOT, loan)
+    if before is not None:
+        newest = F.max(NEW).over(Window.partitionBy(SLOT, *keys))
+        rows = rows.withColumn(NEWEST, newest).where(F.col(NEW) == F.col(NEWEST))
     stamp = uuid.uuid4().hex[:8]
-    state = F.when(closed_loans(loan, closing), "closed").otherwise("open")
-    slot = F.pmod(F.xxhash64(loan), F.lit(slots)).cast("string")
-    written = write_parts(rows.withColumn(PART, F.concat_ws("-", F.lit(stamp), state, slot)), path)
+    state = F.when(closed_loans((SLOT, loan), closing), "closed").otherwise("open")
+    part = F.concat_ws("-", F.lit(stamp), state, F.col(SLOT).cast("string"))
+    rows = rows.withColumn(PART, part).select(*names, PART)
+    written = write_parts(rows, path)
     version = 0 if before is None else before.version + 1
     places = kept | written
     return commit_parts(spark, path, version, places, rows.schema, {})

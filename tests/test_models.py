@@ -3,6 +3,7 @@ import math
 from datetime import date
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from vintageline.models.challenger import Calibrated, StepModel, calibrate, fit_
 from vintageline.models.directions import directions_of
 from vintageline.models.frame import feature_list_hash, loan_sample, require_both_classes, require_no_outcomes
 from vintageline.models.hazard import fit_hazard, spline_basis
+from vintageline.models.newton import signed_minimum
 from vintageline.models.scorecard import FACTOR, OFFSET, fit_scorecard
 from vintageline.models.store import load_models, store_models
 from vintageline.plans.training import record_evidence, train_baseline_models, train_challenger
@@ -166,6 +168,39 @@ def test_challenger_is_monotone_and_calibrated(spark, rows):
     assert directions_of() == (-1, 1, 1, 1, 0, 0, 0)
 
 
+def test_steps_settle_under_their_signs(spark, rows):
+    model = fit_steps(rows, TARGET_12M)
+    means = model.predict(rows).agg(F.avg("challenger_raw"), F.avg(TARGET_12M)).first()
+    assert means[0] == pytest.approx(means[1], abs=1e-9)
+    p, y = F.col("challenger_raw"), F.col(TARGET_12M)
+    for feature in FEATURES:
+        direction = RISK_DIRECTION.get(feature, 0)
+        scored = model.predict(rows)
+        terms = [F.col(feature) >= F.lit(c) for c in model.cuts[feature]] + [F.col(feature).isNull()]
+        found = scored.agg(*(F.coalesce(F.sum(F.when(t, y - p)), F.lit(0.0)) for t in terms)).first()
+        for at, (score, step) in enumerate(zip(found, (*model.steps[feature], model.missing[feature]))):
+            held = step == 0 and direction and at < len(model.steps[feature])
+            pull = score - step
+            assert pull * direction <= 1e-4 if held else abs(pull) < 1e-4
+
+
+def test_signed_minimum_equals_a_search_of_all_sets():
+    draw = np.random.default_rng(5)
+    for _ in range(40):
+        half = draw.normal(size=(9, 6))
+        matrix, pull, signs = half.T @ half + np.eye(6), draw.normal(size=6) * 3, draw.integers(-1, 2, 6)
+        best = math.inf
+        for kept in itertools.product((False, True), repeat=6):
+            loose = np.array(kept) | (signs == 0)
+            x = np.zeros(6)
+            if loose.any():
+                x[loose] = np.linalg.solve(matrix[np.ix_(loose, loose)], pull[loose])
+            if (signs * x >= 0).all():
+                best = min(best, x @ matrix @ x / 2 - pull @ x)
+        got = signed_minimum(matrix, pull, signs)
+        assert (signs * got >= 0).all() and got @ matrix @ got / 2 - pull @ got == pytest.approx(best, abs=1e-9)
+
+
 def test_inverted_model_is_rejected(spark):
     wrong = StepModel({f: (700.0,) for f in FEATURES}, {f: (1.0,) for f in FEATURES}, dict.fromkeys(FEATURES, 0.0), 0.0)
     with pytest.raises(MonotonicityError, match="CLASSIC_FICO"):

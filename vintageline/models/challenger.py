@@ -10,20 +10,19 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.linalg import DenseMatrix
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vintageline.models.binning import bin_index, quantile_cuts
 from vintageline.models.boosting import BoostedModel
 from vintageline.models.directions import directions_of
-from vintageline.models.scorecard import fit_logistic, fit_ridge, probability_of, weighted_cells
+from vintageline.models.newton import MOST_STEPS, FitError, signed_minimum
+from vintageline.models.scorecard import fit_ridge, probability_of
 from vintageline.settings import FEATURES, RISK_DIRECTION
+from vintageline.sources.snapshots import materialize
 
 CHALLENGER_BINS = 20
-# Bound of an unconstrained step. It never binds, and unlike infinity it survives the solver's scaling
-# by the deviation of an indicator that is constant in the training rows.
-FREE = 1e6
 
 
 @dataclass(frozen=True)
@@ -65,38 +64,129 @@ class StepModel:
         return rows.agg(spread.alias("s")).select(F.inline("s")).orderBy(F.col("importance").desc())
 
 
+def step_cells(rows: DataFrame, target: str, cuts: Mapping[str, Sequence[float]]) -> DataFrame:
+    """Distinct bin combinations c0.. with their events ``pos`` and non-events ``neg``."""
+    names = [f"c{i}" for i in range(len(cuts))]
+    event = F.col(target) == 1
+    return (
+        rows.select(*(bin_index(F.col(f), c).cast("int").alias(n) for (f, c), n in zip(cuts.items(), names)), event.alias("y"))
+        .groupBy(*names)
+        .agg(F.count_if(F.col("y")).cast("double").alias("pos"), F.count_if(~F.col("y")).cast("double").alias("neg"))
+    )
+
+
+def level_sums(cells: DataFrame, levels: Sequence[np.ndarray], start: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log-loss, scores and information of a sum of one level per feature, over all cells.
+
+    ``levels`` has the log-odds of each bin by feature, the missing bin first. The places of the scores and of the
+    information are the bins of all features, one feature after the other. A pass counts each pair of features by
+    bins, so it costs pairs of features a cell, whatever the number of bins.
+    """
+    sizes = [len(x) for x in levels]
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    total = int(first[-1])
+
+    def add(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        loss, score, information = 0.0, np.zeros(total), np.zeros((total, total))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bins = [batch.column(f"c{i}").to_numpy(zero_copy_only=False).astype(np.int64) + 1 for i in range(len(sizes))]
+            pos, neg = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("pos", "neg"))
+            z = start + sum(x[b] for x, b in zip(levels, bins))
+            p = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+            loss += float(np.sum((pos + neg) * np.logaddexp(0, z) - pos * z))
+            left, weight = pos - (pos + neg) * p, (pos + neg) * p * (1 - p)
+            for i, b in enumerate(bins):
+                score[first[i] : first[i + 1]] += np.bincount(b, left, sizes[i])
+                for j in range(i, len(bins)):
+                    both = np.bincount(b * sizes[j] + bins[j], weight, sizes[i] * sizes[j])
+                    information[first[i] : first[i + 1], first[j] : first[j + 1]] += both.reshape(sizes[i], sizes[j])
+        found = np.concatenate([[loss], score, information.ravel()])
+        place = np.nonzero(found)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(found[place])], names=["place", "value"])
+
+    sums = cells.mapInArrow(add, "place bigint, value double").groupBy("place").agg(F.sum("value").alias("value"))
+    result = np.zeros(1 + total + total * total)
+    # Bounded by the square of the number of bins of all features.
+    for row in sums.collect():
+        result[row.place] = row.value
+    information = result[1 + total :].reshape(total, total)
+    return float(result[0]), result[1 : 1 + total], np.triu(information) + np.triu(information, 1).T
+
+
 def fit_steps(
     rows: DataFrame,
     target: str,
     features: Sequence[str] = FEATURES,
     bins: int = CHALLENGER_BINS,
+    penalty: float = 1.0,
+    tolerance: float = 1e-9,
 ) -> StepModel:
-    """Fit all steps jointly; a step against a feature's direction is held at zero."""
+    """Fit all steps jointly; a step against a feature's direction is held at zero.
+
+    Newton steps under these signs: each is one pass over the stored cells, and the best move under the signs is found
+    on the driver from the sums by bin. ``penalty`` / 2 times the squared steps is added to the log-loss.
+    """
     directions = directions_of(features)
     cuts = quantile_cuts(rows, features, bins)
-    cells = weighted_cells(rows, target, [bin_index(F.col(f), cuts[f]) for f in features])
-    inputs, low, high = [], [], []
-    for i, (feature, direction) in enumerate(zip(features, directions)):
-        at = F.col(f"c{i}")
-        for k in range(len(cuts[feature])):
-            inputs.append((at > k).cast("double"))
-            low.append(0.0 if direction > 0 else -FREE)
-            high.append(0.0 if direction < 0 else FREE)
-        inputs.append((at < 0).cast("double"))
-        low.append(-FREE)
-        high.append(FREE)
-    width = len(inputs)
-    model = fit_logistic(
-        cells, inputs,
-        lowerBoundsOnCoefficients=DenseMatrix(1, width, low),
-        upperBoundsOnCoefficients=DenseMatrix(1, width, high),
-    )
-    weights = iter(map(float, model.coefficients))
+    cells = materialize(step_cells(rows, target, cuts), "cells")
+    signs, blocks = [0], []
+    for feature, direction in zip(features, directions):
+        steps = len(cuts[feature])
+        # Of bins, the missing one first, to steps: one at each cut, then that of a missing value.
+        block = np.zeros((steps + 2, steps + 1))
+        block[0, steps] = 1.0
+        for k in range(steps):
+            block[k + 2 :, k] = 1.0
+        blocks.append(block)
+        signs += [direction] * steps + [0]
+    width = len(signs)
+    spread = np.zeros((sum(len(b) for b in blocks), width))
+    row, column = 0, 1
+    for block in blocks:
+        spread[row : row + block.shape[0], column : column + block.shape[1]] = block
+        row, column = row + block.shape[0], column + block.shape[1]
+    # Each row has one bin of the first feature, whose sums give those of the intercept.
+    spread[: len(blocks[0]), 0] = 1.0
+    ends = np.cumsum([len(b) for b in blocks])[:-1]
+    ridge, signs = np.diag([0.0] + [penalty] * (width - 1)), np.array(signs)
+
+    def at(beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        levels = np.split(spread[:, 1:] @ beta[1:], ends)
+        loss, score, information = level_sums(cells, levels, float(beta[0]))
+        return loss + beta @ ridge @ beta / 2, spread.T @ score - ridge @ beta, spread.T @ information @ spread + ridge
+
+    beta = np.zeros(width)
+    loss, score, information = at(beta)
+    # At zero every row has information 1 / 4.
+    total = 4 * information[0, 0]
+    if not total > 0:
+        raise FitError("no rows to fit")
+    for _ in range(MOST_STEPS):
+        free = (signs == 0) | (beta != 0) | (signs * score > 0)
+        if np.max(np.abs(score[free])) <= tolerance * total:
+            break
+        there, share = signed_minimum(information, information @ beta + score, signs), 1.0
+        while True:
+            # A whole step is taken as it is, so that steps held at zero are zero.
+            tried = there if share == 1.0 else beta + share * (there - beta)
+            found = at(tried)
+            if found[0] <= loss + 1e-12 * abs(loss) or share < 1e-6:
+                break
+            share /= 2
+        beta, (loss, score, information) = tried, found
+    else:
+        raise FitError(f"not settled after {MOST_STEPS} steps")
+    weights = iter(map(float, beta[1:]))
     steps, missing = {}, {}
     for feature in features:
         steps[feature] = tuple(next(weights) for _ in cuts[feature])
         missing[feature] = next(weights)
-    return StepModel(dict(cuts), steps, missing, float(model.intercept))
+    return StepModel(dict(cuts), steps, missing, float(beta[0]))
 
 
 @dataclass(frozen=True)

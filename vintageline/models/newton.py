@@ -110,3 +110,37 @@ def fit_newton(
         beta = beta + share * move
         loss, score, information = found
     raise FitError(f"not settled after {MOST_STEPS} steps: score {np.max(np.abs(score)) / total:.3g} of the weight")
+
+
+def signed_minimum(matrix: np.ndarray, pull: np.ndarray, signs: np.ndarray) -> np.ndarray:
+    """The x of least x'Ax / 2 - b'x whose entries have the given signs (1, -1) or are free (0).
+
+    Entries held at zero are let go one at a time, that of the strongest pull first, and those that would change
+    their sign are held again, so that every round lowers the value and their number is finite (Lawson and Hanson).
+    """
+    x, loose = np.zeros(len(pull)), signs == 0
+
+    def solved() -> np.ndarray:
+        found = np.zeros(len(pull))
+        found[loose] = np.linalg.lstsq(matrix[np.ix_(loose, loose)], pull[loose], rcond=None)[0]
+        return found
+
+    x = solved()
+    least = 1e-12 * max(1.0, float(np.max(np.abs(pull))))
+    for _ in range(10 * len(pull)):
+        gain = np.where(loose, 0.0, signs * (pull - matrix @ x))
+        best = int(np.argmax(gain))
+        if gain[best] <= least:
+            break
+        loose[best] = True
+        while True:
+            found = solved()
+            wrong = loose & (signs * found < 0)
+            if not wrong.any():
+                break
+            share = np.min(x[wrong] / (x[wrong] - found[wrong]))
+            x = x + share * (found - x)
+            held = wrong & (signs * x <= 1e-15)
+            x[held], loose[held] = 0.0, False
+        x = found
+    return x

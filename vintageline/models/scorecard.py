@@ -6,8 +6,6 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,22 +53,6 @@ def fit_ridge(cells: DataFrame, inputs: Sequence[Column], penalty: float = 1.0)
     return fit_newton(materialize(cells, "cells"), inputs, F.col("label"), F.col("weight"), penalty)
 
 
-def fit_logistic(cells: DataFrame, inputs: Sequence[Column], penalty: float = 1.0, **bounds):
-    """L2 logistic on weighted cells under bounds; ``penalty`` is the ridge weight of the summed loss.
-
-    The cells are written once: the solver reads them again and again, and a lost executor then costs a
-    re-read of this small table instead of a rebuild of the panel.
-    """
-    cells = materialize(cells, "cells")
-    data = cells.select(array_to_vector(F.array(*(c.cast("double") for c in inputs))).alias("x"), "label", "weight")
-    total = cells.agg(F.sum("weight")).first()[0]
-    learner = LogisticRegression(
-        featuresCol="x", labelCol="label", weightCol="weight", regParam=penalty / total,
-        standardization=False, maxIter=100, tol=1e-7, **bounds,
-    )
-    return learner.fit(data)
-
-
 @dataclass(frozen=True)
 class Scorecard:
     """Bins, coefficients and intercept; scoring is a plain column expression."""

@@ -1,5 +1,6 @@
 import itertools
 import math
+from collections import Counter
 from datetime import date
 import random
 
@@ -23,6 +24,7 @@ from vintageline.portfolio.competing import CAUSES, competing_incidence, exit_ne
 from vintageline.portfolio.reporting import remaining_months
 from vintageline.queries.model_queries import AGE_WEIGHTS, fixed_hazard, fixed_prepayment, fixed_scorecard
 from vintageline.settings import FEATURES, RISK_DIRECTION, TARGET_12M
+from vintageline.validation import bootstrap
 from vintageline.validation.bootstrap import (
     PRIME,
     gini_differences,
@@ -293,6 +295,20 @@ def test_bootstrap_weights_are_poisson():
         assert weights.count(k) / len(loans) == pytest.approx(math.exp(-1) / math.factorial(k), abs=0.015)
 
 
+def test_bootstrap_hands_on_a_score_once_a_task(spark, monkeypatch):
+    one_task = spark.range(0, 20_000, 1, 1).selectExpr(
+        "string(id) AS loan", "double(id % 3) AS candidate", "double(id % 2) AS baseline", "int(id % 2) AS y", "1L AS n"
+    )
+    found = bootstrap._poisson_rows(one_task, 20, 1, False).collect()
+    # Six pairs of candidate's score and label and two of the baseline's, in each replicate.
+    assert len(found) == 8 * 21 and sum(r.w for r in found if r.rep == 0) == 40_000
+    monkeypatch.setattr(bootstrap, "HELD_SCORES", 3)
+    parts = Counter()
+    for r in bootstrap._poisson_rows(one_task, 20, 1, False).collect():
+        parts[r.model, r.score, r.y, r.rep] += r.w
+    assert parts == {(r.model, r.score, r.y, r.rep): r.w for r in found}
+
+
 def test_bootstrap_guards(spark):
     rows = bootstrap_rows(spark)
     with pytest.raises(ValueError, match="two loans"):

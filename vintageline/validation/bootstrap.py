@@ -2,9 +2,10 @@
 
 A replicate gives every loan a whole weight from a Poisson distribution of mean 1, the limit of drawing
 as many loans as there are with replacement. The weight comes from one number per loan and a linear
-hash of it per replicate, so it needs no draw table: every task sums, for each distinct score among a
-few thousand rows, the weighted events of all replicates side by side. What is ranked grows with the
-distinct scores times the replicates, whatever the number of loans.
+hash of it per replicate, so it needs no draw table: every task sums, for each distinct score among its
+rows, the weighted events of all replicates side by side. Rows are dealt out in ranges of the candidate's
+score, so that one score meets in few tasks. What is ranked grows with the distinct scores times the
+replicates, whatever the number of loans.
 
 ``exact_draws`` draws exactly as many loans as there are instead: draw ``j`` of replicate ``r`` picks the
 loan numbered ``hash(seed, r, j) mod n``. It makes a row per loan and replicate, for small samples.
@@ -17,9 +18,11 @@ import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from vintageline.functions.ordered import dense_index
 from vintageline.settings import BOOTSTRAP_ALPHA, BOOTSTRAP_REPLICATES, SEED
@@ -53,6 +56,8 @@ def replicate_weights(
 
 
 PRIME = (1 << 31) - 1
+# Scores a task sums up at a time, each with a number per replicate.
+HELD_SCORES = 4096
 MODELS = (
     "inline(array(struct('candidate' AS model, candidate AS score), struct('baseline' AS model, baseline AS score)))"
 )
@@ -88,7 +93,16 @@ def _poisson_rows(rows: DataFrame, replicates: int, seed: int, portable: bool) -
     limits = np.array(poisson_limits())
 
     def summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Weighted counts of all replicates side by side, per model, score and label of a few thousand rows."""
+        """Weighted counts of all replicates side by side, per model, score and label.
+
+        They are held for up to ``HELD_SCORES`` scores of a task, then handed on."""
+        held: dict[tuple, int] = {}
+        sums = np.zeros((HELD_SCORES, replicates + 1), np.int64)
+
+        def handed():
+            out = pd.DataFrame(list(held), columns=["model", "score", "y"]).assign(w=list(sums[: len(held)]))
+            return pa.RecordBatch.from_pandas(out, schema, preserve_index=False)
+
         for batch in batches:
             for start in range(0, batch.num_rows, 4096):
                 part = batch.slice(start, 4096).to_pandas().sort_values(["model", "score", "y"])
@@ -96,11 +110,20 @@ def _poisson_rows(rows: DataFrame, replicates: int, seed: int, portable: bool) -
                 weights = np.hstack([np.ones((len(part), 1), np.int64), weights]) * part.n.to_numpy()[:, None]
                 keys = part[["model", "score", "y"]]
                 first = np.nonzero((keys != keys.shift()).any(axis=1).to_numpy())[0]
-                out = keys.iloc[first].assign(w=list(np.add.reduceat(weights, first, axis=0)))
-                yield pa.RecordBatch.from_pandas(out, preserve_index=False)
+                found = np.add.reduceat(weights, first, axis=0)
+                for key, row in zip(keys.iloc[first].itertuples(index=False, name=None), found):
+                    if key not in held and len(held) == HELD_SCORES:
+                        yield handed()
+                        held.clear()
+                        sums[:] = 0
+                    sums[held.setdefault(key, len(held))] += row
+        if held:
+            yield handed()
 
     numbered = rows.select("y", "n", number.alias("h"), F.expr(MODELS))
     kind = f"model string, score double, y {numbered.schema['y'].dataType.simpleString()}, w array<bigint>"
+    label = to_arrow_type(numbered.schema["y"].dataType)
+    schema = pa.schema([("model", pa.string()), ("score", pa.float64()), ("y", label), ("w", pa.list_(pa.int64()))])
     side_by_side = numbered.mapInArrow(summed, kind)
     return side_by_side.select("model", "score", "y", F.posexplode("w").alias("rep", "w")).where("w > 0")
 
@@ -132,7 +155,9 @@ def gini_differences(
         F.col(baseline).cast("double").alias("baseline"),
         F.col(label).alias("y"),
     ).agg(F.count(F.lit(1)).alias("n"))
-    rows = materialize(pairs, "bootstrap-rows")
+    # A row's work is that of all replicates, which its size does not show: the number of tasks is set here.
+    tasks = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    rows = materialize(pairs.repartitionByRange(tasks, "candidate", "loan"), "bootstrap-rows")
     spread = _drawn_rows if exact_draws else _poisson_rows
     long = spread(rows, replicates, seed, portable)
     per_model = auc(long, "y", "score", ("rep", "model"), F.col("w"), cuts_from=rows.select(F.expr(MODELS)))

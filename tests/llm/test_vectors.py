@@ -66,6 +66,22 @@ def test_links_match_all_pairs(spark, table, tile):
     assert all(r.kept == (r.vec_id == r.component_id) for r in found)
 
 
+def test_no_vector_is_shuffled_once_for_each_pair_of_tiles(spark, monkeypatch):
+    plans = {}
+    stored = embedding_dedup.materialize
+
+    def watched(frame, name):
+        plans[name] = frame._jdf.queryExecution().executedPlan().toString()
+        return stored(frame, name)
+
+    monkeypatch.setattr(embedding_dedup, "materialize", watched)
+    found = embedding_dedup.near_vectors(spark.read.parquet(f"{FOLDER}/embeddings.parquet"), tile=64)
+    assert "CartesianProduct" in plans["vector-links"] and "Exchange" not in plans["vector-links"]
+    # Of the vectors' own shuffles one makes classes and one makes tiles; ids meet their class without them.
+    last = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(vector" not in last and "mark1" in last
+
+
 def test_every_link_is_within_budget_in_some_block():
     rng = np.random.default_rng(2)
     energy = np.sort(rng.random(16))[::-1]

@@ -11,13 +11,16 @@ into tiles of bounded size along the leading axes, crowded cells by hash. Pairs
 boxes are farther apart than the budget in every block are skipped on their boxes alone; for the others
 one task range-joins the blocks whose boxes allow it and verifies the union of candidates at once. A pair
 of tiles returns the number of links of each class and a spanning forest of them, never all links of a
-group. The work still grows with the square of the number of different vectors where they do not cluster,
-since no block tells such vectors apart by more than its budget.
+group. Tiles are stored once and meet in a nested-loop join that reads the stored partitions in pairs: none is
+shuffled, and a task holds one partition of tiles. The work still grows with the square of the number of
+different vectors where they do not cluster, since no block tells such vectors apart by more than its budget;
+what is shuffled and stored grows with the rows.
 
 A vector that is null, zero or holds a null or non-finite component links with nothing and is its own
 component. Repeated rows are vectors of their own that link with each other. Shorter vectors count as filled
 with zeros. A null id takes part, and names a component only if no other id does. An empty table gives an
-empty result. Other columns are not read.
+empty result. Other columns are not read. The table is read once for its vectors and once for its ids; there 128 bits
+of hashes stand for a vector, so that vectors cross one shuffle to become classes and one to become tiles.
 """
 
 from __future__ import annotations
@@ -26,13 +29,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vintageline.llm.common import materialize, slices
 from vintageline.llm.components import components
-from vintageline.llm.vectors import as_matrix, principal_axes, unit, vector_rows, width_of
+from vintageline.llm.vectors import as_matrix, principal_axes, unit, usable, width_of
 
 COSINE = 0.9
 BLOCKS = 4
@@ -54,7 +57,7 @@ def budgets(energy: np.ndarray, bounds: list[tuple[int, int]], cosine: float) ->
 
 
 def _tiled(classes: DataFrame, axes: np.ndarray, width: int, tile: int) -> DataFrame:
-    """tile (long), node, copies, vector per tile as lists, and the tile's bounding box in rotated coordinates."""
+    """tile (long), node, copies, vectors per tile as lists, and the tile's bounding box in rotated coordinates."""
     cut = min(CUT_AXES, width)
 
     def leading(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,28 +69,33 @@ def _tiled(classes: DataFrame, axes: np.ndarray, width: int, tile: int) -> DataF
     schema = T.StructType(list(classes.schema.fields))
     for k in range(cut):
         schema = schema.add(f"axis{k}", "double")
-    placed = materialize(classes.mapInArrow(leading, schema), "vector-axes")
+    # Turned again rather than stored with the vectors; cells need the axes alone.
+    turned = classes.mapInArrow(leading, schema)
+    placed = materialize(turned.select("node", *(f"axis{k}" for k in range(cut))), "vector-axes")
     wanted = -(-placed.count() // tile)
-    cell = F.lit(0)
-    left = wanted
+    shares, left = [], wanted
     for k in range(cut):
         parts = max(1, round(left ** (1 / (cut - k))))
         left = -(-left // parts)
-        shares = [(i + 1) / parts for i in range(parts - 1)]
-        edges = placed.agg(F.percentile_approx(f"axis{k}", shares)).first()[0] if shares else []
+        shares.append([(i + 1) / parts for i in range(parts - 1)])
+    cuts = [F.percentile_approx(f"axis{k}", at).alias(f"axis{k}") for k, at in enumerate(shares) if at]
+    edges = placed.agg(*cuts).first().asDict() if cuts else {}
+    cell = F.lit(0)
+    for k, at in enumerate(shares):
         step = F.lit(0)
-        for edge in edges or []:
+        for edge in edges.get(f"axis{k}") or []:
             step += (F.col(f"axis{k}") > edge).cast("int")
-        cell = cell * parts + step
-    celled = placed.withColumn("cell", cell)
+        cell = cell * (len(at) + 1) + step
     # One row per cell, about as many as tiles are wanted; crowded cells are cut further.
-    sizes = celled.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / tile).alias("parts"))
-    numbered = celled.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
-    tiles = numbered.groupBy("cell", "part").agg(
+    sizes = placed.groupBy(cell.alias("cell")).agg(F.ceil(F.count(F.lit(1)) / tile).alias("parts"))
+    part = F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))).alias("part")
+    numbered = turned.withColumn("cell", cell).join(F.broadcast(sizes), "cell", "left")
+    tiles = numbered.select("cell", part, "node", "copies", "vector").groupBy("cell", "part").agg(
         F.collect_list(F.struct("node", "copies", "vector")).alias("rows")
     )
     number = (F.col("cell").cast("long") * (1 << 32) + F.col("part")).alias("tile")
     lists = tiles.select(number, *(F.col(f"rows.{c}").alias(c) for c in ("node", "copies", "vector")))
+    exact = _stored_type(classes, "vector")
 
     def boxed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
@@ -95,7 +103,7 @@ def _tiled(classes: DataFrame, axes: np.ndarray, width: int, tile: int) -> DataF
             turned = unit(rows) @ axes
             columns = [
                 *(batch.column(c) for c in ("tile", "node", "copies")),
-                pa.array([rows.tobytes()], pa.binary()),
+                pa.array([rows.astype(exact).tobytes()], pa.binary()),
                 pa.array([turned.min(axis=0).tolist()]),
                 pa.array([turned.max(axis=0).tolist()]),
             ]
@@ -105,6 +113,11 @@ def _tiled(classes: DataFrame, axes: np.ndarray, width: int, tile: int) -> DataF
     return materialize(lists.mapInArrow(boxed, boxed_type), "vector-tiles")
 
 
+def _stored_type(table: DataFrame, vector: str) -> type:
+    """Single precision holds the components of a float column exactly, double those of any other."""
+    return np.float32 if table.schema[vector].dataType.elementType == T.FloatType() else np.float64
+
+
 def _boxes_near(bounds: list[tuple[int, int]], budget: list[float]) -> Column:
     """Whether two boxes (low, high and other_low, other_high) are within budget in some block."""
     near = F.lit(False)
@@ -173,27 +186,24 @@ def vector_links(classes: DataFrame, axes: np.ndarray, energy: np.ndarray, cosin
     bounds = block_bounds(width, BLOCKS)
     budget = budgets(energy, bounds, cosine)
     tiles = _tiled(classes, axes, width, tile)
-    # Pairs of tiles, not of rows: every tile meets those from itself on, and only boxes are compared.
-    placed = tiles.select("tile", "low", "high", F.row_number().over(Window.orderBy("tile")).alias("place"))
-    met = F.explode(F.sequence(F.col("place"), F.lit(tiles.count()))).alias("met")
-    other = placed.select(
-        F.col("tile").alias("other"), F.col("low").alias("other_low"), F.col("high").alias("other_high"), F.col("place").alias("met")
-    )
-    pairs = placed.select("tile", "low", "high", met).join(other, "met").where(_boxes_near(bounds, budget))
-    mine = tiles.select("tile", *(F.col(c).alias(f"own_{c}") for c in ("node", "copies", "vectors")))
-    theirs = tiles.select(F.col("tile").alias("other"), "node", "copies", "vectors")
-    work = (
-        pairs.select("tile", "other")
-        .join(mine, "tile")
-        .join(theirs, "other")
-        .repartition("tile", "other")
-    )
+    exact = _stored_type(classes, "vector")
+    mine = tiles.select("tile", "low", "high", *(F.col(c).alias(f"own_{c}") for c in ("node", "copies", "vectors")))
+    other = tiles.select(
+        F.col("tile").alias("other"), F.col("low").alias("other_low"), F.col("high").alias("other_high"),
+        "node", "copies", "vectors",
+    )
+    # Every tile meets those from itself on. A task reads two stored partitions of tiles and compares boxes first.
+    meet = (F.col("tile") <= F.col("other")) & _boxes_near(bounds, budget)
+    work = mine.hint("shuffle_replicate_nl").join(other, meet).drop("low", "high", "other_low", "other_high")
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             get = {c: batch.column(c)[0] for c in batch.schema.names}
             same = get["tile"] == get["other"]
-            a, b = (np.frombuffer(get[c].as_py()).reshape(-1, width) for c in ("own_vectors", "vectors"))
+            a, b = (
+                np.frombuffer(get[c].as_py(), exact).reshape(-1, width).astype(np.float64)
+                for c in ("own_vectors", "vectors")
+            )
             nodes_a, nodes_b = (np.asarray(get[c].values) for c in ("own_node", "node"))
             copies_a, copies_b = (np.asarray(get[c].values) for c in ("own_copies", "copies"))
             shift = 0 if same else len(a)
@@ -220,13 +230,20 @@ def near_vectors(
     table: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = COSINE, tile: int = TILE
 ) -> DataFrame:
     """One row per vector: ``key``, n_links, component_id (smallest id that links lead to), kept."""
-    rows = vector_rows(table, key, vector)
-    width = width_of(rows)
-    classes = rows.where("ok").groupBy("vector").agg(
-        F.min("row").alias("node"), F.count(F.lit(1)).alias("copies"), F.min("id").alias("first_id")
+    kind = "array<float>" if _stored_type(table, vector) is np.float32 else "array<double>"
+    rows = table.select(F.col(key).alias("id"), F.col(vector).cast(kind).alias("vector"))
+    rows = rows.withColumn("ok", usable("vector"))
+    marks = [F.xxhash64(F.lit(seed), "vector").alias(f"mark{seed}") for seed in (1, 2)]
+    classes = materialize(
+        rows.where("ok")
+        .groupBy("vector")
+        .agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("first_id"))
+        .select(F.monotonically_increasing_id().alias("node"), "*", *marks),
+        "vector-classes",
     )
+    width = width_of(classes.withColumn("ok", F.lit(True)))
+    named_by = classes.select("node", "copies", "first_id", "mark1", "mark2")
     if width:
-        classes = materialize(classes, "vector-classes")
         axes, energy = principal_axes(classes.withColumn("ok", F.lit(True)), width)
         found = materialize(
             vector_links(classes.select("node", "copies", "vector"), axes, energy, cosine, tile), "vector-links"
@@ -234,18 +251,19 @@ def near_vectors(
         links = found.groupBy("node").agg(F.sum("links").alias("links"))
         tied = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
         tied = tied.select(F.col("node").alias("_node"), F.col("component"))
-        joined = classes.join(links, "node", "left").join(tied, F.col("node") == F.col("_node"), "left")
+        joined = named_by.join(links, "node", "left").join(tied, F.col("node") == F.col("_node"), "left")
         known = joined.select(
-            "vector",
+            "mark1",
+            "mark2",
             "first_id",
             (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
             F.coalesce("component", "node").alias("component"),
         )
     else:
-        known = classes.select("vector", "first_id", F.lit(0).alias("n_links"), F.col("node").alias("component"))
+        known = named_by.select("mark1", "mark2", "first_id", F.lit(0).alias("n_links"), F.col("node").alias("component"))
     named = known.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    by_class = known.join(named, "component").select(F.col("vector").alias("_vector"), "n_links", "component_id")
-    linked = rows.where("ok").join(by_class, F.col("vector") == F.col("_vector"))
+    by_class = known.join(named, "component").select("mark1", "mark2", "n_links", "component_id")
+    linked = rows.where("ok").select("id", *marks).join(by_class, ["mark1", "mark2"])
     alone = rows.where("NOT ok").select("id", F.lit(0).alias("n_links"), F.col("id").alias("component_id"))
     result = linked.select("id", "n_links", "component_id").union(alone)
     return result.select(

@@ -24,7 +24,7 @@ from vintageline.plans.publication import (
 from vintageline.plans.stages import Places, run_stage
 from vintageline.queries.inputs import panel, releases
 from vintageline.sources import snapshots
-from vintageline.sources.rawfiles import ingest
+from vintageline.sources.rawfiles import ingest, list_files
 from vintageline.sources.snapshots import (
     latest_version,
     promote,
@@ -218,6 +218,16 @@ def test_promotion_writes_no_data(spark, folder):
     assert source_versions(spark, f"{folder}/final", 0) == {"x": 2}
 
 
+@pytest.mark.parametrize("width", [108, 113])
+def test_raw_files_take_little_disk_and_load_whole(spark, folder, width):
+    rows = panel(spark, SMALL)
+    write_raw_files(rows, f"{folder}/raw", width)
+    on_disk = list_files(spark, [f"{folder}/raw"]).agg(F.sum("size")).first()[0]
+    lines = spark.read.text(f"{folder}/raw").agg(F.count("value"), F.sum(F.length("value"))).first()
+    assert lines[0] == rows.count() and on_disk < lines[1] / 8
+    assert ingest(spark, [f"{folder}/raw"], f"{folder}/bronze", width).rows_written == lines[0]
+
+
 def test_raw_to_gold(spark, folder):
     write_raw_files(panel(spark, SMALL), f"{folder}/raw")
     ingest(spark, [f"{folder}/raw"], f"{folder}/bronze")

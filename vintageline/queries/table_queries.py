@@ -42,7 +42,7 @@ from vintageline.sources.contract import DEFAULT_WIDTH, fields_of_width, raw_sch
 from vintageline.sources.rawfiles import ingest, read_bronze, read_raw, scan_files
 from vintageline.sources.releases import load_releases
 from vintageline.sources.snapshots import publish, read_version, source_versions
-from vintageline.sources.synthetic import raw_lines, write_raw_files
+from vintageline.sources.synthetic import raw_lines, write_raw_files, write_raw_lines
 
 LOADED_AT = datetime(2026, 1, 1, tzinfo=UTC)
 
@@ -168,7 +168,7 @@ def src7_mixed_width_bronze(spark, folder):
     narrow = _raw_folder(spark, folder)
     bronze, wide = f"{narrow}-bronze", f"{narrow}-wide"
     lines = raw_lines(panel(spark, folder), 113).select(F.concat("value", F.lit("L")).alias("value"), "quarter")
-    lines.write.partitionBy("quarter").text(wide)
+    write_raw_lines(lines, wide)
     ingest(spark, [narrow], bronze, ingested_at=LOADED_AT)
     ingest(spark, [wide], bronze, 113, ingested_at=LOADED_AT)
     stored = read_bronze(spark, bronze)

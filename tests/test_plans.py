@@ -2,10 +2,10 @@
 
 import re
 
-from vintageline.functions.columns import source_quarter
+from vintageline.functions.columns import empty_columns, source_quarter
 from vintageline.models.frame import model_frame
 from vintageline.operators.gold import gold_panel
-from vintageline.operators.silver import keep_latest
+from vintageline.operators.silver import keep_latest, keep_latest_marked, repeated_marks
 from vintageline.operators.survival import survival_panel
 from vintageline.queries.inputs import panel, releases
 from vintageline.sources.snapshots import materialize
@@ -74,6 +74,37 @@ def test_wide_rows_cross_joins_and_windows_as_one_value(spark):
         assert {f"W{i}" for i in range(40)} <= set(rows.columns) and len(set(rows.columns)) == len(rows.columns)
 
 
+def test_only_months_loaded_again_are_shuffled(spark, folder):
+    keys = [(f"L{i}", i % 7) for i in range(200)] + [("A", 1)] * 3 + [(None, 1), ("A", None), (None, None)] * 2
+    rows = [(k, m, n % 5, str(n)) for n, (k, m) in enumerate(keys)]
+    spark.createDataFrame(rows, "k string, m int, at int, v string").write.parquet(f"{folder}/loads")
+    stored = spark.read.parquet(f"{folder}/loads")
+    marks = repeated_marks(stored, ("k", "m"))
+    assert 3 <= marks.count() <= 4
+    kept = keep_latest_marked(stored, ("k", "m"), ("at",), marks)
+    assert kept.columns == stored.columns and kept.count() == 204
+    assert set(map(tuple, kept.collect())) == set(map(tuple, keep_latest(stored, ("k", "m"), ("at",)).collect()))
+    # The one shuffle of rows lies above those of marked keys.
+    text = kept.select("v")._jdf.queryExecution().executedPlan().toString()
+    assert text.count("hashpartitioning(k#") == 1
+    assert text.index("LeftAnti") < text.index("hashpartitioning(k#") < text.index("LeftSemi")
+
+
+def test_columns_without_a_value_stay_behind(spark, folder):
+    names = [f"E{i}" for i in range(3)]
+    rows = panel(spark, SMALL).drop("PURPOSE").withColumns({c: F.lit(None).cast("decimal(20,2)") for c in names})
+    rows.write.parquet(f"{folder}/silver")
+    silver = spark.read.parquet(f"{folder}/silver")
+    empty = empty_columns(silver, [*names, "PROP", "ZERO_BAL_CODE"])
+    assert empty == names and empty_columns(silver, []) == []
+    plain, lean = gold_panel(silver, releases(spark)), gold_panel(silver, releases(spark), empty)
+    assert lean.schema == plain.schema
+    assert lean.exceptAll(plain).isEmpty() and lean.count() == plain.count()
+    for frame, carried in ((plain, True), (lean, False)):
+        joined = [p for p in _nodes(frame._jdf.queryExecution().optimizedPlan()) if p.nodeName() == "Join"]
+        assert any("E0:decimal" in p.schema().catalogString() for p in joined) == carried
+
+
 def _nodes(plan):
     yield plan
     children = plan.children()

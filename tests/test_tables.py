@@ -14,6 +14,7 @@ from vintageline.operators.acquisition import (
 )
 from vintageline.operators.quality import QualityError, quality_report, require_quality
 from vintageline.operators.silver import keep_latest, label_codes, servicer_spells
+from vintageline.plans import publication
 from vintageline.plans.publication import (
     backfill_months,
     merge_months,
@@ -241,6 +242,28 @@ def test_raw_to_gold(spark, folder):
     assert source_versions(spark, f"{folder}/gold", 0) == {"silver": 0, "macro": 0}
 
 
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_corrections_replace_their_months(spark, folder, monkeypatch, most):
+    rows = panel(spark, SMALL)
+    corrected = rows.where("STATE = 'CA' AND LOAN_AGE < 5").withColumn("DLQ_STATUS", F.lit("77"))
+    for at, (name, lines) in enumerate((("first", rows), ("second", corrected)), start=1):
+        write_raw_files(lines, f"{folder}/{name}")
+        ingest(spark, [f"{folder}/{name}"], f"{folder}/bronze", ingested_at=datetime(2026, at, 1))
+    monkeypatch.setattr(publication, "MOST_MARKED", most)
+    written, stored = [], publication.publish
+
+    def watched(frame, *rest, **named):
+        written.append(frame._jdf.queryExecution().optimizedPlan().toString())
+        return stored(frame, *rest, **named)
+
+    monkeypatch.setattr(publication, "publish", watched)
+    run = publish_silver(spark, f"{folder}/bronze", f"{folder}/silver", f"{folder}/servicer")
+    assert run.silver_rows == rows.count()
+    fixed = read_version(spark, f"{folder}/silver").where("DLQ_STATUS = '77'")
+    assert fixed.count() == corrected.count() > 0
+    assert ("LeftSemi" in written[0]) == (most > 0)
+
+
 def test_quarantine(spark, folder):
     lines = panel(spark, SMALL).withColumn(
         "DLQ_STATUS", F.when(F.col("STATE") == "CA", "7").otherwise(F.col("DLQ_STATUS"))

@@ -6,6 +6,7 @@ from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 # Labels of the coded fields.
 CODE_LABELS = {
@@ -59,14 +60,28 @@ def carry(frame: DataFrame, keep: Iterable[str]) -> tuple[DataFrame, list[str]]:
     return frame.select(*(c for c in frame.columns if c not in rest), F.struct(*rest).alias(CARRIED)), rest
 
 
-def unfold(frame: DataFrame, rest: Iterable[str], order: Iterable[str]) -> DataFrame:
-    """The carried columns in their places again; a column made anew since then replaces the carried one."""
+def unfold(
+    frame: DataFrame, rest: Iterable[str], order: Iterable[str], empty: Mapping[str, DataType] | None = None
+) -> DataFrame:
+    """The carried columns in their places again; a column made anew since then replaces the carried one.
+
+    ``empty`` has columns by type that were left behind, as they hold NULL only."""
     made = [c for c in frame.columns if c != CARRIED]
+    left = {c: F.lit(None).cast(kind) for c, kind in (empty or {}).items()}
+    gone = {*rest, *left}
     back = {c: F.col(CARRIED)[c].alias(c) for c in rest if c not in made}
-    first = [c for c in order if c in back or (c in made and c not in rest)]
+    back |= {c: value.alias(c) for c, value in left.items() if c not in made}
+    first = [c for c in order if c in back or (c in made and c not in gone)]
     return frame.select(*(back.get(c, c) for c in first), *(c for c in made if c not in first))
 
 
+def empty_columns(frame: DataFrame, names: Iterable[str]) -> list[str]:
+    """Which of the columns hold NULL in every row; one pass."""
+    names = list(names)
+    filled = frame.agg(*(F.count(c).alias(f"n{i}") for i, c in enumerate(names))).first() if names else ()
+    return [c for c, n in zip(names, filled) if n == 0]
+
+
 def code_label(code: Column, labels: Mapping[str, str]) -> Column:
     """Label of a code, ``Unmapped (code)`` when unknown, NULL for a NULL code."""
     lookup = F.create_map(*(F.lit(part) for pair in labels.items() for part in pair))

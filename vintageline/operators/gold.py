@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,18 +21,24 @@ class ReconciliationError(RuntimeError):
     """Panel rows do not equal the at-risk months of every loan."""
 
 
-def gold_panel(silver: DataFrame, releases: DataFrame) -> DataFrame:
+def gold_panel(
+    silver: DataFrame, releases: DataFrame, empty: Sequence[str] = (), sort_by: Sequence[str] = ()
+) -> DataFrame:
     """Survival rows with features, macro as of the month and as of origination, and splits.
 
     As-of dates are read from the stored loan-month table, so the panel itself is planned once. Columns that no
-    step reads are carried as one value.
+    step reads are carried as one value; those named ``empty`` are known to hold NULL only and are not carried. A task's
+    rows come ordered by ``sort_by``, sorted while they are narrow.
     """
-    narrow, rest = carry(silver, GOLD_INPUT)
+    absent = {c: silver.schema[c].dataType for c in empty if c not in GOLD_INPUT}
+    narrow, rest = carry(silver.drop(*absent), GOLD_INPUT)
     featured = loan_features(survival_panel(narrow))
     days = as_of_dates(silver, "ACT_PERIOD", "ORIG_DATE")
     current = join_releases(featured, releases, dates=days)
     origination = join_releases(current, releases, "ORIG_DATE", (HPI_SERIES,), "ORIG_", dates=days)
-    return unfold(assign_splits(indexed_ltv(origination)), rest, silver.columns)
+    rows = assign_splits(indexed_ltv(origination))
+    ordered = rows.sortWithinPartitions(*sort_by) if sort_by else rows
+    return unfold(ordered, rest, silver.columns, absent)
 
 
 def row_count_mismatches(silver: DataFrame, gold: DataFrame) -> DataFrame:

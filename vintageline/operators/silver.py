@@ -55,14 +55,37 @@ def keep_latest(frame: DataFrame, keys: Sequence[str], newest: Sequence[str]) ->
     return unfold(kept, rest, frame.columns)
 
 
-def silver_table(bronze: DataFrame) -> DataFrame:
+def repeated_marks(frame: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Column _mark: 64-bit hashes of the keys that several rows have, and perhaps of a few others."""
+    mark = F.xxhash64(*keys).alias("_mark")
+    return frame.groupBy(mark).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_mark")
+
+
+def keep_latest_marked(frame: DataFrame, keys: Sequence[str], newest: Sequence[str], marks: DataFrame) -> DataFrame:
+    """The rows of ``keep_latest``, where ``marks`` has the hashes of all repeated keys and is small.
+
+    Rows of other keys are alone and stay in their tasks; only marked ones are shuffled and ranked.
+    """
+    marked, few = frame.withColumn("_mark", F.xxhash64(*keys)), F.broadcast(marks)
+    alone = marked.join(few, "_mark", "left_anti").drop("_mark")
+    shared = marked.join(few, "_mark", "left_semi").drop("_mark")
+    return alone.unionByName(keep_latest(shared, keys, newest))
+
+
+MONTH_KEY = ("LOAN_ID", "ACT_PERIOD")
+NEWEST_LOAD = ("_ingested_at", "_source_sha256")
+
+
+def silver_table(bronze: DataFrame, marks: DataFrame | None = None) -> DataFrame:
     """Typed, labelled, newest version of every loan-month.
 
-    Duplicates go first, on the raw text, so only surviving rows are cast and labelled.
+    Duplicates go first, on the raw text, so only surviving rows are cast and labelled. Given the few ``marks`` of
+    repeated loan-months, other rows are not shuffled.
     """
-    survivors = keep_latest(
-        bronze, ("LOAN_ID", "ACT_PERIOD"), ("_ingested_at", "_source_sha256")
-    )
+    if marks is None:
+        survivors = keep_latest(bronze, MONTH_KEY, NEWEST_LOAD)
+    else:
+        survivors = keep_latest_marked(bronze, MONTH_KEY, NEWEST_LOAD, marks)
     return label_codes(type_columns(survivors))
 
 

@@ -9,16 +9,19 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from vintageline.functions.columns import empty_columns
 from vintageline.operators.asof import require_coverage, require_valid_releases
-from vintageline.operators.gold import gold_panel, reconciliation_counts, require_reconciled
+from vintageline.operators.gold import GOLD_INPUT, gold_panel, reconciliation_counts, require_reconciled
 from vintageline.operators.quality import PASSED, QualityError, quality_report
-from vintageline.operators.silver import servicer_spells, silver_table
+from vintageline.operators.silver import MONTH_KEY, repeated_marks, servicer_spells, silver_table
 from vintageline.operators.splits import require_quarters, require_split_integrity
 from vintageline.settings import HPI_SERIES
 from vintageline.sources.rawfiles import read_bronze
 from vintageline.sources.snapshots import materialize, promote, publish, read_pinned, read_version
 
 GOLD_SOURCES = ("silver", "macro")
+# Hashes of repeated loan-months that are sent to the tasks.
+MOST_MARKED = 100_000
 
 
 @dataclass(frozen=True)
@@ -44,9 +47,16 @@ def publish_silver(
     quarantine_path: str | None = None,
     staging_path: str | None = None,
 ) -> SilverResult:
-    """Build Silver once into staging, gate the stored copy, promote it with its servicer history."""
+    """Build Silver once into staging, gate the stored copy, promote it with its servicer history.
+
+    Bronze rows are wide, and few loan-months are loaded again: a narrow pass finds these, so that the others are not
+    shuffled. Where over ``MOST_MARKED`` are repeated, all rows are.
+    """
     staging = staging_path or f"{silver_path}_staging"
-    publish(silver_table(read_bronze(spark, bronze_path)), staging, sort_by=("LOAN_ID", "ACT_PERIOD"))
+    bronze = read_bronze(spark, bronze_path)
+    marks = materialize(repeated_marks(bronze, MONTH_KEY), "silver-repeated")
+    few = marks.count() <= MOST_MARKED
+    publish(silver_table(bronze, marks if few else None), staging, sort_by=MONTH_KEY)
     staged, at = read_pinned(spark, staging)
     report = quality_report(staged).collect()
     failed = [row for row in report if row.status != PASSED]
@@ -87,8 +97,10 @@ def publish_gold(
     require_coverage(silver, releases, "ORIG_DATE", (HPI_SERIES,), allow_early_gaps=True)
     require_quarters(silver)
     staging = staging_path or f"{gold_path}_staging"
-    panel = gold_panel(silver, releases)
-    publish(panel, staging, sources, ("MODELLING_SPLIT",), ("LOAN_ID", "ACT_PERIOD"))
+    # Layouts leave whole columns unused, and a row pays for each of them in shuffles and sorts.
+    empty = empty_columns(silver, [c for c in silver.columns if c not in GOLD_INPUT])
+    panel = gold_panel(silver, releases, empty, ("MODELLING_SPLIT", "LOAN_ID", "ACT_PERIOD"))
+    publish(panel, staging, sources, ("MODELLING_SPLIT",))
     staged, at = read_pinned(spark, staging)
     require_split_integrity(staged)
     require_reconciled(silver, staged)
